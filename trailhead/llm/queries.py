@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import runtime, simhash
+from . import bpe, runtime, simhash
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(runtime.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def token_digests(decoded: DataFrame) -> DataFrame:
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_digests(bpe.decode(bpe.encode(docs, path), path))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe}
 
 ORACLE_SQL: dict[str, str] = {}
