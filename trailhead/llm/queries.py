@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, runtime, simhash
+from . import bpe, decontaminate, runtime, simhash
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -15,6 +15,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(runtime.table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.mark(docs, runtime.table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def token_digests(decoded: DataFrame) -> DataFrame:
     return decoded.select(
         "doc_id",
@@ -30,6 +43,21 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.decode(bpe.encode(docs, path), path))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe}
+
+#: Every window of every item as a text of words, met by equality; hit words are those that a window covers.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+win AS (SELECT item, least(len(w), 10) n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i, w FROM b WHERE len(w) > 0),
+keys AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') k FROM win),
+lens AS (SELECT DISTINCT n FROM keys),
+pos AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) i FROM d, lens WHERE len(w) >= n),
+hit AS (SELECT DISTINCT doc_id, i, pos.n, item FROM pos JOIN keys ON keys.n = pos.n AND k = array_to_string(w[i : i + pos.n - 1], ' ')),
+word AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN word USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL}

@@ -6,6 +6,7 @@ Every path that outlives a task is below ``spark.checkpoint.dir``, the folder th
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,8 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers where their path does not have it (once for each application)."""
+    root, sc = package_dir(), spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    if root == os.getcwd() or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    to = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "trailhead"), "zip", root, "trailhead")
+    sc.addPyFile(to)
+
+
 def tune(spark: SparkSession) -> None:
-    """Small arrow batches: a batch holds whole texts."""
+    """Small arrow batches, since a batch holds whole texts; the package on every worker."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
