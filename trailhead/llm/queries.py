@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, runtime, simhash
+from . import bpe, decontaminate, runtime, simhash, substrings, suffix_arrays
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -43,7 +43,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.decode(bpe.encode(docs, path), path))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe}
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.trim(F.regexp_replace("kept", r"[\x20\x09-\x0D]+", " "))
+    return substrings.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_arrays.dedup(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op10_suffix_arrays": op10_suffix_arrays}
 
 #: Every window of every item as a text of words, met by equality; hit words are those that a window covers.
 OP2_SQL = r"""
