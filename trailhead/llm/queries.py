@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, runtime, simhash, substrings, suffix_arrays
+from . import bpe, chat, decontaminate, runtime, simhash, sketches, substrings, suffix_arrays, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,7 +56,31 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op10_suffix_arrays": op10_suffix_arrays}
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = runtime.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql("SELECT -1L conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' text FROM VALUES (0L, 'user'), (1L, 'assistant') t(turn, role)")
+    back = chat.read_back(chat.render(told.unionByName(probe), "conv_id", "turn"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(spark, runtime.table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.neighbours(runtime.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op6_chat": op6_chat, "op7_warc": op7_warc, "op9_sketches": op9_sketches, "op10_suffix_arrays": op10_suffix_arrays}
 
 #: Every window of every item as a text of words, met by equality; hit words are those that a window covers.
 OP2_SQL = r"""
@@ -73,4 +97,34 @@ SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesc
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL}
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) i, w FROM d WHERE len(w) >= 20),
+seen AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i : i + 19], ' ') ORDER BY doc_id, i) n FROM win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) p FROM seen WHERE n > 1),
+word AS (SELECT doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) k, count(*) n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT n_words, (len(w) - coalesce(n, 0))::BIGINT n_removed, sha256(coalesce(k, '')) kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+#: Escapes as in the template: a doubled backslash, then a backslash after the first character of control strings.
+_ESCAPED = r"""regexp_replace(regexp_replace(replace({0}, '\', '\\'), '<(/?s>|\|(?:im_start|im_end|im_sep|system|user|assistant|endoftext|begin_of_text|end_of_text|start_header_id|end_header_id|eot_id|end|pad)\|>|</?SYS>>|/?SYS>>|start_of_turn>|end_of_turn>|bos>|eos>|pad>|unk>)', '<\\\1', 'g'), '\[(/?INST\]|/?SYSTEM_PROMPT\])', '[\\\1', 'g')"""
+OP6_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations
+UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) turns_sha256,
+coalesce(sum(len(t)) FILTER (r = 'assistant'), 0)::BIGINT loss_chars,
+sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) loss_sha256,
+sum(24 + len(replace({_ESCAPED.format("r")}, chr(10), '\\' || chr(10))) + len({_ESCAPED.format("t")}))::BIGINT formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages),
+f AS (SELECT h, min(page_id) first FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT page_id, strlen(p.h)::BIGINT payload_bytes, sha256(p.h) payload_digest,
+CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END record_type, CASE WHEN first <> page_id THEN first END refers_to
+FROM p LEFT JOIN f ON p.h = f.h
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_substrings": OP4_SQL, "op6_chat": OP6_SQL, "op7_warc": OP7_SQL}
