@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, runtime, simhash, sketches, substrings, suffix_arrays, warc
+from . import bpe, chat, decontaminate, quality, runtime, simhash, sketches, substrings, suffix_arrays, token_counts, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,6 +56,12 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", token_counts.proof_edits())
+    counted = token_counts.count(docs, public_tokenizers.path(VOCABULARY), edits_col="edits")
+    return counted.select("doc_id", "n_pretokens", "n_tokens", "edited_n_tokens", "n_reencoded", F.sha2("edited_text", 256).alias("edited_sha256"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = runtime.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql("SELECT -1L conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' text FROM VALUES (0L, 'user'), (1L, 'assistant') t(turn, role)")
@@ -76,11 +82,19 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, runtime.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.neighbours(runtime.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op6_chat": op6_chat, "op7_warc": op7_warc, "op9_sketches": op9_sketches, "op10_suffix_arrays": op10_suffix_arrays}
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_token_counts": op5_token_counts, "op6_chat": op6_chat, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_sketches": op9_sketches, "op10_suffix_arrays": op10_suffix_arrays}
 
 #: Every window of every item as a text of words, met by equality; hit words are those that a window covers.
 OP2_SQL = r"""
