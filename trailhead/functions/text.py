@@ -121,7 +121,11 @@ def simhash_of_text(df: DataFrame, text_col: str, out: str = "simhash") -> DataF
 def simhash_tokens(tokens_col: Column) -> Column:
     """Fingerprint of array<struct<text, weight>>: per bit the sum of the weights with their signs; empty gives 0."""
     hashed = F.transform(tokens_col, lambda t: F.struct(hashing.fnv1a(t["text"]).alias("h"), t["weight"].cast("long").alias("w")))
-    votes = [F.aggregate(hashed, F.lit(0).cast("long"), lambda a, t, b=b: a + F.when(F.getbit(t["h"], F.lit(b)) == 1, t["w"]).otherwise(-t["w"])) for b in range(64)]
+
+    def vote(b: int) -> Column:
+        return F.aggregate(hashed, F.lit(0).cast("long"), lambda a, t: a + F.when(F.getbit(t["h"], F.lit(b)) == 1, t["w"]).otherwise(-t["w"]))
+
+    votes = [vote(b) for b in range(64)]
     out = F.lit(0).cast("long")
     for b, v in enumerate(votes):
         out = out.bitwiseOR(F.when(v > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
