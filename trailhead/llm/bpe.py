@@ -70,13 +70,14 @@ def transitions() -> np.ndarray:
 def states(cls: np.ndarray) -> np.ndarray:
     """The state after each code point, by an associative scan over transition functions."""
     n = len(cls)
-    rows = -(-n // _BLOCK)
-    c = np.full(rows * _BLOCK, END, np.uint16)
+    block = _BLOCK if n > _BLOCK * _BLOCK else 8  # short texts: fewer steps
+    rows = -(-n // block)
+    c = np.full(rows * block, END, np.uint16)
     c[:n] = cls
-    c = np.ascontiguousarray(c.reshape(rows, _BLOCK).T) * 16
+    c = np.ascontiguousarray(c.reshape(rows, block).T) * 16
     t = transitions()
     f = np.tile(np.arange(_K, dtype=np.uint8), (rows, 1))
-    for j in range(_BLOCK):  # f[row]: the block's function so far
+    for j in range(block):  # f[row]: the block's function so far
         f = t[c[j][:, None] + f]
     step = 1
     while step < rows:  # f[row]: the function of all blocks up to this one
@@ -84,8 +85,8 @@ def states(cls: np.ndarray) -> np.ndarray:
         step *= 2
     s = np.zeros(rows, np.uint8)
     s[1:] = f[:-1, NONE]
-    out = np.empty((_BLOCK, rows), np.uint8)
-    for j in range(_BLOCK):
+    out = np.empty((block, rows), np.uint8)
+    for j in range(block):
         s = out[j] = t[c[j] + s]
     return out.T.reshape(-1)[:n]
 

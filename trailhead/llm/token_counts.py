@@ -19,7 +19,7 @@ from . import bpe, runtime
 
 LEAF = 64
 _CONTEXT = 3
-_AHEAD = 256
+_AHEAD = 64
 
 
 class Tree:
@@ -95,6 +95,11 @@ class Tree:
 
     def edit(self, encoder: bpe.Encoder, text: bytes, at: int, removed: int, new: bytes) -> bytes:
         """Replace ``removed`` bytes at ``at`` (both on character boundaries) and return the new text."""
+        return lockstep([self.steps(encoder, text, at, removed, new)])[0]
+
+    def steps(self, encoder: bpe.Encoder, text: bytes, at: int, removed: int, new: bytes):
+        """The edit as a generator: it yields a piece of text, is sent the piece's boundaries, and returns the new text.
+        So the pieces of many documents are pre-tokenised in one go."""
         out = text[:at] + new + text[at + removed :]
         if not out or not text:
             self._rebuild(encoder, out)
@@ -116,8 +121,7 @@ class Tree:
             last = max(first, last)
             old = self._cuts(first, left, last)
             ends = {c + shift for c in old if c >= at + removed}
-            data = np.frombuffer(out[start:stop], np.uint8)
-            bounds = bpe.boundaries(data, np.array([0, len(data)]))[0] + start
+            bounds = (yield out[start:stop]) + start
             # a boundary is certain if two more follow it, or the text ends
             sure = bounds if stop == len(out) else bounds[: -_CONTEXT]
             meet = next((int(b) for b in sure if b >= at + len(new) and b > start and int(b) in ends), None)
@@ -149,6 +153,27 @@ class Tree:
         self.__dict__ = fresh.__dict__
 
 
+def lockstep(jobs: list) -> list:
+    """Run edit generators side by side; each round pre-tokenises all their pieces at once."""
+    done, sent = [None] * len(jobs), [None] * len(jobs)
+    live = list(range(len(jobs)))
+    while live:
+        asked, pieces = [], []
+        for i in live:
+            try:
+                pieces.append(jobs[i].send(sent[i]))
+                asked.append(i)
+            except StopIteration as end:
+                done[i] = end.value
+        if asked:
+            off = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+            bounds, first = bpe.boundaries(np.frombuffer(b"".join(pieces), np.uint8), off)
+            for i, a, b, o, e in zip(asked, first[:-1].tolist(), first[1:].tolist(), off[:-1], off[1:]):
+                sent[i] = np.append(bounds[a:b], e) - o
+        live = asked
+    return done
+
+
 def of_text(encoder: bpe.Encoder, text: bytes) -> Tree:
     data = np.frombuffer(text, np.uint8)
     bounds = bpe.boundaries(data, np.array([0, len(data)]))[0]
@@ -180,15 +205,18 @@ def count(docs: DataFrame, vocabulary: str, text_col: str = "text", edits_col: s
                 bounds, first = bpe.boundaries(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 counts = np.fromiter(map(len, enc.tokens(raw, bounds)), np.int64, len(bounds) - 1)
                 sizes = np.diff(bounds)
+                trees, texts = [], []
                 for i in range(a, b):
                     p, q = first[i - a], first[i - a + 1]
-                    text = raw[off[i] - off[a] : off[i + 1] - off[a]]
-                    tree = Tree(sizes[p:q], counts[p:q])
-                    n = tree.total
-                    for e in edits[i] or ():
-                        if e is not None:
-                            text = apply(tree, enc, text, e["at"] or 0, e["removed"] or 0, e["text"] or "")
-                    rows.append((n, q - p, tree.total, tree.encoded, text.decode("utf-8", "surrogatepass")))
+                    texts.append(raw[off[i] - off[a] : off[i + 1] - off[a]])
+                    trees.append(Tree(sizes[p:q], counts[p:q]))
+                before = [t.total for t in trees]
+                for k in range(max((len(edits[i] or ()) for i in range(a, b)), default=0)):
+                    due = [j for j in range(b - a) if len(edits[a + j] or ()) > k and edits[a + j][k] is not None]
+                    jobs = [in_points(trees[j], enc, texts[j], **{x: edits[a + j][k][x] for x in ("at", "removed", "text")}) for j in due]
+                    for j, t in zip(due, lockstep(jobs)):
+                        texts[j] = t
+                rows += [(n, q, t.total, t.encoded, x.decode("utf-8", "surrogatepass")) for n, q, t, x in zip(before, np.diff(first).tolist(), trees, texts)]
             if rows:
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 4, pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*keep, *(n for n, _ in new)])
@@ -196,12 +224,17 @@ def count(docs: DataFrame, vocabulary: str, text_col: str = "text", edits_col: s
     return src.mapInArrow(f, T.StructType([*src.schema.fields, *(T.StructField(n, t) for n, t in new)]))
 
 
-def apply(tree: Tree, encoder: bpe.Encoder, text: bytes, at: int, removed: int, new: str) -> bytes:
-    """An edit in code points."""
-    starts = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
-    place = lambda k: int(starts[k]) if k < len(starts) else len(text)
-    a = place(max(0, at))
-    return tree.edit(encoder, text, a, place(max(0, at) + max(0, removed)) - a, new.encode("utf-8", "surrogatepass"))
+def in_points(tree: Tree, encoder: bpe.Encoder, content: bytes, at: int | None, removed: int | None, text: str | None):
+    """An edit in code points, as a generator for ``lockstep``."""
+    at, removed = max(0, at or 0), max(0, removed or 0)
+    starts = np.flatnonzero((np.frombuffer(content, np.uint8) & 0xC0) != 0x80)
+    a, b = (int(starts[k]) if k < len(starts) else len(content) for k in (at, at + removed))
+    return tree.steps(encoder, content, a, b - a, (text or "").encode("utf-8", "surrogatepass"))
+
+
+def apply(tree: Tree, encoder: bpe.Encoder, content: bytes, at: int, removed: int, new: str) -> bytes:
+    """One edit in code points; the new text."""
+    return lockstep([in_points(tree, encoder, content, at, removed, new)])[0]
 
 
 def proof_edits(text: str = "text"):
