@@ -125,3 +125,39 @@ def pieces(offsets: np.ndarray, size: int):
 
 def package_dir() -> str:
     return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def plain(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns called _c0, _c1, …, so that no name of ours clashes, and their own names."""
+    return df.toDF(*(f"_c{i}" for i in range(len(df.columns)))), df.columns
+
+
+def order_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with _k and _t; equal _k only for rows that repeat both id and text.
+
+    _k is the id, unless several texts share one (or have none): then it is the rank by id and the text's hash, made by a
+    range sort and the partitions' counts.
+    """
+    spark = docs.sparkSession
+    base = docs.select(*text_key(id_col, text_col), *(F.col(f"`{c}`") for c in docs.columns))
+    many = base.groupBy("_k").agg(F.min(F.xxhash64("_t")).alias("a"), F.max(F.xxhash64("_t")).alias("b")).where("a <> b")
+    if many.isEmpty():
+        return base
+    n = partitions(spark)
+    pairs = base.select("_k", F.xxhash64("_t").alias("_h")).distinct().repartitionByRange(n, "_k", "_h").sortWithinPartitions("_k", "_h")
+
+    def number(batches):
+        i = 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(i, i + b.num_rows))], ["_k", "_h", "_p", "_i"])
+            i += b.num_rows
+
+    placed = stored(pairs.select("_k", "_h", F.spark_partition_id().alias("_p")).mapInArrow(number, "_k long, _h long, _p int, _i long"), "keys")
+    sizes = sorted((r["_p"], r["count"]) for r in placed.groupBy("_p").count().collect())  # a row a partition
+    at, total = {}, 0
+    for p, c in sizes:
+        at[p], total = total, total + c
+    first = F.create_map(*(F.lit(x) for p in at for x in (p, at[p])))
+    ranks = placed.select(F.col("_k").alias("_rk"), F.col("_h").alias("_rh"), (first[F.col("_p")] + F.col("_i")).alias("_rank"))
+    met = base.join(ranks, (F.col("_k") == F.col("_rk")) & (F.xxhash64("_t") == F.col("_rh")))
+    return met.select(F.col("_rank").cast("long").alias("_k"), "_t", *(F.col(f"`{c}`") for c in docs.columns))

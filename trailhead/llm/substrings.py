@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import anchors, hashes, runtime
@@ -52,14 +51,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     A word goes if some window of ``window`` words over it also starts earlier: in a document with a smaller id, or in
     the same one.  Words are separated by ASCII white space; kept runs of words keep the white space inside them and are
     joined by one space.  A text that loses nothing is unchanged.  Null texts are empty and have no words; a null id
-    comes before all others.  Rows that repeat an id stand at one place in the order, do not remove each other, and
-    lose the words at all positions marked for their id.  Columns of those four names are replaced, others pass
+    comes before all others.  Repeated rows (same id and text) stand at one place in the order and do not remove each
+    other; different texts under one id are documents in the order of their hashes.  Columns of those four names are replaced, others pass
     through.  Empty input: no rows.
     """
     runtime.tune(docs.sparkSession)
     names = ("kept", "n_words", "n_removed", "removed_spans")
     src = docs.drop(*names)
-    keyed = src.select(*runtime.text_key(id_col, text_col), *(F.col(f"`{c}`") for c in src.columns))
+    inner, own = runtime.plain(src)
+    keyed = runtime.order_keys(inner, *(f"_c{own.index(c)}" for c in (id_col, text_col)))
     scheme = anchors.Scheme(True, window, min(GRAM, window))
     marks = anchors.repeats(keyed.select("_k", "_t"), scheme, index_of(window), hot_segments)
 
@@ -77,4 +77,4 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
         T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
     ]
-    return anchors.remove(keyed, marks, cutter, new)
+    return anchors.remove(keyed, marks, cutter, new).toDF(*own, *(x.name for x in new))
