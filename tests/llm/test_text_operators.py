@@ -165,8 +165,9 @@ def test_counts_query_and_edge_cases(spark):
         assert r.edited_sha256 == hashlib.sha256(t.encode()).hexdigest() and r.edited_n_tokens == len(TIK.encode_ordinary(t))
     kind = "doc_id long, text string, e array<struct<at:int,removed:int,text:string>>, n_tokens string"
     df = spark.createDataFrame([(1, None, [(0, 0, "hi"), None]), (2, "abc", None), (3, "abc", [(99, 5, "!"), (-4, None, None)]), (3, "abc", [(0, 3, None)])], kind.rpartition(", ")[0]).withColumn("n_tokens", F.lit("mine"))
+    n = lambda x: len(TIK.encode_ordinary(x))
     got = token_counts.count(df, PATH, edits_col="e").select("n_tokens", "edited_text", "edited_n_tokens").collect()
-    assert [tuple(r) for r in got] == [(0, "hi", 1), (1, "abc", 1), (1, "abc!", 2), (1, "", 0)]
+    assert [tuple(r) for r in got] == [(n(a), b, n(b)) for a, b in (("", "hi"), ("abc", "abc"), ("abc", "abc!"), ("abc", ""))]
     assert token_counts.count(df.limit(0), PATH, edits_col="e").isEmpty()
 
 
