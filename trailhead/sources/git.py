@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import SUFFIXES
+
 SCHEMA = "commit_hash string, parent string, timestamp long, author string, message string, topo long, status string, file_path string, content binary"
 MESSAGE = "Structural mutation detected"
 
@@ -86,3 +88,18 @@ def annotations(spans: DataFrame) -> DataFrame:
     """(commit_hash, path, text): one note a commit, for its first path."""
     first = spans.groupBy("commit_hash").agg(F.min("file_path").alias("path"))
     return first.withColumn("text", F.concat(F.lit(MESSAGE + " in "), "path"))
+
+
+def staged(repo: str) -> tuple[list[str], list[str]]:
+    """(changed, deleted) source files in the index against HEAD; a rename is a change of the new path."""
+    ends = tuple(f".{s}" for s in SUFFIXES)
+    names = lambda f: [p.decode(errors="replace") for p in _git(repo, "diff", "--cached", "--name-only", "-z", f"--diff-filter={f}").split(b"\0") if p]
+    return tuple([p for p in names(f) if p.endswith(ends)] for f in ("ACMR", "D"))
+
+
+def head(repo: str) -> str:
+    """The present commit; "LIVE" before the first one."""
+    try:
+        return _git(repo, "rev-parse", "HEAD").decode().strip()
+    except ValueError:
+        return "LIVE"
