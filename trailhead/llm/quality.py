@@ -163,8 +163,8 @@ def quality(model: Model, x: np.ndarray, chars: np.ndarray, first: np.ndarray) -
 
 
 def held_out(id_col) -> F.Column:
-    """The ids that training never sees."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)) == 0
+    """The ids that training never sees; a null id is none of them."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
