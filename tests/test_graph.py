@@ -87,6 +87,13 @@ def test_top_k(spark):
     assert [(r.id, round(r.score, 4)) for r in vectors.top_k(v, [1.0, 0.0], 3).collect()] == [("a", 1.0), ("d", 1.0), ("c", 0.7071)]
 
 
+def test_top_k_in_blocks(spark):
+    v = spark.createDataFrame([(str(i), [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id string, vector array<float>")
+    q = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(9)], "query_id int, query array<float>")
+    one, many = ({(r.query_id, r.rank, r.id) for r in vectors.top_k_batch(v, q, 4, b).collect()} for b in (100, 2))
+    assert one == many and len(one) == 36
+
+
 def folded(rows):
     """The fold, done row by row over the whole table."""
     t = {}

@@ -31,8 +31,10 @@ def match(spans: DataFrame, nodes: DataFrame) -> DataFrame:
     m = spans.join(here, ["simhash", "file_path"], "left").join(there, ["simhash"], "left")
     m = m.withColumn("id", F.coalesce("_here", node_id(F.col("file_path"), F.col("simhash"))))
     first = Window.partitionBy("file_path", "simhash").orderBy("seq", "pos")
-    shape = Window.partitionBy("simhash").orderBy("seq", "file_path", "pos")
-    m = m.withColumn("_n", F.row_number().over(first)).withColumn("_lead", F.first("id").over(shape))
+    m = m.withColumn("_n", F.row_number().over(first))
+    # a shape can be very common, so its first place comes from an aggregation, not from a window over all of it
+    lead = m.groupBy("simhash").agg(F.min(F.struct("seq", "file_path", "pos", "id")).alias("m")).select("simhash", F.col("m.id").alias("_lead"))
+    m = m.join(lead, "simhash")
     new = F.col("_here").isNull() & (F.col("_n") == 1)
     old = F.coalesce("_there", "_lead")
     return m.withColumns({"is_new": new, "renamed_from": F.when(new & (old != F.col("id")) & (F.col("parse_confidence") > 0), old)}).drop("_here", "_there", "_n", "_lead")

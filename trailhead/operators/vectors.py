@@ -25,14 +25,24 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", ve
     return vectors.select(id_col, cosine(F.col(vector_col), q).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): ``queries`` is a stated set (query_id, query), sent to the vectors in one broadcast.
+#: Queries of one broadcast; more come in blocks.
+QUERY_BLOCK = 2048
+
+
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, score, rank): ``queries`` is a stated set (query_id, query), sent to the vectors in counted blocks.
 
     Every task keeps k rows a query before anything is shuffled.
     """
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", cosine(F.col("vector"), F.col("query")).alias("score"))
+    n = -(-queries.count() // block) or 1
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = None
+    for i in range(n):
+        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        scored = vectors.crossJoin(F.broadcast(part)).select("query_id", "id", cosine(F.col("vector"), F.col("query")).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def top_k_text(docs: DataFrame, question: str, k: int, id_col: str, text_col: str) -> DataFrame:
