@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import session
 from ..functions import text
 from ..functions.hashing import fnv1a
 from ..sources import parse
@@ -71,12 +72,15 @@ def apply(tables: dict[str, DataFrame], changes: DataFrame) -> tuple[dict[str, D
     last = store.latest(changes, ["file_path"], "seq")
     gone = last.where("op = 'D' OR content IS NULL OR length(content) = 0")
     live = last.where("op <> 'D' AND content IS NOT NULL AND length(content) > 0")
-    dead = nodes.where("is_active").join(gone.select("file_path"), "file_path", "left_semi").select("id")
+    dead = session.checkpointed(nodes.where("is_active").join(gone.select("file_path"), "file_path", "left_semi").select("id"))
     nodes, edges = store.tombstone(nodes, edges, dead)
     vectors = store.remove_vectors(vectors, dead)
 
     spans = parse.exploded(parse.parse(live.select("seq", "file_path", "content", "commit_hash")))
-    m = match(spans, nodes)
+    cut = F.decode(F.substring(F.col("content"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")), "UTF-8")
+    # files are parsed once; what follows reads the spans, each with its own text only
+    spans = session.checkpointed(spans.withColumn("snippet", cut).drop("content"))
+    m = session.checkpointed(match(spans, nodes))
     whole = F.col("parse_confidence") == 0
     kept = m.where(~whole | F.col("is_new"))  # a whole file that is known stays as it is
     new_nodes = store.latest(
@@ -87,8 +91,7 @@ def apply(tables: dict[str, DataFrame], changes: DataFrame) -> tuple[dict[str, D
     edges = store.upsert_edges(edges, new_edges, nodes)
     numbered = events.withColumn("seq", (F.col("seq") * 2**21 + F.col("pos") * 2 + F.col("step")).cast("long"))
     alias = aliases.record(alias, numbered.select("seq", "old_id", "new_id", "commit_hash"))
-    cut = F.decode(F.substring(F.col("content"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")), "UTF-8")
-    fresh = m.where("is_new").select("id", "content", "byte_start", "byte_end").select("id", cut.alias("snippet"))
+    fresh = m.where("is_new").select("id", "snippet")
     embedded = text.embed_sparse(fresh, "snippet").select("id", text.dense(F.col("embedding")).alias("vector"))
     vectors = store.upsert_vectors(vectors, embedded.dropDuplicates(["id"]))
     stats = last.agg(F.count("*").alias("files_processed"), F.count_if(F.expr("op = 'D' OR content IS NULL OR length(content) = 0")).alias("paths_tombstoned")).crossJoin(
