@@ -141,11 +141,11 @@ def test_words_equal_brute_force(spark, hot, window):
     assert {r.doc_id: (r.n_words, r.n_removed, b" ".join(r.kept.encode().split())) for r in got} == repeats_model(rows, window, True)
 
 
-@pytest.mark.parametrize("hot", [anchors.HOT_SEGMENTS, 2])
-def test_bytes_equal_brute_force(spark, hot):
+@pytest.mark.parametrize("hot, window", [(anchors.HOT_SEGMENTS, 100), (2, 100), (anchors.HOT_SEGMENTS, 300), (2, 9)])
+def test_bytes_equal_brute_force(spark, hot, window):
     rows = corpus(2)
-    got = suffix_arrays.dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), hot_segments=hot).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in got} == repeats_model(rows, 100, False)
+    got = suffix_arrays.dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), window, hot_segments=hot).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in got} == repeats_model(rows, window, False)
 
 
 @pytest.mark.parametrize("dedup, empty", [(substrings.dedup, ""), (suffix_arrays.dedup, b"")])

@@ -85,10 +85,11 @@ def segments(scheme: Scheme, x: np.ndarray, first: np.ndarray, keys: np.ndarray,
     edge[first[:-1][first[:-1] < n]] = True
     at = np.flatnonzero(edge)
     run = np.diff(np.append(at, n))
-    if run.max() > w:  # long runs of one anchor (periodic text) are cut
-        parts = -(-run // w)
+    most = min(w, 255)  # a run's length fits a byte, and its first and last window cover all of it
+    if run.max() > most:  # long runs of one anchor (periodic text) are cut
+        parts = -(-run // most)
         within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        at = np.repeat(at, parts) + within * w
+        at = np.repeat(at, parts) + within * most
         run = np.diff(np.append(at, n))
     ok = valid[at]
     # inner repeats: the anchor's k-gram twice within reach
@@ -293,9 +294,9 @@ def repeats(docs: DataFrame, scheme: Scheme, index, hot_segments: int = HOT_SEGM
     found = _hot(docs, scheme, hot_segments)
     hot = spark.sparkContext.broadcast(found) if len(found) else None
     sent = docs.mapInArrow(_send(scheme, hot, n), "shard int, kind int, load binary")
-    links = runtime.stored(sent.repartition(n, "shard").mapInArrow(_resolve(n), _LINKS), "links")
+    links = runtime.stored(sent.repartitionById(n, "shard").mapInArrow(_resolve(n), _LINKS), "links")
     needs = links.where(F.col("kind") == NEED).groupBy("_k").agg(F.flatten(F.collect_list("items")).alias("items"))
-    pieces = docs.join(needs, "_k").mapInArrow(_cut(scheme), "shard int, load binary").repartition(n, "shard")
+    pieces = docs.join(needs, "_k").mapInArrow(_cut(scheme), "shard int, load binary").repartitionById(n, "shard")
     marks = pieces.mapInArrow(_search(index), _LINKS).unionByName(links.where(F.col("kind") == DUP))
     return marks.groupBy("_k").agg(F.flatten(F.collect_list("items")).alias("items"))
 

@@ -155,7 +155,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = placed.select("part", F.lit(0).alias("tail"), "_k", "_id", "_t").unionByName(
         lent.select("part", F.lit(1).alias("tail"), F.lit(low).alias("_k"), F.lit(None).cast("long").alias("_id"), "_t")
     )
-    ordered = rows.repartition(n, "part").sortWithinPartitions("part", "tail", F.desc("_k"), "_t")
+    ordered = rows.repartitionById(n, "part").sortWithinPartitions("part", "tail", F.desc("_k"), "_t")
 
     def f(batches):
         before = None  # (part, id, text, sketch) that waits for its next
