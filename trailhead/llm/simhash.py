@@ -210,13 +210,66 @@ def _wide(shingle: int):
     return f
 
 
-def _bands(batches):
+#: Fingerprints of a map task between two flushes: a band's bucket within them sends its smallest node only.
+_FLUSH = 1 << 12
+_BAND = np.dtype([("key", "<i8"), ("node", "<i8")])
+
+
+def _stars(band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the smallest node of each bucket, pairs of every other node with it as (key: node, node: smallest))."""
+    band = band[np.lexsort((band["node"], band["key"]))]
+    new = np.ones(len(band), bool)
+    new[1:] = band["key"][1:] != band["key"][:-1]
+    hubs = band[new]
+    pairs = np.empty(len(band), _BAND)
+    pairs["key"], pairs["node"] = band["node"], hubs["node"][np.cumsum(new) - 1]
+    return hubs, pairs[pairs["key"] != pairs["node"]]
+
+
+def _send_bands(n_shards: int):
     weights = 1 << np.arange(BAND_BITS, dtype=np.int64)
+
+    def flush(held):
+        hubs, pairs = _stars(np.concatenate(held))
+        for kind, part, by in ((0, hubs, hubs["key"]), (1, pairs, pairs["key"])):
+            shard = (hashes.mix(by.astype(np.int64).view(np.uint64), 17) % np.uint64(n_shards)).astype(np.int32)
+            part = part[order := np.argsort(shard, kind="stable")]
+            names, cut = np.unique(shard[order], return_index=True)
+            if len(names):
+                load = [p.tobytes() for p in np.split(part, cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), kind, np.int32)), pa.array(load, pa.binary())], ["shard", "kind", "load"])
+
+    def f(batches):
+        held, size = [], 0
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(len(node), -1), axis=1)
+            band = np.empty(len(node) * BANDS, _BAND)
+            band["key"] = (bits[:, : BANDS * BAND_BITS].reshape(len(node), BANDS, BAND_BITS) @ weights | (np.arange(BANDS) << BAND_BITS)).reshape(-1)
+            band["node"] = np.repeat(node, BANDS)
+            held.append(band)
+            size += len(node)
+            if size >= _FLUSH:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return f
+
+
+def _meet(batches):
+    """Pairs of a shard's buckets, each node with the smallest of its bucket."""
+    loads = {0: [], 1: []}
     for batch in batches:
-        node = batch.column("node").to_numpy()
-        bits = np.unpackbits(np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(len(node), -1), axis=1)
-        key = bits[:, : BANDS * BAND_BITS].reshape(len(node), BANDS, BAND_BITS) @ weights | (np.arange(BANDS) << BAND_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, BANDS)), pa.array(key.reshape(-1))], ["node", "key"])
+        for kind, load in zip(batch.column("kind").to_pylist(), batch.column("load").to_pylist()):
+            loads[kind].append(np.frombuffer(load, _BAND))
+    found = [np.concatenate(loads[1])] if loads[1] else []
+    if loads[0]:
+        found.append(_stars(np.concatenate(loads[0]))[1])
+    if found:
+        pairs = np.unique(np.concatenate(found))
+        yield pa.RecordBatch.from_arrays([pa.array(pairs["key"].astype(np.int64)), pa.array(pairs["node"].astype(np.int64))], ["x", "y"])
 
 
 def _alike(most: int):
@@ -236,7 +289,8 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
     which no search within three bits reaches.  So the fingerprint is wide here (4,096 bits, whose distance tells the
     resemblance within about two hundredths), and links come from two searches: the Golay search over its first 64
     bits, and equality in any of its bands of 26 bits (99 of 100 pairs at 0.87, nine of ten at 0.8).  In a band each fingerprint
-    is compared with the smallest of its bucket, never with all, so a bucket of any size is linear.  Every candidate is
+    is compared with the smallest of its bucket (of its map task, and that one with the smallest of all), never with all,
+    so a bucket of any size is linear and no task gets more than one row of it from a map task.  Every candidate is
     verified over all 4,096 bits.
 
     Equal texts collapse first.  Null and empty texts are one class.  Null ids, repeated rows and other columns as in
@@ -248,9 +302,9 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
     bits = runtime.stored(base.mapInArrow(_wide(shingle), "_id long, node long, wide binary"), "wide")
     prints = bits.groupBy("node").agg(F.min("_id").alias("least"), F.first("wide").alias("wide"))
     prints = runtime.stored(prints, "prints")
-    keys = prints.select("node", "wide").mapInArrow(_bands, "node long, key long")
-    hubs = keys.groupBy("key").agg(F.min("node").alias("y"), F.count("*").alias("n")).where("n > 1").select("key", "y")
-    banded = keys.join(hubs, "key").where("node <> y").select(F.col("node").alias("x"), "y")
+    n = runtime.partitions(spark)
+    sent = prints.select("node", "wide").mapInArrow(_send_bands(n), "shard int, kind int, load binary")
+    banded = sent.repartitionById(n, "shard").mapInArrow(_meet, "x long, y long")
     head = prints.select("node", F.conv(F.hex(F.substring("wide", 1, 8)), 16, -10).cast("long").alias("_fp"))
     by = head.groupBy("_fp").agg(F.min("node").alias("node"))
     near = links(by.select("_fp"))
