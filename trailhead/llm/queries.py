@@ -141,4 +141,20 @@ CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END record_type, CASE
 FROM p LEFT JOIN f ON p.h = f.h
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_substrings": OP4_SQL, "op6_chat": OP6_SQL, "op7_warc": OP7_SQL}
+#: Texts as hexadecimal digits, windows of 200 of them (cut from blocks, so that a cut is short).
+OP10_SQL = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) x FROM documents),
+blk AS (SELECT doc_id, len(x) // 2 n, c, substr(x, 2 * c + 1, 2 * 611) y FROM (SELECT doc_id, x, unnest(range(0, greatest(len(x) // 2 - 99, 0), 512)) c FROM d)),
+win AS (SELECT doc_id, c + j i, md5_number(substr(y, 2 * j + 1, 200)) h FROM (SELECT *, unnest(range(0, least(512, n - 99 - c))) j FROM blk)),
+seen AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) n FROM win),
+late AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) gap FROM seen WHERE n > 1),
+run AS (SELECT doc_id, i, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) g FROM late),
+span AS (SELECT doc_id, g, min(i) a, max(i) + 100 b FROM run GROUP BY ALL),
+cut AS (SELECT doc_id, count(*) n_spans, sum(b - a) n_removed FROM span GROUP BY doc_id),
+part AS (SELECT doc_id, b p, lead(a) OVER (PARTITION BY doc_id ORDER BY a) q FROM span UNION ALL SELECT doc_id, 0, min(a) FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * p + 1, 2 * (coalesce(q, len(x) // 2) - p)), '' ORDER BY p) k FROM part JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT n_bytes, coalesce(n_removed, 0)::BIGINT n_removed, coalesce(n_spans, 0)::BIGINT n_spans, sha256(unhex(coalesce(k, x))) kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_suffix_arrays": OP10_SQL, "op2_decontaminate": OP2_SQL, "op4_substrings": OP4_SQL, "op6_chat": OP6_SQL, "op7_warc": OP7_SQL}
