@@ -312,6 +312,13 @@ def test_sketches_estimate():
     assert (sketches.from_text(sketches.to_text(x)) == x).all()
 
 
+def test_ranges(spark):
+    cuts = [-5, 0, 3, 9, 40, 41, 100]
+    for n in range(len(cuts) + 1):
+        got = spark.range(-8, 110).select("id", sketches._range_of("id", cuts[:n]).alias("p")).collect()
+        assert all(r.p == sum(c >= r.id for c in cuts[:n]) for r in got)
+
+
 def test_neighbours_equal_brute_force(spark):
     rnd = random.Random(8)
     rows = [(i * 7 - 50, "".join(rnd.choice("ab Cé日\n") for _ in range(rnd.randrange(0, 90)))) for i in range(70)] + [(1000, None), (-9999, "only " * 400)]

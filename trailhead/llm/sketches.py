@@ -14,7 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -126,6 +126,19 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _range_of(col: str, cuts: list[int]) -> Column:
+    """How many cuts are not below the value.  Two steps, so the work of a row grows with the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    down = sorted(cuts, reverse=True)
+    step = max(1, int(len(down) ** 0.5))
+    blocks = [down[i : i + step] for i in range(0, len(down), step)]
+    longs = lambda x: F.array(*(F.lit(c).cast("long") for c in x))
+    whole = F.size(F.filter(longs(b[-1] for b in blocks), lambda c: c >= F.col(col)))
+    inside = F.size(F.filter(F.get(F.array(*(longs(b) for b in blocks)), whole), lambda c: c >= F.col(col)))
+    return F.least(whole * step + F.when(whole < len(blocks), inside).otherwise(0), F.lit(len(down)))
+
+
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -144,8 +157,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(*runtime.text_key(id_col, text_col), F.col(id_col).cast("long").alias("_id"))
     cuts = base.agg(F.percentile_approx("_k", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted({int(c) for c in cuts})
-    part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<long>"), lambda c: c >= F.col("_k"))) if cuts else F.lit(0)
-    placed = base.withColumn("part", part.cast("int"))  # part 0 has the largest ids
+    placed = base.withColumn("part", _range_of("_k", cuts).cast("int"))  # part 0 has the largest ids
     tops = {r.part: r.m for r in placed.groupBy("part").agg(F.max("_k").alias("m")).collect()}  # one row a range
     used = sorted(tops)
     borrow = [(tops[q], p) for p, q in zip(used, used[1:] + used[:1])]
