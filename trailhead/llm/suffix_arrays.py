@@ -34,22 +34,23 @@ class Level:
         """starts ascending; afterwards ``first`` marks those that no equal earlier start precedes."""
         self.text, self.window = text, window
         self.view = _words(text)
-        order = self._order(starts)
+        order, group = self._order(starts)
         new = np.ones(len(order), bool)
-        new[1:] = self._differ(starts[order[1:]], starts[order[:-1]])
+        new[1:] = group[1:] != group[:-1]
         self.first = np.zeros(len(starts), bool)
         self.first[order[new]] = True  # the order is stable, so the earliest of equals leads
-        self.sa = starts[order[new]]
+        self.sa = starts[order[new]].astype(np.int32)
         self.head = self.view[self.sa].astype(np.uint64)
         self.rank = 0
 
     def _offsets(self) -> list[int]:
         return [*range(0, self.window - 8, 8), max(0, self.window - 8)]
 
-    def _order(self, starts: np.ndarray) -> np.ndarray:
-        """Stable order of the windows: sort by eight bytes, then only what is still tied by the next eight."""
+    def _order(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(stable order of the windows, number of the distinct window at each place): sort by eight bytes, then only
+        what is still tied by the next eight."""
         order = np.argsort(self.view[starts].astype(np.uint64), kind="stable")
-        group = np.zeros(len(starts), np.int64)
+        group = np.zeros(len(starts), np.int32)
         key = self.view[starts[order]].astype(np.uint64)
         group[1:] = np.cumsum(key[1:] != key[:-1])
         for o in self._offsets()[1:]:
@@ -65,16 +66,10 @@ class Level:
             key, g = key[sub], group[at]
             new = np.zeros(len(at), bool)
             new[1:] = (g[1:] == g[:-1]) & (key[1:] != key[:-1])
-            step = np.zeros(len(order), np.int64)
+            step = np.zeros(len(order), np.int32)
             step[at] = new
-            group += np.cumsum(step)
-        return order
-
-    def _differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), bool)
-        for o in self._offsets():
-            out |= self.view[a + o] != self.view[b + o]
-        return out
+            group += np.cumsum(step, dtype=np.int32)
+        return order, group
 
     def holds(self, other: "Level") -> np.ndarray:
         """Which of the other's windows (in its suffix order) occur here."""
@@ -117,8 +112,10 @@ class Family:
         self.levels.append(level)
         while len(self.levels) > 1 and self.levels[-2].rank <= self.levels[-1].rank:
             b, a = self.levels.pop(), self.levels.pop()
-            joined = Level(a.text + b.text, np.sort(np.concatenate([a.sa, b.sa + len(a.text)])), self.window)
-            joined.rank = a.rank + 1
+            rank = a.rank
+            joined = Level(a.text + b.text, np.sort(np.concatenate([a.sa, b.sa + np.int32(len(a.text))])), self.window)
+            del a, b
+            joined.rank = rank + 1
             self.levels.append(joined)
         return new
 
@@ -151,6 +148,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     other; different texts under one id are documents in the order of their hashes.  Columns of those four names are replaced, others pass
     through.  Empty input: no rows.
     """
+    if window < 8:
+        raise ValueError("a window has at least eight bytes")
     runtime.tune(docs.sparkSession)
     src = docs.drop("kept", "n_bytes", "n_removed", "removed_spans")
     inner, own = runtime.plain(src)
