@@ -40,7 +40,7 @@ NEW_LETTERS = [
 NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 _BLOCK = 64
 _BYTES = 1 << 20
-_CACHE = 1 << 19
+_CACHE = 3 << 17
 _SHORT = 32
 _FAR = 1 << 60
 _CACHED_BYTES = 48
@@ -145,13 +145,16 @@ class Encoder:
         self.at = np.concatenate([[0], np.cumsum(self.lens)])
         self.flat = np.frombuffer(b"".join(words), np.uint8)
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.older = self.cache
 
     def __missing(self, token: bytes) -> tuple[int, ...]:
-        rank = self.ranks.get(token)
-        ids = (rank,) if rank is not None else tuple(self.short(token) if len(token) <= _SHORT else self.merged(token))
+        ids = self.cache.get(token) or self.older.get(token)  # the caller may still hold the older one
+        if ids is None:
+            rank = self.ranks.get(token)
+            ids = (rank,) if rank is not None else tuple(self.short(token) if len(token) <= _SHORT else self.merged(token))
         if len(token) <= _CACHED_BYTES:
-            if len(self.cache) >= _CACHE:
-                self.cache.clear()
+            if len(self.cache) >= _CACHE:  # two generations: what was used lately stays
+                self.older, self.cache = self.cache, {}
             self.cache[token] = ids
         return ids
 
