@@ -62,7 +62,7 @@ def _word_hashes(col: pa.Array, drop_stop: bool) -> tuple[np.ndarray, np.ndarray
 def _mapped(df: DataFrame, text_col: str, kernel, new: list[T.StructField]) -> DataFrame:
     """``df`` with columns from ``kernel(arrow column) -> arrow arrays``; map only."""
     session.ship(df.sparkSession)
-    src = df.drop(*(f.name for f in new))
+    src = session.spread(df.drop(*(f.name for f in new)))
 
     def f(batches):
         for b in batches:

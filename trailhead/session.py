@@ -44,3 +44,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
     if root != os.getcwd() and root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "trailhead"), "zip", root, "trailhead"))
+
+
+#: Inputs of less than this are dealt over all cores before a costly map: a small file has too few splits.
+SMALL_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` itself, or, where its whole input is small, dealt evenly over the cores.  Rows are the same either way."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < SMALL_BYTES else df
