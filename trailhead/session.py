@@ -46,12 +46,13 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "trailhead"), "zip", root, "trailhead"))
 
 
-#: Inputs of less than this are dealt over all cores before a costly map: a small file has too few splits.
+#: Inputs of less than this and fewer files than cores are dealt over all cores before a costly map.
 SMALL_BYTES = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` itself, or, where its whole input is small, dealt evenly over the cores.  Rows are the same either way."""
+    """``df`` itself, or, where its whole input is a few small files, dealt evenly over the cores.  Rows are the same."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if cores > 1 and size < SMALL_BYTES else df
+    few = cores > 1 and size < SMALL_BYTES and len(df.inputFiles()) < cores
+    return df.repartition(cores) if few else df
