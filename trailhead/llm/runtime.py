@@ -5,6 +5,7 @@ Every path that outlives a task is below ``spark.checkpoint.dir``, the folder th
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -35,6 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+
+
+def _steady_heap() -> None:
+    """Freed arrays of a megabyte or more go back to the system at once; else a worker that has met one large text keeps
+    its memory, beside the JVM's, for as long as it lives.  Where the C library has no such setting, nothing changes."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+
+
+_steady_heap()
 _shipped: set[str] = set()
 
 
