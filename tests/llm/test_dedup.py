@@ -114,6 +114,56 @@ def test_near_copies_by_resemblance(spark):
     assert sum(got[b] == a for a, b in pairs) >= 39 and all(got[a] == a for a, _ in pairs)
 
 
+def resemblance(a, b):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()}
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def near_model(rows, t=0.8):
+    best, moved = {i: i for i, _ in rows}, True
+    links = [(a, b) for a, s in rows for b, u in rows if a < b and resemblance(s, u) >= t]
+    while moved:
+        moved = False
+        for a, b in links:
+            lo = min(best[a], best[b])
+            moved |= best[a] != best[b]
+            best[a] = best[b] = lo
+    return best
+
+
+def near(spark, rows):
+    return {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_near_copies_share_a_template_with_unlike_documents(spark):
+    rnd = random.Random(3)
+    template, rows = [f"t{i}" for i in range(150)], []
+    for i in range(120):  # unlike one another at about 0.6
+        w = template + [f"v{rnd.randrange(10**6)}" for _ in range(45)]
+        rows.append((2 * i, " ".join(w)))
+        for k in rnd.sample(range(len(w)), 4) if i < 60 else ():
+            w[k] = f"x{rnd.randrange(10**6)}"
+        if i < 60:  # a near copy, at about 0.8 to 0.85
+            rows.append((2 * i + 1, " ".join(w)))
+    want = near_model(rows)
+    assert near(spark, rows) == want and len(set(want.values())) < len(rows) - 50
+
+
+def test_a_hub_that_is_unlike_hides_no_pair(spark):
+    """All share the one bucket; what the smallest node of it is does not matter."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(40):
+        w = [f"c{k}" for k in range(100)] + [f"d{i % 8}_{k}" for k in range(16)]
+        w[rnd.randrange(116)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    assert near(spark, rows) == near_model(rows)
+
+
 # --- op 4 and op 10
 
 
