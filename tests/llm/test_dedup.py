@@ -164,6 +164,13 @@ def test_a_hub_that_is_unlike_hides_no_pair(spark):
     assert near(spark, rows) == near_model(rows)
 
 
+def test_short_texts_are_no_copies_of_one_another(spark):
+    rows = [(i, f"short text number {i}") for i in range(3000)] + [(9000 + i, f"Short  TEXT number {i}") for i in range(3)]
+    rows += [(9100, "a b c d e f g h"), (9101, "a b c d e f g h i")]  # four against five shingles: 0.8
+    got = near(spark, rows)
+    assert got == {i: i for i in range(3000)} | {9000 + i: i for i in range(3)} | {9100: 9100, 9101: 9100}
+
+
 # --- op 4 and op 10
 
 
