@@ -171,6 +171,18 @@ def test_short_texts_are_no_copies_of_one_another(spark):
     assert got == {i: i for i in range(3000)} | {9000 + i: i for i in range(3)} | {9100: 9100, 9101: 9100}
 
 
+def test_repeated_shingles_count_once(spark):
+    rnd = random.Random(8)
+    words = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
+    line = "= " * 105  # 101 times the same shingle
+    once = [words(5) for _ in range(40)]
+    many = " ".join(f"{t} {t} {t}" for t in once)
+    more = " ".join(t if i % 2 else " ".join([t] * 9) for i, t in enumerate(f"{t} {t} {t}" for t in once))
+    rows = [(1, line + words(300)), (2, line + words(300)), (3, many), (4, more)]
+    assert resemblance(rows[0][1], rows[1][1]) < 0.02 and resemblance(many, more) >= 0.8
+    assert near(spark, rows) == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 # --- op 4 and op 10
 
 
