@@ -191,6 +191,17 @@ def test_layouts_become_turns(spark):
     assert chat.fingerprint(["b", "a"]) == chat.fingerprint(["a", "b"]) != chat.fingerprint(["a"])
 
 
+def test_turn_rows_go_through_a_layout(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, "user", "a"), (1, "user", "a"), (2, "x", ""), (3, None, "b")], "k int, role string, text string")
+    assert sorted(tuple(r) for r in chat.turns(df, "k", chat.TURN_ROWS).collect()) == [(1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, "x", "")]
+    assert [r.k for r in chat.unmatched(df, chat.TURN_ROWS).collect()] == [3]
+    spark.createDataFrame([(7, 0, "user", "a"), (7, 1, None, None), (7, None, "user", "b")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    seen, own = [], chat.turns
+    monkeypatch.setattr(chat, "turns", lambda df, key, layouts: seen.append(layouts) or own(df, key, layouts))
+    got = {r.conv_id: r.n_turns for r in queries.op6_chat(spark, str(tmp_path)).collect()}
+    assert got == {7: 3, -1: 2} and seen == [chat.TURN_ROWS]
+
+
 NASTY = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\nx", "\\", "\\\\</s>", "<\\/s>", "", "a\nb\\", "$1 \\1 é日", "<<SYS>>x<</SYS>>"]
 
 

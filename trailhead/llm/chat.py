@@ -51,6 +51,17 @@ class Listed:
         return {f"{self.array}[].{self.role}", f"{self.array}[].{self.text}"}
 
 
+@dataclass(frozen=True)
+class Single:
+    """One turn from a row: its role and text fields."""
+
+    role: str
+    text: str
+
+    def paths(self) -> set[str]:
+        return {self.role, self.text}
+
+
 _CORE = {
     "prompt_response": Flat((("user", ("prompt",)), ("assistant", ("response",)))),
     "prompt_completion": Flat((("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -62,6 +73,8 @@ _CORE = {
     "conversations": Listed("conversations", "from", "value"),
 }
 LAYOUTS = dict(_CORE)
+#: Tables of turns: apart from LAYOUTS, since a role or text column beside another layout must not hide that one.
+TURN_ROWS = {"turn": Single("role", "text")}
 
 
 def fingerprint(paths) -> str:
@@ -95,10 +108,21 @@ def _listed(m: Listed) -> Column:
     return F.transform(f"{m.array}", lambda x: F.struct(F.coalesce(names[said(x)], said(x)).alias("role"), F.coalesce(x[m.text].cast("string"), F.lit("")).alias("text")))
 
 
+def _single(m: Single) -> Column:
+    return F.array(F.struct(*(F.col(f"`{c}`").cast("string").alias(n) for c, n in ((m.role, "role"), (m.text, "text")))))
+
+
+def unmatched(df: DataFrame, layouts: dict = LAYOUTS) -> DataFrame:
+    """The rows of ``df`` that ``turns`` has no layout for."""
+    have = set(field_paths(df.schema))
+    known = [fingerprint(m.paths()) for m in layouts.values() if m.paths() <= have]
+    return df.where(~row_fingerprint(df, layouts).isin(known))
+
+
 def turns(df: DataFrame, key: str, layouts: dict = LAYOUTS) -> DataFrame:
     """(key, ord, role, text) from a table of one or more layouts.
 
-    A row whose filled paths match no layout has no turns, and neither has one with an empty array; null elements of an
+    A row whose filled paths match no layout has no turns (``unmatched`` returns it), and neither has one with an empty array; null elements of an
     array and null fields in them are empty strings.  Other columns are ignored.
     """
     have = set(field_paths(df.schema))
@@ -107,7 +131,7 @@ def turns(df: DataFrame, key: str, layouts: dict = LAYOUTS) -> DataFrame:
     for m in layouts.values():
         if not m.paths() <= have:
             continue
-        got = _flat(m) if isinstance(m, Flat) else _listed(m)
+        got = _flat(m) if isinstance(m, Flat) else _single(m) if isinstance(m, Single) else _listed(m)
         made = F.when(seen == fingerprint(m.paths()), got).otherwise(made)
     return df.select(F.col(key), F.posexplode(made).alias("ord", "_t")).select(key, F.col("ord").cast("long"), "_t.role", "_t.text")
 

@@ -65,7 +65,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = runtime.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql("SELECT -1L conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' text FROM VALUES (0L, 'user'), (1L, 'assistant') t(turn, role)")
-    back = chat.read_back(chat.render(told.unionByName(probe), "conv_id", "turn"))
+    filled = told.unionByName(probe).select(F.struct("conv_id", "turn").alias("_at"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
+    rows = chat.turns(filled, "_at", chat.TURN_ROWS).select("_at.conv_id", "_at.turn", "role", "text")
+    back = chat.read_back(chat.render(rows, "conv_id", "turn"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
