@@ -399,7 +399,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
     buckets = runtime.stored(sent.repartitionById(n, "shard").mapInArrow(_buckets, _BUCKET), "buckets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs (x, y, nx, ny) that resemble each other: parity maps spare most, whole sets decide."""
+        """Those of the pairs (x, y, nx, ny) that resemble each other: parity maps spare some, whole sets decide."""
         both = pairs.join(prints.select(F.col("node").alias("x"), F.col("parity").alias("pa")), "x").join(prints.select(F.col("node").alias("y"), F.col("parity").alias("pb")), "y")
         near = runtime.stored(both.select("x", "y", "nx", "ny", "pa", "pb").mapInArrow(_near_parity(similarity), "x long, y long"), name + "_near")
         wanted = _wanted(near.select(F.col("x").alias("node")).union(near.select("y")))
