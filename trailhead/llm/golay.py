@@ -83,3 +83,37 @@ def nearby(x: np.ndarray) -> np.ndarray:
     home = (x ^ _tables()[1][s]) >> 11
     t = _extra()[s]
     return np.where(t >= 0, home[:, None] ^ t, -1)
+
+
+@lru_cache(1)
+def _by_halves() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(syndromes of the low 12 bits, of the high 11, the codewords' signs): tables for many words at once."""
+    low, high = syndromes(np.arange(1 << 12)), syndromes(np.arange(1 << 11) << 12)
+    single = _tables()[0]
+    words = np.zeros(4096, np.int64)
+    for i in range(12):
+        words ^= np.where(np.arange(4096) >> i & 1, (1 << (i + 11)) | int(single[i + 11]), 0)
+    return low, high, (2 * (words[:, None] >> np.arange(23) & 1) - 1).astype(np.float32)
+
+
+def nearest(x: np.ndarray, m: int, unsure: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, scores), each (n, m): the codewords found that agree best with real values x of shape (n, 23).
+
+    The signs of x are decoded with every combination of the ``unsure`` least certain ones flipped; the codewords so met
+    are ranked by the sum of x over their signs (ties: the smaller index).  -1 and -inf where fewer are met.
+    """
+    _, error, _ = _tables()
+    low, high, signs = _by_halves()
+    n = len(x)
+    word = (x > 0) @ (1 << np.arange(23))
+    weak = 1 << np.argsort(np.abs(x), axis=1, kind="stable")[:, :unsure]
+    flips = np.zeros((n, 1), np.int64)
+    for i in range(unsure):
+        flips = np.concatenate([flips, flips ^ weak[:, i : i + 1]], axis=1)
+    y = word[:, None] ^ flips
+    index = np.sort((y ^ error[low[y & 4095] ^ high[y >> 12]]) >> 11, axis=1)
+    score = np.matmul(signs[index], x[:, :, None].astype(np.float32))[:, :, 0]
+    score[:, 1:][index[:, 1:] == index[:, :-1]] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, :m]
+    index, score = np.take_along_axis(index, best, 1), np.take_along_axis(score, best, 1)
+    return np.where(np.isfinite(score), index, -1), score

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import golay, hashes, runtime
 from .components import components
+from .near_copies import dedup, similar  # noqa: F401  the same method for resemblance, with a wider fingerprint
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -159,282 +160,3 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     return fp.join(label, "_fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "n_linked"
     )
-
-
-# --- near copies by resemblance: an exact join of shingle sets -------------------------------------------------------
-
-#: Documents whose shingles are counted to find the common ones: all of few, else one of so many that this many remain.
-SAMPLED, RARE = 4096, 64
-#: Common shingles that are ordered by their counts; the order only routes and does not touch the result.
-HOT = 1 << 16
-#: Entries of a map task between two flushes.
-_FLUSH = 1 << 18
-#: Bits of a set's parity map, and of the filter of wanted nodes; both only spare work and lose nothing.
-PARITY, WANTED = 1024, 1 << 25
-_ENTRY = np.dtype([("token", "<i8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4")])
-_SLACK = 1e-9
-
-
-def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): the distinct shingles of document d, ascending, are hashes[first[d]:first[d+1]].
-
-    Fewer words than a shingle: the whole sequence is one.  No word: none.
-    """
-    low = hashes.LOWER[data]
-    s, e, first = hashes.word_spans(low, off, hashes.NOT_SPACE)
-    x = hashes.span_hashes(low, s, e)
-    g, n = hashes.grams(x, shingle), np.diff(first)
-    long = np.flatnonzero(n >= shingle)
-    many = n[long] - shingle + 1
-    within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    h, doc = g[np.repeat(first[long], many) + within], np.repeat(long, many)
-    few = np.flatnonzero((n > 0) & (n < shingle))
-    h = np.concatenate([h, *(hashes.grams(x[first[i] : first[i + 1]], int(n[i])) for i in few)])
-    doc = np.concatenate([doc, few])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
-
-
-def _blocks(batch, shingle: int):
-    """(first row, last, node of each, hashes, first) for every 64 rows; the node is a hash of the set of shingles."""
-    data, off = runtime.bytes_of(batch.column("_t"))
-    for a in range(0, batch.num_rows, 64):
-        b = min(batch.num_rows, a + 64)
-        h, first = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], shingle)
-        node = np.array([xxhash.xxh3_64_intdigest(h[i:j].tobytes()) for i, j in zip(first[:-1], first[1:])], np.uint64)
-        yield a, b, node.view(np.int64), h, first
-
-
-def _parities(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(documents, PARITY / 8) bytes: a bit flips for each shingle, so maps differ in no more bits than sets in shingles."""
-    n = len(first) - 1
-    doc = np.repeat(np.arange(n), np.diff(first))
-    at = doc * PARITY + (hashes.mix(h, 29) % np.uint64(PARITY)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=n * PARITY) & 1).astype(bool).reshape(n, PARITY), axis=1)
-
-
-def _nodes(shingle: int):
-    def f(batches):
-        for batch in batches:
-            for a, b, node, h, first in _blocks(batch, shingle):
-                parity = pa.array([r.tobytes() for r in _parities(h, first)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(a, b - a), pa.array(node), parity], ["_id", "node", "parity"])
-
-    return f
-
-
-def _sample(shingle: int, one_of: int):
-    """(node, token) of the sampled documents, each node once a task."""
-
-    def f(batches):
-        met = set()
-        for batch in batches:
-            for _, _, node, h, first in _blocks(batch, shingle):
-                for d in np.flatnonzero(hashes.mix(node.view(np.uint64), 23) % np.uint64(one_of) == 0):
-                    if node[d] not in met:
-                        met.add(node[d])
-                        t = h[first[d] : first[d + 1]].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), node[d])), pa.array(t)], ["node", "token"])
-
-    return f
-
-
-def _wanted(nodes: DataFrame) -> np.ndarray:
-    """The low bits of wanted nodes, as a map: WANTED bits, whatever the number of nodes."""
-    slot = F.col("node").bitwiseAND(F.lit(WANTED - 1))
-    page, at = F.shiftright(slot, 15), slot.bitwiseAND(F.lit((1 << 15) - 1))
-    bits = np.zeros((WANTED >> 15, 4096), np.uint8)
-    for r in nodes.select(page.alias("page"), at.alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
-        bits[r.page] = np.frombuffer(r.bits, np.uint8)
-    return bits.reshape(-1)
-
-
-def _sets(shingle: int, wanted: np.ndarray):
-    """(node, set) of the wanted nodes (and of a few others), each once a task."""
-
-    def f(batches):
-        met = set()
-        for batch in batches:
-            for _, _, node, h, first in _blocks(batch, shingle):
-                slot = node & (WANTED - 1)
-                near = wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
-                new = [d for d in np.flatnonzero(near) if not (node[d] in met or met.add(node[d]))]
-                yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array([h[first[d] : first[d + 1]].tobytes() for d in new], pa.binary())], ["node", "set"])
-
-    return f
-
-
-def _send_prefixes(shingle: int, t: float, hot: np.ndarray, n_shards: int):
-    """The prefix of each set, packed by shard of the token: the n - ceil(t n) + 1 first in the order of all shingles.
-
-    ``hot``: the common shingles, rarest first; they come last in that order, the others before them by hash.
-    """
-    by = np.argsort(hot)
-    known = hot[by]
-
-    def flush(held):
-        part = np.concatenate(held)
-        shard = (hashes.mix(part["token"].astype(np.int64).view(np.uint64), 17) % np.uint64(n_shards)).astype(np.int32)
-        part = part[order := np.argsort(shard, kind="stable")]
-        names, cut = np.unique(shard[order], return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([p.tobytes() for p in np.split(part, cut[1:])], pa.binary())], ["shard", "load"])
-
-    def f(batches):
-        held, size, met = [], 0, set()
-        for batch in batches:
-            for _, _, node, h, first in _blocks(batch, shingle):
-                n = np.diff(first)
-                new = np.array([not (x in met or met.add(x)) for x in node.tolist()], bool)
-                rank = np.zeros(len(h), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    rank = np.where(known[at] == h, by[at] + 1, 0)
-                doc = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((h, rank, doc))
-                pos = np.arange(len(h)) - first[:-1][doc]
-                keep = new[doc] & (pos < (n - np.ceil(t * n - _SLACK).astype(np.int64) + 1)[doc])
-                part = np.empty(int(keep.sum()), _ENTRY)
-                part["token"], part["node"] = h[order][keep].view(np.int64), node[doc[keep]]
-                part["n"], part["pos"] = n[doc[keep]], pos[keep]
-                held.append(part)
-                size += len(part)
-                if size >= _FLUSH:
-                    yield from flush(held)
-                    held, size = [], 0
-        if size:
-            yield from flush(held)
-
-    return f
-
-
-def _buckets(batches):
-    """The entries of a shard whose token several nodes have, each with the smallest node of its bucket."""
-    loads = [np.frombuffer(load, _ENTRY) for batch in batches for load in batch.column("load").to_pylist()]
-    if not loads:
-        return
-    e = np.concatenate(loads)
-    e = e[np.lexsort((e["node"], e["token"]))]
-    new = np.ones(len(e), bool)
-    new[1:] = (e["token"][1:] != e["token"][:-1]) | (e["node"][1:] != e["node"][:-1])
-    e = e[new]
-    head = np.ones(len(e), bool)
-    head[1:] = e["token"][1:] != e["token"][:-1]
-    at = np.flatnonzero(head)
-    size = np.diff(np.append(at, len(e)))
-    hub, several = np.repeat(at, size), np.repeat(size > 1, size)
-    e, hub = e[several], e[hub[several]]
-    for a in range(0, len(e), 1 << 16):
-        x, y = e[a : a + (1 << 16)], hub[a : a + (1 << 16)]
-        cols = [*(x[c] for c in _ENTRY.names), y["node"], y["n"], y["pos"]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], [*_ENTRY.names, "hub", "hub_n", "hub_pos"])
-
-
-_BUCKET = "token long, node long, n int, pos int, hub long, hub_n int, hub_pos int"
-
-
-def _may(t: float, n: str, pos: str, m: str, other: str):
-    """Whether sets of n and m whose first common shingle has these places can resemble each other by t."""
-    n, pos, m, other = (F.col(c) for c in (n, pos, m, other))
-    fit = F.least(n, m) >= F.greatest(n, m) * t - _SLACK
-    return fit & (F.least(n - pos, m - other) >= (n + m) * (t / (1 + t)) - _SLACK)
-
-
-def _near_parity(t: float):
-    """Pairs whose sets may differ in as few shingles as their maps do in bits: (1 - t) / (1 + t) of both sizes."""
-
-    def f(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("pa", "pb"))
-            n = batch.column("nx").to_numpy().astype(np.int64) + batch.column("ny").to_numpy()
-            good = pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= n * ((1 - t) / (1 + t)) + _SLACK)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("x", "y")], ["x", "y"])
-
-    return f
-
-
-def _alike(t: float):
-    def f(batches):
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column("sa"), batch.column("sb")):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(a) + len(b) - len(np.union1d(a, b))
-                good.append(both >= t * (len(a) + len(b) - both) - _SLACK)
-            good = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(good), batch.column("y").filter(good)], ["x", "y"])
-
-    return f
-
-
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): classes of documents whose shingle sets resemble each other by ``similarity`` or more.
-
-    Exact but for collisions of 64-bit hashes (of a shingle, and of a set).  Equal sets collapse first.  All sets are
-    put in one order of shingles, common ones last; two sets that resemble each other by t share a shingle among the
-    n - ceil(t n) + 1 first of each (else more than 1 - t of one lies outside the other), so every pair meets in a
-    bucket of that shingle, and at the first one they share the places tell whether enough can follow.  Every candidate
-    is verified by the whole sets.
-
-    Two rounds, so that a group of near copies is not enumerated: first each member of a bucket with its smallest node;
-    then, in buckets that still hold several classes, every pair of members of different classes.  So no pair is lost;
-    only pairs that are in one class already are not compared.
-
-    Texts without words (null, empty, white space) are one class.  Null ids, repeated rows and other columns as in
-    ``classes``.
-    """
-    spark = docs.sparkSession
-    runtime.tune(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), runtime.text_key(id_col, text_col)[1])
-    rows = runtime.stored(base.mapInArrow(_nodes(shingle), "_id long, node long, parity binary"), "nodes")
-    prints = runtime.stored(rows.groupBy("node").agg(F.min("_id").alias("least"), F.first("parity").alias("parity")), "prints")
-    one_of = min(RARE, max(1, rows.count() // SAMPLED))
-    counts = base.mapInArrow(_sample(shingle, one_of), "node long, token long").distinct().groupBy("token").count()
-    top = counts.where("count > 2").orderBy(F.desc("count"), "token").limit(HOT).collect()
-    hot = np.array([r.token for r in reversed(top)], np.int64).view(np.uint64)
-    n = runtime.partitions(spark)
-    sent = base.mapInArrow(_send_prefixes(shingle, similarity, hot, n), "shard int, load binary")
-    buckets = runtime.stored(sent.repartitionById(n, "shard").mapInArrow(_buckets, _BUCKET), "buckets")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs (x, y, nx, ny) that resemble each other: parity maps spare some, whole sets decide."""
-        both = pairs.join(prints.select(F.col("node").alias("x"), F.col("parity").alias("pa")), "x").join(prints.select(F.col("node").alias("y"), F.col("parity").alias("pb")), "y")
-        near = runtime.stored(both.select("x", "y", "nx", "ny", "pa", "pb").mapInArrow(_near_parity(similarity), "x long, y long"), name + "_near")
-        wanted = _wanted(near.select(F.col("x").alias("node")).union(near.select("y")))
-        sets = base.mapInArrow(_sets(shingle, wanted), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
-        sets = runtime.stored(sets, name + "_sets")
-        both = near.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sa")), "x").join(sets.select(F.col("node").alias("y"), F.col("set").alias("sb")), "y")
-        return runtime.stored(both.select("x", "y", "sa", "sb").mapInArrow(_alike(similarity), "x long, y long"), name)
-
-    stars = buckets.where(F.col("node") != F.col("hub")).where(_may(similarity, "n", "pos", "hub_n", "hub_pos"))
-    stars = runtime.stored(stars.select(F.col("node").alias("x"), F.col("hub").alias("y"), F.col("n").alias("nx"), F.col("hub_n").alias("ny")).distinct(), "stars")
-    found = verified(stars, "found")
-    roots = runtime.stored(components(found, "x", "y"), "roots")
-    named = buckets.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = runtime.stored(named.select("token", "node", "n", "pos", "root"), "named")
-    mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    left = named.join(mixed, "token", "left_semi")
-    other = left.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
-    cross = left.join(other, "token").where("root < root2").where(_may(similarity, "n", "pos", "n2", "pos2"))
-    cross = cross.select(F.greatest("node", "node2").alias("x"), F.least("node", "node2").alias("y"), F.col("n").alias("nx"), F.col("n2").alias("ny")).distinct()
-    cross = runtime.stored(cross.join(stars, ["x", "y"], "left_anti"), "cross")
-    if not cross.isEmpty():
-        roots = components(found.union(verified(cross, "rest")), "x", "y")
-    roots = roots.withColumnRenamed("node", "n")
-    member = prints.join(roots, prints.node == roots.n, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    member = runtime.stored(member, "members")
-    called = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = member.join(called, "root").select("node", "component_id")
-    return rows.join(label, "node").select(F.col("_id").alias(id_col), "component_id")
-
-
-def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their class (see ``similar``): one document of each class, all its columns.
-
-    Rows with a null id are kept, since they name no class.  Rows that repeat a kept id collapse to one.
-    """
-    got = similar(docs, shingle, similarity, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(got, docs[id_col] == got._keep, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
