@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -357,3 +358,30 @@ def test_fingerprint_edge_cases(spark):
     m = {r.g: r.fingerprint for r in sketches.merged(p, ["g"]).collect()}
     x, y = sketches.sketches([text.encode(), b"short one"])
     assert m == {"g": sketches.to_text(sketches.merge(x, y)), "h": ""}
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_a_phrase_that_many_items_share_costs_no_pairs(spark, limit):
+    """Sent and joined: 20 documents share five words with 5,000 items, and a window with three of them."""
+    phrase = "we the people of earth"
+    items = [(i, f"{phrase} item{i} says{i} what{i} comes{i} after{i} here{i} now{i}") for i in range(5000)]
+    items += [(9000, "ab"), (9001, "ab"), (9002, ""), (9003, None), (9004, "cd ef"), (None, "cd  EF"), (9005, items[7][1]), (9005, items[8][1])]
+    docs = [(i, f"doc{i} {phrase} goes elsewhere ab{i}") for i in range(20)] + [(30, f"x {items[7][1]} y"), (31, "Ab cd, ef"), (32, None), (33, ""), (30, "other"), (34, f"{items[7][1]}. {items[8][1]}")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h1", F.lit(1)).withColumn("_t", F.lit("t"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    t0 = time.time()
+    got = decontaminate.mark(d, b, broadcast_bytes=limit).collect()
+    assert time.time() - t0 < 60
+    named = [("null" if i is None else str(i), t) for i, t in items if i is None or i in (7, 8) or i >= 9000]
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == sorted((i, *hits_model(t, named)) for i, t in docs)
+
+
+def test_long_texts_are_searched_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LONG", 300)
+    rnd = random.Random(2)
+    items = [(str(i), " ".join(rnd.choice("abc") * 2 for _ in range(rnd.choice([1, 3, 10, 14])))) for i in range(30)]
+    index = decontaminate.build(*zip(*items))
+    for _ in range(5):
+        text = " ".join(rnd.choice("abc") * 2 for _ in range(1500)) + " " + items[0][1]
+        hit, its = decontaminate._long(index, np.frombuffer(text.encode(), np.uint8))
+        assert (len(hit), int(hit.sum()), sorted(index.names[i] for i in its)) == hits_model(text, items)
