@@ -1,4 +1,6 @@
+import os
 import subprocess
+import time
 
 from test_store_and_ingest import CPP, PY
 
@@ -15,7 +17,7 @@ def test_a_repository_from_init_to_trace(spark, tmp_path, capsys):
     run("init", "-q")
     (repo / "a.py").write_bytes(PY)
     (repo / "c.cpp").write_bytes(CPP)
-    assert main(["--repo", str(repo), "init"]) == 0 and main(["--repo", str(repo), "init"]) == 0
+    assert main(["--repo", str(repo), "init", "--no-hook"]) == 0 and main(["--repo", str(repo), "init", "--no-hook"]) == 0
     assert (repo / ".gitignore").read_text() == ".trailhead/\n"
     assert git.head(str(repo)) == "LIVE"
     run("add", "-A"), run("commit", "-qm", "first")
@@ -38,3 +40,34 @@ def test_a_repository_from_init_to_trace(spark, tmp_path, capsys):
     assert {r.file_path for r in st.read("nodes").where("is_active").collect()} == {"a.py", "n.py"}
     old = sync.as_of(st.read("history"), 2**40).count()
     assert old == 5 and sync.as_of(st.read("history"), 0).isEmpty()
+
+
+def test_the_hook_returns_at_once_and_its_queue_is_taken(spark, tmp_path, capsys):
+    repo = tmp_path / "r"
+    repo.mkdir()
+    env = os.environ | {"TRAILHEAD_HOLD": "1"}
+    run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, env=env)
+    run("init", "-q")
+    assert main(["--repo", str(repo), "init"]) == 0 and main(["--repo", str(repo), "init"]) == 0
+    assert "hook at" in capsys.readouterr().out
+    (repo / "a b.py").write_bytes(PY)
+    (repo / "c.cpp").write_bytes(CPP)
+    (repo / "notes.txt").write_text("x")
+    run("add", "-A")
+    t = time.time()
+    run("commit", "-qm", "first")
+    assert time.time() - t < 2
+    (repo / "c.cpp").unlink()
+    run("add", "-A")
+    run("commit", "-qm", "second")
+    assert main(["--repo", str(repo), "commit", "--staged"]) == 0
+    assert os.listdir(repo / ".trailhead" / "queue") == []
+    st = Store(spark, f"file://{repo}/.trailhead")
+    assert st.version() == 2 and {r.file_path for r in st.read("nodes").where("is_active").collect()} == {"a b.py"}
+    other = tmp_path / "o"
+    other.mkdir()
+    subprocess.run(["git", "-C", str(other), "init", "-q"], check=True)
+    (other / ".git" / "hooks").mkdir(exist_ok=True)
+    (other / ".git" / "hooks" / "pre-commit").write_text("#!/bin/sh\nexit 0\n")
+    assert main(["--repo", str(other), "init"]) == 0 and "stays" in capsys.readouterr().out
+    assert (other / ".git" / "hooks" / "pre-commit").read_text() == "#!/bin/sh\nexit 0\n"

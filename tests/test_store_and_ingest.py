@@ -182,3 +182,40 @@ def test_stream_equals_batch(spark, tmp_path):
     assert active == by(want["nodes"].where("is_active"), "file_path", "parse_confidence")
     assert by(st.read("edges"), "type", "target_id") == by(want["edges"], "type", "target_id") or set(by(want["edges"], "target_id")) <= set(by(st.read("edges"), "target_id"))
     assert changes.ndjson(st.read("errors").limit(0)).columns == ["value"]
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    """Twice with new files between, once with none, and from nothing; deltas are folded meanwhile."""
+    from pyspark.sql import types as T
+
+    from trailhead.streaming import changes
+
+    kind = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("v", T.StringType())])
+    place = lambda x: f"file://{tmp_path}/{x}"
+    run = lambda: {r.k: (r.n, r.v) for r in changes.upsert_stream(spark, place("in"), kind, ["k"], ["n"], place("out"), place("check"), compact=3).collect()}
+    put = lambda rows: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(place("in"))
+    (tmp_path / "in").mkdir()
+    assert run() == {}
+    put([(1, 1, "a"), (2, 5, "b")])
+    put([(1, 3, "c")])
+    assert run() == {1: (3, "c"), 2: (5, "b")}
+    assert run() == {1: (3, "c"), 2: (5, "b")}
+    put([(1, 2, "late"), (3, 1, "new")])
+    put([(2, 6, "newer")])
+    assert run() == {1: (3, "c"), 2: (6, "newer"), 3: (1, "new")} == run()
+    assert any(p.name.startswith("base") for p in (tmp_path / "out").iterdir())
+
+
+def test_two_writers_at_once(spark, tmp_path, monkeypatch):
+    from trailhead.operators import store as st
+
+    folder = f"file://{tmp_path}/s"
+    one, two = st.Store(spark, folder), st.Store(spark, folder)
+    errors = spark.createDataFrame([("p", "m")], schema.TABLES["errors"])
+    one._claim(1)
+    with pytest.raises(st.Conflict):
+        two.publish({"errors": errors})
+    monkeypatch.setattr(st, "LEASE", -1)  # the first writer is gone
+    assert two.publish({"errors": errors}) == 1 and two.publish({"errors": errors.limit(0)}) == 2
+    assert one.version() == 2 and one.read("errors").isEmpty()
+    assert two.publish({"errors": errors}) == 3 and len(two.prune(2)) == 1 and one.read("errors").count() == 1

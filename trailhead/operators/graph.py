@@ -74,54 +74,73 @@ def advance(state: dict, known: dict, alpha: float, eps: float, budget: int) ->
     return True
 
 
-def local_push(edges: DataFrame, seeds: DataFrame, alpha: float, eps: float, budget: int = BUDGET) -> DataFrame:
-    """(seed, id, score) of settled mass for every row of ``seeds`` (seed); ``edges`` as from ``out_edges``.
+def sized(edges: DataFrame) -> DataFrame:
+    """``edges`` (source_id, target_id, type, weight) with ``degree``, the number of out-edges of the target.
+
+    Walks need it with every edge.  A caller with many walks makes it once and keeps it, bucketed by source.
+    """
+    if "degree" in edges.columns:
+        return edges
+    degrees = edges.groupBy(F.col("source_id").alias("_t")).agg(F.count("*").cast("int").alias("degree"))
+    met = edges.join(degrees, edges.target_id == degrees._t, "left")
+    return met.select("source_id", "target_id", "type", F.col("weight").cast("double").alias("weight"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+_STATE = "horizon int, seed string, state binary, need array<string>, done boolean"
 
-    Seeds that repeat count once, null seeds are left out; a seed without edges keeps alpha of its mass.
+
+def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]], budget: int = BUDGET) -> DataFrame:
+    """(horizon, seed, id, score): a push from every row of ``seeds`` (seed) for every (alpha, eps); horizon is its place.
+
+    All walks share the rounds.  A round is one join of the nodes that are asked for with the edges (``sized``), and one
+    checkpoint of the walks' states.  Seeds that repeat count once, null seeds are left out.
     """
     spark = edges.sparkSession
     session.ship(spark)
-    edges = edges.select("source_id", "target_id", "type", F.col("weight").cast("double"))
-    fresh = pickle.dumps(None)
-    states = session.checkpointed(seeds.where("seed IS NOT NULL").select("seed").distinct().select("seed", F.lit(fresh).alias("state"), F.array("seed").alias("need"), F.lit(False).alias("done")))
+    adj = edges if "degree" in edges.columns else session.checkpointed(sized(edges))
+    adj = adj.select(F.col("source_id").alias("node"), "target_id", "type", "weight", "degree")
+    which = F.explode(F.array(*(F.lit(i) for i in range(len(horizons))))).alias("horizon")
+    open_ = seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed", F.lit(pickle.dumps(None)).alias("state"), F.array("seed").alias("need"))
 
     def step(frames):
         for pdf in frames:
             rows = []
-            for seed, state, answers in zip(pdf["seed"], pdf["state"], pdf["answers"]):
+            for horizon, seed, state, answers in zip(pdf["horizon"], pdf["seed"], pdf["state"], pdf["answers"]):
                 held = pickle.loads(state) or {"state": start(seed), "known": {}}
-                for a in answers:
-                    held["known"][a["node"]] = [(x["target"], x["weight"], x["degree"]) for x in a["edges"]]
-                done = advance(held["state"], held["known"], alpha, eps, budget)
-                need = [] if done else [u for u in dict.fromkeys(held["state"]["queue"]) if u not in held["known"]]
-                rows.append((seed, pickle.dumps(held["state"]["p"] if done else held), need, done))
-            yield pd.DataFrame(rows, columns=["seed", "state", "need", "done"])
-
+                known = held["known"]
+                for a in sorted(answers, key=lambda a: (a["target_id"] or "", a["type"] or "")):
+                    out = known.setdefault(a["node"], [])
+                    if a["target_id"] is not None:
+                        out.append((a["target_id"], a["weight"], a["degree"]))
+                done = advance(held["state"], known, *horizons[horizon], budget)
+                need = [] if done else [u for u in dict.fromkeys(held["state"]["queue"]) if u not in known]
+                rows.append((horizon, seed, pickle.dumps(held["state"]["p"] if done else held), need, done))
+            yield pd.DataFrame(rows, columns=["horizon", "seed", "state", "need", "done"])
+
+    ended = None
     while True:
-        open_ = states.where(~F.col("done"))
+        asked = open_.select("horizon", "seed", F.explode("need").alias("node"))
+        answer = F.struct("node", "target_id", "type", "weight", "degree")
+        answers = asked.join(adj, "node", "left").groupBy("horizon", "seed").agg(F.collect_list(answer).alias("answers"))
+        moved = open_.join(answers, ["horizon", "seed"]).select("horizon", "seed", "state", "answers")
+        moved = session.checkpointed(moved.mapInPandas(step, _STATE))
+        now = moved.where("done").select("horizon", "seed", "state")
+        ended = now if ended is None else ended.unionByName(now)
+        open_ = moved.where("NOT done").select("horizon", "seed", "state", "need")
         if open_.isEmpty():
             break
-        asked = open_.select("seed", F.explode("need").alias("node"))
-        nodes = session.checkpointed(asked.select("node").distinct())
-        hit = edges.join(nodes, edges.source_id == nodes.node, "left_semi")
-        hit = session.checkpointed(hit)
-        targets = hit.select(F.col("target_id").alias("t")).distinct()
-        degrees = edges.join(targets, edges.source_id == targets.t, "left_semi").groupBy(F.col("source_id").alias("t")).agg(F.count("*").cast("int").alias("degree"))
-        rows = hit.join(degrees, hit.target_id == degrees.t, "left").select(
-            "source_id", F.struct("target_id", "type", F.struct(F.col("target_id").alias("target"), "weight", F.coalesce("degree", F.lit(0)).alias("degree")).alias("edge")).alias("e")
-        )
-        adjacency = rows.groupBy(F.col("source_id").alias("node")).agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["edge"]).alias("edges"))
-        none = F.array().cast("array<struct<target:string,weight:double,degree:int>>")
-        answers = asked.join(adjacency, "node", "left").groupBy("seed").agg(F.collect_list(F.struct("node", F.coalesce("edges", none).alias("edges"))).alias("answers"))
-        moved = open_.join(answers, "seed").select("seed", "state", "answers").mapInPandas(step, "seed string, state binary, need array<string>, done boolean")
-        states = session.checkpointed(states.where("done").unionByName(moved))
 
     def settle(frames):
         for pdf in frames:
-            rows = [(seed, k, v) for seed, s in zip(pdf["seed"], pdf["state"]) for k, v in pickle.loads(s).items()]
-            yield pd.DataFrame(rows, columns=["seed", "id", "score"])
+            rows = [(h, seed, k, v) for h, seed, s in zip(pdf["horizon"], pdf["seed"], pdf["state"]) for k, v in pickle.loads(s).items()]
+            yield pd.DataFrame(rows, columns=["horizon", "seed", "id", "score"])
+
+    return ended.mapInPandas(settle, "horizon int, seed string, id string, score double")
+
 
-    return states.select("seed", "state").mapInPandas(settle, "seed string, id string, score double")
+def local_push(edges: DataFrame, seeds: DataFrame, alpha: float, eps: float, budget: int = BUDGET) -> DataFrame:
+    """(seed, id, score) of settled mass for every row of ``seeds`` (seed); a seed without edges keeps alpha of its mass."""
+    return walks(edges, seeds, [(alpha, eps)], budget).drop("horizon")
 
 
 def ranked(scores: DataFrame, by: list[str] = ["seed"]) -> DataFrame:  # noqa: B006
@@ -139,8 +158,8 @@ def fuse(lists: list[DataFrame], by: list[str] = ["seed"], k: int = RRF_K) -> Da
 
 def dual_horizon(edges: DataFrame, seeds: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(seed, id, score, rank): a tight and a wide push, fused, best first and cut at the budget."""
-    lists = [ranked(local_push(edges, seeds, a, e, budget)) for a, e in (TIGHT, WIDE)]
-    return ranked(fuse(lists)).where(F.col("rank") <= budget)
+    lists = ranked(walks(edges, seeds, [TIGHT, WIDE], budget), ["horizon", "seed"])
+    return ranked(fuse([lists])).where(F.col("rank") <= budget)
 
 
 def push_rounds(edges: DataFrame, seeds: DataFrame, alpha: float, rounds: int) -> DataFrame:
@@ -185,33 +204,57 @@ def redundancy_py(a: str, b: str, adj: dict[str, set]) -> float:
     return len(adj[a] & adj[b]) / len(adj[a] | adj[b])
 
 
-def mmr_py(candidates: list[tuple[str, float]], adj: dict[str, set], k: int, trade: float = 0.7) -> list[tuple[str, float]]:
-    """Greedy choice: relevance against the largest redundancy with what is chosen; the earliest wins ties."""
-    left, chosen = list(candidates), []
+def mmr_py(candidates: list[tuple[str, float]], alike, k: int, trade: float = 0.7) -> list[tuple[str, float]]:
+    """Greedy choice: relevance against the largest redundancy with what is chosen; the earliest wins ties.
+
+    alike: neighbours by node, or a function of two nodes.
+    """
+    redundant = alike if callable(alike) else lambda a, b: redundancy_py(a, b, alike)
+    left, chosen = [(c, rel, 0.0) for c, rel in candidates], []
     while left and len(chosen) < k:
-        scores = [trade * rel - (1 - trade) * max((redundancy_py(c, s, adj) for s, _ in chosen), default=0.0) for c, rel in left]
+        scores = [trade * rel - (1 - trade) * worst for _, rel, worst in left]
         best = max(range(len(left)), key=lambda i: (scores[i], -i))
-        chosen.append((left.pop(best)[0], scores[best]))
+        new = left.pop(best)[0]
+        chosen.append((new, scores[best]))
+        left = [(c, rel, max(worst, redundant(c, new))) for c, rel, worst in left]
     return chosen
 
 
+def pair_redundancy(candidates: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, a, b, redundancy) of the candidates' pairs a < b that are linked or share a neighbour.
+
+    Neighbours stay rows: a hub's are counted where they lie, and only a query's own pairs are made.
+    """
+    ids = candidates.select("id").distinct()
+    near = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("n")).union(edges.select("target_id", "source_id")).join(ids, "id", "left_semi").distinct()
+    met = candidates.select("query_id", "id").join(near, "id")
+    size = near.groupBy("id").agg(F.count("*").alias("size"))
+    chosen = candidates.select("query_id", F.col("id").alias("n"))
+    linked = met.join(chosen, ["query_id", "n"]).where("id <> n").select("query_id", F.least("id", "n").alias("a"), F.greatest("id", "n").alias("b"), F.lit(1).alias("link"), F.lit(0).alias("one"))
+    mates = met.groupBy("query_id", "n").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
+    mates = mates.select("query_id", "ids", F.explode("ids").alias("a")).select("query_id", "a", F.explode("ids").alias("b")).where("a < b")
+    shared = mates.select("query_id", "a", "b", F.lit(0).alias("link"), F.lit(1).alias("one"))
+    both = shared.unionByName(linked).groupBy("query_id", "a", "b").agg(F.max("link").alias("link"), F.sum("one").alias("both"))
+    sizes = lambda c: size.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"))
+    full = both.join(sizes("a"), "a").join(sizes("b"), "b")
+    return full.select("query_id", "a", "b", F.when(F.col("link") == 1, 1.0).otherwise(F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("redundancy"))
+
+
 def mmr(candidates: DataFrame, edges: DataFrame, k: int = 10, trade: float = 0.7) -> DataFrame:
     """(query_id, id, score, pick) from candidates (query_id, id, relevance, rank), at most a budget's worth a query.
 
-    The neighbourhoods of the candidates only are fetched; each query is one small group.
+    A query's group is its candidates and, for each, the redundancy with the others (a budget's square at most).
     """
     session.ship(candidates.sparkSession)
-    ids = candidates.select("id").distinct()
-    near = edges.join(ids, edges.source_id == ids.id, "left_semi").select("source_id", "target_id").union(
-        edges.join(ids, edges.target_id == ids.id, "left_semi").select("source_id", "target_id")
-    )
-    adj = adjacency(near.distinct()).join(ids, "id", "left_semi")
-    given = candidates.join(adj, "id", "left").select("query_id", "id", "relevance", "rank", "neighbours")
+    candidates = candidates.select("query_id", "id", "relevance", "rank")
+    pairs = pair_redundancy(candidates, edges)
+    with_ = pairs.groupBy("query_id", F.col("a").alias("id")).agg(F.collect_list(F.struct("b", "redundancy")).alias("alike"))
+    given = candidates.join(with_, ["query_id", "id"], "left")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "id"])
-        known = {i: set(n) for i, n in zip(pdf["id"], pdf["neighbours"]) if n is not None}
-        got = mmr_py(list(zip(pdf["id"], pdf["relevance"])), known, k, trade)
+        known = {(a, x["b"]): x["redundancy"] for a, others in zip(pdf["id"], pdf["alike"]) if others is not None for x in others}
+        got = mmr_py(list(zip(pdf["id"], pdf["relevance"])), lambda a, b: known.get((min(a, b), max(a, b)), 0.0), k, trade)
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "id": [i for i, _ in got], "score": [s for _, s in got], "pick": range(1, len(got) + 1)})
 
     query_type = given.schema["query_id"].dataType.simpleString()

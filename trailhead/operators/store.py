@@ -7,6 +7,9 @@ reader sees one version or the next and a failed write is never seen.
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,6 +100,14 @@ def by_simhash(nodes: DataFrame, wanted: DataFrame, same_file: bool) -> DataFram
     return nodes.where("is_active").join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.min("id").alias("id"))
 
 
+#: Seconds after which a claim without a version is an abandoned one.
+LEASE = 3600
+
+
+class Conflict(RuntimeError):
+    """Two writers at once."""
+
+
 class Store:
     """Snapshots below a folder of any file system that Spark writes."""
 
@@ -135,13 +146,49 @@ class Store:
         kind = schema.TABLES[name]
         return self.spark.read.schema(kind).parquet(path) if path else self.spark.createDataFrame([], kind)
 
+    def _claim(self, version: int) -> None:
+        """Make this writer the only one of a version; a claim that its writer left unfinished for LEASE is taken over."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(f"{self.folder}/claims/{version}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path.getParent())
+        if fs.exists(path) and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > LEASE:
+            fs.delete(path, False)
+        if not fs.createNewFile(path):
+            raise Conflict(f"another writer is at version {version} of {self.folder}")
+
+    def release(self, version: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/claims/{version}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+
     def publish(self, tables: dict[str, DataFrame], batch_id: int = -1) -> int:
-        """Write the given tables as a new version; the others stay as they are."""
-        paths = self.current()
+        """Write the given tables as a new version; the others stay as they are.
+
+        One writer at a time: a second one for the same version gets ``Conflict`` and reads again before it retries.
+        Tables are written to paths of their own, so no attempt overwrites another's.
+        """
         version = self.version() + 1
-        for name, df in tables.items():
-            paths[name] = f"{self.folder}/{name}/v{version}"
-            df.select(*schema.TABLES[name].fieldNames()).write.mode("overwrite").parquet(paths[name])
-        rows = [(version, n, p, schema.VERSION, batch_id) for n, p in paths.items()]
-        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        self._claim(version)
+        try:
+            paths = self.current()
+            for name, df in tables.items():
+                paths[name] = f"{self.folder}/{name}/v{version}-{uuid.uuid4().hex[:12]}"
+                df.select(*schema.TABLES[name].fieldNames()).write.parquet(paths[name])
+            if self.version() != version - 1:
+                raise Conflict(f"version {version} of {self.folder} was written meanwhile")
+            rows = [(version, n, p, schema.VERSION, batch_id) for n, p in paths.items()]
+            self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        finally:
+            self.release(version)
         return version
+
+    def prune(self, keep: int = 2) -> list[str]:
+        """Delete the snapshots that none of the ``keep`` newest versions names; returns their paths."""
+        rows = self._manifest().collect()
+        newest = sorted({r.version for r in rows})[-keep:]
+        held = {r.path for r in rows if r.version in newest}
+        gone = sorted({r.path for r in rows} - held)
+        for p in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return gone

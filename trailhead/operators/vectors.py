@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .. import session
 from ..functions import text
 
 
@@ -25,24 +30,59 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", ve
     return vectors.select(id_col, cosine(F.col(vector_col), q).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-#: Queries of one broadcast; more come in blocks.
-QUERY_BLOCK = 2048
+#: Queries of one broadcast; more come in blocks, each a pass over the vectors.
+QUERY_BLOCK = 8192
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _matrix(col) -> np.ndarray:
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(col), -1)) if len(col) else np.zeros((0, 0))
 
 
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): ``queries`` is a stated set (query_id, query), sent to the vectors in counted blocks.
 
-    Every task keeps k rows a query before anything is shuffled.
+    Scores are a matrix product of unit vectors a batch; a task keeps k rows a query, and only these are shuffled.  Null
+    vectors have no rows.
     """
+    session.ship(vectors.sparkSession)
     n = -(-queries.count() // block) or 1
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     out = None
     for i in range(n):
-        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
-        scored = vectors.crossJoin(F.broadcast(part)).select("query_id", "id", cosine(F.col("vector"), F.col("query")).alias("score"))
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        part = (queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).where("query IS NOT NULL")
+        sent = vectors.sparkSession.sparkContext.broadcast(part.select("query_id", "query").toArrow())  # a block at most
+
+        def nearest(batches, sent=sent):
+            asked = sent.value
+            q = _matrix(asked["query"].combine_chunks())
+            score, ids = np.zeros((len(q), 0)), None
+            for b in batches:
+                b = b.filter(b.column("vector").is_valid())
+                if not b.num_rows or not len(q):
+                    continue
+                new = np.round(q @ _matrix(b.column("vector")).T, 12)  # equal vectors get equal scores
+                names = b.column("id")
+                at = np.broadcast_to(np.arange(b.num_rows), new.shape)
+                if ids is not None:
+                    new, at = np.concatenate([score, new], 1), np.concatenate([np.arange(len(ids)).reshape(len(q), -1), len(ids) + at], 1)
+                    names = pa.concat_arrays([ids, names])
+                place = np.empty(len(names), np.int64)
+                place[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+                best = np.lexsort((place[at], -new))[:, :k]
+                score = np.take_along_axis(new, best, 1)
+                ids = names.take(pa.array(np.take_along_axis(at, best, 1).reshape(-1)))
+            if ids is not None:
+                yield pa.RecordBatch.from_arrays([asked["query_id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(q)), score.shape[1]))), ids, pa.array(score.reshape(-1))], ["query_id", "id", "score"])
+
+        best = vectors.select("id", "vector").mapInArrow(nearest, kinds)
         out = best if out is None else out.unionByName(best)
-    return out
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
 def top_k_text(docs: DataFrame, question: str, k: int, id_col: str, text_col: str) -> DataFrame:

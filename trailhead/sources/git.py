@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .files import SUFFIXES
 
 SCHEMA = "commit_hash string, parent string, timestamp long, author string, message string, topo long, status string, file_path string, content binary"
+#: Fixed value: the text of a history row and of a note.
 MESSAGE = "Structural mutation detected"
 
 
@@ -25,6 +26,30 @@ def _git(repo: str, *args: str) -> bytes:
     return done.stdout
 
 
+class _Blobs:
+    """Blobs by id from one process, started with the first."""
+
+    def __init__(self, repo: str):
+        self.repo, self.process = repo, None
+
+    def get(self, blob: str) -> bytes:
+        if self.process is None:
+            self.process = subprocess.Popen(["git", "-C", self.repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        self.process.stdin.write(blob.encode() + b"\n")
+        self.process.stdin.flush()
+        head = self.process.stdout.readline().split()
+        if len(head) != 3:
+            raise ValueError(f"no blob {blob} in {self.repo}")
+        data = self.process.stdout.read(int(head[2]))
+        self.process.stdout.read(1)
+        return data
+
+    def close(self) -> None:
+        if self.process:
+            self.process.stdin.close()
+            self.process.wait()
+
+
 class _Run(InputPartition):
     def __init__(self, commits):
         super().__init__(0)
@@ -42,6 +67,13 @@ class _Reader(DataSourceReader):
         return [_Run(commits[i : i + self.run]) for i in range(0, len(commits), self.run)] or [_Run([])]
 
     def read(self, partition):
+        blobs = _Blobs(self.repo)
+        try:
+            yield from self._rows(partition, blobs)
+        finally:
+            blobs.close()
+
+    def _rows(self, partition, blobs):
         for h, parent, ts, author, message, topo in partition.commits:
             base = parent or _git(self.repo, "hash-object", "-t", "tree", "/dev/null").decode().strip()
             raw = _git(self.repo, "diff-tree", "-r", "-z", "--no-renames", "--diff-filter=AM", base, h).split(b"\0")
@@ -49,7 +81,7 @@ class _Reader(DataSourceReader):
                 blob, status = meta.split(b" ")[3].decode(), meta.split(b" ")[4].decode()
                 if meta.split(b" ")[1] == b"160000":  # a submodule has no blob here
                     continue
-                yield h, parent, ts, author, message, topo, status, path.decode(errors="replace"), _git(self.repo, "cat-file", "blob", blob)
+                yield h, parent, ts, author, message, topo, status, path.decode(errors="replace"), blobs.get(blob)
 
 
 class GitChanges(DataSource):

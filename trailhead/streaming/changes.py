@@ -6,7 +6,7 @@ manifest remembers the batch, so a batch that is delivered again after a failure
 
 from __future__ import annotations
 
-
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,29 +47,55 @@ def run(spark: SparkSession, source: str, store: Store, checkpoint: str, files_p
     return query
 
 
-def upsert_stream(spark: SparkSession, source: str, schema: T.StructType, keys: list[str], seq: list[str], out: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
-    """Keyed last-write-wins state of a stream of Parquet rows, by versions below ``out``; returns the final state.
+#: Batches whose rows lie beside the state before they are folded into it.
+COMPACT = 8
+
+
+def _versions(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    """Batches whose table of a kind was written to its end, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    done = [n for n in names if re.fullmatch(rf"{kind}\d+", n) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(int(n[len(kind) :]) for n in done)
+
+
+def upsert_stream(spark: SparkSession, source: str, schema: T.StructType, keys: list[str], seq: list[str], out: str, checkpoint: str, files_per_batch: int = 1, compact: int = COMPACT) -> DataFrame:
+    """Keyed last-write-wins state of a stream of Parquet rows, kept below ``out``; returns the state as it is now.
 
-    A row is compared with the state by its own order (``seq``), so batches may come in any order and repeat.
+    A micro-batch writes only its own newest rows (``delta<batch>``); every ``compact`` batches the deltas are folded into
+    a ``base<batch>``.  The state is the newest base and the deltas after it.  A row is compared by its own order
+    (``seq``), so batches may come in any order and repeat: a batch that is delivered again overwrites its delta.  A
+    second call takes what has arrived since; if nothing has, the state is what it was, and empty before any row.
     """
     order = F.struct(*seq)
+    empty = spark.createDataFrame([], schema).withColumn("_o", order)
+    rest = [c for c in empty.columns if c not in keys and c != "_o"]
+
+    def newest(rows: DataFrame) -> DataFrame:
+        best = rows.groupBy(*keys).agg(F.max(F.struct("_o", *rest)).alias("_m"))
+        return best.select(*keys, "_m.*").select(*empty.columns)
+
+    def state() -> DataFrame:
+        bases = _versions(spark, out, "base")
+        top = bases[-1] if bases else -1
+        paths = [f"{out}/delta{v}" for v in _versions(spark, out, "delta") if v > top] + ([f"{out}/base{top}"] if bases else [])
+        return newest(spark.read.schema(empty.schema).parquet(*paths)) if paths else empty
 
     def step(df: DataFrame, batch_id: int) -> None:
         new = df.select(*schema.fieldNames()).withColumn("_o", order)
-        base = spark.read.schema(new.schema).parquet(f"{out}/v{batch_id - 1}") if batch_id else spark.createDataFrame([], new.schema)
-        rest = [c for c in new.columns if c not in keys and c != "_o"]
-        best = base.unionByName(new).groupBy(*keys).agg(F.max(F.struct("_o", *rest)).alias("_m"))
-        best.select(*keys, "_m.*").select(*new.columns).write.mode("overwrite").parquet(f"{out}/v{batch_id}")
+        newest(new).write.mode("overwrite").parquet(f"{out}/delta{batch_id}")
+        if batch_id % compact == compact - 1:
+            state().write.mode("overwrite").parquet(f"{out}/base{batch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress.batchId if query.lastProgress else 0
-    return spark.read.parquet(f"{out}/v{last}").drop("_o")
+    return state().drop("_o")
 
 
 def ndjson(rows: DataFrame) -> DataFrame:
     """Rows as JSON lines, for ``write.text``."""
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-
-
