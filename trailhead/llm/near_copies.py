@@ -236,8 +236,24 @@ def _send(n_shards: int):
     return f
 
 
+def stars(links: np.ndarray) -> np.ndarray:
+    """(node, root) for the nodes of links (n, 2) that are not the smallest of what they are chained to."""
+    node, at = np.unique(links, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(node))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for end in (root[a], root[b], a, b):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == root).all():
+            return np.stack([node, node[root]], 1)[root != np.arange(len(node))]
+        root = new
+
+
 def _meet(t: float, dense: int):
-    """(x, y): candidates of a shard."""
+    """(x, y): candidates of a shard, as stars: what is chained there is linked to its smallest node."""
 
     def f(batches):
         entries, out = [], []
@@ -266,7 +282,7 @@ def _meet(t: float, dense: int):
             for a, b in zip(at[size > SMALL], to[size > SMALL]):
                 out += [np.stack(pair, 1) for pair in _bucket(e[a:b], t, dense)]
         if out:
-            x = np.unique(np.concatenate(out), axis=0)
+            x = stars(np.concatenate(out))
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], ["x", "y"])
 
     return f
