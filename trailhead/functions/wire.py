@@ -80,8 +80,12 @@ def short_id(c: Column) -> Column:
     return F.substring(c, 1, 8)
 
 
+#: How a rendered trace names a node's confidence.
+HIGH, LOW = "HIGH (Structured AST Node)", "LOW (Whole-File Degrade)"
+
+
 def confidence_label(c: Column) -> Column:
-    return F.when(c >= schema.LOW_CONFIDENCE, "HIGH (Structured AST Node)").otherwise("LOW (Whole-File Degrade)")
+    return F.when(c >= schema.LOW_CONFIDENCE, HIGH).otherwise(LOW)
 
 
 def uncertain(c: Column) -> Column:

@@ -77,7 +77,7 @@ def apply(tables: dict[str, DataFrame], changes: DataFrame) -> tuple[dict[str, D
     vectors = store.remove_vectors(vectors, dead)
 
     spans = parse.exploded(parse.parse(live.select("seq", "file_path", "content", "commit_hash")))
-    cut = F.decode(F.substring(F.col("content"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")), "UTF-8")
+    cut = F.make_valid_utf8(F.substring(F.col("content"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")).cast("string"))
     # files are parsed once; what follows reads the spans, each with its own text only
     spans = session.checkpointed(spans.withColumn("snippet", cut).drop("content"))
     m = session.checkpointed(match(spans, nodes))

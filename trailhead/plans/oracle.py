@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import STOP_WORDS
+from .oracle_paths import paths
 from .retrieve_text import QUESTION, RULE, THIN
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -44,11 +45,10 @@ SELECT doc_id, round(score, 6) score FROM top WHERE score >= 0.05""",
 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q), s AS (SELECT vec_id, {_COS} score FROM x ORDER BY score DESC, vec_id LIMIT 10)
 SELECT vec_id, round(score, 6) score FROM s""",
     "q_vec_topk_batch": f"""WITH x AS (SELECT q.vec_id query_id, e.vec_id id, {_DOT.format('e.embedding', 'q.embedding')} d, sqrt({_DOT.format('e.embedding', 'e.embedding')}) n1, sqrt({_DOT.format('q.embedding', 'q.embedding')}) n2
-FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 20) q), s AS (SELECT query_id, id, {_COS} score FROM x),
+FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q), s AS (SELECT query_id, id, {_COS} score FROM x),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT rank FROM s)
 SELECT query_id, id, round(score, 6) score, rank FROM r WHERE rank <= 5""",
     "q_simhash": f"WITH {_PRINTS} SELECT doc_id, simhash FROM prints",
-    "q_simhash_match": f"WITH {_MATCH} SELECT doc_id, match_id FROM matched WHERE doc_id <> match_id",
     "q_hamming": f"WITH {_PRINTS} SELECT a.doc_id, bit_count(xor(a.simhash, b.simhash))::INT distance FROM prints a JOIN prints b ON b.doc_id = a.doc_id + 1",
     "q_rename_alias": f"""WITH {_PRINTS}, n AS (SELECT doc_id old_id, lead(doc_id) OVER w new_id, max(doc_id) OVER (PARTITION BY simhash) root_id FROM prints WINDOW w AS (PARTITION BY simhash ORDER BY doc_id))
 SELECT * FROM n WHERE new_id IS NOT NULL""",
@@ -58,28 +58,17 @@ SELECT * FROM n WHERE new_id IS NOT NULL""",
     "q_tombstone_nodes": "SELECT 'p:' || p_partkey id, p_size >= 5 is_active FROM part",
     "q_edge_fk": f"""WITH {_BUYS}, n AS (SELECT 'c:' || c_custkey id FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'p:' || p_partkey FROM part WHERE p_size < 40)
 SELECT * FROM buys WHERE source_id IN (FROM n) AND target_id IN (FROM n)""",
-    "q_history": "SELECT o_custkey::VARCHAR node_id, o_orderkey::VARCHAR commit_hash, floor(epoch_us(o_orderdate) / 1000000)::BIGINT \"timestamp\", CASE WHEN o_orderstatus = 'F' THEN NULL ELSE nullif(o_orderpriority, '') END synthetic_msg FROM orders",
     "q_diff": """WITH a AS (SELECT l_partkey, sum(l_quantity) q FROM lineitem WHERE year(l_shipdate) = 1995 GROUP BY 1), b AS (SELECT l_partkey, sum(l_quantity) q FROM lineitem WHERE year(l_shipdate) = 1996 GROUP BY 1)
 SELECT coalesce(b.l_partkey, a.l_partkey) l_partkey, CASE WHEN a.l_partkey IS NULL THEN 'added' WHEN b.l_partkey IS NULL THEN 'deleted' ELSE 'modified' END status
 FROM a FULL JOIN b ON a.l_partkey = b.l_partkey WHERE a.q IS DISTINCT FROM b.q""",
     "q_out_edges": f"WITH {_TRADE}, s AS (SELECT source_id, sum(weight) w, count(*)::BIGINT out_degree FROM trade GROUP BY 1) SELECT source_id, target_id, round(weight / w, 9) share, out_degree FROM trade JOIN s USING (source_id)",
     "q_resolved_edges": f"""WITH {_BUYS}, a AS (SELECT 'p:' || p_partkey old_id, 'p:' || (p_partkey + 1) root_id FROM part WHERE p_partkey % 10 = 0)
 SELECT coalesce(root_id, target_id) target_id, count(*)::BIGINT n, sum(weight) weight FROM buys LEFT JOIN a ON target_id = old_id GROUP BY 1""",
-    "q_symbol_link": f"WITH {_HREF} SELECT page_id, 'sym:' || h target_id, 'CALLS' \"type\" FROM href WHERE h <> ''",
-    "q_symbol_stubs": f"WITH {_HREF} SELECT 'sym:' || h id, min(page_id) page_id FROM href WHERE h <> '' GROUP BY 1",
-    "q_push_rounds": f"""WITH {_TRADE}, t AS (SELECT source_id, sum(weight) total FROM trade GROUP BY 1), share AS (SELECT source_id, target_id, weight / total share FROM trade JOIN t USING (source_id)),
-r0 AS (SELECT 'c:' || i seed, 'c:' || i id, 1.0::DOUBLE r FROM range(1, 41) x(i)),
-r1 AS (SELECT seed, target_id id, sum(0.9 * r * share) r FROM r0 JOIN share ON id = source_id GROUP BY ALL),
-r2 AS (SELECT seed, target_id id, sum(0.9 * r * share) r FROM r1 JOIN share ON id = source_id GROUP BY ALL)
-SELECT seed, id, round(sum(0.1 * r), 9) score FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY ALL""",
     "q_rrf": """WITH a AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) x, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) y FROM part)
 SELECT p_partkey, round(1.0::DOUBLE / (60 + x) + 1.0::DOUBLE / (60 + y), 9) score FROM a""",
     "q_topo_jaccard": """WITH s AS (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem), n AS (SELECT s, count(*) c FROM s GROUP BY 1),
 pair AS (SELECT a.s, count(*) k FROM s a JOIN s b ON b.s = a.s + 1 AND a.p = b.p GROUP BY 1)
 SELECT 's:' || n.s a, 's:' || m.s b, round(coalesce(k, 0)::DOUBLE / (n.c + m.c - coalesce(k, 0)), 9) redundancy FROM n JOIN n m ON m.s = n.s + 1 LEFT JOIN pair ON pair.s = n.s""",
-    "q_hydrate": f"""WITH {_MATCH}, {_NODES}, e AS (SELECT doc_id, count(*)::BIGINT n FROM matched WHERE doc_id <> match_id GROUP BY 1)
-SELECT id, n.doc_id rank, file_path, byte_end, conf < 0.5 uncertain, coalesce(n, 0)::BIGINT n_edges FROM (SELECT * FROM nodes ORDER BY doc_id LIMIT 40) n LEFT JOIN e ON e.doc_id = n.doc_id""",
-    "q_any_low": "SELECT source file_path, bool_or(coalesce(quality, 0) < 0.5) any_low_confidence FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY source",
     "q_snippet": "SELECT doc_id, lower(substr(hex(encode(coalesce(text, ''))), 23, 100)) bytes FROM documents",
     "q_citations": """WITH e AS (SELECT user_id, min(event_id) a, max(event_id) b FROM events GROUP BY 1), k AS (SELECT event_id FROM events WHERE event_id % 3 <> 0),
 c AS (SELECT user_id, unnest([a::VARCHAR, b::VARCHAR, '']) id, unnest([1, 2, 3]) p FROM e), f AS (SELECT user_id, id, min(p) p FROM c GROUP BY ALL),
@@ -96,9 +85,6 @@ FROM nodes n LEFT JOIN m ON m.doc_id = n.doc_id""",
 sha256(string_agg(coalesce(text, ''), '|' ORDER BY turn)) snippets_sha256 FROM conversations GROUP BY conv_id""",
     "q_chunk_json": "SELECT event_id, user_id::VARCHAR trace_id, event_type || '\"' || chr(92) || chr(10) text_delta, event_id % 2 = 0 done FROM events",
     "q_props_field": "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') k, true flag FROM events",
-    "q_stats": """SELECT count(*)::BIGINT files_processed, count(*) FILTER (coalesce(quality, 0) >= 0.5)::BIGINT parsed, count(*) FILTER (coalesce(quality, 0) < 0.5)::BIGINT degraded, count(*)::BIGINT active
-FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
-    "q_ingest": f"""WITH p AS (SELECT url, arg_max(html, page_id) html FROM pages WHERE url IS NOT NULL AND html <> '' GROUP BY url), h AS (SELECT *, {_SIGNED.format(_FNV.format('url'))} simhash FROM p)
-SELECT left(sha256(url || chr(31) || simhash), 32) id, url file_path, 0::BIGINT byte_start, strlen(html)::BIGINT byte_end, simhash, true is_active, 0.0::DOUBLE parse_confidence FROM h""",
 }
 ORACLE_SQL["q_stream_upsert"] = ORACLE_SQL["q_upsert_lww"]
+ORACLE_SQL |= paths({"fnv": _FNV, "signed": _SIGNED, "prints": _PRINTS, "match": _MATCH, "nodes": _NODES, "href": _HREF, "buys": _BUYS, "supplied": _SUPPLIED, "trade": _TRADE, "sparse": _SPARSE, "q": _Q, "cos": _COS, "stop": _STOP})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import text
 
 
@@ -55,3 +56,39 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("file_path"), F.lit(0).cast("long").alias("byte_start"), F.octet_length("text").cast("long").alias("byte_end"),
         "simhash", F.lit(True).alias("is_active"), F.coalesce("quality", F.lit(0)).cast("float").alias("parse_confidence"),
     )
+
+
+def same(spark: SparkSession, d: str) -> DataFrame:
+    """document → the first one with its fingerprint."""
+    p = session.checkpointed(prints(spark, d).select("doc_id", "simhash"))
+    met = p.join(p.groupBy("simhash").agg(F.min("doc_id").alias("first")), "simhash").where("doc_id <> first")
+    return met.select(F.col("doc_id").cast("string").alias("source_id"), F.col("first").cast("string").alias("target_id"), F.lit("SAME").alias("type"), F.lit(2.0).alias("weight"))
+
+
+def following(spark: SparkSession, d: str) -> DataFrame:
+    """document → the next one, and → the first one with its fingerprint."""
+    i = read(spark, d, "documents").select("doc_id").distinct()
+    after = i.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("next"))
+    steps = i.join(after, "doc_id").select(F.col("doc_id").cast("string").alias("source_id"), F.col("next").cast("string").alias("target_id"), F.lit("NEXT").alias("type"), F.lit(1.0).alias("weight"))
+    return steps.unionByName(same(spark, d))
+
+
+def seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth customer."""
+    return read(spark, d, "customer").where("c_custkey % 50 = 0").select(tagged("c", F.col("c_custkey")).alias("seed"))
+
+
+def trade_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Customers, parts and suppliers as nodes."""
+
+    def made(table: str, tag: str, key: str, path: Column, name: str, sure: str) -> DataFrame:
+        return read(spark, d, table).select(
+            tagged(tag, F.col(key)).alias("id"), path.alias("file_path"), F.lit(0).cast("long").alias("byte_start"), F.octet_length(name).cast("long").alias("byte_end"),
+            F.lit(0).cast("long").alias("simhash"), F.lit(True).alias("is_active"), F.expr(sure).cast("int").cast("float").alias("parse_confidence"),
+        )
+
+    return (
+        made("customer", "c", "c_custkey", F.col("c_mktsegment"), "c_name", "c_acctbal > 0")
+        .unionByName(made("part", "p", "p_partkey", F.col("p_brand"), "p_name", "p_size >= 25"))
+        .unionByName(made("supplier", "s", "s_suppkey", F.lit("supplier"), "s_name", "s_acctbal > 0"))
+    )

@@ -11,21 +11,13 @@ from ..functions import hashing, text, wire
 from ..operators import alias, graph, ingest, store, vectors
 from ..sources import git
 from ..streaming import changes
-from . import retrieve
-from .oracle import ORACLE_SQL
-from .projections import buys, nodes, prints, read, supplied, tagged, trade
+from . import path_queries, retrieve  # noqa: F401  path_queries registers its own
+from .oracle import ORACLE_SQL  # noqa: F401
+from .projections import buys, nodes, prints, read, same, supplied, tagged, trade
+from .registry import QUERIES, query  # noqa: F401
 from .retrieve_text import QUESTION
 
 
-SEEDS = [f"c:{i}" for i in range(1, 41)]
-QUERIES: dict = {}
-
-
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
 @query
 def q_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"), text.content_tokens(F.col("text")).alias("c"))
@@ -72,7 +64,7 @@ def q_vec_topk(spark: SparkSession, d: str) -> DataFrame:
 @query
 def q_vec_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = e.where("id < 20").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    q = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     return vectors.top_k_batch(e, q, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -83,8 +75,11 @@ def q_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_simhash_match(spark: SparkSession, d: str) -> DataFrame:
-    p = session.checkpointed(prints(spark, d).select("doc_id", "simhash"))
-    return p.join(p.groupBy("simhash").agg(F.min("doc_id").alias("match_id")), "simhash").where("doc_id <> match_id").select("doc_id", "match_id")
+    """The node that each document's fingerprint finds anywhere, and the one that it finds in its own file."""
+    n = session.checkpointed(nodes(spark, d))
+    anywhere = store.by_simhash(n, n, False).withColumnRenamed("id", "match_id")
+    same = store.by_simhash(n, n, True).withColumnRenamed("id", "same_file_id")
+    return n.select("id", "simhash", "file_path").join(anywhere, "simhash").join(same, ["simhash", "file_path"]).select("id", "match_id", "same_file_id")
 
 
 @query
@@ -111,16 +106,6 @@ def q_alias_chain(spark: SparkSession, d: str) -> DataFrame:
     return alias.closure(pairs).select("old_id", "root_id")
 
 
-@query
-def q_alias_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Users' event types as renames in time order, folded exactly (an id may be renamed again and in circles)."""
-    e = read(spark, d, "events").select("user_id", "event_id", "event_type")
-    key = lambda t: F.concat_ws("/", F.col("user_id").cast("string"), t)
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    ev = e.select("user_id", F.col("event_id").alias("seq"), key(F.col("event_type")).alias("old_id"), key(F.lead("event_type").over(w)).alias("new_id"), F.lead("event_type").over(w).alias("n"), F.col("event_id").cast("string").alias("commit_hash"))
-    return alias.fold(ev.where("n IS NOT NULL AND old_id <> new_id").drop("n").withColumnRenamed("user_id", "component"))
-
-
 @query
 def q_upsert_lww(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("seq"), "event_id", "event_type", F.round("value", 6).alias("value"))
@@ -153,12 +138,14 @@ def q_edge_fk(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_history(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the orders are in the table with an older message; all are recorded over them."""
     o = read(spark, d, "orders").select(
-        F.col("o_custkey").cast("string").alias("node_id"), F.col("o_orderkey").cast("string").alias("commit_hash"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"),
+        F.col("o_custkey").cast("string").alias("node_id"), F.col("o_orderkey").alias("key"), F.col("o_orderkey").cast("string").alias("commit_hash"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"),
         F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderpriority")).alias("synthetic_msg"),
     )
-    rows = o.select("node_id", "commit_hash", F.floor(F.col("us") / 1_000_000).cast("long").alias("timestamp"), "synthetic_msg")
-    return store.record_history(rows.limit(0), rows)
+    rows = o.select("node_id", "commit_hash", F.floor(F.col("us") / 1_000_000).cast("long").alias("timestamp"), "synthetic_msg", "key")
+    before = rows.where("key % 2 = 0").withColumn("synthetic_msg", F.lit("older"))
+    return store.record_history(before.drop("key"), rows.where("key % 3 <> 0").drop("key"))
 
 
 @query
@@ -182,37 +169,6 @@ def q_resolved_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.out_edges(buys(spark, d), a).groupBy("target_id").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
-@query
-def q_symbol_link(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="([^"]*)"'), F.lit(1)))).alias("href"))
-    return p.where("length(href) > 0").select("page_id", F.concat(F.lit("sym:"), "href").alias("target_id"), F.lit("CALLS").alias("type"))
-
-
-@query
-def q_symbol_stubs(spark: SparkSession, d: str) -> DataFrame:
-    """Each symbol's stub: made once, by the first page that mentions it."""
-    return q_symbol_link(spark, d).groupBy(F.col("target_id").alias("id")).agg(F.min("page_id").alias("page_id"))
-
-
-@query
-def q_push_rounds(spark: SparkSession, d: str) -> DataFrame:
-    seeds = spark.createDataFrame([(s,) for s in SEEDS], "seed string")
-    out = graph.push_rounds(session.checkpointed(trade(spark, d)), seeds, 0.1, 3)
-    return out.select("seed", "id", F.round("score", 9).alias("score"))
-
-
-@query
-def q_local_push(spark: SparkSession, d: str) -> DataFrame:
-    seeds = spark.createDataFrame([(s,) for s in SEEDS], "seed string")
-    return graph.local_push(session.checkpointed(trade(spark, d)), seeds, *graph.WIDE)
-
-
-@query
-def q_dual_horizon(spark: SparkSession, d: str) -> DataFrame:
-    seeds = spark.createDataFrame([(s,) for s in SEEDS], "seed string")
-    return graph.dual_horizon(session.checkpointed(trade(spark, d)), seeds)
-
-
 @query
 def q_rrf(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").select(F.col("p_brand").alias("seed_brand"), F.col("p_partkey").alias("id"), "p_retailprice", "p_size")
@@ -227,30 +183,6 @@ def q_topo_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return adj.join(b, adj.n == b._n).select(F.col("id").alias("a"), "b", F.round(graph.redundancy(F.col("id"), F.col("neighbours"), F.col("b"), F.col("nb")), 9).alias("redundancy"))
 
 
-@query
-def q_mmr(spark: SparkSession, d: str) -> DataFrame:
-    """Ten of the forty suppliers with the highest balance, in each nation's place a query of its own."""
-    s = read(spark, d, "supplier")
-    w = Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
-    top = s.withColumn("rank", F.row_number().over(w)).where("rank <= 40")
-    given = top.select(F.col("s_nationkey").alias("query_id"), tagged("s", F.col("s_suppkey")).alias("id"), (F.col("s_acctbal") / 10000).alias("relevance"), "rank")
-    return graph.mmr(given, session.checkpointed(supplied(spark, d)), 10)
-
-
-@query
-def q_hydrate(spark: SparkSession, d: str) -> DataFrame:
-    ranked = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id").orderBy("doc_id").limit(40).select("id", F.col("doc_id").alias("rank"))
-    near = q_simhash_match(spark, d).select(F.col("doc_id").cast("string").alias("source_id"), F.col("match_id").cast("string").alias("target_id"))
-    kept, out = retrieve.hydrate(ranked, nodes(spark, d), near)
-    n = out.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n_edges"))
-    return kept.join(n, "id", "left").select("id", "rank", "file_path", "byte_end", "uncertain", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
-
-
-@query
-def q_any_low(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(spark, d).groupBy("file_path").agg(F.bool_or(wire.uncertain(F.col("parse_confidence"))).alias("any_low_confidence"))
-
-
 @query
 def q_snippet(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
@@ -281,7 +213,7 @@ def q_render(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = nodes(spark, d).withColumn("rank", F.col("id").cast("long"))
     shown = n.join(docs, n.rank == docs.doc_id).withColumn("snippet", F.col("text")).drop("doc_id", "text")
-    near = q_simhash_match(spark, d).select(F.col("doc_id").cast("string").alias("source_id"), F.col("match_id").cast("string").alias("target_id"), F.lit("SAME").alias("type"))
+    near = same(spark, d).select("source_id", "target_id", "type")
     return retrieve.render_blocks(shown, near).select("id", F.sha2("block", 256).alias("block_sha256"))
 
 
@@ -311,21 +243,6 @@ def q_props_field(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", wire.string_field(F.col("props"), "k").alias("k"), wire.bool_field(F.col("props"), "missing", True).alias("flag"))
 
 
-@query
-def q_stats(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d)
-    return n.agg(F.count("*").alias("files_processed"), F.count_if(F.expr("parse_confidence >= 0.5")).alias("parsed"), F.count_if(F.expr("parse_confidence < 0.5")).alias("degraded"), F.count_if("is_active").alias("active"))
-
-
-@query
-def q_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Pages as files: no grammar takes them, so each is one node, named and fingerprinted by its path."""
-    p = read(spark, d, "pages").where("url IS NOT NULL AND length(html) > 0").select(F.col("page_id").alias("seq"), F.col("url").alias("file_path"), F.encode("html", "UTF-8").alias("content"), F.lit("c1").alias("commit_hash"), F.lit("U").alias("op"))
-    empty = {t: spark.createDataFrame([], schema.TABLES[t]) for t in changes.STATEFUL}
-    after, _ = ingest.apply(empty, p)
-    return after["nodes"].select("id", "file_path", "byte_start", "byte_end", "simhash", "is_active", F.col("parse_confidence").cast("double").alias("parse_confidence"))
-
-
 @query
 def q_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     import uuid

@@ -38,23 +38,29 @@ class Built:
 
 
 def hydrate(ranked: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes with rank, out-edges of these): ranked (id, rank) is at most a budget long; unknown ids drop out."""
-    small = F.broadcast(ranked.select("id", "rank"))
-    kept = nodes.join(small, "id").withColumn("uncertain", wire.uncertain(F.col("parse_confidence")))
-    out = edges.join(F.broadcast(kept.select(F.col("id").alias("source_id"))), "source_id", "left_semi")
+    """(nodes with the ranks of ``ranked`` (id, rank, …), out-edges of these); unknown ids drop out.
+
+    A question's list is a budget long and a batch of them that many times as long; the join follows the size.
+    """
+    kept = nodes.join(ranked, "id").withColumn("uncertain", wire.uncertain(F.col("parse_confidence")))
+    out = edges.join(kept.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
     return kept, out
 
 
-def any_low(nodes: DataFrame) -> DataFrame:
-    return nodes.agg(F.coalesce(F.bool_or(F.col("parse_confidence") < schema.LOW_CONFIDENCE), F.lit(False)).alias("any_low_confidence"))
+def any_low(nodes: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by…, any_low_confidence): one row, or one for each group."""
+    return nodes.groupBy(*by).agg(F.coalesce(F.bool_or(F.col("parse_confidence") < schema.LOW_CONFIDENCE), F.lit(False)).alias("any_low_confidence"))
 
 
 def snippets(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """``nodes`` with ``snippet``: the bytes that the file holds now in the node's range, as text; "" without."""
+    """``nodes`` with ``snippet``: the bytes that the file holds now in the node's range, as text; "" without.
+
+    A file may have changed since, so a range can cut a character; what is no UTF-8 becomes the replacement character.
+    """
     f = files.select("file_path", "content")
     got = nodes.join(f, "file_path", "left")
     cut = wire.byte_slice(F.coalesce("content", F.lit(b"")), F.col("byte_start"), F.col("byte_end"))
-    return got.withColumn("snippet", F.decode(cut, "UTF-8")).drop("content")
+    return got.withColumn("snippet", F.make_valid_utf8(cut.cast("string"))).drop("content")
 
 
 def trace_id_of(question: str, version: int = 0) -> str:
@@ -98,13 +104,17 @@ def replay(traces: DataFrame, trace_id: str, nodes: DataFrame, edges: DataFrame)
     return hydrate(ids, nodes, edges)
 
 
+#: Fixed value: the head of a node's links in a rendered trace.
+LINKS = "\n  [Outgoing Calls / Relationships]\n"
+
+
 def block(id_: Column, path: Column, confidence: Column, snippet: Column, links: Column) -> Column:
     """One node of a rendered trace; links: array of (type, target)."""
     body = F.when((F.length(snippet) > 0) & ~F.endswith(snippet, F.lit("\n")), F.concat(snippet, F.lit("\n"))).otherwise(snippet)
     arrows = F.array_join(F.transform(links, lambda e: F.concat(F.lit("  -> "), e["type"], F.lit(" "), wire.short_id(e["target_id"]), F.lit("...\n"))), "")
     return F.concat(
         F.lit(f"\n{RULE}\nFILE: "), path, F.lit("  ["), wire.short_id(id_), F.lit("...]\nCONFIDENCE: "), wire.confidence_label(confidence),
-        F.lit(f"\n{THIN}\n"), body, F.lit(f"{RULE}\n"), F.when(F.size(links) > 0, F.concat(F.lit("\n  [Outgoing Calls / Relationships]\n"), arrows)).otherwise(""),
+        F.lit(f"\n{THIN}\n"), body, F.lit(f"{RULE}\n"), F.when(F.size(links) > 0, F.concat(F.lit(LINKS), arrows)).otherwise(""),
     )
 
 
@@ -136,10 +146,12 @@ def verify(answers: DataFrame, nodes: DataFrame, id_col: str = "answer_id", text
 def prompt(request: DataFrame) -> DataFrame:
     """(traceId, system, user): what a language model is asked, from request rows."""
     head = (
-        "Answer only from the context blocks below; do not invent facts about the code base. End every factual claim about the code with a citation of the "
-        f'form [node:<id>], with the id of the block that it comes from. If a block is marked uncertain, begin with exactly: "{UNCERTAIN}"\n\nContext:\n'
+        "You are given excerpts of a code base, each under a line with its file and its id. They are all that you know about it. "
+        "Write [node:ID] after each sentence that says something about the code, where ID is the id of the excerpt that shows it; "
+        "a program looks these ids up, and an unknown one marks your reply as unverified. Say so if the excerpts do not answer the question. "
+        f'Should an excerpt carry the line (uncertain), let your reply start with this sentence: "{UNCERTAIN}"\n\n'
     )
-    parts = F.transform("context", lambda c: F.concat(F.lit("--- File: "), c["filePath"], F.lit(" [node:"), c["nodeId"], F.lit("] ---\n"), F.when(c["uncertain"], F.lit("(uncertain)\n")).otherwise(""), c["codeSnippet"], F.lit("\n\n")))
+    parts = F.transform("context", lambda c: F.concat(F.lit("File "), c["filePath"], F.lit(" [node:"), c["nodeId"], F.lit("]\n"), F.when(c["uncertain"], F.lit("(uncertain)\n")).otherwise(""), c["codeSnippet"], F.lit("\n\n")))
     return request.select("traceId", F.concat(F.lit(head), F.array_join(parts, "")).alias("system"), F.col("userQuery").alias("user"))
 
 

@@ -3,3 +3,5 @@
 RULE = "=" * 80
 THIN = "-" * 80
 QUESTION = "How does the heating of the nation and the thand onther that reer move through erthtion?"
+CITED = "It moves there [node:{}]."
+UNCITED = "It moves there [node:does-not-exist] [node:does-not-exist]."
