@@ -39,11 +39,12 @@ def test_push_equals_model_on_random_graphs(spark):
     edges = [(f"n{rnd.randrange(12)}", f"n{rnd.randrange(12)}", t, float(rnd.randrange(1, 5))) for t in "XY" for _ in range(30)]
     edges = list({e[:3]: e for e in edges}.values())
     for alpha, eps, budget in ((0.5, 1e-4, 40), (0.1, 1e-5, 7)):
-        got = push(spark, edges, ["n0", "n3"], alpha, eps, budget)
-        for s in ("n0", "n3"):
-            want = model(edges, s, alpha, eps, budget)
-            assert {i: v for (x, i), v in got.items() if x == s} == pytest.approx(want)
-            assert sum(want.values()) <= 1 + 1e-9
+        for small in (None, 0):  # sent whole, and asked in rounds
+            got = push(spark, edges, ["n0", "n3"], alpha, eps, budget, small=small)
+            for s in ("n0", "n3"):
+                want = model(edges, s, alpha, eps, budget)
+                assert {i: v for (x, i), v in got.items() if x == s} == pytest.approx(want)
+                assert sum(want.values()) <= 1 + 1e-9
 
 
 def test_cycle_and_wide_hub(spark):

@@ -1,10 +1,11 @@
 """Random-walk expansion over the edge table, and rank fusion.
 
-``local_push`` is exact: a first-in-first-out queue, a budget that counts pushes, and neighbours met in the order
-(target, type).  Its state lives in one row a seed.  A round sends the seeds' requests (nodes that are queued and not yet
-known; at most the budget for each seed) to the edge table, which answers with their out-edges and the degrees of the
-targets; a seed then works until it needs a node that it does not know.  So only edges of nodes that are really queued are
-read, rounds are as many as the walk is deep, and any number of seeds runs at once.
+``walks`` is exact: a first-in-first-out queue, a budget that counts pushes, and neighbours met in the order (target,
+type).  A table of few edges goes to the walks whole.  Beyond that a walk's state is one row, and a round sends the
+walks' requests (nodes that are queued and not yet known; at most the budget for each walk) to the edge table, which
+answers with their out-edges and the degrees of the targets; a walk then works until it needs a node that it does not
+know.  So only edges of nodes that are really queued are read, rounds are as many as the walk is deep, and any number of
+seeds and horizons runs at once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import pickle
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,10 +91,31 @@ def sized(edges: DataFrame) -> DataFrame:
 _STATE = "horizon int, seed string, state binary, need array<string>, done boolean"
 
 
-def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]], budget: int = BUDGET) -> DataFrame:
+#: Edges that are sent whole to the walks; the number is counted first, and a larger table is asked in rounds.
+SMALL_EDGES = 1 << 19
+
+
+class _Whole:
+    """All adjacency, from an Arrow table sorted by node; a node without edges has none."""
+
+    def __init__(self, table):
+        node = table["node"].to_numpy()
+        cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)] if len(node) else [0]
+        self.at = {node[a]: (a, b) for a, b in zip(cuts, cuts[1:])}
+        self.columns = [table[c].to_numpy() for c in ("target_id", "weight", "degree")]
+
+    def __contains__(self, u) -> bool:
+        return True
+
+    def __getitem__(self, u) -> list:
+        a, b = self.at.get(u, (0, 0))
+        return list(zip(*(c[a:b].tolist() for c in self.columns)))
+
+
+def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]], budget: int = BUDGET, small: int | None = None) -> DataFrame:
     """(horizon, seed, id, score): a push from every row of ``seeds`` (seed) for every (alpha, eps); horizon is its place.
 
-    All walks share the rounds.  A round is one join of the nodes that are asked for with the edges (``sized``), and one
+    Up to ``SMALL_EDGES`` edges go to the walks whole; else all walks share the rounds.  A round is one join of the nodes that are asked for with the edges (``sized``), and one
     checkpoint of the walks' states.  Seeds that repeat count once, null seeds are left out.
     """
     spark = edges.sparkSession
@@ -100,6 +123,21 @@ def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]
     adj = edges if "degree" in edges.columns else session.checkpointed(sized(edges))
     adj = adj.select(F.col("source_id").alias("node"), "target_id", "type", "weight", "degree")
     which = F.explode(F.array(*(F.lit(i) for i in range(len(horizons))))).alias("horizon")
+    if adj.limit((SMALL_EDGES if small is None else small) + 1).count() <= (SMALL_EDGES if small is None else small):
+        sent = spark.sparkContext.broadcast(adj.orderBy("node", "target_id", "type").select("node", "target_id", "weight", "degree").toArrow())
+
+        def whole(frames):
+            known = None
+            for pdf in frames:
+                known = known or _Whole(sent.value)
+                rows = []
+                for horizon, seed in zip(pdf["horizon"], pdf["seed"]):
+                    state = start(seed)
+                    advance(state, known, *horizons[horizon], budget)
+                    rows += [(horizon, seed, k, v) for k, v in state["p"].items()]
+                yield pd.DataFrame(rows, columns=["horizon", "seed", "id", "score"])
+
+        return seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed").mapInPandas(whole, "horizon int, seed string, id string, score double")
     open_ = seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed", F.lit(pickle.dumps(None)).alias("state"), F.array("seed").alias("need"))
 
     def step(frames):
@@ -138,9 +176,9 @@ def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]
     return ended.mapInPandas(settle, "horizon int, seed string, id string, score double")
 
 
-def local_push(edges: DataFrame, seeds: DataFrame, alpha: float, eps: float, budget: int = BUDGET) -> DataFrame:
+def local_push(edges: DataFrame, seeds: DataFrame, alpha: float, eps: float, budget: int = BUDGET, small: int | None = None) -> DataFrame:
     """(seed, id, score) of settled mass for every row of ``seeds`` (seed); a seed without edges keeps alpha of its mass."""
-    return walks(edges, seeds, [(alpha, eps)], budget).drop("horizon")
+    return walks(edges, seeds, [(alpha, eps)], budget, small).drop("horizon")
 
 
 def ranked(scores: DataFrame, by: list[str] = ["seed"]) -> DataFrame:  # noqa: B006
