@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 
@@ -21,10 +22,14 @@ def session(app: str = "trailhead", master: str | None = None, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where the session names none."""
+    """``spark.checkpoint.dir``.  A folder of our own only on a local master: on a cluster each machine would have another."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="trailhead-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="trailhead-")
     if not known.isDefined():
         sc.setCheckpointDir(named)
     return named
