@@ -281,3 +281,87 @@ def test_sql_of_op4(spark):
 
 def test_shared_folder(spark):
     assert runtime.shared_dir(spark).startswith("file:")
+
+
+def test_large_buckets_are_cut_without_loss(spark):
+    rnd = random.Random(14)
+    centres = [rnd.getrandbits(64) for _ in range(3)]
+    fp = {c ^ sum(1 << b for b in rnd.sample(range(64), k)) for c in centres for k in range(1, 9) for _ in range(30)}
+    signed = sorted(x - 2**64 if x >= 2**63 else x for x in fp)
+    df = spark.createDataFrame([(x,) for x in signed], "_fp long")
+    whole, cut = (
+        {r.node: r.root for r in components.components(simhash.links(df, blocked=b), "x", "y").collect()} for b in (4096, 2)
+    )
+    best, moved = {x: x for x in signed}, True
+    pairs = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) % 2**64).bit_count() <= 3]
+    while moved:
+        moved = False
+        for a, b in pairs:
+            low = min(best[a], best[b])
+            moved |= best[a] != low or best[b] != low
+            best[a] = best[b] = low
+    assert whole == cut == {k: v for k, v in best.items() if k != v}
+
+
+def test_lookup_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "HOT_ROWS", 5)
+    big = spark.createDataFrame([(i % 7 if i < 70 else 100, i) for i in range(400)], "k long, v long").unionByName(spark.createDataFrame([(7, 1000)], "k long, v long"))
+    small = big.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    got = runtime.lookup(big, small, "k", "n", 401)
+    assert got.columns == ["k", "v", "top"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small.drop("n"), "k").collect()))
+
+
+def test_recall_at_the_threshold(spark):
+    """Planted pairs just above 0.8, 0.82 and 0.85 by isolated changes and by one cut, beside a template-heavy crowd."""
+    rnd = random.Random(21)
+    rows, pairs, template = [], {0.8: [], 0.82: [], 0.85: []}, [f"t{i}" for i in range(150)]
+    for i in range(1500):  # a crowd of mutual resemblance of about 0.6: every bucket of the template has unlike hubs
+        rows.append((10**6 + i, " ".join(template + [f"u{rnd.randrange(10**7)}" for _ in range(45)])))
+    for t, found in pairs.items():
+        for j in range(500):
+            n = rnd.choice([365, 900] if j % 2 else [120, 365, 900])
+            w = (template if j % 3 == 0 else []) + [f"v{rnd.randrange(10**7)}" for _ in range(n)]
+            s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+            if j % 2:
+                at, c = rnd.sample(range(len(w)), len(w) // 3), list(w)
+                lost, k = set(), 0
+                while True:  # each change takes the shingles over it and adds as many
+                    more = lost | {x for x in range(max(0, at[k] - 4), min(at[k], len(w) - 5) + 1)}
+                    if (len(s) - len(more)) / (len(s) + len(more)) < t:
+                        break
+                    c[at[k]], lost, k = f"x{rnd.randrange(10**7)}", more, k + 1
+            else:
+                c = w + [f"y{rnd.randrange(10**7)}" for _ in range(int(len(s) / t) - len(s))]
+            r = resemblance(" ".join(w), " ".join(c))
+            assert t <= r < t + 0.03
+            a = 2 * len(rows)
+            rows += [(a, " ".join(w)), (a + 1, " ".join(c))]
+            found.append((a, a + 1))
+    got = near(spark, rows)
+    recall = {t: np.mean([got[a] == got[b] for a, b in found]) for t, found in pairs.items()}
+    print(recall)
+    assert recall[0.8] >= 0.97 and recall[0.82] >= 0.98 and recall[0.85] >= 0.99
+    every = {i for found in pairs.values() for p in found for i in p}
+    assert all(got[i] == i for i, _ in rows if i not in every)
+    assert all(got[b] in (a, b) for found in pairs.values() for a, b in found)
+
+
+def test_groups_in_blocks_and_dense_buckets(spark):
+    rnd = random.Random(6)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rnd.sample(range(100), rnd.choice([1, 2, 3, 5])):
+            w[k] = f"z{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df, want = spark.createDataFrame(rows, SCHEMA), near_model(rows)
+    for options in ({}, {"group_bytes": 4000}, {"dense": 20}):
+        assert {r.doc_id: r.component_id for r in simhash.similar(df, **options).collect()} == want, options
+
+
+def test_texts_under_one_id_are_kept_apart(spark):
+    rows = [(5, "b b b one two three"), (5, "c c c four five six"), (5, "c c c four five six"), (6, "c c c four five six"), (7, "b b b one two three")]
+    for order in (rows, rows[::-1]):
+        got = sorted(map(tuple, simhash.dedup(spark.createDataFrame(order, SCHEMA).coalesce(1)).collect()))
+        assert got == [(5, "b b b one two three"), (5, "c c c four five six")]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay, hashes, runtime
-from .components import components
+from .components import components, runs, stars
 
 SHINGLE, SIMILARITY = 5, 0.8
 BINS, SEGMENTS, CODEWORDS, KEYS = 2048, 5, 6, 12
@@ -135,12 +135,6 @@ def _allowed(t: float, bits: int, n: np.ndarray) -> np.ndarray:
     return bits * p + SLACK * math.sqrt(bits * p * (1 - p)) + np.where(n < FEW, COARSE * bits, 0)
 
 
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of equal neighbours."""
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    return edge[:-1], edge[1:]
-
-
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
@@ -178,7 +172,7 @@ def _bands(bits: np.ndarray):
     for _ in range(BANDS):
         value = raw[:, r.permutation(raw.shape[1])[:BAND_BITS]] @ (1 << np.arange(BAND_BITS))
         order = np.argsort(value, kind="stable")
-        yield order, *_runs(value[order])
+        yield order, *runs(value[order])
 
 
 def _bucket(e: np.ndarray, t: float, dense: int):
@@ -197,7 +191,7 @@ def _send(n_shards: int):
 
     def packed(shard: np.ndarray, part: np.ndarray, kind: int):
         order = np.argsort(shard, kind="stable")
-        at, to = _runs(shard[order])
+        at, to = runs(shard[order])
         if len(order):
             loads = pa.array([part[order[a:b]].tobytes() for a, b in zip(at, to)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(shard[order][at].astype(np.int32)), pa.array(np.full(len(at), kind, np.int32)), loads], ["shard", "kind", "load"])
@@ -206,7 +200,7 @@ def _send(n_shards: int):
         key, part = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(key, kind="stable")
         key, part = key[order], part[order]
-        at, to = _runs(key)
+        at, to = runs(key)
         head = np.repeat(at, to - at)
         tight = (head != np.arange(len(key))) & (_differ(part["bits"], part["bits"][head]) <= TIGHT)
         links = np.unique(np.stack([part["node"][tight], part["node"][head[tight]]], 1), axis=0)
@@ -236,22 +230,6 @@ def _send(n_shards: int):
     return f
 
 
-def stars(links: np.ndarray) -> np.ndarray:
-    """(node, root) for the nodes of links (n, 2) that are not the smallest of what they are chained to."""
-    node, at = np.unique(links, return_inverse=True)
-    a, b = at.reshape(-1, 2).T
-    root = np.arange(len(node))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        for end in (root[a], root[b], a, b):
-            np.minimum.at(new, end, low)
-        new = new[new]
-        if (new == root).all():
-            return np.stack([node, node[root]], 1)[root != np.arange(len(node))]
-        root = new
-
-
 def _meet(t: float, dense: int):
     """(x, y): candidates of a shard, as stars: what is chained there is linked to its smallest node."""
 
@@ -267,7 +245,7 @@ def _meet(t: float, dense: int):
             e = np.concatenate(entries)
             del entries
             e = e[np.lexsort((e["node"], e["key"]))]
-            at, to = _runs(e["key"])
+            at, to = runs(e["key"])
             size = to - at
             small = e[np.repeat((size > 1) & (size <= SMALL), size)]
             n = small["n"].astype(np.int64)
@@ -359,7 +337,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     rows = runtime.stored(base.mapInArrow(_prints(shingle), "_id long, node long, check long, n long, blob binary"), "rows")
     first = F.min(F.struct("check", F.coalesce("_id", never).alias("id")))
     prints = runtime.stored(
-        rows.groupBy("node").agg(first.alias("a"), F.min_by("n", "check").alias("n"), F.min_by("blob", "check").alias("blob")).select("node", "a.check", F.col("a.id").alias("least"), "n", "blob"), "prints"
+        rows.groupBy("node").agg(first.alias("a"), F.count("*").alias("rows"), F.min_by("n", "check").alias("n"), F.min_by("blob", "check").alias("blob")).select("node", "a.check", F.col("a.id").alias("least"), "rows", "n", "blob"), "prints"
     )
     shards = max(runtime.partitions(spark), -(-prints.count() * _KEYS * _ENTRY.itemsize // SHARD_BYTES))
     sent = prints.where("n > 0").select("node", "n", "blob").mapInArrow(_send(shards), "shard int, kind int, load binary")
@@ -377,12 +355,12 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     dealt = dealt.repartition(n, "root", "a", "b").sortWithinPartitions("root", "a", "b")
     found = runtime.stored(dealt.mapInArrow(_decide(similarity), "x long, y long"), "links")
     classes = components(found, "x", "y").withColumnRenamed("node", "x")
-    member = prints.join(classes, prints.node == classes.x, "left").select("node", "check", "least", F.coalesce("root", "node").alias("root"))
+    member = prints.join(classes, prints.node == classes.x, "left").select("node", "check", "least", "rows", F.coalesce("root", "node").alias("root"))
     member = runtime.stored(member, "classes")
-    called = member.groupBy("root").agg(F.min("least").alias("called"))
-    label = member.join(called, "root").select("node", F.col("check").alias("_check"), F.nullif("called", never).alias("called"))
+    called = member.groupBy("root").agg(F.min("least").alias("called"), F.count("*").alias("_n"))
+    label = runtime.lookup(member, called, "root", "_n", member.count()).select("node", "rows", F.col("check").alias("_check"), F.nullif("called", never).alias("called"))
     own = F.when(F.col("check") == F.col("_check"), F.col("called")).otherwise(F.col("_id"))
-    return rows.select("_id", "node", "check").join(label, "node").select(F.col("_id").alias(id_col), own.alias("component_id"))
+    return runtime.lookup(rows.select("_id", "node", "check"), label, "node", "rows", rows.count()).select(F.col("_id").alias(id_col), own.alias("component_id"))
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,9 +6,6 @@ Every path that outlives a task is below ``spark.checkpoint.dir``, the folder th
 from __future__ import annotations
 
 import ctypes
-import os
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -22,20 +19,7 @@ from .. import session
 ROWS_PER_BATCH = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all processes see; a folder of our own only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not named:
-        got = sc._jsc.sc().getCheckpointDir()
-        if got.isDefined():
-            return got.get()
-        named = "file://" + tempfile.mkdtemp(prefix="trailhead-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    return named
-
-
+shared_dir, ship = session.shared_dir, session.ship
 
 
 def _steady_heap() -> None:
@@ -48,23 +32,13 @@ def _steady_heap() -> None:
 
 
 _steady_heap()
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package to the workers where their path does not have it (once for each application)."""
-    root, sc = package_dir(), spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    if root == os.getcwd() or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    to = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "trailhead"), "zip", root, "trailhead")
-    sc.addPyFile(to)
 
 
 def tune(spark: SparkSession) -> None:
-    """Small arrow batches, since a batch holds whole texts; the package on every worker."""
+    """The package on every worker, and small arrow batches, since a batch holds whole texts.
+
+    The size of a batch is a setting of the session and is read when a plan runs, so it stays set.
+    """
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
@@ -91,6 +65,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Hadoop's names of stores that pyarrow knows by another one.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "gcs": "gs"}
+
+
 def fs_of(uri: str):
     """(filesystem, path) for an executor: local files directly, other stores by pyarrow's connectors."""
     from pyarrow import fs
@@ -99,15 +77,34 @@ def fs_of(uri: str):
         return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
+
+
+def text(name: str):
+    """A column as text: null is empty, and bytes that are no UTF-8 (a file may hold some) are replaced by U+FFFD."""
+    return F.make_valid_utf8(F.coalesce(F.col(name).cast("string"), F.lit("")))
 
 
 def text_key(id_col: str, text_col: str) -> list:
-    """Internal columns: ``_k`` orders documents (null ids first), ``_t`` is the text without nulls."""
-    return [
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_k"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"),
-    ]
+    """Internal columns: ``_k`` orders documents (null ids first), ``_t`` is the text (see ``text``)."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_k"), text(text_col).alias("_t")]
+
+
+#: A key of more rows than this, and than a 50,000th of all, is looked up by broadcast: 50,000 rows at most.
+HOT_ROWS = 256
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, count: str, rows: int) -> DataFrame:
+    """``big`` (of ``rows`` rows) joined with ``small``, which has a row a key and the number of big's rows that have it.
+
+    Hot keys go to the rows, the others by shuffle, so that no task gets a hot key's rows.  ``count`` is dropped.
+    """
+    least = max(HOT_ROWS, rows // 50_000)
+    hot = small.where(F.col(count) > least).drop(count).withColumn("_hot", F.lit(True))
+    met = big.join(F.broadcast(hot), key, "left")
+    rest = met.where("_hot IS NULL").select(*big.columns).join(small.where(F.col(count) <= least).drop(count), key)
+    return met.where("_hot").drop("_hot").unionByName(rest)
 
 
 def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +136,6 @@ def pieces(offsets: np.ndarray, size: int):
         a = b
 
 
-def package_dir() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
 def plain(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """``df`` with its columns called _c0, _c1, …, so that no name of ours clashes, and their own names."""
     return df.toDF(*(f"_c{i}" for i in range(len(df.columns)))), df.columns
