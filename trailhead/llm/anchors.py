@@ -38,6 +38,7 @@ _SAMPLE = 64
 _SEG = np.dtype([("a", "<u8"), ("h", "<u8"), ("k", "<i8"), ("p", "<i4"), ("n", "<i2"), ("r", "<i2")])
 _PIECE = np.dtype([("k", "<i8"), ("p", "<i4"), ("n", "<i4"), ("len", "<i8")])
 DUP, NEED = 1, 2
+LONG = runtime.LONG
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,18 @@ class Scheme:
             return hashes.word_spans(data, off, hashes.NOT_SPACE)
         return None, None, off
 
+    def parts(self, data: np.ndarray, off: np.ndarray):
+        """(bytes, offsets, units before) of texts; one long text comes in parts, each with the windows that begin in it."""
+        if len(off) > 2 or len(data) <= LONG:
+            yield data, off, 0
+            return
+        before, lap = 0, self.window - 1
+        cuts = runtime.parts(data, hashes.NOT_SPACE, lap, LONG) if self.words else ((a, min(a + LONG + lap, len(data)), lap if a else 0) for a in range(0, max(len(data) - lap, 1), LONG))
+        for a, b, repeats in cuts:
+            part = data[a:b]
+            yield part, np.array([0, b - a]), before - repeats
+            before += (len(hashes.word_spans(part, np.array([0, b - a]), hashes.NOT_SPACE)[0]) if self.words else b - a) - repeats
+
     def units(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.words:
             s, e, first = self.spans(data, off)
@@ -129,12 +142,15 @@ def _segment_batches(scheme: Scheme, hot: np.ndarray, batches):
         data, off = runtime.bytes_of(batch.column("_t"))
         keys = batch.column("_k").to_numpy()
         for a, b in runtime.pieces(off, _BYTES):
-            x, first = scheme.units(data[off[a] : off[b]], off[a : b + 1] - off[a])
-            held.append(segments(scheme, x, first, keys[a:b], hot))
-            size += int(off[b] - off[a])
-            if size >= _FLUSH:
-                yield np.concatenate(held)
-                held, size = [], 0
+            for d, o, before in scheme.parts(data[off[a] : off[b]], off[a : b + 1] - off[a]):
+                x, first = scheme.units(d, o)
+                got = segments(scheme, x, first, keys[a:b], hot)
+                got["p"] += before
+                held.append(got)
+                size += len(d)
+                if size >= _FLUSH:
+                    yield np.concatenate(held)
+                    held, size = [], 0
     if held:
         yield np.concatenate(held)
 
@@ -301,20 +317,22 @@ def repeats(docs: DataFrame, scheme: Scheme, index, hot_segments: int = HOT_SEGM
     return marks.groupBy("_k").agg(F.flatten(F.collect_list("items")).alias("items"))
 
 
-def covered(items: np.ndarray, window: int, n: int) -> np.ndarray:
-    """Boolean mask of n units under the runs of windows."""
+def removed(items: np.ndarray, window: int, n: int) -> np.ndarray:
+    """(m, 2): the maximal runs of units under runs of windows, of a text of n units."""
     if not len(items):
-        return np.zeros(n, bool)
-    p, run, _ = unpack(items)
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, np.minimum(p, n), 1)
-    np.add.at(d, np.minimum(p + run - 1 + window, n), -1)
-    return np.cumsum(d[:n]) > 0
-
-
-def spans_of(mask: np.ndarray) -> np.ndarray:
-    """(m, 2) maximal runs of a mask."""
-    return np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).reshape(-1, 2)
+        return np.zeros((0, 2), np.int64)
+    p, run, _ = unpack(np.sort(items & 0xFFFFFFFFFF))
+    end = np.maximum.accumulate(np.minimum(p + run - 1 + window, n))
+    new = np.ones(len(p), bool)
+    new[1:] = p[1:] > end[:-1]
+    at = np.flatnonzero(new)
+    return np.stack([p[at], end[np.append(at[1:], len(p)) - 1]], 1)
+
+
+def rest(spans: np.ndarray, n: int) -> np.ndarray:
+    """(m, 2): the runs between the spans, none empty."""
+    cuts = np.concatenate([[0], spans.reshape(-1), [n]]).reshape(-1, 2)
+    return cuts[cuts[:, 0] < cuts[:, 1]]
 
 
 def remove(docs: DataFrame, marks: DataFrame, cutter, new: list[T.StructField]) -> DataFrame:

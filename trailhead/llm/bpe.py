@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import runtime
+from . import hashes, runtime
 
+LONG = runtime.LONG
+_STEP, _AT_ONCE = 1 << 16, 1 << 20
 # classes of code points
 LETTER, NUMBER, SPACE, WHITE, OTHER, APOS, SINGLE, R, V, L, E, END = range(12)
 # states after a code point
@@ -118,10 +120,37 @@ def starts(cls: np.ndarray) -> np.ndarray:
     return begun | white & (~before | last)
 
 
+def _safe(data: np.ndarray, near: int) -> int:
+    """A place at or after ``near`` where a pre-token starts whatever is around it: a space between two ASCII letters."""
+    while near < len(data):
+        part = hashes.LOWER[data[near - 1 : near + _STEP]]
+        letter = (part >= 97) & (part <= 122)
+        at = np.flatnonzero(letter[:-2] & (part[1:-1] == 32) & letter[2:])
+        if len(at):
+            return near + int(at[0])
+        near += _STEP - 1
+    return len(data)
+
+
 def boundaries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(byte offsets of pre-token starts and the end, index of each document's first pre-token)."""
+    """(byte offsets of pre-token starts and the end, index of each document's first pre-token).
+
+    A long text is taken in parts that begin where a pre-token is sure to.
+    """
     if not len(data):
         return np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
+    if len(data) > LONG and len(offsets) == 2:
+        found, a = [], 0
+        while a < len(data):
+            b = _safe(data, min(a + LONG, len(data)))
+            found.append(_boundaries(data[a:b], np.array([0, b - a]))[0][:-1] + a)
+            a = b
+        at = np.concatenate(found)
+        return np.append(at, len(data)), np.array([0, len(at)])
+    return _boundaries(data, offsets)
+
+
+def _boundaries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.flatnonzero((data & 0xC0) != 0x80)
     ends = np.searchsorted(at, offsets[1:])
@@ -203,6 +232,15 @@ class Encoder:
         get, miss, cuts = self.cache.get, self.__missing, bounds.tolist()
         return [get(w) or miss(w) for w in map(raw.__getitem__, map(slice, cuts, cuts[1:]))]
 
+    def ids(self, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each pre-token, all ids)."""
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for a in range(0, len(bounds) - 1, _AT_ONCE):
+            toks = self.tokens(raw, bounds[a : a + _AT_ONCE + 1])
+            sizes.append(np.fromiter(map(len, toks), np.int64, len(toks)))
+            ids.append(np.fromiter(chain.from_iterable(toks), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(ids)
+
     def decode(self, ids: np.ndarray) -> bytes:
         lens = self.lens[ids]
         to = np.cumsum(lens)
@@ -247,13 +285,11 @@ def _encode(shared, text: str, keep: list[str]):
     def f(batches):
         enc = encoder(shared)
         for batch in batches:
-            data, off = runtime.bytes_of(batch.column(text))
+            data, off = runtime.texts_of(batch.column(text))
             for a, b in runtime.pieces(off, _BYTES):
                 d = data[off[a] : off[b]]
                 bounds, first = boundaries(d, off[a : b + 1] - off[a])
-                toks = enc.tokens(d.tobytes(), bounds)
-                sizes = np.fromiter(map(len, toks), np.int64, len(toks))
-                ids = np.fromiter(chain.from_iterable(toks), np.int32, int(sizes.sum()))
+                sizes, ids = enc.ids(d.tobytes(), bounds)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])[first]
                 to = np.cumsum(enc.lens[ids])
                 base = np.repeat(off[a:b] - off[a], np.diff(cuts))
@@ -268,7 +304,7 @@ def _encode(shared, text: str, keep: list[str]):
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``ends`` (byte offset of each id's end in the text); map only.
 
-    Null and empty texts have empty arrays.  All other columns pass through unchanged; columns that are called ids or
+    Null and empty texts have empty arrays; bytes that are no UTF-8 are read as U+FFFD, and the ends are of that text.  All other columns pass through unchanged; columns that are called ids or
     ends already are replaced.  Repeated rows are encoded each.  Empty input: no rows.
     """
     spark = docs.sparkSession

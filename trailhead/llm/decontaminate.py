@@ -157,23 +157,7 @@ def search(index: Index, low: np.ndarray, starts, ends, first, x: np.ndarray) ->
 
 
 def _parts(data: np.ndarray):
-    """Ranges of a long text that end between words, each beginning WINDOW - 1 words before the end of the last, and
-    the number of words that it repeats."""
-    a = repeats = 0
-    while True:
-        b = min(len(data), a + LONG)
-        while b < len(data) and hashes.ALNUM[data[b]]:
-            b += 1
-        yield a, b, repeats
-        if b == len(data):
-            return
-        back = max(a, b - (1 << 16))
-        s, _, _ = hashes.word_spans(data[back:b], np.array([0, b - back]), hashes.ALNUM)
-        while len(s) < WINDOW and back > a:
-            back = max(a, back - LONG // 8)
-            s, _, _ = hashes.word_spans(data[back:b], np.array([0, b - back]), hashes.ALNUM)
-        repeats = min(WINDOW - 1, len(s))
-        a = back + int(s[-repeats]) if repeats else b
+    return runtime.parts(data, hashes.ALNUM, WINDOW - 1, LONG)
 
 
 def _long(index: Index, data: np.ndarray) -> tuple[np.ndarray, list[int]]:

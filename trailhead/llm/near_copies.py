@@ -49,6 +49,7 @@ _PAIRS = list(combinations(range(SEGMENTS), 2))
 _KEYS = len(_PAIRS) * KEYS
 _ENTRY = np.dtype([("key", "<u4"), ("n", "<u2"), ("node", "<i8"), ("bits", "<u8", CANDIDATE_BITS // 64)])
 _EPS = 1e-9
+LONG, _BYTES = runtime.LONG, 1 << 20
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +75,17 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.nd
     return h[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
 
 
+def _long_set(data: np.ndarray, shingle: int) -> np.ndarray:
+    """The distinct shingles of a long text, gathered from parts; a part repeats the last words of the one before."""
+    got, words = np.zeros(0, np.uint64), 0
+    for a, b, repeats in runtime.parts(data, hashes.NOT_SPACE, shingle - 1, LONG):
+        low = hashes.LOWER[data[a:b]]
+        s, e, _ = hashes.word_spans(low, np.array([0, b - a]), hashes.NOT_SPACE)
+        got = np.union1d(got, hashes.grams(hashes.span_hashes(low, s, e), shingle))
+        words += len(s) - repeats
+    return got if words >= shingle else shingle_sets(data, np.array([0, len(data)]), shingle)[0]
+
+
 def projections(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(documents, BINS): the signed counts of each set's shingles in bins, times the Hadamard matrix."""
     n = len(first) - 1
@@ -109,9 +121,12 @@ def keys_of(p: np.ndarray) -> np.ndarray:
 def _blocks(batch, shingle: int):
     """(first row, last, node, check, hashes, first) for every 64 rows; node and check are hashes of the set."""
     data, off = runtime.bytes_of(batch.column("_t"))
-    for a in range(0, batch.num_rows, 64):
-        b = min(batch.num_rows, a + 64)
-        h, first = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], shingle)
+    for a, b in ((x, min(x + 64, q)) for p, q in runtime.pieces(off, _BYTES) for x in range(p, q, 64)):
+        if b == a + 1 and off[b] - off[a] > LONG:
+            h = _long_set(data[off[a] : off[b]], shingle)
+            first = np.array([0, len(h)])
+        else:
+            h, first = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], shingle)
         raw = [h[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
         node, check = (np.array([xxhash.xxh3_64_intdigest(r, seed) for r in raw], np.uint64).view(np.int64) for seed in (0, 1))
         yield a, b, node, check, h, first

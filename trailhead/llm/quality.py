@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def f(batches):
         m = shared.value
         for batch in batches:
-            data, off = runtime.bytes_of(batch.column(text_col))
+            data, off = runtime.texts_of(batch.column(text_col))
             out = []
             for a, b in runtime.pieces(off, _BYTES):
                 q = quality(m, *features(data[off[a] : off[b]], off[a : b + 1] - off[a]))

@@ -126,6 +126,44 @@ def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
+def texts_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``bytes_of`` a text column; bytes that are no UTF-8 are replaced by U+FFFD, as ``text`` does in a plan."""
+    data, off = bytes_of(col)
+    try:
+        data.tobytes().decode()
+        return data, off
+    except UnicodeDecodeError:
+        raw = data.tobytes()
+        good = [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(off[:-1], off[1:])]
+        return np.frombuffer(b"".join(good), np.uint8), np.concatenate([[0], np.cumsum([len(g) for g in good])]).astype(np.int64)
+
+
+#: A text of more bytes is worked through in parts, so that its memory is that of a part and of the result.
+LONG = 8 << 20
+
+
+def parts(data: np.ndarray, table: np.ndarray, overlap: int, size: int):
+    """Ranges (a, b, repeats) of a text, each with about ``size`` bytes more than the last.  They end between words (table: bytes of words) or at
+    the end; each begins with the last ``overlap`` words of the one before, or as many (``repeats``) as that has."""
+    a = b = repeats = 0
+    while True:
+        b = min(len(data), b + size)  # every part has new bytes, however few words the last one had
+        while b < len(data) and table[data[b]]:
+            b += 1
+        yield a, b, repeats
+        if b == len(data):
+            return
+        back, s = b, np.zeros(0, np.int64)
+        while len(s) <= overlap and back > a:
+            back = max(a, b - max(4096, 4 * (b - back)))
+            while back > a and table[data[back]]:
+                back -= 1
+            w = table[data[back:b]]
+            s = np.flatnonzero(w & ~np.concatenate([[False], w[:-1]]))
+        repeats = min(overlap, len(s))
+        a = back + int(s[-repeats]) if repeats else b
+
+
 def pieces(offsets: np.ndarray, size: int):
     """Row ranges (a, b) whose bytes are about ``size``; a longer row stands alone."""
     a, n = 0, len(offsets) - 1

@@ -24,6 +24,7 @@ from . import hashes, runtime
 K = 128
 SHINGLE = 5
 _BYTES = 1 << 20
+LONG = runtime.LONG
 
 
 def sketches(texts: list[bytes], k: int = K, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -32,6 +33,9 @@ def sketches(texts: list[bytes], k: int = K, shingle: int = SHINGLE) -> list[np.
     data = np.frombuffer(b"".join(texts), np.uint8)
     out = []
     for a, b in runtime.pieces(off, _BYTES):
+        if b == a + 1 and off[b] - off[a] > LONG:
+            out.append(_long(data[off[a] : off[b]], k, shingle))
+            continue
         low = hashes.LOWER[data[off[a] : off[b]]]
         s, e, first = hashes.word_spans(low, off[a : b + 1] - off[a], hashes.NOT_SPACE)
         x = hashes.span_hashes(low, s, e)
@@ -47,6 +51,21 @@ def sketches(texts: list[bytes], k: int = K, shingle: int = SHINGLE) -> list[np.
     return out
 
 
+def _long(data: np.ndarray, k: int, shingle: int) -> np.ndarray:
+    """The sketch of a long text, merged from its parts; a part repeats the last words of the one before."""
+    got, words = np.zeros(0, np.uint64), 0
+    for a, b, repeats in runtime.parts(data, hashes.NOT_SPACE, shingle - 1, LONG):
+        low = hashes.LOWER[data[a:b]]
+        s, e, _ = hashes.word_spans(low, np.array([0, b - a]), hashes.NOT_SPACE)
+        got = np.union1d(got, hashes.grams(hashes.span_hashes(low, s, e), shingle))[:k]
+        words += len(s) - repeats
+    if words >= shingle:
+        return got
+    low = hashes.LOWER[data]
+    s, e, _ = hashes.word_spans(low, np.array([0, len(data)]), hashes.NOT_SPACE)
+    return hashes.grams(hashes.span_hashes(low, s, e), words) if words else got
+
+
 def _smallest(h: np.ndarray, k: int) -> np.ndarray:
     n = 2 * k
     while n < len(h):
@@ -99,7 +118,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text", k: int = K) -> DataFram
 
     def f(batches):
         for batch in batches:
-            data, off = runtime.bytes_of(batch.column(text_col))
+            data, off = runtime.texts_of(batch.column(text_col))
             raw = data.tobytes()
             got = sketches([raw[s:e] for s, e in zip(off[:-1], off[1:])], k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([to_text(x) for x in got]), pa.array([distinct(x, k) for x in got])], [*keep, "fingerprint", "n_shingles"])

@@ -66,12 +66,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     def cutter(raw: bytes, items: np.ndarray):
         data = np.frombuffer(raw, np.uint8)
         s, e, _ = hashes.word_spans(data, np.array([0, len(data)]), hashes.NOT_SPACE)
-        mask = anchors.covered(items, window, len(s))
-        gone = int(mask.sum())
-        if not gone:
+        spans = anchors.removed(items, window, len(s))
+        if not len(spans):
             return raw.decode("utf-8", "replace"), len(s), 0, []
-        kept = b" ".join(raw[s[a] : e[b - 1]] for a, b in anchors.spans_of(~mask))
-        return kept.decode("utf-8", "replace"), len(s), gone, anchors.spans_of(mask).tolist()
+        kept = b" ".join(raw[s[a] : e[b - 1]] for a, b in anchors.rest(spans, len(s)))
+        return kept.decode("utf-8", "replace"), len(s), int((spans[:, 1] - spans[:, 0]).sum()), spans.tolist()
 
     new = [
         T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),

@@ -158,10 +158,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     marks = anchors.repeats(keyed.select("_k", "_t"), scheme, index_of(window), hot_segments)
 
     def cutter(raw: bytes, items: np.ndarray):
-        mask = anchors.covered(items, window, len(raw))
-        if not mask.any():
-            return raw, len(raw), 0, []
-        return b"".join(raw[a:b] for a, b in anchors.spans_of(~mask)), len(raw), int(mask.sum()), anchors.spans_of(mask).tolist()
+        spans = anchors.removed(items, window, len(raw))
+        kept = b"".join(raw[a:b] for a, b in anchors.rest(spans, len(raw))) if len(spans) else raw
+        return kept, len(raw), int((spans[:, 1] - spans[:, 0]).sum()), spans.tolist()
 
     new = [
         T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),

@@ -184,7 +184,8 @@ def count(docs: DataFrame, vocabulary: str, text_col: str = "text", edits_col: s
     """``docs`` with n_tokens, n_pretokens and, after the edits, edited_n_tokens, n_reencoded, edited_text.
 
     ``edits_col``: array<struct<at:int, removed:int, text:string>> in code points of the text at that time, applied in
-    order; a position beyond the end is the end, a null edit or a null array does nothing, null text is empty.  Map
+    order; a position beyond the end is the end, a null edit or a null array does nothing, null text is empty, and bytes
+    that are no UTF-8 are read as U+FFFD.  Map
     only.  Columns with the new names are replaced, others pass through; repeated rows are counted each.  Empty input:
     no rows.
     """
@@ -197,13 +198,13 @@ def count(docs: DataFrame, vocabulary: str, text_col: str = "text", edits_col: s
     def f(batches):
         enc = bpe.encoder(shared)
         for batch in batches:
-            data, off = runtime.bytes_of(batch.column(text_col))
+            data, off = runtime.texts_of(batch.column(text_col))
             edits = batch.column(edits_col).to_pylist() if edits_col else [None] * batch.num_rows
             rows = []
             for a, b in runtime.pieces(off, 1 << 20):
                 raw = data[off[a] : off[b]].tobytes()
                 bounds, first = bpe.boundaries(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                counts = np.fromiter(map(len, enc.tokens(raw, bounds)), np.int64, len(bounds) - 1)
+                counts = enc.ids(raw, bounds)[0]
                 sizes = np.diff(bounds)
                 trees, texts = [], []
                 for i in range(a, b):
