@@ -243,8 +243,9 @@ def test_fm_index_against_scan():
         count = lambda k: sum(s[i : i + k] == q[e - k : e].tolist() for i in range(len(s) - k + 1))
         want = max(k for k in range(11) if not k or count(k))
         assert g == want and b - a == (count(want) if want else fm.n)
-        if g:
-            assert sorted(fm.sa[a:b])[0] == fm.first(np.array([a]), np.array([b]))[0]
+        if want:
+            assert sorted(fm.locate(np.arange(a, b)).tolist()) == [i for i in range(len(s) - want + 1) if s[i : i + want] == q[e - want : e].tolist()]
+    assert fm.locate(np.arange(fm.n)).tolist() == suffix_array(text).tolist() and len(fm.samples) <= len(text) // 32 + 1
 
 
 def test_family_levels_merge():
@@ -365,3 +366,29 @@ def test_texts_under_one_id_are_kept_apart(spark):
     for order in (rows, rows[::-1]):
         got = sorted(map(tuple, simhash.dedup(spark.createDataFrame(order, SCHEMA).coalesce(1)).collect()))
         assert got == [(5, "b b b one two three"), (5, "c c c four five six")]
+
+
+@pytest.mark.parametrize("shards", [1, 64])
+def test_any_number_of_shards(spark, shards):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = substrings.dedup(df, 20, shards=shards).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, b" ".join(r.kept.encode().split())) for r in got} == repeats_model(rows, 20, True)
+    got = suffix_arrays.dedup(df, 100, shards=shards).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in got} == repeats_model(rows, 100, False)
+
+
+def test_batches_against_a_stored_family_equal_one_run(spark, tmp_path):
+    rows = corpus(6)
+    want = repeats_model(rows, 60, False)
+    place = f"file://{tmp_path}/index"
+    cuts = [0, 30, 31, 70, len(rows)]
+    for a, b in zip(cuts, cuts[1:]):
+        got = suffix_arrays.Index(spark, place, 60, shards=5).add(spark.createDataFrame(rows[a:b], SCHEMA)).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in got} == {i: want[i] for i, _ in rows[a:b]}
+    index = suffix_arrays.Index(spark, place, 60)
+    assert [rank for rank, _ in index._state()["levels"]] == [2] and index.add(spark.createDataFrame([], SCHEMA)).isEmpty()
+    with pytest.raises(ValueError, match="larger"):
+        index.add(spark.createDataFrame(rows[:2], SCHEMA))
+    with pytest.raises(ValueError, match="windows"):
+        suffix_arrays.Index(spark, place, 61).add(spark.createDataFrame(rows[:2], SCHEMA))

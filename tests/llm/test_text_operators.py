@@ -385,3 +385,22 @@ def test_long_texts_are_searched_in_parts(spark, monkeypatch):
         text = " ".join(rnd.choice("abc") * 2 for _ in range(1500)) + " " + items[0][1]
         hit, its = decontaminate._long(index, np.frombuffer(text.encode(), np.uint8))
         assert (len(hit), int(hit.sum()), sorted(index.names[i] for i in its)) == hits_model(text, items)
+
+
+def test_kept_trees_follow_edits(spark, tmp_path):
+    """Trees are a table: written, read, edited twice, and each time as if counted anew."""
+    docs = spark.createDataFrame([(1, "the quick brown fox, it's 42 " * 40), (2, ""), (3, None), (4, "Ünï cödé\n\n x")], "doc_id long, text string").withColumn("tree", F.lit("mine"))
+    token_counts.grow(docs, PATH).write.parquet(f"{tmp_path}/t0")
+    for k in range(2):
+        kept = spark.read.parquet(f"{tmp_path}/t{k}")
+        edits = F.when(F.col("doc_id") != 4, token_counts.proof_edits())
+        token_counts.edit(kept.withColumn("e", edits), PATH, "e").drop("e").write.parquet(f"{tmp_path}/t{k + 1}")
+        now = spark.read.parquet(f"{tmp_path}/t{k + 1}")
+        fresh = {r.doc_id: (r.tree, r.n_tokens) for r in token_counts.grow(now, PATH).collect()}
+        for r in now.collect():
+            assert r.n_tokens == len(TIK.encode_ordinary(r.text or "")) and sum(r.tree.counts) == r.n_tokens
+            assert (r.tree.sizes, r.tree.counts) == tuple(fresh[r.doc_id][0]) and (r.n_reencoded == 0) == (r.doc_id == 4)
+            assert r.doc_id != 1 or r.n_reencoded < 60
+    broken = kept.withColumn("text", F.concat(F.lit("x"), F.coalesce("text", F.lit(""))))
+    with pytest.raises(Exception, match="belong together"):
+        token_counts.edit(broken.withColumn("e", token_counts.proof_edits()), PATH, "e").collect()

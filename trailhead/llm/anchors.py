@@ -195,7 +195,9 @@ def unpack(items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (items >> 8) & 0xFFFFFFFF, items & 0xFF, items >> 40
 
 
-def _resolve(n_shards: int):
+def _resolve(n_shards: int, after: int | None = None):
+    """``after``: documents up to this key were judged before; what concerns only them is left out."""
+
     def f(batches):
         loads: dict[int, list] = {0: [], DUP: []}
         for batch in batches:
@@ -211,7 +213,13 @@ def _resolve(n_shards: int):
             new = np.ones(len(firsts), bool)
             new[1:] = firsts["a"][1:] != firsts["a"][:-1]
             several = np.diff(np.append(np.flatnonzero(new), len(firsts)))[np.cumsum(new) - 1] > 1
-            need = firsts[several | (firsts["r"] > 0)]
+            want = several | (firsts["r"] > 0)
+            if after is not None:
+                late = (firsts["k"] > after).astype(np.int64)
+                group = np.cumsum(new) - 1
+                want &= (np.bincount(group, late, group[-1] + 1) > 0)[group] if len(group) else want
+                want &= several | (late > 0)
+            need = firsts[want]
             if len(need):
                 shard = (hashes.mix(need["a"], 11) % np.uint64(n_shards)).astype(np.int64)
                 yield _by_document(need["k"], pack(need["p"], need["n"], shard), NEED)
@@ -303,18 +311,67 @@ def _hot(docs: DataFrame, scheme: Scheme, least: int) -> np.ndarray:
     return np.sort(np.array([r.a for r in rows], np.int64).view(np.uint64))
 
 
-def repeats(docs: DataFrame, scheme: Scheme, index, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+MARKS, LOADS = "_k long, items array<long>", "shard int, kind int, load binary"
+#: Bytes of text that a shard stands for at most: shards are as many as shuffle partitions, or more by this.
+SHARD_BYTES = 64 << 20
+
+
+def hot_anchors(docs: DataFrame, scheme: Scheme, hot_segments: int = HOT_SEGMENTS) -> np.ndarray:
+    return _hot(docs, scheme, hot_segments)
+
+
+def repeats(docs: DataFrame, scheme: Scheme, index, hot_segments: int = HOT_SEGMENTS, shards: int | None = None) -> DataFrame:
     """(_k, items): the runs of repeated windows of each document in ``docs`` (_k, _t) that has any."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
+    n = shards or max(runtime.partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+    return _judged(docs, docs, [], scheme, index, _hot(docs, scheme, hot_segments), n, None)[0]
+
+
+def repeats_against(docs: DataFrame, earlier: DataFrame | None, levels: list[DataFrame], scheme: Scheme, index, hot: np.ndarray, n: int, after: int | None) -> tuple[DataFrame, DataFrame]:
+    """(marks of ``docs``, their level): as ``repeats``, against ``earlier`` texts, whose segments the levels hold."""
+    every = docs.unionByName(earlier) if earlier is not None else docs
+    marks, sent = _judged(docs, every, levels, scheme, index, hot, n, after)
+    return marks, sent.repartitionById(n, "shard").mapInArrow(_fresh(after), LOADS)
+
+
+def _judged(docs, texts, levels, scheme, index, hot, n, after) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    n = runtime.partitions(spark)
-    found = _hot(docs, scheme, hot_segments)
-    hot = spark.sparkContext.broadcast(found) if len(found) else None
-    sent = docs.mapInArrow(_send(scheme, hot, n), "shard int, kind int, load binary")
-    links = runtime.stored(sent.repartitionById(n, "shard").mapInArrow(_resolve(n), _LINKS), "links")
+    shared = spark.sparkContext.broadcast(hot) if len(hot) else None
+    sent = docs.mapInArrow(_send(scheme, shared, n), LOADS)
+    for x in levels:
+        sent = sent.unionByName(x)
+    if after is not None or levels:
+        sent = runtime.stored(sent, "sent")
+    links = runtime.stored(sent.repartitionById(n, "shard").mapInArrow(_resolve(n, after), _LINKS), "links")
     needs = links.where(F.col("kind") == NEED).groupBy("_k").agg(F.flatten(F.collect_list("items")).alias("items"))
-    pieces = docs.join(needs, "_k").mapInArrow(_cut(scheme), "shard int, load binary").repartitionById(n, "shard")
+    pieces = texts.join(needs, "_k").mapInArrow(_cut(scheme), "shard int, load binary").repartitionById(n, "shard")
     marks = pieces.mapInArrow(_search(index), _LINKS).unionByName(links.where(F.col("kind") == DUP))
-    return marks.groupBy("_k").agg(F.flatten(F.collect_list("items")).alias("items"))
+    marks = marks if after is None else marks.where(F.col("_k") > after)
+    return marks.groupBy("_k").agg(F.flatten(F.collect_list("items")).alias("items")), sent
+
+
+def _fresh(after: int | None):
+    """The first occurrences of a shard that a level does not hold yet."""
+
+    def f(batches):
+        seg, shard = [], None
+        for batch in batches:
+            for s, kind, load in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "load"))):
+                if kind == 0:
+                    seg.append(np.frombuffer(load, _SEG))
+                    shard = s
+        if seg:
+            firsts = collapse(np.concatenate(seg))[0]
+            firsts = firsts if after is None else firsts[firsts["k"] > after]
+            if len(firsts):
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([0], pa.int32()), pa.array([firsts.tobytes()], pa.binary())], ["shard", "kind", "load"])
+
+    return f
+
+
+def level(loads: DataFrame, n: int) -> DataFrame:
+    """Levels as one."""
+    return loads.repartitionById(n, "shard").mapInArrow(_fresh(None), LOADS)
 
 
 def removed(items: np.ndarray, window: int, n: int) -> np.ndarray:

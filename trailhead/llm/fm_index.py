@@ -2,13 +2,16 @@
 
 The text is a sequence of integers.  The wavelet tree is stored level by level (a wavelet matrix): one bit a symbol and
 level, packed in 64-bit words with a running count a word, so that the index has about log2(alphabet) bits a symbol and
-a rank is one popcount.  Only positions by suffix order are kept besides, for locating.
+a rank is one popcount.  No suffix array is kept: every ``SAMPLE``-th position of the text is, and the others are found by
+stepping back through the transform.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+SAMPLE = 32
+
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix order by prefix doubling.  The last symbol must be the smallest and occur once."""
@@ -46,28 +49,42 @@ class WaveletTree:
             self.zeros.append(int(n - bit.sum()))
             cur = np.concatenate([cur[bit == 0], cur[bit == 1]])
 
+    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Set bits of a level before ``at``."""
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.counts[level][word] + np.bitwise_count(self.words[level][word] & mask)
+
     def rank(self, symbol: np.ndarray, at: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Occurrences of symbol before ``at``; base[symbol] is where its run starts on the last level."""
         i = at
         for level in range(self.bits):
-            word = i >> 6
-            mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.counts[level][word] + np.bitwise_count(self.words[level][word] & mask)
+            ones = self._ones(level, i)
             bit = (symbol >> (self.bits - 1 - level)) & 1
             i = np.where(bit, self.zeros[level] + ones, i - ones)
         return i - base[symbol]
 
+    def access(self, at: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the symbol at each place, its occurrences before)."""
+        i, symbol = at, np.zeros(len(at), np.int64)
+        for level in range(self.bits):
+            bit = (self.words[level][i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+            ones = self._ones(level, i)
+            symbol = symbol << 1 | bit
+            i = np.where(bit, self.zeros[level] + ones, i - ones)
+        return symbol, i - base[symbol]
+
 
 class FMIndex:
     def __init__(self, text: np.ndarray):
         """``text``: integers from 0; its last symbol must be the only 0."""
         self.n = len(text)
-        self.sa = suffix_array(text)
+        sa = suffix_array(text)
         sigma = int(text.max()) + 1
         counts = np.bincount(text, minlength=sigma + 1)
         self.below = np.concatenate([[0], np.cumsum(counts)])  # symbols smaller than s
         bits = max(1, int(sigma - 1).bit_length())
-        self.tree = WaveletTree(text[self.sa - 1], bits)
+        self.tree = WaveletTree(text[sa - 1], bits)
         order = np.arange(sigma)
         shuffled = np.zeros(sigma, np.int64)
         for b in range(bits):
@@ -76,6 +93,10 @@ class FMIndex:
         self.base = np.zeros(sigma + 1, np.int64)
         self.base[place] = np.concatenate([[0], np.cumsum(counts[:sigma][place])[:-1]])
 
+        kept = sa % SAMPLE == 0
+        self.marked = WaveletTree(kept.astype(np.int64), 1)
+        self.samples = sa[kept].astype(np.int32)
+
     def step(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with ``symbol`` put in front."""
         c = self.below[symbol]
@@ -98,10 +119,17 @@ class FMIndex:
                 break
         return got, lo, hi
 
-    def first(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The smallest text position of each interval; intervals are equal or disjoint, none empty."""
-        start, back = np.unique(lo, return_inverse=True)
-        stop = np.zeros(len(start), np.int64)
-        stop[back] = hi
-        cuts = np.stack([start, stop], 1).reshape(-1)
-        return np.minimum.reduceat(np.append(self.sa, self.n), cuts)[::2][back]
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Text positions of the suffixes at these places of the order, by steps back to a sampled one."""
+        out, at, live = np.zeros(len(rows), np.int64), rows.astype(np.int64), np.arange(len(rows))
+        one = np.zeros(2, np.int64)
+        for back in range(SAMPLE):
+            if not len(live):
+                break
+            here = at[live]
+            known = self.marked.access(here, one)[0] == 1
+            out[live[known]] = self.samples[self.marked._ones(0, here[known])] + back
+            live = live[~known]
+            symbol, before = self.tree.access(at[live], self.base)
+            at[live] = self.below[symbol] + before
+        return out

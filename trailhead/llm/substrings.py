@@ -1,9 +1,9 @@
 """Substring dedup: repeated runs of words by a compressed FM-index for each shard.
 
 ``anchors`` deals windows of words out to shards by content and fetches the distinct passages that may share a window.
-Each shard indexes its passages, in document order, and then streams them through the index: backward search over the
+Each shard indexes its passages and then streams them through the index in document order: backward search over the
 wavelet tree gives, for every position, the matching statistics up to the window's length; where they reach it, the
-suffix interval holds all places of the window, and the window is repeated if the first of them is not its own.
+suffix interval holds all places of the window, and the window is repeated if its interval was met before.
 """
 
 from __future__ import annotations
@@ -33,19 +33,21 @@ def index_of(window: int):
         piece = np.repeat(np.arange(len(texts)), runs)
         offset = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
         start = begin[piece] + offset
-        found = np.zeros(len(start), bool)
+        found, met = np.zeros(len(start), bool), np.zeros(fm.n, bool)
         for a in range(0, len(start), _AT_ONCE):
             s = start[a : a + _AT_ONCE]
-            got, lo, hi = fm.matching(text, s + window, window, least=2)
+            got, lo, _ = fm.matching(text, s + window, window, least=2)
             full = np.flatnonzero(got == window)
-            if len(full):
-                found[a + full] = fm.first(lo[full], hi[full]) < s[full]
+            found[a + full] = True
+            at, earliest = np.unique(lo[full], return_index=True)  # a window's interval is known by where it begins
+            found[a + full[earliest[~met[at]]]] = False
+            met[at] = True
         return piece[found], offset[found]
 
     return index
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot_segments: int = anchors.HOT_SEGMENTS) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot_segments: int = anchors.HOT_SEGMENTS, shards: int | None = None) -> DataFrame:
     """``docs`` with ``kept`` (the text without repeated words), n_words, n_removed and removed_spans (word ranges).
 
     A word goes if some window of ``window`` words over it also starts earlier: in a document with a smaller id, or in
@@ -61,7 +63,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     inner, own = runtime.plain(src)
     keyed = runtime.order_keys(inner, *(f"_c{own.index(c)}" for c in (id_col, text_col)))
     scheme = anchors.Scheme(True, window, min(GRAM, window))
-    marks = anchors.repeats(keyed.select("_k", "_t"), scheme, index_of(window), hot_segments)
+    marks = anchors.repeats(keyed.select("_k", "_t"), scheme, index_of(window), hot_segments, shards)
 
     def cutter(raw: bytes, items: np.ndarray):
         data = np.frombuffer(raw, np.uint8)

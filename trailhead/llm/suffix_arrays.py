@@ -10,8 +10,12 @@ rank merge, so that a window takes part in a logarithmic number of merges.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import anchors, runtime
@@ -71,8 +75,9 @@ class Level:
             group += np.cumsum(step, dtype=np.int32)
         return order, group
 
-    def holds(self, other: "Level") -> np.ndarray:
-        """Which of the other's windows (in its suffix order) occur here."""
+    def place(self, other: "Level") -> tuple[np.ndarray, np.ndarray]:
+        """A merge scan of the other's windows, in their order: which of them occur here, and before which of these the
+        others belong."""
         at, there = other.sa, other.view
         lo = np.searchsorted(self.head, other.head, "left")
         hi = np.searchsorted(self.head, other.head, "right")
@@ -91,7 +96,17 @@ class Level:
             lo[live[more]] = mid[more] + 1
             live = live[(less | more)]
             live = live[lo[live] < hi[live]]
-        return found
+        return found, lo
+
+    def merged(self, other: "Level") -> "Level":
+        """Both orders as one; no window of the other occurs here, so none is sorted again."""
+        at = self.place(other)[1]
+        both = object.__new__(Level)
+        both.text, both.window, both.rank = self.text + other.text, self.window, self.rank + 1
+        both.view = _words(both.text)
+        both.sa = np.insert(self.sa, at, other.sa + np.int32(len(self.text)))
+        both.head = np.insert(self.head, at, other.head)
+        return both
 
 
 class Family:
@@ -105,18 +120,14 @@ class Family:
         level = Level(text, starts, self.window)
         old = np.zeros(len(level.sa), bool)
         for known in self.levels:
-            old |= known.holds(level)
+            old |= known.place(level)[0]
         new = level.first.copy()
         new[np.searchsorted(starts, level.sa[old])] = False
         level.sa, level.head = level.sa[~old], level.head[~old]
         self.levels.append(level)
         while len(self.levels) > 1 and self.levels[-2].rank <= self.levels[-1].rank:
             b, a = self.levels.pop(), self.levels.pop()
-            rank = a.rank
-            joined = Level(a.text + b.text, np.sort(np.concatenate([a.sa, b.sa + np.int32(len(a.text))])), self.window)
-            del a, b
-            joined.rank = rank + 1
-            self.levels.append(joined)
+            self.levels.append(a.merged(b))
         return new
 
 
@@ -139,7 +150,7 @@ def index_of(window: int, batch: int = BATCH):
     return index
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot_segments: int = anchors.HOT_SEGMENTS) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot_segments: int = anchors.HOT_SEGMENTS, shards: int | None = None) -> DataFrame:
     """``docs`` with ``kept`` (binary: the UTF-8 text without repeated bytes), n_bytes, n_removed, removed_spans.
 
     A byte goes if some string of ``window`` bytes over it also starts earlier: in a document with a smaller id, or in
@@ -148,15 +159,24 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     other; different texts under one id are documents in the order of their hashes.  Columns of those four names are replaced, others pass
     through.  Empty input: no rows.
     """
+    keyed, own = _keyed(docs, id_col, text_col)
+    marks = anchors.repeats(keyed.select("_k", "_t"), _scheme(window), index_of(window), hot_segments, shards)
+    return _cut(keyed, marks, own, window)
+
+
+def _scheme(window: int) -> anchors.Scheme:
     if window < 8:
         raise ValueError("a window has at least eight bytes")
+    return anchors.Scheme(False, window, min(GRAM, window))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
     runtime.tune(docs.sparkSession)
-    src = docs.drop("kept", "n_bytes", "n_removed", "removed_spans")
-    inner, own = runtime.plain(src)
-    keyed = runtime.order_keys(inner, *(f"_c{own.index(c)}" for c in (id_col, text_col)))
-    scheme = anchors.Scheme(False, window, min(GRAM, window))
-    marks = anchors.repeats(keyed.select("_k", "_t"), scheme, index_of(window), hot_segments)
+    inner, own = runtime.plain(docs.drop("kept", "n_bytes", "n_removed", "removed_spans"))
+    return runtime.order_keys(inner, *(f"_c{own.index(c)}" for c in (id_col, text_col))), own
 
+
+def _cut(keyed: DataFrame, marks: DataFrame, own: list[str], window: int) -> DataFrame:
     def cutter(raw: bytes, items: np.ndarray):
         spans = anchors.removed(items, window, len(raw))
         kept = b"".join(raw[a:b] for a, b in anchors.rest(spans, len(raw))) if len(spans) else raw
@@ -167,3 +187,59 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
         T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
     ]
     return anchors.remove(keyed, marks, cutter, new).toDF(*own, *(x.name for x in new))
+
+
+class Index:
+    """The family of a growing corpus, in a folder that all executors see.
+
+    Each batch of documents comes after all before it: its ids are larger.  A level is the table of the segments that
+    were new with its batches, packed by shard; the shards are fixed with the first batch.  A new batch's segments are
+    merged with those of every level in their shards: equal ones are repeats, and where an anchor has others the passages
+    are fetched and go through the suffix arrays.  Then the batch is the lowest level, and levels of equal rank merge, so
+    that a segment takes part in a logarithmic number of merges.  Texts of earlier batches are kept for this.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, window: int = WINDOW, shards: int | None = None):
+        self.spark, self.folder, self.window, self.shards = spark, folder.rstrip("/"), window, shards
+
+    def _state(self) -> dict:
+        """The newest manifest: shards, window, largest key, hot anchors, levels (rank, path), paths of texts."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(f"{self.folder}/manifest")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        done = [int(n) for n in names if n.isdigit() and fs.exists(hadoop.Path(f"{self.folder}/manifest/{n}/_SUCCESS"))]
+        if not done:
+            return {"version": 0, "shards": self.shards or runtime.partitions(self.spark), "window": self.window, "last": None, "hot": [], "levels": [], "texts": []}
+        return json.loads(self.spark.read.text(f"{self.folder}/manifest/{max(done)}").first()[0])
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``dedup`` of the batch, against itself and all batches before; the index then holds the batch."""
+        spark, state = self.spark, self._state()
+        if state["window"] != self.window:
+            raise ValueError(f"the index has windows of {state['window']} bytes")
+        keyed, own = _keyed(docs, id_col, text_col)
+        keyed = runtime.stored(keyed, "batch")
+        low, high = keyed.agg(F.min("_k"), F.max("_k")).first()
+        if high is None:
+            return _cut(keyed, spark.createDataFrame([], anchors.MARKS), own, self.window)
+        if state["last"] is not None and low <= state["last"]:
+            raise ValueError(f"ids of a batch must be larger than those before it; {low} is not larger than {state['last']}")
+        scheme, n, path = _scheme(self.window), state["shards"], f"{self.folder}/{uuid.uuid4().hex}"
+        keyed.select("_k", "_t").write.parquet(f"{path}-texts")
+        if not state["version"]:
+            state["hot"] = [int(x) for x in anchors.hot_anchors(keyed.select("_k", "_t"), scheme).tolist()]
+        levels = [spark.read.schema(anchors.LOADS).parquet(p) for _, p in state["levels"]]
+        earlier = spark.read.schema("_k long, _t string").parquet(*state["texts"]) if state["texts"] else None
+        marks, fresh = anchors.repeats_against(keyed.select("_k", "_t"), earlier, levels, scheme, index_of(self.window), np.array(state["hot"], np.uint64), n, state["last"])
+        fresh.write.parquet(f"{path}-level")
+        state["levels"].append([0, f"{path}-level"])
+        while len(state["levels"]) > 1 and state["levels"][-2][0] <= state["levels"][-1][0]:
+            (_, b), (rank, a) = state["levels"].pop(), state["levels"].pop()
+            joined = f"{self.folder}/{uuid.uuid4().hex}-level"
+            anchors.level(spark.read.schema(anchors.LOADS).parquet(a, b), n).write.parquet(joined)
+            state["levels"].append([rank + 1, joined])
+        marks = runtime.stored(marks, "marks")
+        state |= {"version": state["version"] + 1, "last": high, "texts": [*state["texts"], f"{path}-texts"]}
+        spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.folder}/manifest/{state['version']}")  # fails if another writer was first
+        return _cut(keyed, marks, own, self.window)

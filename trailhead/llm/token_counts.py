@@ -180,14 +180,91 @@ def of_text(encoder: bpe.Encoder, text: bytes) -> Tree:
     return Tree(np.diff(bounds), np.array([len(t) for t in encoder.tokens(text, bounds)], np.int64))
 
 
+#: A kept tree: the leaves in order; the inner sums follow from them.
+TREE = T.StructType([T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+
+
+def _trees(enc: bpe.Encoder, data: np.ndarray, off: np.ndarray) -> tuple[list[Tree], list[bytes], np.ndarray]:
+    """(tree and text of each document, their numbers of pre-tokens)."""
+    raw = data.tobytes()
+    bounds, first = bpe.boundaries(data, off)
+    counts, sizes = enc.ids(raw, bounds)[0], np.diff(bounds)
+    trees = [Tree(sizes[p:q], counts[p:q]) for p, q in zip(first[:-1], first[1:])]
+    return trees, [raw[p:q] for p, q in zip(off[:-1], off[1:])], np.diff(first)
+
+
+def _edited(enc: bpe.Encoder, trees: list[Tree], texts: list[bytes], edits: list) -> list[bytes]:
+    """The texts after their edits; the trees follow.  The k-th edits of all documents are pre-tokenised together."""
+    texts = list(texts)
+    for k in range(max((len(e or ()) for e in edits), default=0)):
+        due = [j for j, e in enumerate(edits) if len(e or ()) > k and e[k] is not None]
+        jobs = [in_points(trees[j], enc, texts[j], **{x: edits[j][k][x] for x in ("at", "removed", "text")}) for j in due]
+        for j, t in zip(due, lockstep(jobs)):
+            texts[j] = t
+    return texts
+
+
+def _column(trees: list[Tree]) -> pa.Array:
+    flat = [[[x for leaf in t.leaves for x in leaf[j]] for t in trees] for j in (0, 1)]
+    return pa.StructArray.from_arrays([pa.array(f, pa.list_(pa.int32())) for f in flat], ["sizes", "counts"])
+
+
+def grow(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``tree`` (see ``TREE``) and n_tokens: the table to keep beside a corpus that changes.
+
+    Null texts have empty trees; columns with the new names are replaced; bytes that are no UTF-8 are read as U+FFFD.
+    """
+    spark = docs.sparkSession
+    runtime.tune(spark)
+    src = docs.drop("tree", "n_tokens")
+    shared, keep = bpe.Vocabulary(spark, vocabulary), src.columns
+
+    def f(batches):
+        enc = bpe.encoder(shared)
+        for batch in batches:
+            data, off = runtime.texts_of(batch.column(text_col))
+            for a, b in runtime.pieces(off, 1 << 20):
+                trees = _trees(enc, data[off[a] : off[b]], off[a : b + 1] - off[a])[0]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), _column(trees), pa.array([t.total for t in trees], pa.int64())], [*keep, "tree", "n_tokens"])
+
+    return src.mapInArrow(f, T.StructType([*src.schema.fields, T.StructField("tree", TREE), T.StructField("n_tokens", T.LongType())]))
+
+
+def edit(grown: DataFrame, vocabulary: str, edits_col: str, text_col: str = "text") -> DataFrame:
+    """``grown`` after the edits in ``edits_col`` (as in ``count``): text, tree and n_tokens as they are then, and
+    n_reencoded, the pre-tokens that were encoded for it.  Nothing else of a text is; a row without edits is not read.
+
+    A tree whose sizes do not add up to its text raises.
+    """
+    spark = grown.sparkSession
+    runtime.tune(spark)
+    src = grown.drop("n_reencoded")
+    shared, names = bpe.Vocabulary(spark, vocabulary), src.columns
+
+    def f(batches):
+        enc = bpe.encoder(shared)
+        for batch in batches:
+            data, off = runtime.texts_of(batch.column(text_col))
+            raw, kept = data.tobytes(), batch.column("tree").to_pylist()
+            for a, b in runtime.pieces(off, 1 << 20):
+                trees = [Tree(*(np.array((t or {}).get(x) or [], np.int64) for x in ("sizes", "counts"))) for t in kept[a:b]]
+                if any(t.length != q - p for t, p, q in zip(trees, off[a:b], off[a + 1 : b + 1])):
+                    raise ValueError("tree and text do not belong together")
+                texts = _edited(enc, trees, [raw[p:q] for p, q in zip(off[a:b], off[a + 1 : b + 1])], batch.column(edits_col).slice(a, b - a).to_pylist())
+                new = {text_col: pa.array([t.decode() for t in texts], pa.string()), "tree": _column(trees), "n_tokens": pa.array([t.total for t in trees], pa.int64())}
+                cols = [new[c] if c in new else batch.column(c).slice(a, b - a) for c in names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([t.encoded for t in trees], pa.int64())], [*names, "n_reencoded"])
+
+    return src.mapInArrow(f, T.StructType([*src.schema.fields, T.StructField("n_reencoded", T.LongType())]))
+
+
 def count(docs: DataFrame, vocabulary: str, text_col: str = "text", edits_col: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, n_pretokens and, after the edits, edited_n_tokens, n_reencoded, edited_text.
 
     ``edits_col``: array<struct<at:int, removed:int, text:string>> in code points of the text at that time, applied in
     order; a position beyond the end is the end, a null edit or a null array does nothing, null text is empty, and bytes
-    that are no UTF-8 are read as U+FFFD.  Map
-    only.  Columns with the new names are replaced, others pass through; repeated rows are counted each.  Empty input:
-    no rows.
+    that are no UTF-8 are read as U+FFFD.  Map only, ``grow`` and ``edit`` in one pass.  Columns with the new names are
+    replaced, others pass through; repeated rows are counted each.  Empty input: no rows.
     """
     spark = docs.sparkSession
     runtime.tune(spark)
@@ -202,22 +279,10 @@ def count(docs: DataFrame, vocabulary: str, text_col: str = "text", edits_col: s
             edits = batch.column(edits_col).to_pylist() if edits_col else [None] * batch.num_rows
             rows = []
             for a, b in runtime.pieces(off, 1 << 20):
-                raw = data[off[a] : off[b]].tobytes()
-                bounds, first = bpe.boundaries(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                counts = enc.ids(raw, bounds)[0]
-                sizes = np.diff(bounds)
-                trees, texts = [], []
-                for i in range(a, b):
-                    p, q = first[i - a], first[i - a + 1]
-                    texts.append(raw[off[i] - off[a] : off[i + 1] - off[a]])
-                    trees.append(Tree(sizes[p:q], counts[p:q]))
+                trees, texts, n = _trees(enc, data[off[a] : off[b]], off[a : b + 1] - off[a])
                 before = [t.total for t in trees]
-                for k in range(max((len(edits[i] or ()) for i in range(a, b)), default=0)):
-                    due = [j for j in range(b - a) if len(edits[a + j] or ()) > k and edits[a + j][k] is not None]
-                    jobs = [in_points(trees[j], enc, texts[j], **{x: edits[a + j][k][x] for x in ("at", "removed", "text")}) for j in due]
-                    for j, t in zip(due, lockstep(jobs)):
-                        texts[j] = t
-                rows += [(n, q, t.total, t.encoded, x.decode("utf-8", "surrogatepass")) for n, q, t, x in zip(before, np.diff(first).tolist(), trees, texts)]
+                texts = _edited(enc, trees, texts, edits[a:b])
+                rows += [(n, q, t.total, t.encoded, x.decode()) for n, q, t, x in zip(before, n.tolist(), trees, texts)]
             if rows:
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 4, pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*keep, *(n for n, _ in new)])
