@@ -219,3 +219,65 @@ def test_two_writers_at_once(spark, tmp_path, monkeypatch):
     assert two.publish({"errors": errors}) == 1 and two.publish({"errors": errors.limit(0)}) == 2
     assert one.version() == 2 and one.read("errors").isEmpty()
     assert two.publish({"errors": errors}) == 3 and len(two.prune(2)) == 1 and one.read("errors").count() == 1
+
+
+CPP2 = rb'''
+#define WRAP(x) \
+    do { x(); } while (0)
+template <typename T, int N = (3 > 2)>
+struct Box : public Base<T> {
+    Box() : a{1}, b(2), c{f(1), 2} { run(); }
+    explicit Box(int x) noexcept(true) : Base<T>(x), a{x} {}
+    ~Box() { close(); }
+    bool operator==(const Box& o) const { return same(o); }
+    int operator()(int i) const { return at(i); }
+    Box& operator=(Box&&) = default;
+    int size() const& override final { return this->n_(); }
+    int value{3};
+    std::function<int(int)> g = [](int i) { return hidden(i); };
+public:
+    auto tail(int a) const -> decltype(a + 1) { return a; }
+  private:
+    int n = 0;
+};
+enum class Color : int { Red, Green };
+static const int table[] = { first(1), 2 };
+extern "C" { int plain(void) { return 0; } }
+namespace a::b {
+template <class T> T run(T x) requires(sizeof(T) > 1) { return run<int>(x) + ns::go<T>(x); }
+std::vector<std::pair<int, int>> pairs(const std::map<int, std::vector<int>>& m) {
+    auto f = [&](int a) { return a < 3 && b > (c); };
+    Foo x(3), *y = new Foo(4);
+    obj.first().second(a->b(), v[i](2)); std::move(x); f(1)(2);
+    if (x) return other(R"(} " not code ()", '{', "\"{");
+    return {};
+}
+void free_function(void (*cb)(int), int n) try { cb(n); } catch (...) { report(); }
+}
+TEST(Foo, Bar) { EXPECT_EQ(check(1), 2); }
+int declared(int);
+int (*pointer)(int) = nullptr;
+'''
+
+
+def test_functions_of_c_and_cpp():
+    got = parse.spans("a.hpp", CPP2)
+    want = [
+        ("Box", ["run"]), ("Box", []), ("~Box", ["close"]), ("operator==", ["same"]), ("operator()", ["at"]), ("size", ["n_"]), ("tail", []), ("plain", []),
+        ("run", ["run", "go"]), ("pairs", ["obj", "obj", "a", "v", "move", "f", "f", "other"]), ("free_function", ["cb"]), ("Foo.Bar", ["EXPECT_EQ", "check"]),
+    ]
+    assert [(s[2], s[3]) for s in got] == want
+    text = [CPP2[s[0] : s[1]] for s in got]
+    assert text[0] == b"Box() : a{1}, b(2), c{f(1), 2} { run(); }" and text[8].startswith(b"T run(T x) requires") and all(t.endswith(b"}") for t in text)
+    same = parse.spans("a.hpp", CPP2.replace(b"pairs", b"couples").replace(b"other", b"another"))
+    assert [s[4] for s in same] == [s[4] for s in got]
+    assert parse.spans("b.cpp", CPP2.replace(b"if (x)", b"while (x)"))[9][4] != got[9][4]
+
+
+def test_broken_c_sources_give_what_can_be_read():
+    rnd = __import__("random").Random(1)
+    for _ in range(300):
+        a, b = sorted(rnd.sample(range(len(CPP2)), 2))
+        for s in parse.spans("x.cc", CPP2[:a] + CPP2[b:]):
+            assert 0 <= s[0] < s[1] <= len(CPP2)
+    assert parse.spans("x.cc", b"") == [] and parse.spans("x.cc", b"}}}) int f() { return g(; }") is not None

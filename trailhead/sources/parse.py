@@ -1,7 +1,7 @@
 """Function spans of source files: position, name, callees and a structural fingerprint.
 
 A fingerprint is made of node kinds, keywords and punctuation, never of names or literal text, so renaming does not change
-it.  Python goes through its own grammar; C and C++ through a scanner for function bodies.  Nested functions belong to the
+it.  Python goes through its own grammar; C and C++ through a scanner of declarations (``c_family``).  Nested functions belong to the
 outermost one.  What neither grammar takes becomes one span over the whole file, fingerprinted by its path.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 import ast
 import io
 import keyword
-import re
 import tokenize
 
 import pyarrow as pa
@@ -20,13 +19,9 @@ from pyspark.sql import types as T
 
 from .. import schema, session
 from ..functions.text import simhash_py
+from . import c_family
 
 C_SUFFIXES = (".cpp", ".h", ".hpp", ".cc")
-_NOT_CALLS = {"if", "for", "while", "switch", "return", "sizeof", "catch", "decltype", "alignof", "new", "delete", "throw", "static_assert", "noexcept", "defined", "else", "do", "case", "typeid", "operator"}
-_HEAD = re.compile(r"([A-Za-z_~][\w~]*(?:\s*::\s*[A-Za-z_~][\w~]*)*)\s*\(")
-_CALL = re.compile(r"([A-Za-z_]\w*(?:\s*(?:\.|->|::)\s*[A-Za-z_]\w*)*)\s*\(")
-_C_TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|::|->|\+\+|--|<<|>>|[<>=!&|+\-*/%^]=|&&|\|\||\S")
-_C_WORDS = {"if", "else", "for", "while", "do", "switch", "case", "default", "break", "continue", "return", "goto", "try", "catch", "throw", "new", "delete", "const", "static", "auto", "void", "int", "char", "bool", "float", "double", "long", "short", "unsigned", "signed", "struct", "class", "template", "typename", "nullptr", "true", "false", "this", "sizeof"}
 
 
 def _first_name(node: ast.AST) -> str:
@@ -77,53 +72,10 @@ def python_spans(source: bytes) -> list[tuple]:
     return out
 
 
-def _blank(source: str) -> str:
-    """Comments, literals and preprocessor lines as spaces, with every offset kept."""
-    pattern = r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|^[ \t]*#(?:\\\n|[^\n])*'
-    return re.sub(pattern, lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S | re.M)
-
-
-def _close(text: str, i: int, pair: str) -> int:
-    depth = 0
-    for j in range(i, len(text)):
-        if text[j] == pair[0]:
-            depth += 1
-        elif text[j] == pair[1]:
-            depth -= 1
-            if not depth:
-                return j
-    return -1
-
-
 def c_spans(source: bytes) -> list[tuple]:
-    text = _blank(source.decode("latin-1"))  # one character a byte
-    out, i = [], 0
-    while m := _HEAD.search(text, i):
-        i = m.end()
-        name = re.split(r"\s*::\s*", m[1])[-1]
-        shut = _close(text, m.end() - 1, "()")
-        if name in _NOT_CALLS or shut < 0:
-            continue
-        tail = re.match(r"\s*(?:(?:const|noexcept|override|final|mutable)\s*|->[^{};]*|:(?!:)[^{};]*)*\{", text[shut + 1 :])
-        if not tail:
-            continue
-        brace = shut + tail.end()
-        end = _close(text, brace, "{}")
-        if end < 0:
-            continue
-        back = max(text.rfind(c, 0, m.start()) for c in ";{}")
-        start = back + 1 + len(text[back + 1 :]) - len(text[back + 1 :].lstrip())
-        body = text[start : end + 1]
-        calls = []
-        for c in _CALL.finditer(text, brace, end):
-            chain = re.split(r"\s*(?:\.|->)\s*", c[1])[0]
-            callee = re.split(r"\s*::\s*", chain)[-1]
-            if callee not in _NOT_CALLS:
-                calls.append(callee)
-        kinds = [("function_definition", 1), *(("call_expression", 1) for _ in calls)]
-        kinds += [(t, 1) for t in _C_TOKEN.findall(body) if not re.match(r"\w", t) or t in _C_WORDS]
-        out.append((start, end + 1, name, calls, simhash_py(kinds)))
-        i = end + 1
+    out = []
+    for a, b, name, calls, kinds in c_family.functions(source):
+        out.append((a, b, name, calls, simhash_py([("function_definition", 1), *(("call_expression", 1) for _ in calls), *((k, 1) for k in kinds)])))
     return out
 
 
