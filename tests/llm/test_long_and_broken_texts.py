@@ -113,3 +113,26 @@ def test_bytes_that_are_no_utf8(spark):
     ):
         got, want = ({r.doc_id: r for r in run(d).collect()} for d in (broken, fffd))
         assert got == want and len(got) == 4
+
+
+def test_line_features_of_long_texts(monkeypatch):
+    rnd = random.Random(9)
+    texts = [some_text(rnd, 1500), "same same same " * 100, "x" * 700, "\n" * 400, "a b\n" * 200, "a\n \n\n" * 90 + "b b", " \n" + "word word  " * 90 + "\n", "one\n" + "w " * 300 + "\n\nlast"]
+    for t in texts:
+        d = as_bytes(t)
+        off = np.array([0, len(d)])
+        want = quality.features(d, off)
+        for size in (40, 64, 111):
+            monkeypatch.setattr(quality, "LONG", size)
+            for x, y in zip(want, quality.features(d, off)):
+                assert np.allclose(x, y) and x.shape == y.shape
+            monkeypatch.undo()
+
+
+def test_training_takes_long_documents_too(spark):
+    rows = [(i, "\n".join(("good fine words here, and more." if i % 2 else "!!! ### $$$ zz zz zz") for _ in range(500))) for i in range(40)]
+    docs = spark.createDataFrame(rows * 2 + [(41, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(42)], "doc_id long, quality int")
+    model = quality.train(docs, labels, sample_docs=20, sample_lines=7)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 1) for i in range(40))

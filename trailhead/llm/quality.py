@@ -6,12 +6,13 @@ mean of its lines' forward-backward marginals, weighted by length, and a logisti
 makes it a probability.
 
 The model is fitted on a bounded sample: the ``SAMPLE_DOCS`` labelled training documents with the smallest hashes of
-their ids, of which those with more than ``SAMPLE_LINES`` lines are left out of the fit.  Scoring is map only and takes
-every line of every document.
+their ids, and of each at most ``SAMPLE_LINES`` consecutive lines; both are parameters of ``train``.  Scoring is map only
+and takes every line of every document, long texts in parts.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,7 @@ SAMPLE_LINES = 200
 THRESHOLD = 0.3
 FOLDS = 5
 _BYTES = 1 << 20
+LONG = runtime.LONG
 #: Character classes: bytes of each; the last class is the rest.
 _SETS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", bytes(range(0xC0, 0x100)), bytes(range(0x80, 0xC0)), b".", b",", b"!?", b"$%&#*^~+=<>@\\_`", b"|", b"\"'()[]{}-:;/"]
 _TAIL = 5  # continuation bytes are no characters
@@ -37,37 +39,79 @@ _N = len(_SETS) + 1
 OWN = _N - 1 + 5
 
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of each line with its neighbours', characters of each line, first line of each document)."""
+def _starts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, document, whether it has bytes) of each line; a text without any is one empty line."""
     breaks = np.flatnonzero(data == 10) + 1
     starts = np.union1d(breaks, off[:-1])  # documents of no text get their line below
     starts = starts[starts < off[-1]] if len(data) else starts[:0]
-    # one line for each empty document, in its place
     empty = np.flatnonzero(np.diff(off) == 0)
     begin = np.concatenate([starts, off[empty]])
     owner = np.concatenate([np.searchsorted(off, starts, "right") - 1, empty])
     order = np.lexsort((begin, owner))
-    begin, owner = begin[order], owner[order]
-    n = len(begin)
     full = np.concatenate([np.ones(len(starts), bool), np.zeros(len(empty), bool)])[order]
+    return begin[order], owner[order], full
+
+
+def _sums(data: np.ndarray, off: np.ndarray, begin: np.ndarray, full: np.ndarray):
+    """(bytes of each class, words, words like the one before, distinct words) of each line, and each word's (line, hash)."""
+    n = len(begin)
     line = np.repeat(np.flatnonzero(full), np.diff(np.append(begin[full], len(data))))
     counts = np.bincount(line * _N + _CLASS[data], minlength=n * _N).reshape(n, _N).astype(np.float64)
-    chars = counts.sum(1) - counts[:, _TAIL]
     low = hashes.LOWER[data]
     s, e, _ = hashes.word_spans(low, off, hashes.NOT_SPACE)
     words = line[s] if len(s) else np.zeros(0, np.int64)
     h = hashes.span_hashes(low, s, e)
-    n_words = np.bincount(words, minlength=n)
     same = np.zeros(len(s), bool)
     same[1:] = (h[1:] == h[:-1]) & (words[1:] == words[:-1])
     pair = np.lexsort((h, words))
     fresh = np.ones(len(s), bool)
     fresh[1:] = (h[pair][1:] != h[pair][:-1]) | (words[pair][1:] != words[pair][:-1])
+    return counts, np.bincount(words, minlength=n), np.bincount(words, same, n), np.bincount(words[pair], fresh, n), words, h
+
+
+def _long(data: np.ndarray) -> list[np.ndarray]:
+    """The sums of a long text's lines, from parts; a part's first line goes on with the one that the last left open."""
+    done, held = [], None  # held: an open line's sums, distinct words and last word
+    for a, b, _ in runtime.parts(data, hashes.NOT_SPACE, 0, LONG):
+        off = np.array([0, b - a])
+        begin, _, full = _starts(data[a:b], off)
+        *sums, words, h = _sums(data[a:b], off, begin, full)
+        first, final = h[words == 0], h[words == len(begin) - 1]
+        known, before = np.unique(first), None
+        if held is not None:
+            old, known, before = held
+            sums[2][0] += len(first) > 0 and first[0] == before
+            known = np.union1d(known, first)
+            for x, y in zip(sums, old):
+                x[0] += y
+            sums[3][0] = len(known)
+        if len(begin) > 1:
+            known, before = np.unique(final), None
+        if data[b - 1] == 10:
+            done, held = [*done, sums], None
+        else:
+            held = [x[-1].copy() for x in sums], known, final[-1] if len(final) else before
+            done.append([x[:-1] for x in sums])
+    if held is not None:
+        done.append([x[None] for x in held[0]])
+    return [np.concatenate(x) for x in zip(*done)]
+
+
+def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of each line with its neighbours', characters of each line, first line of each document)."""
+    if len(off) == 2 and len(data) > LONG:
+        counts, n_words, same, distinct = _long(data)
+        owner = np.zeros(len(counts), np.int64)
+    else:
+        begin, owner, full = _starts(data, off)
+        counts, n_words, same, distinct, _, _ = _sums(data, off, begin, full)
+    n = len(counts)
+    chars = counts.sum(1) - counts[:, _TAIL]
     w = np.maximum(n_words, 1)
     own = np.empty((n, OWN))
     own[:, : _N - 1] = np.delete(counts, _TAIL, 1) / np.maximum(chars, 1)[:, None]
-    own[:, _N - 1] = np.bincount(words, same, n) / w
-    own[:, _N] = 1 - np.bincount(words[pair], fresh, n) / w
+    own[:, _N - 1] = same / w
+    own[:, _N] = 1 - distinct / w
     own[:, _N + 1] = np.log1p(chars) / 8
     own[:, _N + 2] = chars / w / 10
     own[:, _N + 3] = n_words == 0
@@ -167,21 +211,30 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Model:
     """A model from ``labels`` (id, label 0 or 1; null labels and ids do not count) and their texts in ``docs``.
 
-    Without both labels in the sample the model is neutral: every score is the share of label 1 (0.5 without labels).
+    It is fitted on at most ``sample_docs`` labelled documents, by the hash of their ids, and of each on at most
+    ``sample_lines`` consecutive lines, from a place that the id's hash names; no document is left out for its length.
+    Of several texts under one id the one with the least hash counts.  Without both labels in the sample the model is
+    neutral: every score is the share of label 1 (0.5 without labels).
     """
     runtime.tune(docs.sparkSession)
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
-    some = told.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)  # bounded, so it may be broadcast
+    some = told.orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)  # bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), runtime.text_key(id_col, text_col)[1]).join(F.broadcast(some), "_id")
+    texts = texts.groupBy("_id", "_y").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))
 
     def f(batches):
         for batch in batches:
             data, off = runtime.bytes_of(batch.column("_t"))
-            x, chars, first = features(data, off)
-            rows = [(i, y, x[a:b].tobytes(), chars[a:b].tobytes()) for i, y, a, b in zip(batch.column("_id").to_pylist(), batch.column("_y").to_pylist(), first[:-1], first[1:]) if b - a <= SAMPLE_LINES]
+            rows = []
+            for p, q in runtime.pieces(off, _BYTES):
+                x, chars, first = features(data[off[p] : off[q]], off[p : q + 1] - off[p])
+                for i, y, a, b in zip(batch.column("_id").to_pylist()[p:q], batch.column("_y").to_pylist()[p:q], first[:-1].tolist(), first[1:].tolist()):
+                    a += zlib.crc32(str(i).encode()) % max(1, b - a - sample_lines + 1)
+                    b = min(b, a + sample_lines)
+                    rows.append((i, y, x[a:b].tobytes(), chars[a:b].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["id", "y", "x", "c"])
 

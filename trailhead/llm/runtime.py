@@ -95,7 +95,7 @@ def text_key(id_col: str, text_col: str) -> list:
 HOT_ROWS = 256
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, count: str, rows: int) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, key: str, count: str, rows: int, how: str = "inner") -> DataFrame:
     """``big`` (of ``rows`` rows) joined with ``small``, which has a row a key and the number of big's rows that have it.
 
     Hot keys go to the rows, the others by shuffle, so that no task gets a hot key's rows.  ``count`` is dropped.
@@ -103,7 +103,7 @@ def lookup(big: DataFrame, small: DataFrame, key: str, count: str, rows: int) ->
     least = max(HOT_ROWS, rows // 50_000)
     hot = small.where(F.col(count) > least).drop(count).withColumn("_hot", F.lit(True))
     met = big.join(F.broadcast(hot), key, "left")
-    rest = met.where("_hot IS NULL").select(*big.columns).join(small.where(F.col(count) <= least).drop(count), key)
+    rest = met.where("_hot IS NULL").select(*big.columns).join(small.where(F.col(count) <= least).drop(count), key, how)
     return met.where("_hot").drop("_hot").unionByName(rest)
 
 
