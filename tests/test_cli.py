@@ -71,3 +71,33 @@ def test_the_hook_returns_at_once_and_its_queue_is_taken(spark, tmp_path, capsys
     (other / ".git" / "hooks" / "pre-commit").write_text("#!/bin/sh\nexit 0\n")
     assert main(["--repo", str(other), "init"]) == 0 and "stays" in capsys.readouterr().out
     assert (other / ".git" / "hooks" / "pre-commit").read_text() == "#!/bin/sh\nexit 0\n"
+
+
+def test_interrupt_and_idle_stop(spark):
+    import threading
+
+    from trailhead import session
+
+    slow = lambda x: (time.sleep(20), x)[1]
+    said = []
+
+    def ask():
+        try:
+            with session.tagged(spark, "question"):
+                spark.sparkContext.parallelize(range(4), 4).map(slow).count()
+        except Exception as e:
+            said.append(str(e))
+
+    t = threading.Thread(target=ask)
+    idle = session.IdleStop(spark, after=0.5, poll=0.1, stop=lambda: said.append("stopped"))
+    t.start()
+    while not spark.sparkContext.statusTracker().getActiveJobsIds():
+        time.sleep(0.05)
+    idle.start()
+    time.sleep(1)
+    assert said == []  # a job runs
+    session.interrupt(spark, "question")
+    t.join(15)
+    idle.join(15)
+    assert len(said) == 2 and "cancel" in said[0].lower() and said[1] == "stopped"
+    assert spark.range(3).count() == 3

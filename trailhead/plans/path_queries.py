@@ -267,7 +267,7 @@ def q_parse_errors(spark: SparkSession, d: str) -> DataFrame:
 @query
 def q_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The same changes as a stream of two files, applied to a store; taken twice, the second time with nothing new."""
-    base = f"{session.shared_dir(spark).rstrip('/')}/trailhead/ingest-{uuid.uuid4().hex}"
+    base = f"{session.work_folder(spark)}/ingest-{uuid.uuid4().hex}"
     st = store.Store(spark, f"{base}/store")
     for part in _files(spark, d):
         part.select(*changes.CHANGE.fieldNames()).coalesce(1).write.mode("append").parquet(f"{base}/in")

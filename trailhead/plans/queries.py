@@ -247,7 +247,7 @@ def q_props_field(spark: SparkSession, d: str) -> DataFrame:
 def q_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
-    base = f"{session.shared_dir(spark).rstrip('/')}/trailhead/stream-{uuid.uuid4().hex}"
+    base = f"{session.work_folder(spark)}/stream-{uuid.uuid4().hex}"
     e = read(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
     e.repartitionByRange(4, "event_id").write.parquet(f"{base}/in")
     out = changes.upsert_stream(spark, f"{base}/in", e.schema, ["user_id"], ["ts", "event_id"], f"{base}/state", f"{base}/checkpoint")

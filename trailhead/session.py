@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import shutil
 import tempfile
+import threading
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_made: set[str] = set()
 
 
 def session(app: str = "trailhead", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,6 +45,54 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The application's own folder below the shared one; it goes when the application ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/trailhead-{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        _made.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return folder
+
+
+@contextlib.contextmanager
+def tagged(spark: SparkSession, tag: str):
+    """Jobs that this thread starts inside can be stopped by ``interrupt``, as a question whose asker has gone."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def interrupt(spark: SparkSession, tag: str) -> None:
+    """Cancel the running jobs of a tag; the thread that waits for them gets an error."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
+class IdleStop(threading.Thread):
+    """Stops the session after ``after`` seconds without a job; looks every ``poll`` seconds."""
+
+    def __init__(self, spark: SparkSession, after: float = 900, poll: float = 30, stop=None):
+        super().__init__(daemon=True)
+        self.spark, self.after, self.poll, self.stop = spark, after, poll, stop or spark.stop
+        self.cancelled = threading.Event()
+
+    def run(self) -> None:
+        tracker, seen = self.spark.sparkContext.statusTracker(), time.monotonic()
+        while not self.cancelled.wait(self.poll):
+            if tracker.getActiveJobsIds():
+                seen = time.monotonic()
+            elif time.monotonic() - seen >= self.after:
+                self.stop()
+                return
+
+    def cancel(self) -> None:
+        self.cancelled.set()
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable on the workers, once for each application."""
     root, sc = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext
