@@ -45,7 +45,7 @@ def tune(spark: SparkSession) -> None:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/trailhead/{name}-{uuid.uuid4().hex}"
+    return f"{session.work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
