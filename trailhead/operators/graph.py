@@ -91,31 +91,34 @@ def sized(edges: DataFrame) -> DataFrame:
 _STATE = "horizon int, seed string, state binary, need array<string>, done boolean"
 
 
-#: Edges that are sent whole to the walks; the number is counted first, and a larger table is asked in rounds.
-SMALL_EDGES = 1 << 19
+#: Edges, and bytes of their names, that are sent whole to the walks; both are measured first, and a larger table is asked
+#: in rounds.
+SMALL_EDGES, SMALL_BYTES = 1 << 21, 64 << 20
 
 
 class _Whole:
-    """All adjacency, from an Arrow table sorted by node; a node without edges has none."""
+    """All adjacency, from an Arrow table sorted by node; a node without edges has none.  Rows become Python objects only
+    for the nodes that are asked for."""
 
     def __init__(self, table):
-        node = table["node"].to_numpy()
-        cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)] if len(node) else [0]
-        self.at = {node[a]: (a, b) for a, b in zip(cuts, cuts[1:])}
-        self.columns = [table[c].to_numpy() for c in ("target_id", "weight", "degree")]
+        node = table["node"].combine_chunks().dictionary_encode()
+        at = node.indices.to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])).tolist() if len(at) else []
+        self.at = {name: ends for name, ends in zip(node.dictionary.to_pylist(), zip(cuts, cuts[1:]))}
+        self.columns = [table[c].combine_chunks() for c in ("target_id", "weight", "degree")]
 
     def __contains__(self, u) -> bool:
         return True
 
     def __getitem__(self, u) -> list:
         a, b = self.at.get(u, (0, 0))
-        return list(zip(*(c[a:b].tolist() for c in self.columns)))
+        return list(zip(*(c.slice(a, b - a).to_pylist() for c in self.columns)))
 
 
 def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]], budget: int = BUDGET, small: int | None = None) -> DataFrame:
     """(horizon, seed, id, score): a push from every row of ``seeds`` (seed) for every (alpha, eps); horizon is its place.
 
-    Up to ``SMALL_EDGES`` edges go to the walks whole; else all walks share the rounds.  A round is one join of the nodes that are asked for with the edges (``sized``), and one
+    Up to ``SMALL_EDGES`` edges of ``SMALL_BYTES`` go to the walks whole; else all walks share the rounds.  A round is one join of the nodes that are asked for with the edges (``sized``), and one
     checkpoint of the walks' states.  Seeds that repeat count once, null seeds are left out.
     """
     spark = edges.sparkSession
@@ -123,7 +126,8 @@ def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]
     adj = edges if "degree" in edges.columns else session.checkpointed(sized(edges))
     adj = adj.select(F.col("source_id").alias("node"), "target_id", "type", "weight", "degree")
     which = F.explode(F.array(*(F.lit(i) for i in range(len(horizons))))).alias("horizon")
-    if adj.limit((SMALL_EDGES if small is None else small) + 1).count() <= (SMALL_EDGES if small is None else small):
+    size = adj.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("node") + F.octet_length("target_id") + F.octet_length("type")), F.lit(0)).alias("bytes")).first()
+    if size.n <= (SMALL_EDGES if small is None else small) and size.bytes <= SMALL_BYTES:
         sent = spark.sparkContext.broadcast(adj.orderBy("node", "target_id", "type").select("node", "target_id", "weight", "degree").toArrow())
 
         def whole(frames):
