@@ -261,7 +261,9 @@ def test_family_levels_merge():
     assert sum(len(x.sa) for x in fam.levels) == len(seen)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("plain", [runtime.PLAIN_ROWS, 0])
+def test_components(spark, monkeypatch, plain):
+    monkeypatch.setattr(runtime, "PLAIN_ROWS", plain)
     rnd = random.Random(7)
     e = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(e, "a long, b long"), "a", "b").collect()}
@@ -308,7 +310,7 @@ def test_lookup_splits_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(runtime, "HOT_ROWS", 5)
     big = spark.createDataFrame([(i % 7 if i < 70 else 100, i) for i in range(400)], "k long, v long").unionByName(spark.createDataFrame([(7, 1000)], "k long, v long"))
     small = big.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
-    got = runtime.lookup(big, small, "k", "n", 401)
+    got = runtime.lookup(big, small, "k", "n", 401, plain=0)
     assert got.columns == ["k", "v", "top"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small.drop("n"), "k").collect()))
 
 

@@ -43,7 +43,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     mark, n = None, e.count()
     while n:
-        e = _small(_large(e, n).distinct(), n).distinct().checkpoint()
+        large = _large(e, n)
+        if n > runtime.PLAIN_ROWS:  # both halves of a lookup read it
+            large = large.distinct().checkpoint()
+        e = _small(large, n).distinct().checkpoint()
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == mark:
             break

@@ -307,7 +307,7 @@ def _sets(shingle: int, wanted):
 
 
 def _decide(t: float):
-    """(x, y): links that join the members of each group (root, a, b) whose whole sets resemble each other by t."""
+    """(x, y): of each group (root, a, b) the members whose whole sets resemble each other by t, as stars."""
 
     def links(a, b, nodes, blocks, sets):
         node, one = np.unique(np.array(nodes, np.int64), return_index=True)
@@ -319,8 +319,10 @@ def _decide(t: float):
             both = np.array([np.isin(sets[j], sets[i], assume_unique=True).sum() for j in js])
             return both >= t * (n[i] + n[js] - both) - _EPS
 
-        for i, found in breadth_first(bits, n, t, good, None if a == b else np.array(blocks)[one]):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node[i])), pa.array(node[found])], ["x", "y"])
+        links = [np.stack([np.full(len(found), node[i]), node[found]], 1) for i, found in breadth_first(bits, n, t, good, None if a == b else np.array(blocks)[one])]
+        if links:
+            x = stars(np.concatenate(links))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], ["x", "y"])
 
     def f(batches):
         now, held = None, ([], [], [])
@@ -369,7 +371,10 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     n = runtime.partitions(spark)
     dealt = dealt.repartition(n, "root", "a", "b").sortWithinPartitions("root", "a", "b")
     found = runtime.stored(dealt.mapInArrow(_decide(similarity), "x long, y long"), "links")
-    classes = components(found, "x", "y").withColumnRenamed("node", "x")
+    if members.where("blocks > 1").isEmpty():
+        classes = found.select("x", F.col("y").alias("root"))  # a group's stars are its classes
+    else:
+        classes = components(found, "x", "y").withColumnRenamed("node", "x")
     member = prints.join(classes, prints.node == classes.x, "left").select("node", "check", "least", "rows", F.coalesce("root", "node").alias("root"))
     member = runtime.stored(member, "classes")
     called = member.groupBy("root").agg(F.min("least").alias("called"), F.count("*").alias("_n"))

@@ -49,7 +49,7 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1")
     )
-    known = runtime.lookup(base, twice, "digest", "n", pages.count(), "left")  # no task gets all payloads of a digest
+    known = runtime.lookup(base, twice, "digest", "n", pages.count(), "left", plain=0)  # no task gets all payloads of a digest
     return known.withColumn("first", F.when((F.col("page_id") == F.col("first")) | F.col("first").isNull(), F.lit(None)).otherwise(F.col("first")))
 
 
