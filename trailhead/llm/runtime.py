@@ -93,18 +93,18 @@ def text_key(id_col: str, text_col: str) -> list:
 
 #: A key of more rows than this, and than a 50,000th of all, is looked up by broadcast: 50,000 rows at most.
 HOT_ROWS = 256
-#: A table of so many short rows is small enough for one task, so that a hot key in it needs nothing.
-PLAIN_ROWS = 1 << 20
+#: Up to so many short rows are few enough to broadcast the whole other side, which has no more.
+PLAIN_ROWS = 1 << 18
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str, count: str, rows: int, how: str = "inner", plain: int | None = None) -> DataFrame:
     """``big`` (of ``rows`` rows) joined with ``small``, which has a row a key and the number of big's rows that have it.
 
     Hot keys go to the rows, the others by shuffle, so that no task gets a hot key's rows.  Up to ``plain`` rows (by
-    default ``PLAIN_ROWS``; 0 where rows are long) are joined as they are.  ``count`` is dropped.
+    default ``PLAIN_ROWS``; 0 where a side's rows are long) all keys go to the rows.  ``count`` is dropped.
     """
     if rows <= (PLAIN_ROWS if plain is None else plain):
-        return big.join(small.drop(count), key, how)
+        return big.join(F.broadcast(small.drop(count)), key, how)
     least = max(HOT_ROWS, rows // 50_000)
     hot = small.where(F.col(count) > least).drop(count).withColumn("_hot", F.lit(True))
     met = big.join(F.broadcast(hot), key, "left")
