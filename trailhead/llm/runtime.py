@@ -94,7 +94,7 @@ def text_key(id_col: str, text_col: str) -> list:
 #: A key of more rows than this, and than a 50,000th of all, is looked up by broadcast: 50,000 rows at most.
 HOT_ROWS = 256
 #: Up to so many short rows are few enough to broadcast the whole other side, which has no more.
-PLAIN_ROWS = 1 << 18
+PLAIN_ROWS = 1 << 16
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str, count: str, rows: int, how: str = "inner", plain: int | None = None) -> DataFrame:
