@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, quality, runtime, simhash, sketches, substrings, suffix_arrays, token_counts, warc
+from . import bpe, chat, clustering, decontaminate, mixing, new_sql, quality, repair, runtime, simhash, sketches, substrings, suffix_arrays, token_counts, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -96,7 +96,22 @@ def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.neighbours(runtime.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_token_counts": op5_token_counts, "op6_chat": op6_chat, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_sketches": op9_sketches, "op10_suffix_arrays": op10_suffix_arrays}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(runtime.table(spark, sf_dir, "conversations")))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, centroids = clustering.cluster(clustering.quantised(runtime.table(spark, sf_dir, "embeddings")))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return clustering.report(placed, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(runtime.table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_token_counts": op5_token_counts, "op6_chat": op6_chat, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_sketches": op9_sketches, "op10_suffix_arrays": op10_suffix_arrays, "op11_repair": op11_repair, "op12_clusters": op12_clusters, "op13_mixture": op13_mixture}
 
 #: Every window of every item as a text of words, met by equality; hit words are those that a window covers.
 OP2_SQL = r"""
@@ -159,4 +174,4 @@ SELECT doc_id, (len(x) // 2)::BIGINT n_bytes, coalesce(n_removed, 0)::BIGINT n_r
 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_suffix_arrays": OP10_SQL, "op2_decontaminate": OP2_SQL, "op4_substrings": OP4_SQL, "op6_chat": OP6_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = new_sql.ORACLE_SQL | {"op10_suffix_arrays": OP10_SQL, "op2_decontaminate": OP2_SQL, "op4_substrings": OP4_SQL, "op6_chat": OP6_SQL, "op7_warc": OP7_SQL}
