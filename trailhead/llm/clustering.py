@@ -272,7 +272,8 @@ def cluster(kept: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, seed: int
 
 
 def report(placed: DataFrame, centroids: np.ndarray, id_col: str = "vec_id") -> DataFrame:
-    """``placed`` with each cluster's and the whole inertia and the final centroid (array), a row a vector."""
+    """``placed`` with each cluster's and the whole inertia and the final centroid (array), a row a vector.  An inertia that
+    does not fit a long is an error."""
     sums = {r["cluster"]: r["n"] for r in placed.groupBy("cluster").agg(F.sum("distance").alias("n")).collect()}  # k rows
     rows = [(i, [int(v) for v in c], sums[i], sum(sums.values())) for i, c in enumerate(centroids) if i in sums]
     known = placed.sparkSession.createDataFrame(rows, "cluster int, centroid array<long>, cluster_inertia long, inertia long")
