@@ -48,7 +48,7 @@ def test_word_kernel_equals_scalar_hash(texts):
 
 def test_embedding_goldens(spark):
     q = [("How does the auth payload move through the system?",), ("naïve user_id userId",), ("the is in",), (None,), ("",)]
-    rows = text.embed_sparse(spark.createDataFrame(q, "t string"), "t").select("embedding", text.dense(F.col("embedding")).alias("v")).collect()
+    rows = text.embed(text.embed_sparse(spark.createDataFrame(q, "t string").coalesce(1), "t"), "t", "v").collect()
     assert [(x.bucket, x.v) for x in rows[0].embedding] == [(138, 1), (144, 1), (170, -1), (310, 1), (339, -1), (349, 1)]
     assert [(x.bucket, x.v) for x in rows[1].embedding] == [(78, -1), (96, -1), (221, 1), (222, -1), (290, -1)]
     assert math.isclose(rows[0].v[138], 1 / math.sqrt(6), rel_tol=1e-6) and len(rows[0].v) == 384

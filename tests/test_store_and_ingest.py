@@ -206,19 +206,119 @@ def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
     assert any(p.name.startswith("base") for p in (tmp_path / "out").iterdir())
 
 
-def test_two_writers_at_once(spark, tmp_path, monkeypatch):
-    from trailhead.operators import store as st
+def bytes_below(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet")) if path.exists() else 0
 
+
+def edge_rows(spark, lo, hi, weight):
+    return spark.range(lo, hi).select(F.concat(F.lit("a"), "id").alias("source_id"), F.concat(F.lit("b"), "id").alias("target_id"), F.lit("CALLS").alias("type"), F.lit(weight).alias("weight"))
+
+
+def test_two_writers_of_a_version(spark, tmp_path):
+    """However long a writer has stalled, one version has one writer, and the other's rows are not seen."""
+    folder = f"file://{tmp_path}/s"
+    one, two = store.Store(spark, folder), store.Store(spark, folder)
+    error = lambda m: spark.createDataFrame([("p", m, None)], schema.TABLES["errors"])
+    assert one.upsert({"errors": error("first")}) == 1
+    stalled = one.version()  # the first writer has read its base and stops here
+    assert two.upsert({"errors": error("second")}) == 2
+    with pytest.raises(store.Conflict):
+        one.upsert({"errors": error("late")}, based_on=stalled)
+    with pytest.raises(store.Conflict):
+        one.publish({"errors": error("late")}, based_on=stalled)
+    assert by(two.read("errors"), "message") == [("second",)] and by(one.read("errors", 1), "message") == [("first",)]
+    assert one.publish({"errors": error("third")}) == 3 and one.versions() == [1, 2, 3]
+    assert one.files.create(f"{folder}/manifest/000000000003.json", "{}") is False
+    gone = one.prune(1)
+    assert gone and one.versions() == [3] and by(two.read("errors"), "message") == [("third",)]
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    st = store.Store(spark, f"file://{tmp_path}/s", bucket_rows=2000)
+    st.upsert({"edges": edge_rows(spark, 0, 40_000, 1.0)})
+    base = bytes_below(tmp_path / "s")
+    assert st.layers("edges")["buckets"] == 20
+    before = base
+    st.upsert({"edges": edge_rows(spark, 100, 500, 2.0)})  # 1 %
+    assert bytes_below(tmp_path / "s") - before < 0.03 * base
+    assert sorted(st.layers("edges")["base"].values()) and len(st.layers("edges")["deltas"]) == 1
+    gone = edge_rows(spark, 200, 240, 0.0).withColumn("_gone", F.lit(True))  # a tombstone of 0.1 % rewrites no base file
+    kept = st.layers("edges")["base"]
+    st.upsert({"edges": gone})
+    assert st.layers("edges")["base"] == kept
+    got = {r.source_id: r.weight for r in st.read("edges").collect()}
+    assert len(got) == 40_000 - 40 and got["a150"] == 2.0 and got["a99"] == got["a500"] == 1.0 and "a200" not in got
+    plan = st.read("edges")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan  # no base row is shuffled
+
+
+def test_layers_against_a_dictionary(spark, tmp_path):
+    """Many batches of upserts and deletes: merged levels, folded buckets and a table that outgrows its buckets."""
+    rnd = __import__("random").Random(4)
+    st, have, seen = store.Store(spark, f"file://{tmp_path}/s", bucket_rows=60), {}, set()
+    kind = "id string, vector array<float>, _gone boolean"
+    for step in range(26):
+        n = 5 if step % 6 else 120
+        keys = rnd.sample(range(600), n)
+        rows = [(f"k{k}", [float(step)], rnd.random() < 0.2) for k in keys]
+        for k, v, gone in rows:
+            have.pop(k, None) if gone else have.update({k: v})
+        assert st.upsert({"vectors": spark.createDataFrame(rows, kind).coalesce(1)}) == step + 1
+        now = st.layers("vectors")
+        seen |= {("level", d["level"]) for d in now["deltas"]} | {("buckets", now["buckets"])}
+        if step % 5 == 0 or step == 25:
+            assert {r.id: list(r.vector) for r in st.read("vectors").collect()} == have
+    assert len([x for x in seen if x[0] == "buckets"]) > 1
+    st.prune(1)
+    assert {r.id: list(r.vector) for r in st.read("vectors").collect()} == have
+
+
+def test_deltas_of_a_level_become_one(spark, tmp_path):
+    st = store.Store(spark, f"file://{tmp_path}/s", bucket_rows=100_000)
+    st.upsert({"edges": edge_rows(spark, 0, 3000, 1.0).coalesce(1)})
+    for i in range(8):
+        st.upsert({"edges": edge_rows(spark, 10 * i, 10 * i + 20, 2.0 + i).coalesce(1)})
+    now = st.layers("edges")
+    assert [d["level"] for d in now["deltas"]] == [1] and sum(now["deltas"][0]["rows"].values()) == 90
+    got = {r.source_id: r.weight for r in st.read("edges").collect()}
+    assert got["a5"] == 2.0 and got["a15"] == 3.0 and got["a89"] == 9.0 and got["a90"] == 1.0 and len(got) == 3000
+
+
+def test_an_older_schema_is_read_and_upgraded(spark, tmp_path):
     folder = f"file://{tmp_path}/s"
-    one, two = st.Store(spark, folder), st.Store(spark, folder)
-    errors = spark.createDataFrame([("p", "m")], schema.TABLES["errors"])
-    one._claim(1)
-    with pytest.raises(st.Conflict):
-        two.publish({"errors": errors})
-    monkeypatch.setattr(st, "LEASE", -1)  # the first writer is gone
-    assert two.publish({"errors": errors}) == 1 and two.publish({"errors": errors.limit(0)}) == 2
-    assert one.version() == 2 and one.read("errors").isEmpty()
-    assert two.publish({"errors": errors}) == 3 and len(two.prune(2)) == 1 and one.read("errors").count() == 1
+    old, new = store.Store(spark, folder, at=1), store.Store(spark, folder)
+    old.upsert({"errors": spark.createDataFrame([("a.py", "SyntaxError: no"), ("b.py", "odd")], "path string, message string")})
+    assert old.read("errors").columns == ["path", "message"] and new.layers("errors")["schema"] == 1
+    assert by(new.read("errors"), "path", "kind") == [("a.py", "SyntaxError"), ("b.py", None)]
+    new.upsert({"errors": spark.createDataFrame([("c.py", "IndentationError: x", "IndentationError")], schema.TABLES["errors"])})
+    assert new.layers("errors")["schema"] == 2 and by(new.read("errors"), "path", "kind") == [("a.py", "SyntaxError"), ("b.py", None), ("c.py", "IndentationError")]
+    assert by(old.read("errors"), "path") == [("a.py",), ("b.py",), ("c.py",)]
+    assert by(new.read("errors", 1), "path", "kind") == [("a.py", "SyntaxError"), ("b.py", None)]
+    with pytest.raises(ValueError, match="is not known"):
+        store.Store(spark, folder, at=3).read("errors")
+
+
+def test_aliases_grow_by_increments(spark):
+    """Batches in turn, in one task and by components, equal the fold of all events from the start."""
+    from trailhead.operators import alias
+
+    rnd = __import__("random").Random(12)
+    events = [(i, f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}", f"c{i}") for i in range(400)]
+    kind = "seq long, old_id string, new_id string, commit_hash string"
+    want = {o: v for o, v in alias.fold_py([e[1:] for e in events]).items()}
+    for one_task in (alias.ONE_TASK, 0):
+        old, alias.ONE_TASK = alias.ONE_TASK, one_task
+        try:
+            table = spark.createDataFrame([], schema.ALIAS)
+            for a in (0, 1, 150, 390):
+                b = {0: 1, 1: 150, 150: 390, 390: 400}[a]
+                table = retrieve.graph.session.checkpointed(alias.record(table, spark.createDataFrame(events[a:b], kind)))
+        finally:
+            alias.ONE_TASK = old
+        assert {r.old_id: (r.new_id, r.root_id, r.commit_hash) for r in table.collect()} == want
+    moved = alias.increment(table, spark.createDataFrame([(500, "far", "away", "c")], kind)).collect()
+    assert [tuple(r) for r in moved] == [("far", "away", "away", "c")]
+    assert alias.increment(table, spark.createDataFrame([], kind)).isEmpty()
 
 
 CPP2 = rb'''

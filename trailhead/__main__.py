@@ -146,7 +146,7 @@ def main(argv: list[str] | None = None) -> int:
     if not built.ok:
         print(built.reason)
         return 1
-    st.publish({"traces": built.traces})
+    st.upsert({"traces": built.traces.where(F.col("trace_id") == built.trace_id)})
     print(retrieve.render(retrieve.snippets(built.nodes, now), built.edges).first().text)
     print(f"trace {built.trace_id}")
     return 0

@@ -96,11 +96,26 @@ def norm(embedding: Column) -> Column:
     return F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x["v"].cast("double") * x["v"]))
 
 
-def dense(embedding: Column, dim: int = schema.DIM) -> Column:
-    """The normalised vector (array<float>); all zeros stay zero."""
-    by = F.map_from_entries(embedding)
-    n = norm(embedding)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(n > 0, F.coalesce(by[i], F.lit(0)) / n).otherwise(0.0).cast("float"))
+#: Rows whose dense vectors are made at once.
+_ROWS = 2048
+
+
+def embed(df: DataFrame, text_col: str, out: str = "vector", dim: int = schema.DIM) -> DataFrame:
+    """``df`` with the normalised vector of a text (array<float>); all zeros stay zero.  Map only."""
+
+    def kernel(col):
+        values = []
+        for at in range(0, len(col), _ROWS):
+            part = col.slice(at, _ROWS)
+            row, h = _word_hashes(part, True)
+            bucket = (h % np.uint64(dim)).astype(np.int64)
+            v = np.bincount(row * dim + bucket, np.where(h >> np.uint64(63), -1.0, 1.0), len(part) * dim).reshape(-1, dim)
+            n = np.sqrt((v * v).sum(1, keepdims=True))
+            values.append(np.divide(v, n, out=v, where=n > 0).astype(np.float32).reshape(-1))
+        flat = np.concatenate(values) if values else np.zeros(0, np.float32)
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(col) + 1, dtype=np.int32) * dim), pa.array(flat))]
+
+    return _mapped(df, text_col, kernel, [T.StructField(out, T.ArrayType(T.FloatType()))])
 
 
 def simhash_of_text(df: DataFrame, text_col: str, out: str = "simhash") -> DataFrame:
@@ -122,14 +137,16 @@ def simhash_tokens(tokens_col: Column) -> Column:
     """Fingerprint of array<struct<text, weight>>: per bit the sum of the weights with their signs; empty gives 0."""
     hashed = F.transform(tokens_col, lambda t: F.struct(hashing.fnv1a(t["text"]).alias("h"), t["weight"].cast("long").alias("w")))
 
-    def vote(b: int) -> Column:
+    def vote(hashed: Column, b: int) -> Column:
         return F.aggregate(hashed, F.lit(0).cast("long"), lambda a, t: a + F.when(F.getbit(t["h"], F.lit(b)) == 1, t["w"]).otherwise(-t["w"]))
 
-    votes = [vote(b) for b in range(64)]
-    out = F.lit(0).cast("long")
-    for b, v in enumerate(votes):
-        out = out.bitwiseOR(F.when(v > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return out
+    def bits(hashed: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for b in range(64):
+            out = out.bitwiseOR(F.when(vote(hashed, b) > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+        return out
+
+    return F.transform(F.array(hashed), bits)[0]  # the hashes are bound once, not once a bit
 
 
 def simhash_py(items: list[tuple[str, int]]) -> int:

@@ -68,12 +68,12 @@ def resolve(ids: DataFrame, alias: DataFrame, col: str = "id") -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of an undirected edge table (a, b): the smallest id reachable, by rounds of minimum labels with
-    pointer jumping."""
+    pointer jumping.  A round is one written table and one look at it."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = session.checkpointed(both)
     label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("id"), "label")
+    label = session.checkpointed(label)
     while True:
-        label = session.checkpointed(label)
         seen = both.join(label, both.b == label.id).groupBy("a").agg(F.min("label").alias("near"))
         low = label.join(seen, label.id == seen.a, "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
         jump = label.select(F.col("id").alias("_i"), F.col("label").alias("_l"))
@@ -83,25 +83,56 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("id", F.col("label").alias("component"))
 
 
-def record(alias: DataFrame, events: DataFrame) -> DataFrame:
-    """The alias table after ordered events (seq, old_id, new_id, commit_hash): the exact fold, a component at a time.
+#: Up to so many rows of a batch are folded in one task, without a search for components.
+ONE_TASK = 1 << 17
+
 
-    Rows of the table that no event can reach are in components of their own and stay as they are.
+def increment(alias: DataFrame, events: DataFrame) -> DataFrame:
+    """The rows of the alias table that ordered events (seq, old_id, new_id, commit_hash) change, as they are afterwards.
+
+    Only rows whose own id or whose root an event names can change, which two semi joins find.  A row of which only the root
+    is named never acts: it goes where its root goes.  So the fold is over the events and the rows of their ids, and all
+    others that change take one join with the roots that moved.  Events of equal ``seq`` are in the order of their ids.
     """
     session.ship(alias.sparkSession)
-    links = events.select(F.col("old_id").alias("a"), F.col("new_id").alias("b")).union(alias.select("old_id", "new_id")).union(alias.select("old_id", "root_id"))
-    comp = components(links.where("a <> b"))
-    kind = "old_id string, new_id string, root_id string, commit_hash string"
-    rows = alias.select("old_id", "new_id", "root_id", "commit_hash", F.lit(-1).cast("long").alias("seq")).unionByName(
-        events.select("old_id", "new_id", F.lit(None).cast("string").alias("root_id"), "commit_hash", F.col("seq").cast("long"))
-    )
-    placed = rows.join(comp, rows.old_id == comp.id, "left").withColumn("component", F.coalesce("component", "old_id"))
+    ev = session.checkpointed(events.select("seq", "old_id", "new_id", "commit_hash"))
+    n = ev.count()
+    if not n:
+        return alias.limit(0)
+    ids = session.checkpointed(ev.select(F.col("old_id").alias("id")).union(ev.select("new_id")).distinct())
+    near = alias.join(ids, alias.old_id == ids.id, "left_semi").select("old_id", "new_id", "root_id", "commit_hash")
+    # a root that is named stands for its followers: a row of its own, that takes no part but for its root
+    follower = ids.select(F.concat(F.lit(FOLLOW), "id").alias("old_id"), F.col("id").alias("new_id"), F.col("id").alias("root_id"), F.lit("").alias("commit_hash"))
+    known = near.unionByName(follower).withColumn("seq", F.lit(-1).cast("long"))
+    rows = known.unionByName(ev.withColumn("root_id", F.lit(None).cast("string")).select(*known.columns))
+    if n <= ONE_TASK:
+        placed = rows.withColumn("component", F.lit(""))
+    else:
+        met = session.checkpointed(near.select(F.col("old_id").alias("a"), F.col("root_id").alias("b")))
+        comp = components(ev.select(F.col("old_id").alias("a"), F.col("new_id").alias("b")).union(met).where("a <> b"))
+        key = F.when(F.startswith("old_id", F.lit(FOLLOW)), F.col("new_id")).otherwise(F.col("old_id"))
+        placed = rows.withColumn("_id", key).join(comp.withColumnRenamed("id", "_id"), "_id", "left").withColumn("component", F.coalesce("component", "_id")).drop("_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf["seq"] < 0]
+        old = pdf[pdf["seq"] < 0]
         new = pdf[pdf["seq"] >= 0].sort_values(["seq", "old_id", "new_id"])
-        table = {o: (n, r, c) for o, n, r, c in zip(known["old_id"], known["new_id"], known["root_id"], known["commit_hash"])}
+        table = {o: (n, r, c) for o, n, r, c in zip(old["old_id"], old["new_id"], old["root_id"], old["commit_hash"])}
         got = fold_py(list(zip(new["old_id"], new["new_id"], new["commit_hash"])), table)
-        return pd.DataFrame([(o, n, r, c) for o, (n, r, c) in got.items()], columns=["old_id", "new_id", "root_id", "commit_hash"])
+        return pd.DataFrame([(o, n, r, c) for o, (n, r, c) in got.items() if table.get(o) != (n, r, c)], columns=["old_id", "new_id", "root_id", "commit_hash"])
+
+    folded = session.checkpointed(placed.groupBy("component").applyInPandas(run, "old_id string, new_id string, root_id string, commit_hash string"))
+    led = F.startswith("old_id", F.lit(FOLLOW))
+    moved = folded.where(led).select(F.col("new_id").alias("_from"), F.col("root_id").alias("_to"))
+    passive = alias.join(moved, alias.root_id == moved._from).join(ids, alias.old_id == ids.id, "left_anti")
+    passive = passive.select("old_id", "new_id", F.col("_to").alias("root_id"), "commit_hash")
+    return folded.where(~led).unionByName(passive)
 
-    return placed.select("component", "old_id", "new_id", "root_id", "commit_hash", "seq").groupBy("component").applyInPandas(run, kind)
+
+#: Before an id: the followers of that root.  Ids hold no control characters.
+FOLLOW = "\x00"
+
+
+def record(alias: DataFrame, events: DataFrame) -> DataFrame:
+    """The whole alias table after ordered events (seq, old_id, new_id, commit_hash), exact; see ``increment``."""
+    moved = session.checkpointed(increment(alias, events))
+    return alias.join(moved.select(F.col("old_id").alias("_o")), F.col("old_id") == F.col("_o"), "left_anti").unionByName(moved)

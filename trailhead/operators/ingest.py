@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .. import session
+from .. import schema, session
 from ..functions import text
 from ..functions.hashing import fnv1a
 from ..sources import parse
 from . import alias as aliases
-from . import store
+from . import layered, store
 
 CALLS, IMPLEMENTS = "CALLS", "IMPLEMENTS"
 
@@ -62,45 +62,70 @@ def symbols(matched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return edges, stubs, renames.unionByName(defined)
 
 
-def apply(tables: dict[str, DataFrame], changes: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The tables after ``changes`` (seq, file_path, content, commit_hash, op), and a row of counters.
+def changed(tables: dict[str, DataFrame], changes: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The rows of each table that ``changes`` (seq, file_path, content, commit_hash, op) alter, and a row of counters.
 
-    op D, or no content: the path's active nodes are tombstoned and lose their edges and vectors.  Deletes come before
-    upserts.  Of several changes to a path the last one counts.  Applying the same changes again changes nothing.
+    op D, or no content: the path's active nodes are tombstoned and lose their edges and vectors (rows with ``_gone``).
+    Deletes come before upserts.  Of several changes to a path the last one counts.  Applying the same changes again changes
+    nothing.  Tables are looked into, not written: what comes out is of the size of the change.
     """
     nodes, edges, alias, vectors = (tables[k] for k in ("nodes", "edges", "alias", "vectors"))
-    last = store.latest(changes, ["file_path"], "seq")
-    gone = last.where("op = 'D' OR content IS NULL OR length(content) = 0")
-    live = last.where("op <> 'D' AND content IS NOT NULL AND length(content) > 0")
-    dead = session.checkpointed(nodes.where("is_active").join(gone.select("file_path"), "file_path", "left_semi").select("id"))
-    nodes, edges = store.tombstone(nodes, edges, dead)
-    vectors = store.remove_vectors(vectors, dead)
-
-    spans = parse.exploded(parse.parse(live.select("seq", "file_path", "content", "commit_hash")))
+    last = store.latest(changes, ["file_path"], "seq").withColumn("_dead", F.expr("coalesce(op = 'D', false) OR content IS NULL OR length(content) = 0"))
+    listed = session.checkpointed(last.select("file_path", "_dead"))
+    dead = session.checkpointed(nodes.where("is_active").join(listed.where("_dead"), "file_path", "left_semi"))
+    alive = nodes.join(dead.select("id"), "id", "left_anti")
+
+    spans = parse.exploded(parse.parse(last.where("NOT _dead").select("seq", "file_path", "content", "commit_hash")))
     cut = F.make_valid_utf8(F.substring(F.col("content"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")).cast("string"))
     # files are parsed once; what follows reads the spans, each with its own text only
     spans = session.checkpointed(spans.withColumn("snippet", cut).drop("content"))
-    m = session.checkpointed(match(spans, nodes))
+    m = session.checkpointed(match(spans, alive))
     whole = F.col("parse_confidence") == 0
     kept = m.where(~whole | F.col("is_new"))  # a whole file that is known stays as it is
     new_nodes = store.latest(
         kept.select("id", "file_path", "byte_start", "byte_end", "simhash", F.lit(True).alias("is_active"), "parse_confidence", (F.col("seq") * 2**20 + F.col("pos")).alias("_order")), ["id"], "_order"
     ).drop("_order")
-    new_edges, stubs, events = symbols(m)
-    nodes = store.upsert_nodes(nodes, new_nodes.unionByName(stubs.join(nodes, "id", "left_anti")))
-    edges = store.upsert_edges(edges, new_edges, nodes)
+    new_edges, stubs, events = symbols(m)  # both ends of each edge are nodes of the batch or stubs
+    have = nodes.join(stubs.select("id"), "id", "left_semi").select("id")
+    new_stubs = stubs.join(have, "id", "left_anti")
     numbered = events.withColumn("seq", (F.col("seq") * 2**21 + F.col("pos") * 2 + F.col("step")).cast("long"))
-    alias = aliases.record(alias, numbered.select("seq", "old_id", "new_id", "commit_hash"))
     fresh = m.where("is_new").select("id", "snippet")
-    embedded = text.embed_sparse(fresh, "snippet").select("id", text.dense(F.col("embedding")).alias("vector"))
-    vectors = store.upsert_vectors(vectors, embedded.dropDuplicates(["id"]))
-    stats = last.agg(F.count("*").alias("files_processed"), F.count_if(F.expr("op = 'D' OR content IS NULL OR length(content) = 0")).alias("paths_tombstoned")).crossJoin(
-        m.agg(
-            F.count_if("is_new").alias("nodes_upserted"), F.count_if(whole & ~F.col("is_new")).alias("nodes_skipped"), F.count_if(F.expr("parse_error IS NOT NULL")).alias("parse_failures"),
-        )
-    ).crossJoin(dead.agg(F.count("*").alias("nodes_tombstoned")))
+    embedded = text.embed(fresh.dropDuplicates(["id"]), "snippet").select("id", "vector")
+    lost = vectors.join(dead.select("id"), "id", "left_semi").withColumn("_gone", F.lit(True))
     errors = m.where("parse_error IS NOT NULL").select(F.col("file_path").alias("path"), F.col("parse_error").alias("message"))
-    return tables | {"nodes": nodes, "edges": edges, "alias": alias, "vectors": vectors, "errors": store.merge(tables["errors"], errors, ["path"])}, stats
+    errors = errors.groupBy("path").agg(F.max("message").alias("message")).withColumn("kind", schema.error_kind(F.col("message")))
+
+    def over(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+        """Deletes and, over them, upserts."""
+        cols = [c for c in new.columns if c != "_gone"]
+        rows = old.select(*cols, "_gone", F.lit(0).cast("long").alias("_v")).unionByName(new.select(*cols, F.lit(False).alias("_gone"), F.lit(1).cast("long").alias("_v")))
+        return layered.newest(rows, keys).drop("_v")
+
+    inactive = dead.withColumns({"is_active": F.lit(False), "_gone": F.lit(False)})
+    out = {
+        "nodes": over(inactive, store.check_nodes(new_nodes.unionByName(new_stubs)), schema.KEYS["nodes"]),
+        "edges": over(store.gone_edges(edges, dead), new_edges, schema.KEYS["edges"]),
+        "alias": aliases.increment(alias, numbered.select("seq", "old_id", "new_id", "commit_hash")).withColumn("_gone", F.lit(False)),
+        "vectors": over(lost, embedded, schema.KEYS["vectors"]),
+        "errors": errors.withColumn("_gone", F.lit(False)),
+    }
+    no = F.lit(0).cast("long")
+    one = lambda **flags: [F.coalesce(flags[c].cast("long"), no).alias(c) if c in flags else no.alias(c) for c in COUNTERS]
+    counted = (
+        listed.select(*one(files_processed=F.lit(1), paths_tombstoned=F.col("_dead")))
+        .unionByName(m.select(*one(nodes_upserted=F.col("is_new"), nodes_skipped=whole & ~F.col("is_new"), parse_failures=F.col("parse_error").isNotNull())))
+        .unionByName(dead.select(*one(nodes_tombstoned=F.lit(1))))
+    )
+    return out, counted.agg(*(F.coalesce(F.sum(c), no).alias(c) for c in COUNTERS))
+
+
+COUNTERS = ("files_processed", "paths_tombstoned", "nodes_upserted", "nodes_skipped", "parse_failures", "nodes_tombstoned")
+
+
+def apply(tables: dict[str, DataFrame], changes: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The whole tables after ``changes`` (see ``changed``), and a row of counters."""
+    moved, stats = changed(tables, changes)
+    return tables | {t: layered.overlay(tables[t], rows, schema.KEYS[t]) for t, rows in moved.items()}, stats
 
 
 def path_fingerprint(path: Column) -> Column:

@@ -1,20 +1,16 @@
-"""The stored tables: last-write-wins merges, tombstones, aliases, and versioned snapshots.
+"""The stored tables as DataFrames: last-write-wins merges, tombstones, look-ups.
 
-A change is a DataFrame; a merge is a union and one aggregation by key (no index, no lookup a row).  A store is a folder
-of snapshots: a version is written whole beside the others, and becomes current when its manifest row is written, so a
-reader sees one version or the next and a failed write is never seen.
+A change is a DataFrame; a merge is a union and one aggregation by key (no index, no lookup a row).  ``layered.Store`` keeps
+tables in a folder; ``gone_nodes`` and ``gone_edges`` are a tombstone's rows for it.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schema
+from .layered import Conflict, Store  # noqa: F401  the stored form of these tables
 
 
 def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -52,6 +48,18 @@ def tombstone(nodes: DataFrame, edges: DataFrame, dead: DataFrame) -> tuple[Data
     return marked, left.join(ids, left.target_id == ids._dead, "left_anti")
 
 
+def gone_nodes(nodes: DataFrame, dead: DataFrame) -> DataFrame:
+    """The changed rows of a tombstone: the nodes of ``dead`` (id), inactive."""
+    return nodes.join(dead.select("id").distinct(), "id", "left_semi").withColumn("is_active", F.lit(False))
+
+
+def gone_edges(edges: DataFrame, dead: DataFrame) -> DataFrame:
+    """The edges that touch ``dead`` (id), as deletes (``_gone``).  One walk over the edges; no edge row moves but these."""
+    ids = dead.select(F.col("id").alias("_dead")).distinct()
+    out = edges.join(ids, edges.source_id == ids._dead, "left_semi").unionByName(edges.join(ids, edges.target_id == ids._dead, "left_semi"))
+    return out.withColumn("_gone", F.lit(True))
+
+
 def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose both ends are nodes; others are dropped silently."""
     ids = nodes.select(F.col("id").alias("_id")).distinct()
@@ -98,97 +106,3 @@ def by_simhash(nodes: DataFrame, wanted: DataFrame, same_file: bool) -> DataFram
     """(simhash[, file_path], id): an active node for each wanted fingerprint (of the same file); the smallest id."""
     keys = ["simhash", "file_path"] if same_file else ["simhash"]
     return nodes.where("is_active").join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.min("id").alias("id"))
-
-
-#: Seconds after which a claim without a version is an abandoned one.
-LEASE = 3600
-
-
-class Conflict(RuntimeError):
-    """Two writers at once."""
-
-
-class Store:
-    """Snapshots below a folder of any file system that Spark writes."""
-
-    MANIFEST = T.StructType([T.StructField("version", T.LongType()), T.StructField("table_name", T.StringType()), T.StructField("path", T.StringType()), T.StructField("schema_version", T.IntegerType()), T.StructField("batch_id", T.LongType())])
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._made = False
-
-    def _manifest(self) -> DataFrame:
-        path = f"{self.folder}/manifest"
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], self.MANIFEST)
-        return self.spark.read.schema(self.MANIFEST).parquet(path)
-
-    def current(self) -> dict[str, str]:
-        """Path of each table in the newest version (a handful of manifest rows)."""
-        rows = self._manifest().collect()
-        top = max((r.version for r in rows), default=0)
-        wrong = {r.schema_version for r in rows} - {schema.VERSION}
-        if wrong:
-            raise ValueError(f"the store was written with schema versions {sorted(wrong)}; this is {schema.VERSION}")
-        return {r.table_name: r.path for r in rows if r.version == top}
-
-    def version(self) -> int:
-        return self._manifest().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-
-    def last_batch(self) -> int:
-        """Largest stream batch that a version holds, -1 without."""
-        return self._manifest().agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
-
-    def read(self, name: str) -> DataFrame:
-        path = self.current().get(name)
-        kind = schema.TABLES[name]
-        return self.spark.read.schema(kind).parquet(path) if path else self.spark.createDataFrame([], kind)
-
-    def _claim(self, version: int) -> None:
-        """Make this writer the only one of a version; a claim that its writer left unfinished for LEASE is taken over."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(f"{self.folder}/claims/{version}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.mkdirs(path.getParent())
-        if fs.exists(path) and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > LEASE:
-            fs.delete(path, False)
-        if not fs.createNewFile(path):
-            raise Conflict(f"another writer is at version {version} of {self.folder}")
-
-    def release(self, version: int) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/claims/{version}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
-
-    def publish(self, tables: dict[str, DataFrame], batch_id: int = -1) -> int:
-        """Write the given tables as a new version; the others stay as they are.
-
-        One writer at a time: a second one for the same version gets ``Conflict`` and reads again before it retries.
-        Tables are written to paths of their own, so no attempt overwrites another's.
-        """
-        version = self.version() + 1
-        self._claim(version)
-        try:
-            paths = self.current()
-            for name, df in tables.items():
-                paths[name] = f"{self.folder}/{name}/v{version}-{uuid.uuid4().hex[:12]}"
-                df.select(*schema.TABLES[name].fieldNames()).write.parquet(paths[name])
-            if self.version() != version - 1:
-                raise Conflict(f"version {version} of {self.folder} was written meanwhile")
-            rows = [(version, n, p, schema.VERSION, batch_id) for n, p in paths.items()]
-            self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
-        finally:
-            self.release(version)
-        return version
-
-    def prune(self, keep: int = 2) -> list[str]:
-        """Delete the snapshots that none of the ``keep`` newest versions names; returns their paths."""
-        rows = self._manifest().collect()
-        newest = sorted({r.version for r in rows})[-keep:]
-        held = {r.path for r in rows if r.version in newest}
-        gone = sorted({r.path for r in rows} - held)
-        for p in gone:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        return gone

@@ -14,20 +14,22 @@ from .. import session
 from ..functions import text
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine in double precision; 0 if a norm is 0.  One walk over both vectors."""
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    zero = F.struct(*(F.lit(0.0).alias(n) for n in ("xy", "xx", "yy")))
 
+    def step(s: Column, p: Column) -> Column:
+        return F.struct((s["xy"] + p["x"] * p["y"]).alias("xy"), (s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy"))
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision; 0 if a norm is 0."""
-    n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
+    return F.aggregate(pairs, zero, step, lambda s: F.when((s["xx"] > 0) & (s["yy"] > 0), s["xy"] / (F.sqrt(s["xx"]) * F.sqrt(s["yy"]))).otherwise(0.0))
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(id, score) of the k nearest, best first, ties by id.  One pass; a bounded heap a task."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.select(id_col, cosine(F.col(vector_col), q).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    """(id, score) of the k nearest, best first, ties by id.  One pass; k rows a task.  Null vectors have no rows."""
+    asked = vectors.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, query array<double>")
+    named = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    return top_k_batch(named, asked, k).orderBy("rank").select(F.col("id").alias(id_col), "score")
 
 
 #: Queries of one broadcast; more come in blocks, each a pass over the vectors.

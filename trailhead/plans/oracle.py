@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..functions.text import STOP_WORDS
-from .oracle_paths import paths
+from .oracle_code import code
+from .oracle_paths import _RENAMES, paths
 from .retrieve_text import QUESTION, RULE, THIN
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -88,3 +89,4 @@ sha256(string_agg(coalesce(text, ''), '|' ORDER BY turn)) snippets_sha256 FROM c
 }
 ORACLE_SQL["q_stream_upsert"] = ORACLE_SQL["q_upsert_lww"]
 ORACLE_SQL |= paths({"fnv": _FNV, "signed": _SIGNED, "prints": _PRINTS, "match": _MATCH, "nodes": _NODES, "href": _HREF, "buys": _BUYS, "supplied": _SUPPLIED, "trade": _TRADE, "sparse": _SPARSE, "q": _Q, "cos": _COS, "stop": _STOP})
+ORACLE_SQL |= code({"buys": _BUYS, "renames": _RENAMES})

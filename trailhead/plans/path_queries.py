@@ -283,7 +283,7 @@ def q_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 def _corpus(spark: SparkSession, d: str) -> tuple[dict, DataFrame]:
     """Documents as a stored code base and its files."""
     docs = read(spark, d, "documents")
-    v = text.embed_sparse(docs.select("doc_id", "text"), "text").select(F.col("doc_id").cast("string").alias("id"), text.dense(F.col("embedding")).alias("vector"))
+    v = text.embed(docs.select("doc_id", "text"), "text").select(F.col("doc_id").cast("string").alias("id"), "vector")
     n = nodes(spark, d).withColumn("file_path", F.concat(F.lit("doc/"), "id"))
     tables = {"nodes": n, "edges": session.checkpointed(following(spark, d)), "alias": spark.createDataFrame([], schema.ALIAS), "vectors": v, "traces": spark.createDataFrame([], schema.TRACES)}
     now = docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))

@@ -11,7 +11,7 @@ from ..functions import hashing, text, wire
 from ..operators import alias, graph, ingest, store, vectors
 from ..sources import git
 from ..streaming import changes
-from . import path_queries, retrieve  # noqa: F401  path_queries registers its own
+from . import code_queries, path_queries, retrieve  # noqa: F401  the first two register their own
 from .oracle import ORACLE_SQL  # noqa: F401
 from .projections import buys, nodes, prints, read, same, supplied, tagged, trade
 from .registry import QUERIES, query  # noqa: F401
@@ -58,7 +58,7 @@ def q_ask_topk(spark: SparkSession, d: str) -> DataFrame:
 def q_vec_topk(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
     q = e.where("vec_id = 0").select("embedding").first()
-    return vectors.top_k(e, list(q.embedding), 10, "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"))
+    return vectors.top_k(e, list(q.embedding) if q else [], 10, "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query

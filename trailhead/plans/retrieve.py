@@ -75,7 +75,7 @@ def build(
     """The whole question path over tables (nodes, edges, alias, vectors, traces) and files (file_path, content)."""
     nodes, edges, alias = tables["nodes"], tables["edges"], tables["alias"]
     spark = nodes.sparkSession
-    row = text.embed_sparse(spark.createDataFrame([(question,)], "q string"), "q").select(text.dense(F.col("embedding")).alias("v")).first()
+    row = text.embed(spark.createDataFrame([(question,)], "q string"), "q", "v").first()
     seeds = vectors.top_k(tables["vectors"], list(row.v), SEEDS).collect()  # five rows
     if not seeds or seeds[0].score < floor:
         return Built(False, NO_MATCH)

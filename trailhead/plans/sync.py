@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ingest, store
+from ..operators import ingest, order, store
 from ..sources import files, git, parse
 from ..streaming import changes
 
@@ -15,9 +15,10 @@ def full(spark: SparkSession, repo: str, st: store.Store, commit: str = "sync")
     now = files.scan(spark, repo)
     known = st.read("nodes").where("is_active").select("file_path").distinct()
     gone = known.join(now.select("file_path"), "file_path", "left_anti").select("file_path", F.lit(None).cast("binary").alias("content"), F.lit("D").alias("op"))
-    rows = now.withColumn("op", F.lit("U")).unionByName(gone)
-    batch = rows.select(F.xxhash64("file_path").bitwiseAND(F.lit(2**30 - 1).cast("long")).alias("seq"), "file_path", "op", F.lit(commit).alias("commit_hash"), "content")
-    return changes.apply_batch(st, batch)
+    # files in the order of their paths, so the last definer of a name is the last by path
+    place = order.numbered(now.select("file_path").unionByName(gone.select("file_path")), F.col("file_path"))
+    rows = now.withColumn("op", F.lit("U")).unionByName(gone).join(place, "file_path")
+    return changes.apply_batch(st, rows.select(F.col("_rank").alias("seq"), "file_path", "op", F.lit(commit).alias("commit_hash"), "content"))
 
 
 def increment(spark: SparkSession, repo: str, st: store.Store, commit: str, upserts: list[str], deletes: list[str]) -> DataFrame:
@@ -34,8 +35,8 @@ def history(spark: SparkSession, repo: str, st: store.Store) -> int:
     spans = parse.exploded(parse.parse(rows.select("commit_hash", "timestamp", "message", "file_path", "content")))
     named = spans.withColumn("node_id", ingest.node_id(F.col("file_path"), F.col("simhash")))
     new = git.history_rows(named).select("node_id", "commit_hash", "timestamp", "synthetic_msg").distinct()
-    notes = store.merge(st.read("annotations"), git.annotations(named).select("commit_hash", "path", "text"), ["commit_hash"])
-    return st.publish({"history": store.record_history(st.read("history"), new), "annotations": notes})
+    noted = new.withColumn("synthetic_msg", F.nullif("synthetic_msg", F.lit("")))
+    return st.upsert({"history": noted, "annotations": git.annotations(named).select("commit_hash", "path", "text")})
 
 
 def as_of(rows: DataFrame, at: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A fingerprint is made of node kinds, keywords and punctuation, never of names or literal text, so renaming does not change
 it.  Python goes through its own grammar; C and C++ through a scanner of declarations (``c_family``).  Nested functions belong to the
-outermost one.  What neither grammar takes becomes one span over the whole file, fingerprinted by its path.
+outermost one.  A Python file with an error is cut into islands, a function each, by indentation; each goes through the
+grammar alone, so a broken function costs only itself: it keeps its place, name and calls with a low confidence.  What has
+no function that parses becomes one span over the whole file, fingerprinted by its path.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import ast
 import io
 import keyword
+import re
 import tokenize
 
 import pyarrow as pa
@@ -72,6 +75,58 @@ def python_spans(source: bytes) -> list[tuple]:
     return out
 
 
+_DEF = re.compile(rb"^([ \t]*)(?:async[ \t]+)?def[ \t]+([^\W\d]\w*)", re.M)
+#: Within an island: comments, strings, brackets and the beginnings of lines that say something.
+_PIECE = re.compile(rb"""(?P<skip>\#[^\n]*|(?P<q>\"{3}|'{3})(?:\\.|(?!(?P=q)).)*(?:(?P=q)|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?)|(?P<open>[(\[{])|(?P<close>[)\]}])|\n(?P<line>[ \t]*)(?=[^\s#])""", re.S | re.X)
+_CALL = re.compile(rb"([^\W\d]\w*)(?:[ \t]*\.[ \t]*\w+)*[ \t]*\(")
+_MARK = re.compile(rb"[A-Za-z_]\w*|[^\w\s]")
+#: What a function that does not parse is worth: under the threshold of uncertainty.
+BROKEN = 0.25
+
+
+def _ends(source: bytes, at: int, indent: int) -> list[int]:
+    """Where the function whose line begins at ``at`` may end: at the next line no deeper than it, outside of strings and
+    brackets; and without regard to these, should they not be closed."""
+    depth, strict = 0, len(source)
+    for m in _PIECE.finditer(source, at):
+        if m["open"]:
+            depth += 1
+        elif m["close"]:
+            depth = max(0, depth - 1)
+        elif m["line"] is not None and not depth and len(m["line"]) <= indent:
+            strict = m.start() + 1
+            break
+    plain = re.compile(rb"\n[ \t]{0,%d}(?=[^\s#)\]}])" % indent).search(source, source.find(b"\n", at) if b"\n" in source[at:] else len(source))
+    return [strict, plain.start() + 1 if plain else len(source)]
+
+
+def recovered_spans(source: bytes) -> list[tuple]:
+    """Spans of a file that does not parse: (byte_start, byte_end, name, calls, simhash, confidence, error), function by function."""
+    out, at = [], 0
+    head = b"if 1:\n"  # any indentation parses below it
+    while m := _DEF.search(source, at):
+        indent, begin = len(m[1]), m.start()
+        ends, why = _ends(source, begin, indent), None
+        for end in dict.fromkeys(ends):
+            text = source[begin:end]
+            try:
+                shift = begin - len(head) if indent else begin
+                got = python_spans(head + text if indent else text)
+                out += [(a + shift, b + shift, *rest, 1.0, None) for a, b, *rest in got]
+                break
+            except (SyntaxError, ValueError, RecursionError, tokenize.TokenError) as e:
+                why = f"{type(e).__name__}: {e}"
+        else:
+            end = min(ends)
+            a, text = begin + indent, source[begin + indent : end].rstrip()
+            calls = [c.decode("utf-8", "replace") for c in _CALL.findall(text[text.find(b"(") + 1 :]) if not keyword.iskeyword(c.decode("utf-8", "replace"))]
+            marks = [t.decode("latin-1") for t in _MARK.findall(text)]
+            kinds = [("broken_function", 1), *((t, 1) for t in marks if keyword.iskeyword(t) or not (t[0].isalnum() or t[0] == "_"))]
+            out.append((a, a + len(text), m[2].decode("utf-8", "replace"), calls, simhash_py(kinds), BROKEN, why))
+        at = max(end, m.end())
+    return out
+
+
 def c_spans(source: bytes) -> list[tuple]:
     out = []
     for a, b, name, calls, kinds in c_family.functions(source):
@@ -89,6 +144,9 @@ def spans(path: str, source: bytes) -> list[tuple]:
         why = None
     except (SyntaxError, ValueError, RecursionError, tokenize.TokenError) as e:
         why = f"{type(e).__name__}: {e}"
+        found = recovered_spans(source) if path.endswith(".py") else []
+        if any(s[5] == 1.0 for s in found):
+            return found
     return [(0, len(source), "", [], simhash_py([(path, 1)]), 0.0, why)]
 
 

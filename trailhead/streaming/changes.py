@@ -32,10 +32,10 @@ def apply_batch(store: Store, batch: DataFrame, batch_id: int = -1) -> DataFrame
     """Apply change rows and publish; returns the counters, or None for a batch that a version holds already."""
     if batch_id >= 0 and batch_id <= store.last_batch():
         return None
-    before = {t: store.read(t) for t in STATEFUL}
-    after, stats = ingest.apply(before, batch)
+    version = store.version()
+    moved, stats = ingest.changed({t: store.read(t, version) for t in STATEFUL}, batch)
     counted = stats.collect()  # one row
-    store.publish({t: after[t] for t in STATEFUL}, batch_id)
+    store.upsert(moved, batch_id, version)
     return store.spark.createDataFrame(counted, stats.schema)
 
 
