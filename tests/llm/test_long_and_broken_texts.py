@@ -136,3 +136,68 @@ def test_training_takes_long_documents_too(spark):
     model = quality.train(docs, labels, sample_docs=20, sample_lines=7)
     got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     assert all((got[i] >= 0.5) == (i % 2 == 1) for i in range(40))
+
+
+def random_model(rng):
+    width = 3 * quality.OWN + 3
+    return quality.Model(rng.normal(size=width), rng.random(width) + 0.5, rng.normal(size=width) / 5, rng.normal(size=(2, 2)), (0.3, 2.0))
+
+
+def test_chunked_marginals_are_the_plain_ones():
+    rng = np.random.default_rng(4)
+    for lens in ([1], [300, 1, 7, 64, 65, 3], [5000], [2, 900, 2]):
+        first = np.concatenate([[0], np.cumsum(lens)])
+        e, moves = rng.normal(size=first[-1]) * 3, rng.normal(size=(2, 2))
+        want = quality.marginals(e, first, moves)[0]
+        for chunk in (1, 2, 7, 64, 10000):
+            assert np.allclose(quality.good(e, first, moves, chunk), want)
+
+
+def test_quality_in_blocks_is_that_of_all_features(monkeypatch):
+    rng, rnd = np.random.default_rng(5), random.Random(8)
+    texts = [some_text(rnd, 900), "", "\n" * 400, "a b\n" * 200, "one", "a\n \n\n" * 90 + "b b", "x" * 700, "\n", "tail\n\n"]
+    model = random_model(rng)
+    data, off = np.concatenate([as_bytes(t) for t in texts]), np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    x, chars, first = quality.features(data, off)
+    want = quality.quality(quality.marginals(model.emissions(x), first, model.moves)[0], chars, first)
+    assert np.allclose(quality.texts_quality(model, data, off), want)
+    for size in (40, 64, 111):
+        monkeypatch.setattr(quality, "LONG", size)
+        for t, w in zip(texts, want):
+            assert np.allclose(quality.texts_quality(model, as_bytes(t), np.array([0, len(t.encode())])), w)
+        monkeypatch.undo()
+
+
+def test_training_lines_come_from_the_whole_text(monkeypatch):
+    lines = [f"line {i} " + "w " * (i % 9) for i in range(1000)]
+    data = as_bytes("\n".join(lines))
+    x, chars, _ = quality.features(data, np.array([0, len(data)]))
+    monkeypatch.setattr(quality, "LONG", 500)
+    got, c, sizes = quality.sampled(data, 200, 25, 12345)
+    assert sizes.tolist() == [25] * 8
+    cuts = [1000 * i // 8 for i in range(9)]
+    want = np.concatenate([np.arange(25) + p + 12345 % (q - p - 24) for p, q in zip(cuts, cuts[1:])])
+    assert np.allclose(got, x[want]) and np.allclose(c, chars[want])
+    got, c, sizes = quality.sampled(data, 1000, 25, 1)
+    assert sizes.tolist() == [1000] and np.allclose(got, x) and np.allclose(c, chars)
+
+
+def test_a_text_of_very_many_lines_is_scored():
+    """20 MB of newlines, and 20 MB of one line: bounded memory and time."""
+    import resource
+    import subprocess
+    import sys
+
+    code = """
+import time, numpy as np
+from trailhead.llm import quality
+rng = np.random.default_rng(1)
+width = 3 * quality.OWN + 3
+m = quality.Model(np.zeros(width), np.ones(width), rng.normal(size=width) / 5, rng.normal(size=(2, 2)))
+for text in (b"\\n" * (20 << 20), b"word " * (4 << 20), b"x" * (20 << 20)):
+    t = time.time()
+    q = quality.texts_quality(m, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert 0 <= q[0] <= 1 and time.time() - t < 60, (q, time.time() - t)
+"""
+    limit = lambda: resource.setrlimit(resource.RLIMIT_AS, (4 << 30, 4 << 30))  # noqa: E731  address space, of which under half is used
+    subprocess.run([sys.executable, "-c", code], check=True, preexec_fn=limit, env={**__import__("os").environ, "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"})

@@ -175,7 +175,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """``formatted`` (with formatted, loss) with ``turns`` (array of role, text) and ``loss_text``, both unescaped."""
     parts = F.split("formatted", r"<\|im_end\|>\n", -1)
     parts = F.slice(parts, 1, F.size(parts) - 1)
-    head = r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*)$"
+    # possessive: a role of any length takes no stack
+    head = r"(?s)^<\|im_start\|>((?:[^\\\n]++|\\.)*+)\n(.*)$"
     raw = F.col("formatted").cast("binary")
     return formatted.select(
         "*",
