@@ -131,3 +131,109 @@ def test_alias_record_and_closure(spark):
     assert {r.root_id for r in alias.closure(chain).collect()} == {"9"}
     ids = spark.createDataFrame([("3",), ("zz",)], "id string")
     assert {r.id: r.root for r in alias.resolve(ids, alias.closure(chain)).collect()} == {"3": "9", "zz": "zz"}
+
+
+def tangle(n, hubs):
+    """Edges with parallel ones, self-loops, circles and hubs: node -> (target, type, weight) in order."""
+    rnd = random.Random(17)
+    edges = {}
+    for i in range(n):
+        for _ in range(rnd.choice([0, 1, 2, 3, 9])):
+            edges[f"n{i}", f"n{rnd.randrange(n)}", rnd.choice(["A", "B"])] = rnd.choice([1.0, 2.0, 0.5, 7.0])
+        for h in hubs:
+            edges[f"n{h}", f"n{i}", "A"] = 1.0 + (i + h) % 3
+    out = {}
+    for (a, b, t), w in sorted(edges.items()):
+        out.setdefault(a, []).append((b, t, w))
+    return out
+
+
+def settled(out, seed, alpha, eps, budget):
+    state = graph.start(seed)
+    known = {u: [(b, w, len(out.get(b, []))) for b, _, w in e] for u, e in out.items()}
+    assert graph.advance(state, known | {b: [] for e in out.values() for b, *_ in e if b not in known} | {seed: known.get(seed, [])}, alpha, eps, budget)
+    return state["p"]
+
+
+def table_says(out, walk, need, hub, eps):
+    """What the edge table answers, in plain Python."""
+    rows = []
+    row = lambda kind, node, target, type_, weight, degree: {"kind": kind, "node": node, "target": target, "type": type_, "weight": weight, "degree": degree}
+    for u in need.get("nodes", []):
+        o = out.get(u, [])
+        rows += [row("hub", u, None, None, sum(w for *_, w in o), None)] if len(o) > hub else [row("edge", u, t, ty, w, len(out.get(t, []))) for t, ty, w in o]
+    for h, t in need.get("pairs", []):
+        if w := sum(w for b, _, w in out[h] if b == t):
+            rows.append(row("pair", h, t, None, w, None))
+    if need.get("scan"):
+        asked, due = walk.ask(need), {}
+        for s in asked["shares"]:
+            for b, _, w in out[s["hub"]]:
+                due[b] = due.get(b, 0) + s["share"] * w
+        for o in asked["owed"]:
+            due[o["target"]] = due.get(o["target"], 0) + o["amount"]
+        mine = sorted({b for b, *_ in out[need["scan"]]} - set(asked["queued"]))
+        rows += [row("next", None, t, None, None, None) for t in [t for t in mine if due[t] / max(1, len(out.get(t, []))) >= eps][: asked["room"]]]
+    return rows
+
+
+@pytest.mark.parametrize("hub", [0, 3, 8, 10**9])
+def test_a_walk_that_leaves_hubs_in_the_table(hub):
+    """However few edges make a hub, the settled mass is that of the model, and a state holds no hub's edges."""
+    out = tangle(60, (7, 11))
+    for alpha, eps, budget in ((0.1, 1e-5, 40), (0.5, 1e-2, 12)):
+        for i in range(60):
+            walk, need, rounds = graph.Walk(f"n{i}"), {"nodes": [f"n{i}"]}, 0
+            while need is not None:
+                walk.learn(table_says(out, walk, need, hub, eps), need)
+                need, rounds = walk.run(alpha, eps, budget), rounds + 1
+                assert rounds < 4 * budget and all(not isinstance(e, list) or len(e) <= hub for e in walk.known.values())
+            assert walk.p == pytest.approx(settled(out, f"n{i}", alpha, eps, budget))
+
+
+def test_rounds_past_hubs(spark):
+    out = tangle(40, (7,))
+    df = spark.createDataFrame([(u, b, t, w) for u, e in out.items() for b, t, w in e], E)
+    seeds = ["n7", "n3", "n20", "alone"]
+    got = {}
+    for r in graph.local_push(df, spark.createDataFrame([(s,) for s in [*seeds, None]], "seed string"), 0.3, 1e-3, 7, small=0, hub=8).collect():
+        got.setdefault(r.seed, {})[r.id] = r.score
+    assert got == {s: pytest.approx(settled(out, s, 0.3, 1e-3, 7)) for s in seeds}
+
+
+def test_a_hub_of_many_edges(spark):
+    """A hub of 200,000 edges: an answer holds no more of them than fit the queue."""
+    n = 200_000
+    far = spark.range(n).select(F.lit("h").alias("source_id"), F.format_string("t%07d", "id").alias("target_id"), F.lit("A").alias("type"), F.when(F.col("id") % 100_000 == 7, 50_000.0).otherwise(1.0).alias("weight"))
+    near = spark.createDataFrame([("t0000007", "t0100007", "A", 3.0)], E)
+    got = {r.id: r.score for r in graph.local_push(far.unionByName(near), spark.createDataFrame([("h",)], "seed string"), 0.1, 1e-3, 5, small=0).collect()}
+    out = {"t0000007": [("t0100007", "A", 3.0)], "h": [(f"t{i:07d}", "A", 50_000.0 if i % 100_000 == 7 else 1.0) for i in range(n)]}
+    assert got == pytest.approx(settled(out, "h", 0.1, 1e-3, 5)) and len(got) == 3
+
+
+def test_pruned_search_is_exact(spark):
+    """Against every text, with ties, empty texts and fewer texts than k; and most postings are left unread."""
+    from trailhead.functions import text
+    from trailhead.operators import postings
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(rnd.choices(words[(i % 8) * 50 : (i % 8) * 50 + 50], k=rnd.randint(1, 12)))) for i in range(900)]
+    docs += [(900 + i, docs[i][1]) for i in range(30)] + [(950, None), (951, ""), (952, "the of")]
+    v = text.embed_sparse(spark.createDataFrame(docs, "id long, t string"), "t").select("id", "embedding").persist()
+    asked = v.where("id % 50 = 0 OR id > 948").selectExpr("id query_id", "embedding")
+    got, share = postings.search(postings.index(v, 64), asked, 4, block=7)
+    dense = {r.id: {x.bucket: x.v for x in r.embedding} for r in v.collect()}
+    norm = {i: sum(x * x for x in e.values()) ** 0.5 for i, e in dense.items()}
+    have = {}
+    for r in got.collect():
+        have.setdefault(r.query_id, []).append((r.rank, r.id, round(r.score, 9)))
+    for q in [r.query_id for r in asked.collect()]:
+        score = lambda i, q=q: round(sum(x * dense[i].get(b, 0) for b, x in dense[q].items()) / (norm[q] * norm[i]), 12) if norm[q] and norm[i] else 0.0
+        want = sorted(((-score(i), i) for i in dense))[:4]
+        assert sorted(have[q]) == [(n + 1, i, round(-s, 9)) for n, (s, i) in enumerate(want)]
+    read = share.first()
+    assert 0 < read["read"] < 0.6 * read.total
+    few, _ = postings.search(postings.index(v.where("id < 3")), asked.limit(1), 10)
+    assert few.count() == 3
+    v.unpersist()

@@ -6,6 +6,10 @@ walks' requests (nodes that are queued and not yet known; at most the budget for
 answers with their out-edges and the degrees of the targets; a walk then works until it needs a node that it does not
 know.  So only edges of nodes that are really queued are read, rounds are as many as the walk is deep, and any number of
 seeds and horizons runs at once.
+
+A hub's edges never come into a row.  A walk that pushes one holds (hub, share): each of its targets is owed share times
+the edge's weight.  What a target is owed is looked up, edge by edge, when the walk meets it; which of a hub's targets join
+the queue is found where its edges lie, as sums by walk and target, and at most the budget come back.
 """
 
 from __future__ import annotations
@@ -88,7 +92,93 @@ def sized(edges: DataFrame) -> DataFrame:
     return met.select("source_id", "target_id", "type", F.col("weight").cast("double").alias("weight"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-_STATE = "horizon int, seed string, state binary, need array<string>, done boolean"
+#: Out-edges of a node beyond which they stay in the table.
+HUB = 1024
+_ASK = "asked struct<nodes:array<string>,pairs:array<struct<hub:string,target:string>>,scan:string,room:int,owed:array<struct<target:string,amount:double>>,shares:array<struct<hub:string,share:double>>,queued:array<string>>"
+_STATE = f"horizon int, seed string, state binary, done boolean, {_ASK}"
+
+
+class Walk:
+    """One walk whose hubs' edges stay in the table.  ``run`` goes on until something has to be looked up."""
+
+    def __init__(self, seed: str):
+        self.p, self.r, self.queue, self.touched = {}, {seed: 1.0}, [seed], 0
+        self.known, self.degree = {}, {}  # node -> its out-edges (target, weight), or its total weight if it is a hub; degrees
+        self.shares: dict[str, float] = {}  # hub -> what each unit of its edges' weight is owed
+        self.paid: dict[str, dict] = {}  # node -> the shares when its residual was last taken
+        self.weight: dict[tuple, float] = {}  # (hub, target) -> weight
+        self.scanned = None  # a hub that was pushed and whose targets have not come back
+
+    def owed(self, t: str) -> float:
+        paid = self.paid.get(t, {})
+        return self.r.get(t, 0.0) + sum((share - paid.get(h, 0.0)) * self.weight[h, t] for h, share in self.shares.items() if (h, t) in self.weight)
+
+    def missing(self, targets) -> list[tuple]:
+        return [(h, t) for t in dict.fromkeys(targets) for h in self.shares if (h, t) not in self.weight]
+
+    def meets(self, u: str) -> list[str]:
+        """The nodes whose dues a push of ``u`` looks at: itself and, unless it is a hub, its targets."""
+        out = self.known.get(u)
+        return [u, *(t for t, _ in out)] if isinstance(out, list) else [u]
+
+    def run(self, alpha: float, eps: float, budget: int) -> dict | None:
+        """None when the walk has ended, else what it asks for."""
+        while self.queue and self.touched < budget:
+            u = self.queue[0]
+            if u not in self.known or self.missing(self.meets(u)):  # ask for all that the queue needs at once
+                unknown = [x for x in self.queue if x not in self.known]
+                return {"nodes": unknown, "pairs": self.missing(t for x in self.queue for t in self.meets(x))}
+            out = self.known[u]
+            hub = not isinstance(out, list)
+            self.queue.pop(0)
+            mass = self.owed(u)
+            if mass <= 0 or (not hub and not out and mass < eps):
+                continue
+            total = out if hub else sum(w for _, w in out)
+            total = total if total > 0 else 1.0
+            self.p[u] = self.p.get(u, 0.0) + alpha * mass
+            rest = (1 - alpha) * mass
+            self.r[u], self.paid[u] = 0.0, dict(self.shares)
+            self.touched += 1
+            if hub:
+                self.shares[u] = self.shares.get(u, 0.0) + rest / total
+                if self.touched + len(self.queue) < budget:
+                    self.scanned = u
+                    return {"scan": u, "room": budget - self.touched - len(self.queue)}
+                continue
+            queued = set(self.queue)
+            for t, w in out:
+                self.r[t] = self.r.get(t, 0.0) + rest * w / total
+                if t not in queued and self.touched + len(self.queue) < budget and self.owed(t) / max(1, self.degree[t]) >= eps:
+                    self.queue.append(t)
+                    queued.add(t)
+        self.queue = []
+        return None
+
+    def learn(self, answers, asked: dict) -> None:
+        """Take in what the table says about ``asked``."""
+        edges: dict[str, list] = {u: [] for u in asked.get("nodes", [])}
+        for a in answers:
+            if a["kind"] == "edge" and a["target"] is not None:
+                edges[a["node"]].append((a["target"], a["type"], a["weight"]))
+                self.degree[a["target"]] = a["degree"]
+        self.known |= {u: [(t, w) for t, _, w in sorted(out, key=lambda x: (x[0], x[1] or ""))] for u, out in edges.items()}
+        self.known |= {a["node"]: a["weight"] for a in answers if a["kind"] == "hub"}
+        if pairs := asked.get("pairs"):
+            self.weight |= dict.fromkeys(pairs, 0.0) | {(a["node"], a["target"]): a["weight"] for a in answers if a["kind"] == "pair"}
+        if self.scanned:
+            self.queue += sorted(a["target"] for a in answers if a["kind"] == "next")
+            self.scanned = None
+
+    def ask(self, need: dict) -> dict:
+        """``need`` as a row of the round's table."""
+        row = {"nodes": need.get("nodes", []), "pairs": [{"hub": h, "target": t} for h, t in need.get("pairs", [])], "scan": need.get("scan"), "room": need.get("room", 0), "owed": [], "shares": [], "queued": []}
+        if need.get("scan"):  # all that its targets are owed besides the hubs' shares; what they have been paid already counts back
+            row["shares"] = [{"hub": h, "share": x} for h, x in self.shares.items()]
+            row["queued"] = list(self.queue)
+            back = [(t, -x * self.weight.get((h, t), 0.0)) for t, paid in self.paid.items() for h, x in paid.items()]
+            row["owed"] = [{"target": t, "amount": x} for t, x in [*self.r.items(), *back] if x]
+        return row
 
 
 #: Edges, and bytes of their names, that are sent whole to the walks; both are measured first, and a larger table is asked
@@ -115,11 +205,75 @@ class _Whole:
         return list(zip(*(c.slice(a, b - a).to_pylist() for c in self.columns)))
 
 
-def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]], budget: int = BUDGET, small: int | None = None) -> DataFrame:
+def _rounds(adj: DataFrame, walkers: DataFrame, horizons: list, budget: int, hub: int) -> DataFrame:
+    """(horizon, seed, state) of ended walks, the state their settled mass; ``walkers``: (horizon, seed)."""
+    stats = session.checkpointed(adj.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).where(F.col("n") > hub))
+    light = adj.join(stats.select("node"), "node", "left_anti")
+    heavy = adj.join(stats.select("node"), "node", "left_semi").groupBy("node", "target_id").agg(F.sum("weight").alias("weight"), F.max("degree").alias("degree"))
+    heavy = session.checkpointed(heavy)
+    by = ["horizon", "seed"]
+    first = F.struct(F.array("seed").alias("nodes"), F.array().cast("array<struct<hub:string,target:string>>").alias("pairs"), F.lit(None).cast("string").alias("scan"), F.lit(0).alias("room"),
+                     F.array().cast("array<struct<target:string,amount:double>>").alias("owed"), F.array().cast("array<struct<hub:string,share:double>>").alias("shares"), F.array().cast("array<string>").alias("queued"))
+    open_ = walkers.select(*by, F.lit(pickle.dumps(None)).alias("state"), first.alias("asked"))
+    eps = F.element_at(F.array(*(F.lit(float(e)) for _, e in horizons)), F.col("horizon") + 1)
+
+    def answer(kind: str, **columns) -> list[Column]:
+        kinds = {"node": "string", "target": "string", "type": "string", "weight": "double", "degree": "int"}
+        return [*by, F.struct(F.lit(kind).alias("kind"), *((columns[c].cast(k) if c in columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items())).alias("a")]
+
+    def step(frames):
+        for pdf in frames:
+            rows = []
+            for horizon, seed, state, answers in zip(pdf["horizon"], pdf["seed"], pdf["state"], pdf["answers"]):
+                walk, need = pickle.loads(state) or (Walk(seed), {"nodes": [seed]})
+                walk.learn(answers if answers is not None else [], need)
+                need = walk.run(*horizons[horizon], budget)
+                rows.append((horizon, seed, pickle.dumps(walk.p if need is None else (walk, need)), need is None, None if need is None else walk.ask(need)))
+            yield pd.DataFrame(rows, columns=["horizon", "seed", "state", "done", "asked"])
+
+    ended, any_hub = None, not stats.isEmpty()
+    while True:
+        nodes = open_.select(*by, F.explode("asked.nodes").alias("node"))
+        said = nodes.join(light, "node").select(*answer("edge", node=F.col("node"), target=F.col("target_id"), type=F.col("type"), weight=F.col("weight"), degree=F.col("degree")))
+        if any_hub:
+            hubs = nodes.join(stats, "node").select(*answer("hub", node=F.col("node"), weight=F.col("total")))
+            pairs = open_.select(*by, F.explode("asked.pairs").alias("x")).select(*by, F.col("x.hub").alias("node"), F.col("x.target").alias("target_id"))
+            met = pairs.join(heavy, ["node", "target_id"]).select(*answer("pair", node=F.col("node"), target=F.col("target_id"), weight=F.col("weight")))
+            said = said.unionByName(hubs).unionByName(met).unionByName(_scanned(open_.where("asked.scan IS NOT NULL"), heavy, eps, budget, by, answer))
+        answers = said.groupBy(*by).agg(F.collect_list("a").alias("answers"))
+        moved = open_.join(answers, by, "left").select(*by, "state", "answers")
+        moved = session.checkpointed(moved.mapInPandas(step, _STATE))
+        now = moved.where("done").select(*by, "state")
+        ended = now if ended is None else ended.unionByName(now)
+        open_ = moved.where("NOT done").select(*by, "state", "asked")
+        if open_.isEmpty():
+            return ended
+
+
+def _scanned(open_: DataFrame, heavy: DataFrame, eps: Column, budget: int, by: list[str], answer) -> DataFrame:
+    """The targets of each walk's pushed hub that join its queue: those owed enough, by name, as many as have room.
+
+    What a target is owed is summed by walk and target, where the hubs' edges lie; a task gets no hub whole.
+    """
+    shares = open_.select(*by, "asked.scan", F.explode("asked.shares").alias("s")).select(*by, "scan", F.col("s.hub").alias("node"), F.col("s.share").alias("share"))
+    zero = F.lit(0)
+    due = shares.join(heavy, "node").select(*by, F.col("target_id").alias("target"), (F.col("share") * F.col("weight")).alias("amount"), F.when(F.col("node") == F.col("scan"), 1).otherwise(0).alias("own"), "degree", zero.alias("queued"))
+    none = F.lit(None).cast("int").alias("degree")
+    more = open_.select(*by, F.explode("asked.owed").alias("o")).select(*by, "o.target", "o.amount", zero.alias("own"), none, zero.alias("queued"))
+    held = open_.select(*by, F.explode("asked.queued").alias("target")).select(*by, "target", F.lit(0.0).alias("amount"), zero.alias("own"), none, F.lit(1).alias("queued"))
+    total = due.unionByName(more).unionByName(held).groupBy(*by, "target").agg(F.sum("amount").alias("amount"), F.max("own").alias("own"), F.max("degree").alias("degree"), F.max("queued").alias("queued"))
+    good = total.where((F.col("own") == 1) & (F.col("queued") == 0)).where(F.col("amount") / F.greatest(F.lit(1), F.col("degree")) >= eps)
+    top = good.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("target"))).where(F.col("n") <= budget)
+    fits = top.join(open_.select(*by, F.col("asked.room").alias("room")), by).where(F.col("n") <= F.col("room"))
+    return fits.select(*answer("next", target=F.col("target")))
+
+
+def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]], budget: int = BUDGET, small: int | None = None, hub: int | None = None) -> DataFrame:
     """(horizon, seed, id, score): a push from every row of ``seeds`` (seed) for every (alpha, eps); horizon is its place.
 
-    Up to ``SMALL_EDGES`` edges of ``SMALL_BYTES`` go to the walks whole; else all walks share the rounds.  A round is one join of the nodes that are asked for with the edges (``sized``), and one
-    checkpoint of the walks' states.  Seeds that repeat count once, null seeds are left out.
+    Up to ``SMALL_EDGES`` edges of ``SMALL_BYTES`` go to the walks whole; else all walks share the rounds.  A round is one
+    join of what is asked for with the edges (``sized``), and one checkpoint of the walks' states.  Nodes of more than
+    ``hub`` out-edges (default ``HUB``) are hubs.  Seeds that repeat count once, null seeds are left out.
     """
     spark = edges.sparkSession
     session.ship(spark)
@@ -142,35 +296,7 @@ def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]
                 yield pd.DataFrame(rows, columns=["horizon", "seed", "id", "score"])
 
         return seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed").mapInPandas(whole, "horizon int, seed string, id string, score double")
-    open_ = seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed", F.lit(pickle.dumps(None)).alias("state"), F.array("seed").alias("need"))
-
-    def step(frames):
-        for pdf in frames:
-            rows = []
-            for horizon, seed, state, answers in zip(pdf["horizon"], pdf["seed"], pdf["state"], pdf["answers"]):
-                held = pickle.loads(state) or {"state": start(seed), "known": {}}
-                known = held["known"]
-                for a in sorted(answers, key=lambda a: (a["target_id"] or "", a["type"] or "")):
-                    out = known.setdefault(a["node"], [])
-                    if a["target_id"] is not None:
-                        out.append((a["target_id"], a["weight"], a["degree"]))
-                done = advance(held["state"], known, *horizons[horizon], budget)
-                need = [] if done else [u for u in dict.fromkeys(held["state"]["queue"]) if u not in known]
-                rows.append((horizon, seed, pickle.dumps(held["state"]["p"] if done else held), need, done))
-            yield pd.DataFrame(rows, columns=["horizon", "seed", "state", "need", "done"])
-
-    ended = None
-    while True:
-        asked = open_.select("horizon", "seed", F.explode("need").alias("node"))
-        answer = F.struct("node", "target_id", "type", "weight", "degree")
-        answers = asked.join(adj, "node", "left").groupBy("horizon", "seed").agg(F.collect_list(answer).alias("answers"))
-        moved = open_.join(answers, ["horizon", "seed"]).select("horizon", "seed", "state", "answers")
-        moved = session.checkpointed(moved.mapInPandas(step, _STATE))
-        now = moved.where("done").select("horizon", "seed", "state")
-        ended = now if ended is None else ended.unionByName(now)
-        open_ = moved.where("NOT done").select("horizon", "seed", "state", "need")
-        if open_.isEmpty():
-            break
+    ended = _rounds(adj, seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed"), horizons, budget, HUB if hub is None else hub)
 
     def settle(frames):
         for pdf in frames:
@@ -180,9 +306,9 @@ def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]
     return ended.mapInPandas(settle, "horizon int, seed string, id string, score double")
 
 
-def local_push(edges: DataFrame, seeds: DataFrame, alpha: float, eps: float, budget: int = BUDGET, small: int | None = None) -> DataFrame:
+def local_push(edges: DataFrame, seeds: DataFrame, alpha: float, eps: float, budget: int = BUDGET, small: int | None = None, hub: int | None = None) -> DataFrame:
     """(seed, id, score) of settled mass for every row of ``seeds`` (seed); a seed without edges keeps alpha of its mass."""
-    return walks(edges, seeds, [(alpha, eps)], budget, small).drop("horizon")
+    return walks(edges, seeds, [(alpha, eps)], budget, small, hub).drop("horizon")
 
 
 def ranked(scores: DataFrame, by: list[str] = ["seed"]) -> DataFrame:  # noqa: B006
@@ -265,20 +391,22 @@ def mmr_py(candidates: list[tuple[str, float]], alike, k: int, trade: float = 0.
 def pair_redundancy(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, a, b, redundancy) of the candidates' pairs a < b that are linked or share a neighbour.
 
-    Neighbours stay rows: a hub's are counted where they lie, and only a query's own pairs are made.
+    Neighbours stay rows: a hub's are counted where they lie, and only a query's own pairs are made.  Edges with a
+    ``query_id`` are that query's alone.
     """
-    ids = candidates.select("id").distinct()
-    near = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("n")).union(edges.select("target_id", "source_id")).join(ids, "id", "left_semi").distinct()
-    met = candidates.select("query_id", "id").join(near, "id")
-    size = near.groupBy("id").agg(F.count("*").alias("size"))
+    own = ["query_id"] if "query_id" in edges.columns else []
+    ids = candidates.select(*own, "id").distinct()
+    near = edges.select(*own, F.col("source_id").alias("id"), F.col("target_id").alias("n")).union(edges.select(*own, "target_id", "source_id")).join(ids, [*own, "id"], "left_semi").distinct()
+    met = candidates.select("query_id", "id").join(near, [*own, "id"])
+    size = near.groupBy(*own, "id").agg(F.count("*").alias("size"))
     chosen = candidates.select("query_id", F.col("id").alias("n"))
     linked = met.join(chosen, ["query_id", "n"]).where("id <> n").select("query_id", F.least("id", "n").alias("a"), F.greatest("id", "n").alias("b"), F.lit(1).alias("link"), F.lit(0).alias("one"))
     mates = met.groupBy("query_id", "n").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
     mates = mates.select("query_id", "ids", F.explode("ids").alias("a")).select("query_id", "a", F.explode("ids").alias("b")).where("a < b")
     shared = mates.select("query_id", "a", "b", F.lit(0).alias("link"), F.lit(1).alias("one"))
     both = shared.unionByName(linked).groupBy("query_id", "a", "b").agg(F.max("link").alias("link"), F.sum("one").alias("both"))
-    sizes = lambda c: size.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"))
-    full = both.join(sizes("a"), "a").join(sizes("b"), "b")
+    sizes = lambda c: size.select(*own, F.col("id").alias(c), F.col("size").alias(f"size_{c}"))
+    full = both.join(sizes("a"), [*own, "a"]).join(sizes("b"), [*own, "b"])
     return full.select("query_id", "a", "b", F.when(F.col("link") == 1, 1.0).otherwise(F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("redundancy"))
 
 

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schema, session
-from ..operators import alias, ingest, store
+from ..functions import text
+from ..operators import alias, graph, ingest, postings, store
 from ..sources import parse
-from ..streaming import changes
-from .projections import buys, read
+from ..streaming import changes, matching
+from . import retrieve
+from .path_queries import _corpus
+from .projections import buys, prints, read, seeds
 from .registry import query
 
 
@@ -134,3 +137,72 @@ def q_code_counters(spark: SparkSession, d: str) -> DataFrame:
     """The counters of a batch of sources, broken functions among them."""
     empty = {t: spark.createDataFrame([], schema.TABLES[t]) for t in changes.STATEFUL}
     return ingest.changed(empty, _sources(spark, d))[1]
+
+
+# --- batches of questions
+
+
+def _asked(spark: SparkSession, d: str) -> retrieve.Batch:
+    """Every fiftieth document as a question; every ninth document is no node, and its links are unknown."""
+    tables, now = _corpus(spark, d)
+    lost = lambda c: F.pmod(F.col(c).cast("long"), F.lit(9)) == 4
+    tables |= {"nodes": tables["nodes"].where(~lost("id")), "edges": tables["edges"].where(~lost("source_id"))}
+    asked = read(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    return retrieve.build_batch(tables, now, asked, created_at=1)
+
+
+@query
+def q_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The context of every question, in one plan."""
+    got = _asked(spark, d).requests.select("query_id", F.posexplode("context").alias("pos", "c"))
+    return got.select("query_id", "pos", F.col("c.nodeId").alias("node_id"), F.sha2("c.codeSnippet", 256).alias("snippet_sha256"), F.col("c.uncertain").alias("uncertain"))
+
+
+@query
+def q_refusals(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that match nothing, and such whose seed has no node and leads to none."""
+    return _asked(spark, d).refused
+
+
+# --- matching over a stream
+
+
+@query
+def q_stream_match(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as shapes that appear in order, some of which go again, in three files and two runs of the stream."""
+    p = prints(spark, d).where("doc_id IS NOT NULL").select("doc_id", "source", "simhash")
+    here = p.select((F.col("doc_id") * 2).alias("seq"), F.col("source").alias("file_path"), F.lit("U").alias("op"), "simhash")
+    gone = p.where("doc_id % 5 = 0").select((F.col("doc_id") * 2 + 41).alias("seq"), F.col("source").alias("file_path"), F.lit("D").alias("op"), "simhash")
+    rows = session.checkpointed(matching.spans(here.unionByName(gone)))
+    top = rows.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    base = f"{session.work_folder(spark)}/match-{uuid.uuid4().hex}"
+    cuts = [-1, top // 3, top // 2, top]
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        rows.where((F.col("seq") > lo) & (F.col("seq") <= hi)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if i:
+            matching.run(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(matching.MATCHED).parquet(f"{base}/out").select("seq", "id", "is_new", "renamed_from")
+
+
+# --- pruned search
+
+
+@query
+def q_topk_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The five documents nearest to every fiftieth one, from inverted buckets."""
+    v = session.checkpointed(text.embed_sparse(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text").select("id", "embedding"))
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    best, _ = postings.search(session.checkpointed(postings.index(v)), asked, 5)
+    return best.select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+
+
+# --- walks past hubs
+
+
+@query
+def q_hub_walks(spark: SparkSession, d: str) -> DataFrame:
+    """Walks over customers and their nations, whose edges stay in the table: the rounds, however few the edges are."""
+    c = read(spark, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("c"), F.concat(F.lit("n:"), F.col("c_nationkey").cast("string")).alias("n"), (F.col("c_custkey") % 97 + 1).cast("double").alias("w"))
+    kind = F.lit("IN").alias("type")
+    e = c.select(F.col("c").alias("source_id"), F.col("n").alias("target_id"), kind, F.lit(1.0).alias("weight")).unionByName(c.select(F.col("n").alias("source_id"), F.col("c").alias("target_id"), kind, F.col("w").alias("weight")))
+    return graph.local_push(e, seeds(spark, d), 0.3, 1e-5, 4, small=0, hub=2).select("seed", "id", F.round("score", 9).alias("score"))

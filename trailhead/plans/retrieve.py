@@ -57,7 +57,7 @@ def snippets(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
     A file may have changed since, so a range can cut a character; what is no UTF-8 becomes the replacement character.
     """
-    f = files.select("file_path", "content")
+    f = files.select("file_path", "content").join(nodes.select("file_path").distinct(), "file_path", "left_semi")  # no other file moves
     got = nodes.join(f, "file_path", "left")
     cut = wire.byte_slice(F.coalesce("content", F.lit(b"")), F.col("byte_start"), F.col("byte_end"))
     return got.withColumn("snippet", F.make_valid_utf8(cut.cast("string"))).drop("content")
@@ -98,6 +98,47 @@ def build(
     return Built(True, "", trace_id, kept, out, request, traces)
 
 
+@dataclass
+class Batch:
+    """Of many questions: requests (query_id, and a request's fields), trace rows, and refused questions (query_id, reason)."""
+
+    requests: DataFrame
+    traces: DataFrame
+    refused: DataFrame
+
+
+def build_batch(
+    tables: dict[str, DataFrame], files: DataFrame, questions: DataFrame, budget: int = graph.BUDGET, context_nodes: int = CONTEXT_NODES, floor: float = FLOOR, created_at: int | None = None, version: int = 0
+) -> Batch:
+    """``build`` for every row of ``questions`` (query_id, question) in one plan: one search, one set of walks, one choice.
+
+    Each question's rows carry its id, so what one finds does not touch another.  Walks from one seed are walked once.  A
+    null question matches nothing.  Nothing but the questions' vectors passes through the driver, in counted blocks.
+    """
+    nodes, edges = tables["nodes"], graph.out_edges(tables["edges"], tables["alias"])
+    asked = questions.select("query_id", "question")
+    v = text.embed(asked, "question", "query").select("query_id", "query")
+    best = graph.session.checkpointed(vectors.top_k_batch(tables["vectors"], v, SEEDS))
+    seeds = best.where((F.col("rank") == 1) & (F.col("score") >= floor)).select("query_id", F.col("id").alias("seed"))
+    lists = graph.dual_horizon(edges, seeds.select("seed"), budget).select("seed", "id", "rank")
+    ranked = graph.session.checkpointed(seeds.join(lists, "seed").select("query_id", "id", "rank"))
+    kept = graph.session.checkpointed(nodes.join(ranked, "id").withColumn("uncertain", wire.uncertain(F.col("parse_confidence"))))
+    out = edges.join(kept.select("query_id", F.col("id").alias("source_id")), "source_id").select("query_id", "source_id", "target_id", "type", "weight")
+    candidates = kept.join(best.select("query_id", "id", "score"), ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(DEFAULT_RELEVANCE)).alias("relevance"), "rank")
+    chosen = graph.mmr(candidates, out, context_nodes)
+    context = snippets(kept.join(chosen.select("query_id", "id", "pick"), ["query_id", "id"]), files)
+    node = F.struct(F.col("id").alias("nodeId"), F.col("file_path").alias("filePath"), F.col("snippet").alias("codeSnippet"), "uncertain")
+    told = context.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pick", node.alias("n")))), lambda x: x["n"]).alias("context"))
+    trace = F.substring(F.sha2(F.concat(F.lit(f"{version}\x1f"), "question"), 256), 1, 32)
+    requests = asked.join(told, "query_id").select("query_id", trace.alias("traceId"), F.col("question").alias("userQuery"), F.lit(True).alias("requireCitations"), "context")
+    at = F.lit(created_at).cast("long") if created_at is not None else F.unix_timestamp()
+    ids = kept.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("node_ids"))
+    traces = asked.join(ids, "query_id").select(trace.alias("trace_id"), "node_ids", at.alias("created_at"))
+    found = asked.select("query_id").join(seeds, "query_id", "left").join(ids.select("query_id", F.lit(True).alias("_any")), "query_id", "left")
+    refused = found.where("_any IS NULL").select("query_id", F.when(F.col("seed").isNull(), NO_MATCH).otherwise(NO_EDGES).alias("reason"))
+    return Batch(requests, traces, refused)
+
+
 def replay(traces: DataFrame, trace_id: str, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes (with rank) and edges of a stored trace as they are now; an unknown trace has none."""
     ids = traces.where(F.col("trace_id") == trace_id).select(F.posexplode("node_ids").alias("rank", "id"))
