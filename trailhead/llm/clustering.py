@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     def f(batches):
         for b in batches:
-            b = b.filter(pa.compute.equal(pa.compute.fill_null(pa.compute.list_value_length(b.column("_v")), -1), dim))
+            b = b.filter(pc.equal(pc.fill_null(pc.list_value_length(b.column("_v")), -1), dim))
             if not b.num_rows:
                 continue
             flat = b.column("_v").flatten()

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +141,7 @@ def _summed(rows: DataFrame, n: int) -> DataFrame:
                 run[: head[1] if len(head) > 1 else None] += carry
             last = names[int(code[-1])].as_py()
             carry = int(run[-1] + e[-1]) % UNIT
-            lead = pa.compute.equal(s, first)
+            lead = pc.equal(s, first)
             columns = ["_id", "_s", "size", "_h1", "_h2", "_e", "_o", "_p"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(run % UNIT), lead, pa.array(np.arange(i, i + b.num_rows))], [*columns, "_run", "_lead", "_i"])
             i += b.num_rows

@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def _codes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     new = np.ones(len(raw), bool)
     if len(raw) > 1:
         null = names.is_null().to_numpy(zero_copy_only=False)
-        new[1:] = ~pa.compute.equal(raw[1:], raw[:-1]).to_numpy(zero_copy_only=False) | (null[1:] != null[:-1])
+        new[1:] = ~pc.equal(raw[1:], raw[:-1]).to_numpy(zero_copy_only=False) | (null[1:] != null[:-1])
     flag = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
     return np.cumsum(new) - 1, flag("fresh") & ~flag("blank"), table.column("code").to_numpy(), flag("cut")
 
