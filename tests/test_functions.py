@@ -53,6 +53,8 @@ def test_embedding_goldens(spark):
     assert [(x.bucket, x.v) for x in rows[1].embedding] == [(78, -1), (96, -1), (221, 1), (222, -1), (290, -1)]
     assert math.isclose(rows[0].v[138], 1 / math.sqrt(6), rel_tol=1e-6) and len(rows[0].v) == 384
     assert all(not r.embedding and set(r.v) == {0.0} for r in rows[2:])
+    alone = text.embed(spark.createDataFrame([("the is in",)], "t string"), "t").first()  # no word at all in a batch
+    assert set(alone.vector) == {0.0}
 
 
 def test_simhash_goldens_and_invariance(spark):

@@ -109,7 +109,7 @@ def embed(df: DataFrame, text_col: str, out: str = "vector", dim: int = schema.D
             part = col.slice(at, _ROWS)
             row, h = _word_hashes(part, True)
             bucket = (h % np.uint64(dim)).astype(np.int64)
-            v = np.bincount(row * dim + bucket, np.where(h >> np.uint64(63), -1.0, 1.0), len(part) * dim).reshape(-1, dim)
+            v = np.bincount(row * dim + bucket, np.where(h >> np.uint64(63), -1.0, 1.0), len(part) * dim).astype(np.float64).reshape(-1, dim)
             n = np.sqrt((v * v).sum(1, keepdims=True))
             values.append(np.divide(v, n, out=v, where=n > 0).astype(np.float32).reshape(-1))
         flat = np.concatenate(values) if values else np.zeros(0, np.float32)
