@@ -63,7 +63,7 @@ FROM (SELECT query_id, c, chosen, list_filter(s, lambda x: x.score = list_max(li
   FROM (SELECT query_id, c, chosen, list_transform(c, lambda x: {{'id': x.id, 'score': 0.7::DOUBLE * x.rel - (1 - 0.7::DOUBLE) * coalesce(list_max(list_transform(chosen, lambda y: coalesce(x.red[y.id], 0))), 0)}}) s
     FROM pick WHERE len(c) > 0 AND len(chosen) < 10))),
 picked AS (SELECT query_id, unnest(range(1, len(chosen) + 1))::INT pick, unnest(chosen, recursive := true) FROM pick WHERE len(c) = 0 OR len(chosen) = 10)"""
-_BALANCES = "cand AS (SELECT * FROM (SELECT s_nationkey query_id, 's:' || s_suppkey id, s_acctbal / 10000 relevance, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)::INT rank FROM supplier) WHERE rank <= 40)"
+_BALANCES = "cand AS (SELECT (q * 1000000 + n // 40)::BIGINT query_id, id, relevance, (n % 40 + 1)::INT rank FROM (SELECT s_nationkey q, 's:' || s_suppkey id, s_acctbal / 10000 relevance, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) - 1 n FROM supplier))"
 _SEEDS = "seeds AS (SELECT 'c:' || c_custkey seed FROM customer WHERE c_custkey % 50 = 0)"
 _RENAMES = """ev AS (SELECT user_id, event_id, user_id || '/' || event_type o, user_id || '/' || lead(event_type) OVER u n FROM events WINDOW u AS (PARTITION BY user_id ORDER BY event_id)),
 step AS (SELECT user_id, list({'o': o, 'n': n, 'c': event_id::VARCHAR} ORDER BY event_id) e FROM ev WHERE o <> n GROUP BY 1),
