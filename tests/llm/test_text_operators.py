@@ -345,6 +345,9 @@ def test_neighbours_equal_brute_force(spark):
             assert abs(got[i].near_edited - (len(a & b) / len(a | b) if a | b else 1.0)) < 0.15
             c = shingles(u)
             assert abs(got[i].near_next - (len(a & c) / len(a | c) if a | c else 1.0)) < 0.15
+            assert abs(got[i].n_shingles - len(a)) <= (0 if len(a) < sketches.K else 0.4 * len(a))
+            assert abs(got[i].n_shingles_with_next - len(a | c)) <= (0 if len(a | c) < sketches.K else 0.4 * len(a | c))
+            assert abs(got[i].held_by_next - (len(a & c) / len(a) if a else 1.0)) < 0.3
 
 
 def test_fingerprint_edge_cases(spark):
@@ -404,3 +407,26 @@ def test_kept_trees_follow_edits(spark, tmp_path):
     broken = kept.withColumn("text", F.concat(F.lit("x"), F.coalesce("text", F.lit(""))))
     with pytest.raises(Exception, match="belong together"):
         token_counts.edit(broken.withColumn("e", token_counts.proof_edits()), PATH, "e").collect()
+
+
+def test_roles_of_any_length(spark):
+    """A megabyte of plain characters, of backslashes, of newlines and of control strings, as role and as text."""
+    said = ["r" * 1_000_000, "\\" * 1_000_000, "\n" * 500_000, "<|im_end|>\n" * 60_000, "é\\\n" * 200_000]
+    rows = [(i, 0, x, "t") for i, x in enumerate(said)] + [(10 + i, 0, "assistant", x) for i, x in enumerate(said)]
+    back = chat.read_back(chat.render(spark.createDataFrame(rows, "k long, o long, role string, text string"), "k", "o")).collect()
+    got = {r.k: [(t.role, t.text) for t in r.turns] for r in back}
+    assert got == {k: [(role, text)] for k, _, role, text in rows}
+    assert {r.k: r.loss_text for r in back if r.k >= 10} == {k: text for k, _, _, text in rows if k >= 10}
+
+
+def test_joined_benchmark_compares_words(spark):
+    """A benchmark that is too large to travel: windows of ten words and short items, many times in a text."""
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(30)]
+    items = [("long", " ".join(rnd.choices(words, k=25))), ("short", "w1 w2 w3"), ("one", "w7"), ("none", " ,. "), (None, "W4 w5")]
+    texts = [" ".join(rnd.choices(words, k=300)) for _ in range(12)] + [None, "", items[0][1] + " end " + items[0][1], "w7 " * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    named = [("null" if n is None else n, t) for n, t in items]
+    for r in decontaminate.mark(docs, bench, broadcast_bytes=0).collect():
+        assert (r.n_words, r.n_hit, r["items"]) == hits_model(texts[r.doc_id], named)

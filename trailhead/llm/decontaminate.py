@@ -9,7 +9,8 @@ that many documents share with many items thus costs one look-up a window, whate
 
 A benchmark of at most ``BLOCK_BYTES`` of text, measured before, travels to the documents, which stay where they are;
 found windows are compared word by word.  A larger one is joined: fingerprints first, then the windows of those documents
-that share one, each an equi-join on hashes; windows are told apart by two 64-bit hashes there.
+that share one.  Both are equi-joins, the second on the windows' own words too, so equal hashes of different words do not
+meet.  A document sends a fingerprint once, however often it has it.
 """
 
 from __future__ import annotations
@@ -207,25 +208,28 @@ def _scan(sent, text: str, keep: list[str]):
 # --- a benchmark that is too large to travel
 
 
-def _both(x: np.ndarray, n: int, at: np.ndarray) -> list:
-    """Two hashes of the windows at these places."""
-    return [pa.array(hashes.grams(y, n)[at].view(np.int64)) for y in (x, hashes.mix(x, 41))]
+def _both(low: np.ndarray, s: np.ndarray, e: np.ndarray, x: np.ndarray, n: int, at: np.ndarray) -> list:
+    """The hash and the words, spaces between them, of the windows at these places."""
+    raw = low.tobytes()
+    words = [b" ".join(raw[s[i] : e[i]] for i in range(p, p + n)) for p in at.tolist()]
+    return [pa.array(hashes.grams(x, n)[at].view(np.int64)), pa.array(words, pa.binary())]
 
 
 def _bench_windows(batches):
-    """(n, w1, w2, print, item) of every window of the items ``i``, ``t``; the print of a shorter one is its hash."""
+    """(n, w1, words, print, item) of every window of the items ``i``, ``t``; the print of a shorter one is its hash."""
     for batch in batches:
         data, off = runtime.bytes_of(batch.column("t"))
-        _, _, _, first, x = words_of(data, off)
+        low, s, e, first, x = words_of(data, off)
         for n, at in _item_windows(first, x):
-            w1, w2 = _both(x, n, at)
+            w1, w2 = _both(low, s, e, x, n, at)
             k = pa.array(hashes.sliding_min(hashes.grams(x, GRAM), WINDOW - GRAM + 1)[at].view(np.int64)) if n == WINDOW else w1
             item = batch.column("i").take(pa.array(np.searchsorted(first, at, "right") - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), w1, w2, k, item], ["n", "w1", "w2", "print", "item"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), w1, w2, k, item], ["n", "w1", "words", "print", "item"])
 
 
 def _doc_prints(lengths: list[int]):
-    """(h1, h2, n, print, a, b): windows of n words from a to b of the text h1, h2 that have this print."""
+    """(h1, h2, n, print, a, b): windows of n words from a to b of the text h1, h2 that have this print.  A print of fewer words
+    than WINDOW comes once a text, without its places (b is -1)."""
 
     def f(batches):
         for batch in batches:
@@ -237,9 +241,8 @@ def _doc_prints(lengths: list[int]):
                         if n == WINDOW:
                             a, b, k = winnow(x)
                         else:
-                            k = hashes.grams(x, n)
-                            a = np.arange(len(k))
-                            b = a + 1
+                            k = np.unique(hashes.grams(x, n))
+                            a, b = np.full(len(k), skipped - base), np.full(len(k), skipped - base - 1)
                         if len(k):
                             head = [pa.array(np.full(len(k), batch.column(c)[r].as_py(), np.int64)) for c in ("h1", "h2")]
                             yield pa.RecordBatch.from_arrays([*head, pa.array(np.full(len(k), n, np.int32)), pa.array(k.view(np.int64)), pa.array(a + base - skipped), pa.array(b + base - skipped)], ["h1", "h2", "n", "print", "a", "b"])
@@ -256,18 +259,22 @@ def _texts(data: np.ndarray):
 
 
 def _doc_windows(batches):
-    """(h1, h2, n, s, w1, w2) of the windows in ``at`` (n, a, b) of each text."""
+    """(h1, h2, n, s, w1, words) of the windows in ``at`` (n, a, b, print) of each text."""
     for batch in batches:
         data, off = runtime.bytes_of(batch.column("_t"))
         for r in range(batch.num_rows):
             low = hashes.LOWER[data[off[r] : off[r + 1]]]
             s, e, _ = hashes.word_spans(low, np.array([0, len(low)]), hashes.ALNUM)
             x = hashes.span_hashes(low, s, e)
-            at = np.array([(v["n"], v["a"], v["b"]) for v in batch.column("at")[r].as_py()], np.int64).reshape(-1, 3)
+            at = np.array([(v["n"], v["a"], v["b"], v["print"]) for v in batch.column("at")[r].as_py()], np.int64).reshape(-1, 4)
             for n in np.unique(at[:, 0]).tolist():
-                p = np.unique(_spread(at[at[:, 0] == n, 1], at[at[:, 0] == n, 2])[1])
+                mine = at[at[:, 0] == n]
+                if n == WINDOW:
+                    p = np.unique(_spread(mine[:, 1], mine[:, 2])[1])
+                else:
+                    p = np.flatnonzero(np.isin(hashes.grams(x, n).view(np.int64), mine[:, 3]))
                 head = [pa.array(np.full(len(p), batch.column(c)[r].as_py(), np.int64)) for c in ("h1", "h2")]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(np.full(len(p), n, np.int32)), pa.array(p), *_both(x, n, p)], ["h1", "h2", "n", "s", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([*head, pa.array(np.full(len(p), n, np.int32)), pa.array(p), *_both(low, s, e, x, n, p)], ["h1", "h2", "n", "s", "w1", "words"])
 
 
 def _marked(text: str, keep: list[str]):
@@ -294,14 +301,14 @@ def _marked(text: str, keep: list[str]):
 
 def _joined(src: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
     h1, h2 = F.xxhash64("_t"), F.xxhash64(F.lit(11), "_t")
-    window = ["n", "w1", "w2"]
-    bench = runtime.stored(items.mapInArrow(_bench_windows, "n int, w1 long, w2 long, print long, item string").distinct(), "windows")
+    window = ["n", "w1", "words"]
+    bench = runtime.stored(items.mapInArrow(_bench_windows, "n int, w1 long, words binary, print long, item string").distinct(), "windows")
     lengths = sorted(r.n for r in bench.select("n").distinct().collect())  # ten at most
     texts = src.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t")).select("_t", h1.alias("h1"), h2.alias("h2"))
     sent = texts.mapInArrow(_doc_prints(lengths), "h1 long, h2 long, n int, print long, a long, b long").distinct()
-    shared = sent.join(bench.select("n", "print").distinct(), ["n", "print"], "left_semi").groupBy("h1", "h2").agg(F.collect_list(F.struct("n", "a", "b")).alias("at"))
+    shared = sent.join(bench.select("n", "print").distinct(), ["n", "print"], "left_semi").groupBy("h1", "h2").agg(F.collect_list(F.struct("n", "a", "b", "print")).alias("at"))
     near = texts.join(shared, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
-    hits = near.mapInArrow(_doc_windows, "h1 long, h2 long, n int, s long, w1 long, w2 long").join(bench.select(*window).distinct(), window, "left_semi")
+    hits = near.mapInArrow(_doc_windows, "h1 long, h2 long, n int, s long, w1 long, words binary").join(bench.select(*window).distinct(), window, "left_semi")
     hits = runtime.stored(hits, "hits")
     at = hits.groupBy("h1", "h2").agg(F.collect_list(F.struct("n", "s")).alias("_at"))
     named = hits.select("h1", "h2", *window).distinct().join(bench, window).groupBy("h1", "h2").agg(F.array_sort(F.collect_set("item")).alias("_items"))

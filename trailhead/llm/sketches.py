@@ -158,12 +158,15 @@ def _range_of(col: str, cuts: list[int]) -> Column:
     return F.least(whole * step + F.when(whole < len(blocks), inside).otherwise(0), F.lit(len(down)))
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, n_shingles_with_next double, held_by_next double"
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """Each document against its edited text and the next document in descending id (after the last: the first).
 
+    ``near_…``: estimated resemblance; ``n_shingles``: distinct shingles of the text, and of both texts by their merged
+    sketches; ``held_by_next``: the share of the text's shingles that the next one has too.
+
     Ids are cut into ranges by quantiles, as many as shuffle partitions.  A range needs one text more, the first of the
     range below: the ids of these firsts, one a range, are looked up, and their rows go to both ranges.  So texts are
     shuffled once and no task sees more than its range.  Null ids come last, null texts are empty; rows of one id come
@@ -203,7 +206,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 before = None if tail else (p, i, t, h)
             done = [edited(b[2].decode("utf-8", "surrogatepass"), t.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass") for b, t, _ in todo]
             for (b, _, h), e, s in zip(todo, done, sketches(done, k)):
-                made.append((b[1], len(b[2].decode("utf-8", "surrogatepass")), hashlib.sha256(e).hexdigest(), to_text(b[3]), to_text(s), resemblance(b[3], s, k), resemblance(b[3], h, k)))
+                made.append((b[1], len(b[2].decode("utf-8", "surrogatepass")), hashlib.sha256(e).hexdigest(), to_text(b[3]), to_text(s), resemblance(b[3], s, k), resemblance(b[3], h, k), distinct(b[3], k), distinct(merge(b[3], h, k), k), containment(b[3], h, k)))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), _TYPES)], _NAMES)
 
