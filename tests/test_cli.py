@@ -2,6 +2,7 @@ import os
 import subprocess
 import time
 
+import pytest
 from test_store_and_ingest import CPP, PY
 
 from trailhead.__main__ import main
@@ -61,7 +62,7 @@ def test_the_hook_returns_at_once_and_its_queue_is_taken(spark, tmp_path, capsys
     run("add", "-A")
     run("commit", "-qm", "second")
     assert main(["--repo", str(repo), "commit", "--staged"]) == 0
-    assert os.listdir(repo / ".trailhead" / "queue") == []
+    assert os.listdir(repo / ".trailhead" / "queue") == ["taken"]
     st = Store(spark, f"file://{repo}/.trailhead")
     assert st.version() == 2 and {r.file_path for r in st.read("nodes").where("is_active").collect()} == {"a b.py"}
     other = tmp_path / "o"
@@ -73,6 +74,43 @@ def test_the_hook_returns_at_once_and_its_queue_is_taken(spark, tmp_path, capsys
     assert (other / ".git" / "hooks" / "pre-commit").read_text() == "#!/bin/sh\nexit 0\n"
 
 
+def test_the_queue_is_taken_exactly_once(spark, tmp_path):
+    """Killed after the second entry's version and before the stream commits; what comes later is taken too."""
+    from trailhead.plans import sync
+    from trailhead.sources import queue
+
+    repo, folder = tmp_path / "r", tmp_path / "r" / "q"
+    folder.mkdir(parents=True)
+    (repo / "a.py").write_bytes(PY)
+    (repo / "c.cpp").write_bytes(CPP)
+
+    def entry(name, changed, deleted):
+        (folder / f"{name}.changed").write_text("".join(f"{p}\0" for p in changed))
+        (folder / f"{name}.deleted").write_text("".join(f"{p}\0" for p in deleted))
+        (folder / f"{name}.ready").write_text(f"commit-{name}\n")
+
+    st = Store(spark, f"file://{tmp_path}/store")
+    drain = lambda after=lambda e: None: sync.drain(spark, str(repo), st, str(folder), f"file://{tmp_path}/check", after)
+    assert drain() == 0 and st.version() == 0
+    entry("1-1", ["a.py"], [])
+    entry("2-1", ["c.cpp", "notes.txt"], [])
+
+    def killed(name):
+        if name == "2-1":
+            raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        drain(killed)
+    assert st.version() == 2 and queue.entries(str(folder)) == ["1-1", "2-1"]
+    (repo / "a.py").unlink()
+    entry("3-1", [], ["a.py"])
+    assert drain() >= 1 and queue.entries(str(folder)) in ([], ["3-1"])
+    drain()
+    assert queue.entries(str(folder)) == [] and queue.taken(str(folder)) == "3-1"
+    assert st.version() == 3 and {r.file_path for r in st.read("nodes").where("is_active").collect()} == {"c.cpp"}
+    assert drain() == 0 and st.version() == 3
+
+
 def test_interrupt_and_idle_stop(spark):
     import threading
 

@@ -51,36 +51,21 @@ def install_hook(repo: str) -> str:
     return f"hook at {path}"
 
 
-def queued(repo: str) -> list[str]:
-    """What the hook has written down, oldest first."""
-    folder = os.path.join(repo, STORE, "queue")
-    return sorted(os.path.join(folder, n[:-6]) for n in os.listdir(folder) if n.endswith(".ready")) if os.path.isdir(folder) else []
-
-
 def take(spark, repo: str, st) -> int:
-    """Apply the queue in order; returns how many entries.  An entry goes after its version is published, so one that
-    was cut short is taken again, which changes nothing."""
+    """Apply the hook's queue in order, exactly once; returns how many entries."""
     from .operators.store import Conflict
     from .plans import sync
-    from .sources import files
-
-    n = 0
-    for entry in queued(repo):
-        ends = tuple(f".{s}" for s in files.SUFFIXES)
-        paths = lambda kind, e=entry: [p for p in open(f"{e}.{kind}", errors="replace").read().split("\0") if p.endswith(ends)]
-        changed, deleted = paths("changed"), paths("deleted")
-        for left in reversed(range(TRIES if changed or deleted else 0)):
-            try:
-                sync.increment(spark, repo, st, open(f"{entry}.ready").read().strip(), changed, deleted)
-                break
-            except Conflict:
-                if not left:
-                    raise
-                time.sleep(WAIT)
-        for kind in ("ready", "changed", "deleted"):
-            os.remove(f"{entry}.{kind}")
-        n += 1
-    return n
+
+    folder = os.path.join(repo, STORE, "queue")
+    os.makedirs(folder, exist_ok=True)
+    for left in reversed(range(TRIES)):
+        try:
+            return sync.drain(spark, repo, st, folder, f"file://{repo}/{STORE}/queue-checkpoint")
+        except Exception as e:
+            if not left or Conflict.__name__ not in str(e):
+                raise
+            time.sleep(WAIT)
+    return 0
 
 
 def init(repo: str) -> None:
