@@ -206,3 +206,26 @@ def q_hub_walks(spark: SparkSession, d: str) -> DataFrame:
     kind = F.lit("IN").alias("type")
     e = c.select(F.col("c").alias("source_id"), F.col("n").alias("target_id"), kind, F.lit(1.0).alias("weight")).unionByName(c.select(F.col("n").alias("source_id"), F.col("c").alias("target_id"), kind, F.col("w").alias("weight")))
     return graph.local_push(e, seeds(spark, d), 0.3, 1e-5, 4, small=0, hub=2).select("seed", "id", F.round("score", 9).alias("score"))
+
+
+# --- dense vectors, and times that nobody passes
+
+
+@query
+def q_embed_dense(spark: SparkSession, d: str) -> DataFrame:
+    """The components of each text's unit vector that are not zero."""
+    v = text.embed(read(spark, d, "documents").select("doc_id", "text"), "text")
+    each = v.select("doc_id", F.size("vector").cast("long").alias("dim"), F.posexplode("vector").alias("bucket", "x"))
+    return each.where("x <> 0").select("doc_id", "dim", "bucket", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+@query
+def q_trace_times(spark: SparkSession, d: str) -> DataFrame:
+    """Traces of every fiftieth document as a question, stamped when they are made."""
+    docs = read(spark, d, "documents")
+    at = F.unix_timestamp()
+    traces = spark.createDataFrame([], schema.TRACES)
+    for part in (0, 1):
+        ids = docs.where((F.col("doc_id") % 50 == 0) & (F.col("doc_id") % 2 == part)).select(F.col("doc_id").cast("string").alias("id"), F.row_number().over(Window.orderBy("doc_id")).alias("rank"))
+        traces = store.record_trace(traces, f"t{part}", ids)
+    return traces.select("trace_id", F.array_join("node_ids", ",").alias("node_ids"), (F.abs(at - F.col("created_at")) < 3600).alias("now"))

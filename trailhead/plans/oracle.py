@@ -89,4 +89,4 @@ sha256(string_agg(coalesce(text, ''), '|' ORDER BY turn)) snippets_sha256 FROM c
 }
 ORACLE_SQL["q_stream_upsert"] = ORACLE_SQL["q_upsert_lww"]
 ORACLE_SQL |= paths({"fnv": _FNV, "signed": _SIGNED, "prints": _PRINTS, "match": _MATCH, "nodes": _NODES, "href": _HREF, "buys": _BUYS, "supplied": _SUPPLIED, "trade": _TRADE, "sparse": _SPARSE, "q": _Q, "cos": _COS, "stop": _STOP})
-ORACLE_SQL |= code({"prints": _PRINTS, "buys": _BUYS, "renames": _RENAMES, "match": _MATCH, "nodes": _NODES, "stop": _STOP})
+ORACLE_SQL |= code({"sparse": _SPARSE, "prints": _PRINTS, "buys": _BUYS, "renames": _RENAMES, "match": _MATCH, "nodes": _NODES, "stop": _STOP})
