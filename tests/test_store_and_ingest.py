@@ -381,3 +381,90 @@ def test_broken_c_sources_give_what_can_be_read():
         for s in parse.spans("x.cc", CPP2[:a] + CPP2[b:]):
             assert 0 <= s[0] < s[1] <= len(CPP2)
     assert parse.spans("x.cc", b"") == [] and parse.spans("x.cc", b"}}}) int f() { return g(; }") is not None
+
+
+def test_a_broken_function_costs_only_itself():
+    """Every file of this package with an error in it: all sound functions are found where the whole grammar finds them."""
+    import pathlib
+
+    top = pathlib.Path(parse.__file__).parents[1]
+    for path in sorted(top.rglob("*.py")):
+        source = path.read_bytes()
+        want = [(*s, 1.0, None) for s in parse.python_spans(source)]
+        for broken in (source + b"\n\ndef lost(a, (:\n    return other(a\n", b"x = = 3\n" + source, source + b'\n\ndef lost(a):\n    """never closed\n'):
+            shift = 8 if broken.startswith(b"x =") else 0
+            got = parse.spans("a.py", broken)
+            assert [(s[0] - shift, s[1] - shift, *s[2:]) for s in got if s[5] == 1.0] == want or not want
+            lost = [s for s in got if s[5] == parse.BROKEN]
+            if want and b"def lost" in broken:
+                assert len(lost) == 1 and lost[0][2] == "lost" and lost[0][6] and broken[lost[0][0] : lost[0][1]].startswith(b"def lost")
+
+
+def test_islands_of_a_broken_file():
+    source = b'''
+class A:
+    @deco(1)
+    def first(self, x=(1,
+2)):
+        """def inside(): a docstring
+def at_the_margin(): too
+        """
+        return self.f(x)
+
+    def bad(self:
+        if x
+            return g(h.i(1), while_(2))
+
+    async def third(self):
+        def inner():
+            return deep()
+        return await inner()
+
+def \xc3\xa9t\xc3\xa9(
+    a,
+):
+    # comment at
+# the margin
+    return a
+
+def tail(): return A()
+if = 3
+'''
+    got = parse.spans("x.py", source)
+    assert [(s[2], sorted(s[3]), s[5]) for s in got] == [
+        ("first", ["deco", "self"], 1.0), ("bad", ["g", "h", "while_"], parse.BROKEN), ("third", ["deep", "inner"], 1.0), ("été", [], 1.0), ("tail", ["A"], 1.0),
+    ]
+    text = [source[s[0] : s[1]] for s in got]
+    assert text[0].startswith(b"def first") and text[0].endswith(b"return self.f(x)") and text[1].endswith(b"while_(2))") and text[4] == b"def tail(): return A()"
+    assert parse.spans("y.py", b"def only(:\n    pass\n")[0][5] == 0.0  # nothing parses: the whole file
+    for cut in range(0, len(source), 7):
+        for s in parse.spans("z.py", source[:cut] + source[cut + 3 :]):
+            assert 0 <= s[0] <= s[1] <= len(source)
+
+
+def test_a_batch_of_questions_is_as_one_at_a_time(spark):
+    """The same contexts and traces, in a number of jobs that does not grow with the questions."""
+    t, _ = ingest.apply(empty(spark), rows(spark, ("a.py", PY), ("c.cpp", CPP), ("b.py", b"def audit_log(who, system):\n    return payload(who)\n\ndef other(auth):\n    audit_log(auth)\n")))
+    t = {k: retrieve.graph.session.checkpointed(v) for k, v in t.items()}
+    fs = spark.createDataFrame([("a.py", PY), ("c.cpp", CPP), ("b.py", b"def audit_log(who, system):\n    return payload(who)\n")], "file_path string, content binary")
+    asked = ["How does the auth payload move through the system?", "audit log", "zzzz qqqq", "what is the", None, "add method helper", "payload"]
+    counted = []
+    for part in (asked[:1], asked):
+        group = f"batch-{len(part)}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = retrieve.build_batch(t, fs, spark.createDataFrame(list(enumerate(part)), "query_id int, question string"), created_at=7)
+        requests = {r.query_id: r for r in got.requests.collect()}
+        traces = {r.trace_id: r.node_ids for r in got.traces.collect()}
+        refused = {r.query_id: r.reason for r in got.refused.collect()}
+        counted.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for i, q in enumerate(asked):
+        one = retrieve.build(t, fs, q or "", created_at=7)
+        if not one.ok:
+            assert refused[i] == one.reason and i not in requests
+            continue
+        r = one.request.first()
+        assert (requests[i].traceId, requests[i].context, requests[i].userQuery) == (r.traceId, r.context, q)
+        assert traces[one.trace_id] == one.traces.where(F.col("trace_id") == one.trace_id).first().node_ids
+    assert set(requests) | set(refused) == set(range(len(asked))) and len(requests) >= 4
+    assert counted[1] <= counted[0] + 12, counted

@@ -115,12 +115,12 @@ def build_batch(
     Each question's rows carry its id, so what one finds does not touch another.  Walks from one seed are walked once.  A
     null question matches nothing.  Nothing but the questions' vectors passes through the driver, in counted blocks.
     """
-    nodes, edges = tables["nodes"], graph.out_edges(tables["edges"], tables["alias"])
+    nodes, edges = tables["nodes"], tables["edges"]
     asked = questions.select("query_id", "question")
     v = text.embed(asked, "question", "query").select("query_id", "query")
     best = graph.session.checkpointed(vectors.top_k_batch(tables["vectors"], v, SEEDS))
     seeds = best.where((F.col("rank") == 1) & (F.col("score") >= floor)).select("query_id", F.col("id").alias("seed"))
-    lists = graph.dual_horizon(edges, seeds.select("seed"), budget).select("seed", "id", "rank")
+    lists = graph.dual_horizon(graph.out_edges(edges, tables["alias"]), seeds.select("seed"), budget).select("seed", "id", "rank")
     ranked = graph.session.checkpointed(seeds.join(lists, "seed").select("query_id", "id", "rank"))
     kept = graph.session.checkpointed(nodes.join(ranked, "id").withColumn("uncertain", wire.uncertain(F.col("parse_confidence"))))
     out = edges.join(kept.select("query_id", F.col("id").alias("source_id")), "source_id").select("query_id", "source_id", "target_id", "type", "weight")

@@ -75,10 +75,10 @@ def python_spans(source: bytes) -> list[tuple]:
     return out
 
 
-_DEF = re.compile(rb"^([ \t]*)(?:async[ \t]+)?def[ \t]+([^\W\d]\w*)", re.M)
+_DEF = re.compile(rb"^([ \t]*)(?:async[ \t]+)?def[ \t]+([A-Za-z_\x80-\xff][\w\x80-\xff]*)", re.M)
 #: Within an island: comments, strings, brackets and the beginnings of lines that say something.
 _PIECE = re.compile(rb"""(?P<skip>\#[^\n]*|(?P<q>\"{3}|'{3})(?:\\.|(?!(?P=q)).)*(?:(?P=q)|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?)|(?P<open>[(\[{])|(?P<close>[)\]}])|\n(?P<line>[ \t]*)(?=[^\s#])""", re.S | re.X)
-_CALL = re.compile(rb"([^\W\d]\w*)(?:[ \t]*\.[ \t]*\w+)*[ \t]*\(")
+_CALL = re.compile(rb"([A-Za-z_\x80-\xff][\w\x80-\xff]*)(?:[ \t]*\.[ \t]*[\w\x80-\xff]+)*[ \t]*\(")
 _MARK = re.compile(rb"[A-Za-z_]\w*|[^\w\s]")
 #: What a function that does not parse is worth: under the threshold of uncertainty.
 BROKEN = 0.25
@@ -100,13 +100,28 @@ def _ends(source: bytes, at: int, indent: int) -> list[int]:
     return [strict, plain.start() + 1 if plain else len(source)]
 
 
+def _decorated(source: bytes, at: int, indent: int, least: int) -> int:
+    """Where the decorators of the function whose line begins at ``at`` begin, not before ``least``; ``at`` without any."""
+    begin = here = at
+    while here > least:
+        line_at = max(source.rfind(b"\n", 0, here - 1) + 1, least)
+        line = source[line_at:here]
+        depth = len(line) - len(line.lstrip(b" \t"))
+        if line.lstrip(b" \t").startswith(b"@") and depth == indent:
+            begin = line_at
+        elif not line.strip() or depth <= indent and line.strip()[:1] not in (b")", b"]", b"}"):
+            break  # a decorator goes on deeper, or with a closing bracket
+        here = line_at
+    return begin
+
+
 def recovered_spans(source: bytes) -> list[tuple]:
     """Spans of a file that does not parse: (byte_start, byte_end, name, calls, simhash, confidence, error), function by function."""
     out, at = [], 0
     head = b"if 1:\n"  # any indentation parses below it
     while m := _DEF.search(source, at):
-        indent, begin = len(m[1]), m.start()
-        ends, why = _ends(source, begin, indent), None
+        indent, line_at, why = len(m[1]), m.start(), None
+        begin, ends = _decorated(source, line_at, indent, at), _ends(source, line_at, indent)
         for end in dict.fromkeys(ends):
             text = source[begin:end]
             try:
@@ -118,7 +133,7 @@ def recovered_spans(source: bytes) -> list[tuple]:
                 why = f"{type(e).__name__}: {e}"
         else:
             end = min(ends)
-            a, text = begin + indent, source[begin + indent : end].rstrip()
+            a, text = line_at + indent, source[line_at + indent : end].rstrip()
             calls = [c.decode("utf-8", "replace") for c in _CALL.findall(text[text.find(b"(") + 1 :]) if not keyword.iskeyword(c.decode("utf-8", "replace"))]
             marks = [t.decode("latin-1") for t in _MARK.findall(text)]
             kinds = [("broken_function", 1), *((t, 1) for t in marks if keyword.iskeyword(t) or not (t[0].isalnum() or t[0] == "_"))]
