@@ -76,8 +76,15 @@ def record_history(history: DataFrame, changes: DataFrame, seq: str | None = Non
     return merge(history, changes.withColumn("synthetic_msg", F.nullif("synthetic_msg", F.lit(""))), schema.KEYS["history"], seq)
 
 
+def trace_rows(ranked: DataFrame, created_at: int | None = None) -> DataFrame:
+    """Trace rows from ``ranked`` (trace_id, id, rank): the ids of each trace, in order."""
+    at = F.lit(created_at).cast("long") if created_at is not None else F.unix_timestamp()
+    ids = ranked.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("node_ids"))
+    return ids.select("trace_id", "node_ids", at.alias("created_at"))
+
+
 def record_trace(traces: DataFrame, trace_id: str, ranked: DataFrame, created_at: int | None = None) -> DataFrame:
-    """Append a trace: the ids of ``ranked`` (id, rank), in order."""
+    """Append a trace: the ids of ``ranked`` (id, rank), in order; one without nodes is empty."""
     at = F.lit(created_at).cast("long") if created_at is not None else F.unix_timestamp()
     row = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("node_ids")).select(
         F.lit(trace_id).alias("trace_id"), "node_ids", at.alias("created_at")
@@ -85,6 +92,11 @@ def record_trace(traces: DataFrame, trace_id: str, ranked: DataFrame, created_at
     return merge(traces, row, schema.KEYS["traces"])
 
 
+def record_traces(traces: DataFrame, ranked: DataFrame, created_at: int | None = None) -> DataFrame:
+    """Append many traces at once: ``ranked`` (trace_id, id, rank)."""
+    return merge(traces, trace_rows(ranked, created_at), schema.KEYS["traces"])
+
+
 def upsert_vectors(vectors: DataFrame, changes: DataFrame, seq: str | None = None) -> DataFrame:
     return merge(vectors, changes, schema.KEYS["vectors"], seq)
 

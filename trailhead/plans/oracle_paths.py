@@ -120,9 +120,9 @@ UNION ALL SELECT * FROM supplied WHERE source_id IN (FROM k) AND target_id IN (F
 CASE WHEN o_orderkey % 3 = 0 THEN 'older' WHEN o_orderstatus = 'F' THEN NULL ELSE nullif(o_orderpriority, '') END synthetic_msg FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0""",
         "q_history_of_commits": f"SELECT DISTINCT l_partkey::VARCHAR node_id, o_orderkey::VARCHAR commit_hash, 7::BIGINT \"timestamp\", {_s(MESSAGE)} synthetic_msg, o_orderpriority message FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
         "q_annotations": f"SELECT l_orderkey::VARCHAR commit_hash, min('part:' || l_partkey) path, {_s(MESSAGE + ' in ')} || min('part:' || l_partkey) \"text\" FROM lineitem GROUP BY l_orderkey",
-        "q_trace": f"""WITH {c['match']}, {c['nodes']}, {_FOLLOWING}, {links}, top AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) r FROM documents QUALIFY r <= 40)
-SELECT 't' trace_id, sha256(CASE WHEN bool_or(conf < 0.5) THEN {_s(UNCERTAIN)} || chr(10) || chr(10) ELSE '' END || string_agg(chr(10) || {shown}, '' ORDER BY r)) text_sha256, string_agg(n.id, ',' ORDER BY r) node_ids, 7::BIGINT created_at
-FROM top JOIN nodes n USING (doc_id) LEFT JOIN links ON source_id = n.id""",
+        "q_trace": f"""WITH {c['match']}, {c['nodes']}, {_FOLLOWING}, {links}, top AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) r FROM documents)
+SELECT 't' || ((r - 1) // 40) trace_id, sha256(CASE WHEN bool_or(conf < 0.5) THEN {_s(UNCERTAIN)} || chr(10) || chr(10) ELSE '' END || string_agg(chr(10) || {shown}, '' ORDER BY r)) text_sha256, string_agg(n.id, ',' ORDER BY r) node_ids, 7::BIGINT created_at
+FROM top JOIN nodes n USING (doc_id) LEFT JOIN links ON source_id = n.id GROUP BY 1""",
         "q_is_source": r"SELECT page_id, coalesce(regexp_matches(url || ['.py', '.txt', '.hpp', '.cppx'][page_id % 4 + 1], '\.(cpp|h|hpp|cc|py)$'), false) is_source FROM pages",
         "q_live_snippet": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE substr(coalesce(text, ''), 8, 24) END snippet FROM documents",
         "q_symbol_link": f"""WITH {c['href']} SELECT 'n' || page_id source_id, 'sym:' || h target_id, 'CALLS' "type", 1::DOUBLE weight FROM href WHERE h <> '' AND page_id % 4 <> 0

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from .. import schema, session
 from ..functions import text, wire
-from ..operators import alias, graph, ingest, store
+from ..operators import alias, graph, ingest, order, store
 from ..sources import files, git
 from ..streaming import changes
 from . import retrieve
@@ -160,17 +160,15 @@ def q_annotations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_trace(spark: SparkSession, d: str) -> DataFrame:
-    """The forty longest documents recorded as a trace beside another one, replayed and rendered."""
+    """All documents by length, a budget of them a trace: recorded beside others, replayed and rendered."""
     docs = read(spark, d, "documents")
-    top = docs.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(40)  # a budget's worth
-    top = top.select(F.col("doc_id").cast("string").alias("id"), F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
-    traces = spark.createDataFrame([("other", ["1", "2"], 5), ("t", ["3"], 6)], schema.TRACES)
-    traces = store.record_trace(traces, "t", top, 7)
-    kept, out = retrieve.replay(traces, "t", nodes(spark, d), session.checkpointed(following(spark, d)))
-    now = docs.select(F.col("doc_id").cast("string").alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
-    placed = kept.withColumn("file_path", F.concat(F.lit("doc/"), "id"))
-    shown = retrieve.render(retrieve.snippets(placed, now.select(F.concat(F.lit("doc/"), "id").alias("file_path"), "content")), out)
-    return shown.select(F.lit("t").alias("trace_id"), F.sha2("text", 256).alias("text_sha256")).join(traces, "trace_id").select("trace_id", "text_sha256", F.array_join("node_ids", ",").alias("node_ids"), "created_at")
+    top = order.numbered(docs.select("doc_id", "n_chars"), F.desc("n_chars"), F.asc("doc_id"))
+    top = top.select(F.concat(F.lit("t"), F.floor(F.col("_rank") / 40).cast("string")).alias("trace_id"), F.col("doc_id").cast("string").alias("id"), (F.col("_rank") % 40 + 1).alias("rank"))
+    traces = session.checkpointed(store.record_traces(spark.createDataFrame([("other", ["1", "2"], 5), ("t0", ["3"], 6)], schema.TRACES), top, 7))
+    kept, out = retrieve.replay_all(traces.where("trace_id <> 'other'"), nodes(spark, d), session.checkpointed(following(spark, d)))
+    now = docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    shown = retrieve.render(retrieve.snippets(kept.withColumn("file_path", F.concat(F.lit("doc/"), "id")), now), out, ["trace_id"])
+    return shown.join(traces, "trace_id").select("trace_id", F.sha2("text", 256).alias("text_sha256"), F.array_join("node_ids", ",").alias("node_ids"), "created_at")
 
 
 # --- files and ingestion

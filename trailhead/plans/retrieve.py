@@ -131,10 +131,9 @@ def build_batch(
     told = context.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pick", node.alias("n")))), lambda x: x["n"]).alias("context"))
     trace = F.substring(F.sha2(F.concat(F.lit(f"{version}\x1f"), "question"), 256), 1, 32)
     requests = asked.join(told, "query_id").select("query_id", trace.alias("traceId"), F.col("question").alias("userQuery"), F.lit(True).alias("requireCitations"), "context")
-    at = F.lit(created_at).cast("long") if created_at is not None else F.unix_timestamp()
-    ids = kept.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("node_ids"))
-    traces = asked.join(ids, "query_id").select(trace.alias("trace_id"), "node_ids", at.alias("created_at"))
-    found = asked.select("query_id").join(seeds, "query_id", "left").join(ids.select("query_id", F.lit(True).alias("_any")), "query_id", "left")
+    traces = store.trace_rows(asked.select("query_id", trace.alias("trace_id")).join(kept, "query_id").select("trace_id", "id", "rank").distinct(), created_at)
+    some = kept.select("query_id", F.lit(True).alias("_any")).distinct()
+    found = asked.select("query_id").join(seeds, "query_id", "left").join(some, "query_id", "left")
     refused = found.where("_any IS NULL").select("query_id", F.when(F.col("seed").isNull(), NO_MATCH).otherwise(NO_EDGES).alias("reason"))
     return Batch(requests, traces, refused)
 
@@ -145,6 +144,11 @@ def replay(traces: DataFrame, trace_id: str, nodes: DataFrame, edges: DataFrame)
     return hydrate(ids, nodes, edges)
 
 
+def replay_all(traces: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes (trace_id, rank, …) and edges of all ``traces`` as they are now."""
+    return hydrate(traces.select("trace_id", F.posexplode("node_ids").alias("rank", "id")), nodes, edges)
+
+
 #: Fixed value: the head of a node's links in a rendered trace.
 LINKS = "\n  [Outgoing Calls / Relationships]\n"
 
@@ -159,19 +163,21 @@ def block(id_: Column, path: Column, confidence: Column, snippet: Column, links:
     )
 
 
-def render_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rank, id, block) of the active nodes (id, rank, file_path, parse_confidence, snippet, is_active)."""
+def render_blocks(nodes: DataFrame, edges: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by…, rank, id, block) of the active nodes (id, rank, file_path, parse_confidence, snippet, is_active)."""
     links = edges.groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("target_id", "type"))).alias("links"))
     none = F.array().cast("array<struct<target_id:string,type:string>>")
     met = nodes.where("is_active").join(links, "id", "left").withColumn("links", F.coalesce("links", none))
-    return met.select("rank", "id", block(F.col("id"), F.col("file_path"), F.col("parse_confidence"), F.col("snippet"), F.col("links")).alias("block"))
+    return met.select(*by, "rank", "id", block(F.col("id"), F.col("file_path"), F.col("parse_confidence"), F.col("snippet"), F.col("links")).alias("block"))
 
 
-def render(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row, ``text``: the trace as a reader sees it; "" for an empty trace.  A trace has at most a budget of nodes."""
-    blocks = render_blocks(nodes, edges).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "").alias("body"))
-    low = any_low(nodes)
-    return low.crossJoin(blocks).select(F.concat(F.when(F.col("any_low_confidence"), F.lit(UNCERTAIN + "\n\n")).otherwise(""), F.coalesce("body", F.lit(""))).alias("text"))
+def render(nodes: DataFrame, edges: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """One row, ``text``: the trace as a reader sees it; "" for an empty trace.  ``by``: a row for each group, as of many
+    traces.  A trace has at most a budget of nodes."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "")
+    blocks, low = render_blocks(nodes, edges, by).groupBy(*by).agg(body.alias("body")), any_low(nodes, by)
+    met = low.join(blocks, by, "left") if by else low.crossJoin(blocks)  # a row each
+    return met.select(*by, F.concat(F.when(F.col("any_low_confidence"), F.lit(UNCERTAIN + "\n\n")).otherwise(""), F.coalesce("body", F.lit(""))).alias("text"))
 
 
 def verify(answers: DataFrame, nodes: DataFrame, id_col: str = "answer_id", text_col: str = "text") -> DataFrame:
