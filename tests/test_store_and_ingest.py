@@ -468,3 +468,12 @@ def test_a_batch_of_questions_is_as_one_at_a_time(spark):
         assert traces[one.trace_id] == one.traces.where(F.col("trace_id") == one.trace_id).first().node_ids
     assert set(requests) | set(refused) == set(range(len(asked))) and len(requests) >= 4
     assert counted[1] <= counted[0] + 12, counted
+
+
+def test_places_in_a_global_order(spark):
+    from trailhead.operators import order
+
+    df = spark.range(1000).select((F.col("id") % 10).alias("a"), F.col("id").cast("string").alias("b")).repartition(5)
+    got = order.numbered(df, F.col("a"), F.col("b")).collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r["_rank"])] == sorted((i % 10, str(i)) for i in range(1000))
+    assert order.numbered(df.limit(0), F.col("a")).isEmpty()
