@@ -8,8 +8,6 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trailhead.llm import clustering, mixing, queries, repair, runtime
 
@@ -317,9 +315,3 @@ def test_long_texts_are_counted_in_parts(spark):
     text = "ab  c" * 3 + "x" * (9 << 20) + " y\n" * 10 + "z"
     df = spark.createDataFrame([(1, text, "a", "x", 1, 2), (2, "one", "a", "x", 1, 2)], DOCS).coalesce(1)
     assert [r["size"] for r in mixing.sized(df).collect()] == [words(text), 1]
-
-
-def test_numbered_is_one_sequence(spark):
-    df = spark.range(1000).select((F.col("id") % 10).alias("a"), F.col("id").cast(T.StringType()).alias("b")).repartition(5)
-    got = mixing.numbered(df, F.col("a"), F.col("b")).collect()
-    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r["_rank"])] == sorted((i % 10, str(i)) for i in range(1000))

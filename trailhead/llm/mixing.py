@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import session
+from ..operators.order import numbered
 from . import hashes, runtime
 
 CYCLE, CAP, SEED = (5, 2, 1), 3, 13
@@ -62,29 +62,6 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return src.mapInArrow(f, "_id long, _s string, size long, _h1 long, _h2 long")
 
 
-def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """``rows`` with ``_rank``, their place in ``order`` from 0: a range sort and a number carried from each partition."""
-    spark = rows.sparkSession
-    n = runtime.partitions(spark)
-    src = session.checkpointed(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
-    sizes = sorted((r["_p"], r["count"]) for r in src.groupBy("_p").count().collect())  # a row a partition
-    first, total = {}, 0
-    for p, c in sizes:
-        first[p], total = total, total + c
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_p")
-
-    def f(batches):
-        at = None
-        for b in batches:
-            if b.num_rows:
-                at = first[b.column("_p")[0].as_py()] if at is None else at
-                kept = [c for c in b.schema.names if c != "_p"]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(np.arange(at, at + b.num_rows))], [*kept, "_rank"])
-                at += b.num_rows
-
-    return src.mapInArrow(f, f"{kind}, _rank long")
-
-
 def targets(sizes: DataFrame, cycle: tuple = CYCLE, cap: float = CAP) -> DataFrame:
     """(_s, n, source_size, weight, target) from ``sized`` rows: a row a source.
 
