@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schema, session
-from ..functions import text
+from ..functions import text, wire
 from ..operators import alias, graph, ingest, postings, store
 from ..sources import parse
-from ..streaming import changes, matching
+from ..streaming import changes, chunks, matching
 from . import retrieve
 from .path_queries import _corpus
 from .projections import buys, prints, read, seeds
@@ -229,3 +229,24 @@ def q_trace_times(spark: SparkSession, d: str) -> DataFrame:
         ids = docs.where((F.col("doc_id") % 50 == 0) & (F.col("doc_id") % 2 == part)).select(F.col("doc_id").cast("string").alias("id"), F.row_number().over(Window.orderBy("doc_id")).alias("rank"))
         traces = store.record_trace(traces, f"t{part}", ids)
     return traces.select("trace_id", F.array_join("node_ids", ",").alias("node_ids"), (F.abs(at - F.col("created_at")) < 3600).alias("now"))
+
+
+# --- answers as a stream of lines
+
+
+@query
+def q_chunk_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events as chunks of answers, the last event ends one; in three files of JSON lines and two runs."""
+    e = read(spark, d, "events").select("user_id", "event_id", "event_type").where("event_id IS NOT NULL")
+    ends = e.groupBy("user_id").agg(F.max("event_id").alias("last"))
+    chunk = F.struct(F.col("user_id").cast("string").alias("traceId"), F.concat("event_type", F.lit('"\\\n')).alias("textDelta"), (F.col("event_id") == F.col("last")).alias("done"), (F.col("event_id") % 50 == 0).alias("unverifiedCitation"))
+    lines = session.checkpointed(e.join(ends, "user_id").select("event_id", wire.encode_chunk(chunk).alias("value")))
+    top = lines.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    base = f"{session.work_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    cuts = [-1, top // 3, top // 2, top]
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        part = lines.where((F.col("event_id") > lo) & (F.col("event_id") <= hi)).coalesce(1).sortWithinPartitions("event_id")
+        part.select("value").write.mode("append").text(f"{base}/in")
+        if i:
+            chunks.run(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(chunks.ANSWER).parquet(f"{base}/out").select("trace_id", F.sha2("text", 256).alias("text_sha256"), "pieces", "unverified")

@@ -50,6 +50,7 @@ WHERE ask.doc_id NOT IN (SELECT query_id FROM cand)""",
         "q_embed_dense": f"""WITH {c['sparse']}, n AS (SELECT doc_id, sqrt(sum(v * v)::DOUBLE) n FROM sparse GROUP BY 1)
 SELECT doc_id, 384::BIGINT dim, bucket, round((v / n)::FLOAT::DOUBLE, 5) x FROM sparse JOIN n USING (doc_id)""",
         "q_trace_times": """SELECT 't' || p trace_id, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (doc_id % 50 = 0 AND doc_id % 2 = p), '') node_ids, true AS "now" FROM documents, range(2) r(p) GROUP BY p""",
+        "q_chunk_stream": """SELECT user_id::VARCHAR trace_id, sha256(string_agg(event_type || '"' || chr(92) || chr(10), '' ORDER BY event_id)) text_sha256, count(*)::BIGINT pieces, bool_or(event_id % 50 = 0) unverified FROM events GROUP BY user_id""",
         "q_hub_walks": f"""WITH RECURSIVE c AS (SELECT 'c:' || c_custkey c, 'n:' || c_nationkey n, (c_custkey % 97 + 1)::DOUBLE w FROM customer),
 edges AS (SELECT c source_id, n target_id, 'IN' "type", 1::DOUBLE weight FROM c UNION ALL SELECT n, c, 'IN', w FROM c), {_SEEDS}, {walked} SELECT seed, id, round(score, 9) score FROM walk""",
         "q_stream_match": f"""WITH {c['prints']}, e AS (SELECT doc_id * 2 seq, source path, 'U' op, simhash FROM prints UNION ALL SELECT doc_id * 2 + 41, source, 'D', simhash FROM prints WHERE doc_id % 5 = 0),

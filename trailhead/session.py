@@ -67,6 +67,18 @@ def tagged(spark: SparkSession, tag: str):
         spark.sparkContext.removeJobTag(tag)
 
 
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession):
+    """Streams that start inside keep their state in the store that stateful Python operators need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, kept)
+
+
 def interrupt(spark: SparkSession, tag: str) -> None:
     """Cancel the running jobs of a tag; the thread that waits for them gets an error."""
     spark.sparkContext.cancelJobsWithTag(tag)

@@ -65,11 +65,6 @@ def matched(changes: DataFrame) -> DataFrame:
 def run(spark: SparkSession, source: str, out: str, checkpoint: str, files_per_batch: int = 1) -> None:
     """Match all change files (Parquet, ``SPAN``) that have arrived, oldest first, append the rows below ``out``, and stop."""
     session.ship(spark)
-    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with session.rocksdb(spark):
         stream = spark.readStream.schema(SPAN).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-        query = matched(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+        matched(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
