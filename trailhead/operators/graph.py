@@ -268,12 +268,12 @@ def _scanned(open_: DataFrame, heavy: DataFrame, eps: Column, budget: int, by: l
     return fits.select(*answer("next", target=F.col("target")))
 
 
-def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]], budget: int = BUDGET, small: int | None = None, hub: int | None = None) -> DataFrame:
+def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]], budget: int = BUDGET, small: int | None = None, hub: int | None = None, tasks: int | None = None) -> DataFrame:
     """(horizon, seed, id, score): a push from every row of ``seeds`` (seed) for every (alpha, eps); horizon is its place.
 
     Up to ``SMALL_EDGES`` edges of ``SMALL_BYTES`` go to the walks whole; else all walks share the rounds.  A round is one
     join of what is asked for with the edges (``sized``), and one checkpoint of the walks' states.  Nodes of more than
-    ``hub`` out-edges (default ``HUB``) are hubs.  Seeds that repeat count once, null seeds are left out.
+    ``hub`` out-edges (default ``HUB``) are hubs.  ``tasks`` walk at once (default: as many as shuffle partitions).  Seeds that repeat count once, null seeds are left out.
     """
     spark = edges.sparkSession
     session.ship(spark)
@@ -295,7 +295,9 @@ def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]
                     rows += [(horizon, seed, k, v) for k, v in state["p"].items()]
                 yield pd.DataFrame(rows, columns=["horizon", "seed", "id", "score"])
 
-        return seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed").mapInPandas(whole, "horizon int, seed string, id string, score double")
+        # a few hundred seeds are a few KB, which would all meet in one task
+        walkers = seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed")
+        return walkers.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "horizon", "seed").mapInPandas(whole, "horizon int, seed string, id string, score double")
     ended = _rounds(adj, seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed"), horizons, budget, HUB if hub is None else hub)
 
     def settle(frames):
@@ -324,9 +326,9 @@ def fuse(lists: list[DataFrame], by: list[str] = ["seed"], k: int = RRF_K) -> Da
     return every.groupBy(*by, "id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
-def dual_horizon(edges: DataFrame, seeds: DataFrame, budget: int = BUDGET) -> DataFrame:
+def dual_horizon(edges: DataFrame, seeds: DataFrame, budget: int = BUDGET, tasks: int | None = None) -> DataFrame:
     """(seed, id, score, rank): a tight and a wide push, fused, best first and cut at the budget."""
-    lists = ranked(walks(edges, seeds, [TIGHT, WIDE], budget), ["horizon", "seed"])
+    lists = ranked(walks(edges, seeds, [TIGHT, WIDE], budget, tasks=tasks), ["horizon", "seed"])
     return ranked(fuse([lists])).where(F.col("rank") <= budget)
 
 

@@ -80,7 +80,7 @@ def build(
     if not seeds or seeds[0].score < floor:
         return Built(False, NO_MATCH)
     start = spark.createDataFrame([(seeds[0].id,)], "seed string")
-    ranked = graph.session.checkpointed(graph.dual_horizon(graph.out_edges(edges, alias), start, budget).select("id", "rank"))
+    ranked = graph.session.checkpointed(graph.dual_horizon(graph.out_edges(edges, alias), start, budget, 1).select("id", "rank"))
     kept, out = hydrate(ranked, nodes, edges)
     kept, out = graph.session.checkpointed(kept), graph.session.checkpointed(out)
     if kept.isEmpty():
