@@ -168,7 +168,7 @@ def spans(path: str, source: bytes) -> list[tuple]:
 def parse(files: DataFrame) -> DataFrame:
     """``files`` (file_path, content binary, others) with a column ``spans``; a file stays one row, so map only."""
     session.ship(files.sparkSession)
-    kind = T.ArrayType(schema.SPAN)
+    files, kind = session.spread(files), T.ArrayType(schema.SPAN)
     names = schema.SPAN.fieldNames()
 
     def f(batches):
