@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from trailhead.functions import text
-from trailhead.operators import graph, vectors
+from trailhead.operators import vectors
 
 
 def test_a_kernel_gets_a_piece_of_a_batch():
@@ -20,3 +21,19 @@ def test_fingerprints_do_not_depend_on_pieces(spark, monkeypatch):
     df = spark.createDataFrame(docs, "id int, t string")
     got = {r.id: r.simhash for r in text.simhash_of_text(df, "t").collect()}
     assert got == {i: text.simhash_py([(w, 1) for w in (t or "").split()]) for i, t in docs}
+
+
+def test_best_of_tiles_equals_a_sort():
+    """Ties by id, rounds of tiles in any order, queries of zeros, and many vectors that are alike."""
+    rnd = np.random.default_rng(1)
+    m = np.concatenate([rnd.integers(-2, 3, (300, 4)), np.ones((200, 4))]).astype(float)
+    q = np.concatenate([rnd.integers(-2, 3, (20, 4)), np.zeros((2, 4)), np.ones((3, 4))]).astype(float)
+    ids = [f"v{i:03d}" for i in rnd.permutation(len(m))]
+    best = vectors.Best(len(q), 5)
+    for at in range(0, len(m), 37):
+        for lo in range(0, len(q), 8):
+            best.meet(lo, q[lo : lo + 8] @ m[at : at + 37].T, pa.array(ids[at : at + 37]))
+    got: dict = {}
+    for i, s, x in zip(*best.rows()):
+        got.setdefault(int(i), []).append((-float(s), x.as_py()))
+    assert got == {i: sorted((-float(s), x) for s, x in zip(q[i] @ m.T, ids))[:5] for i in range(len(q))}

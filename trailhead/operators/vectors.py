@@ -46,10 +46,69 @@ def _matrix(col) -> np.ndarray:
     return _unit(flat.reshape(len(col), -1)) if len(col) else np.zeros((0, 0))
 
 
+#: Vectors, and cells of a tile of scores (queries x vectors), that are looked at once: what a task holds follows neither.
+_ROWS, _CELLS = 2048, 1 << 20
+#: Scores count to twelve digits, so equal vectors have equal ones, whatever the tile.
+_DIGITS, _SLACK = 12, 1e-11
+
+
+class Best:
+    """The k best (score, id) of each of n queries: most cells of a tile are under their query's k-th score and only compared."""
+
+    def __init__(self, n: int, k: int, known: np.ndarray | None = None):
+        """``known``: scores that the k-th best of each query is not under."""
+        self.k, self.score, self.at, self.ids = k, np.full((n, k), -np.inf), np.zeros((n, k), np.int64), None
+        self.known = np.full(n, -np.inf) if known is None else known
+
+    def floors(self, lo: int, n: int) -> np.ndarray:
+        """What a score of the n queries from ``lo`` on must reach."""
+        return np.maximum(self.score[lo : lo + n, -1], self.known[lo : lo + n])
+
+    def meet(self, lo: int, new: np.ndarray, ids: pa.Array) -> None:
+        """Take in a tile: scores of the queries from ``lo`` on with the vectors ``ids``."""
+        k, held = self.k, self.score[lo : lo + len(new)]
+        floor = self.floors(lo, len(new))
+        if new.shape[1] > k and np.isneginf(floor).any():
+            floor = np.maximum(floor, np.partition(new, -k, axis=1)[:, -k])
+        query, col = np.nonzero(new >= np.maximum(floor - _SLACK, -2.0)[:, None])
+        if not len(query):
+            return
+        score = np.round(new[query, col], _DIGITS)
+        some = np.unique(query)
+        old_q, old_at = np.nonzero(~np.isneginf(held[some]))
+        old_q = some[old_q]
+        if self.ids is None:
+            names = ids.take(pa.array(col))
+        else:
+            old = self.at[lo + old_q, old_at]
+            names = pa.concat_arrays([self.ids.take(pa.array(old)), ids.take(pa.array(col))])
+        query, score = np.concatenate([old_q, query]), np.concatenate([held[old_q, old_at], score])
+        place = np.empty(len(names), np.int64)
+        place[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        order = np.lexsort((place, -score, query))
+        query, score = query[order], score[order]
+        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+        n = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        keep = n < k
+        kept = names.take(pa.array(order[keep]))
+        start = 0 if self.ids is None else len(self.ids)
+        self.ids = kept if self.ids is None else pa.concat_arrays([self.ids, kept])
+        self.score[lo + query[keep], n[keep]] = score[keep]
+        self.at[lo + query[keep], n[keep]] = start + np.arange(len(kept))
+        if len(self.ids) > 4 * self.score.size + _CELLS:  # names that nobody holds any more
+            query, at = np.nonzero(~np.isneginf(self.score))
+            self.ids = self.ids.take(pa.array(self.at[query, at]))
+            self.at[query, at] = np.arange(len(query))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        query, at = np.nonzero(~np.isneginf(self.score))
+        return query, self.score[query, at], self.ids.take(pa.array(self.at[query, at]))
+
+
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): ``queries`` is a stated set (query_id, query), sent to the vectors in counted blocks.
 
-    Scores are a matrix product of unit vectors a batch; a task keeps k rows a query, and only these are shuffled.  Null
+    Scores are a matrix product of unit vectors, in tiles; a task keeps k rows a query, and only these are shuffled.  Null
     vectors have no rows.
     """
     session.ship(vectors.sparkSession)
@@ -62,25 +121,18 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUE
 
         def nearest(batches, sent=sent):
             asked = sent.value
-            q = _matrix(asked["query"].combine_chunks())
-            score, ids = np.zeros((len(q), 0)), None
+            names, q = asked["query_id"].combine_chunks(), _matrix(asked["query"].combine_chunks())
+            best = Best(len(q), k)
             for b in batches:
                 b = b.filter(b.column("vector").is_valid())
-                if not b.num_rows or not len(q):
-                    continue
-                new = np.round(q @ _matrix(b.column("vector")).T, 12)  # equal vectors get equal scores
-                names = b.column("id")
-                at = np.broadcast_to(np.arange(b.num_rows), new.shape)
-                if ids is not None:
-                    new, at = np.concatenate([score, new], 1), np.concatenate([np.arange(len(ids)).reshape(len(q), -1), len(ids) + at], 1)
-                    names = pa.concat_arrays([ids, names])
-                place = np.empty(len(names), np.int64)
-                place[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
-                best = np.lexsort((place[at], -new))[:, :k]
-                score = np.take_along_axis(new, best, 1)
-                ids = names.take(pa.array(np.take_along_axis(at, best, 1).reshape(-1)))
-            if ids is not None:
-                yield pa.RecordBatch.from_arrays([asked["query_id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(q)), score.shape[1]))), ids, pa.array(score.reshape(-1))], ["query_id", "id", "score"])
+                for at in range(0, b.num_rows if len(q) else 0, _ROWS):
+                    part = b.slice(at, _ROWS)
+                    m, ids = _matrix(part.column("vector")), part.column("id")
+                    for lo in range(0, len(q), _CELLS // _ROWS):
+                        best.meet(lo, q[lo : lo + _CELLS // _ROWS] @ m.T, ids)
+            if best.ids is not None:
+                query, score, ids = best.rows()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids, pa.array(score)], ["query_id", "id", "score"])
 
         best = vectors.select("id", "vector").mapInArrow(nearest, kinds)
         out = best if out is None else out.unionByName(best)

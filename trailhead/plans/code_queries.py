@@ -146,7 +146,7 @@ def _asked(spark: SparkSession, d: str) -> retrieve.Batch:
     """Every fiftieth document as a question; every ninth document is no node, and its links are unknown."""
     tables, now = _corpus(spark, d)
     lost = lambda c: F.pmod(F.col(c).cast("long"), F.lit(9)) == 4
-    tables |= {"nodes": tables["nodes"].where(~lost("id")), "edges": tables["edges"].where(~lost("source_id"))}
+    tables |= {"nodes": tables["nodes"].where(~lost("id")), "edges": tables["edges"].where(~lost("source_id")), "vectors": session.checkpointed(tables["vectors"])}
     asked = read(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
     return retrieve.build_batch(tables, now, asked, created_at=1)
 
