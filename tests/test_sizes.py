@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from trailhead import session
 from trailhead.functions import text
-from trailhead.operators import vectors
+from trailhead.operators import graph, vectors
 
 
 def test_a_kernel_gets_a_piece_of_a_batch():
@@ -37,3 +38,10 @@ def test_best_of_tiles_equals_a_sort():
     for i, s, x in zip(*best.rows()):
         got.setdefault(int(i), []).append((-float(s), x.as_py()))
     assert got == {i: sorted((-float(s), x) for s, x in zip(q[i] @ m.T, ids))[:5] for i in range(len(q))}
+
+
+def test_walks_come_to_python_few_at_a_time(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with session.batches(spark, graph.BATCH_WALKS):
+        sizes = spark.range(1000).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long").collect()
+    assert max(r.n for r in sizes) <= graph.BATCH_WALKS and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -159,7 +159,10 @@ class Walk:
         """Take in what the table says about ``asked``."""
         edges: dict[str, list] = {u: [] for u in asked.get("nodes", [])}
         for a in answers:
-            if a["kind"] == "edge" and a["target"] is not None:
+            if a["kind"] == "edges":  # all of a node's
+                edges[a["node"]] = [(x["target"], x["type"], x["weight"]) for x in a["out"]]
+                self.degree |= {x["target"]: x["degree"] for x in a["out"]}
+            elif a["kind"] == "edge" and a["target"] is not None:  # one of them
                 edges[a["node"]].append((a["target"], a["type"], a["weight"]))
                 self.degree[a["target"]] = a["degree"]
         self.known |= {u: [(t, w) for t, _, w in sorted(out, key=lambda x: (x[0], x[1] or ""))] for u, out in edges.items()}
@@ -205,10 +208,22 @@ class _Whole:
         return list(zip(*(c.slice(a, b - a).to_pylist() for c in self.columns)))
 
 
-def _rounds(adj: DataFrame, walkers: DataFrame, horizons: list, budget: int, hub: int) -> DataFrame:
-    """(horizon, seed, state) of ended walks, the state their settled mass; ``walkers``: (horizon, seed)."""
+#: Edges of a partition of the table that walks ask; walks of one batch, each with all that it knows and is told.
+PART_EDGES, BATCH_WALKS = 1 << 18, 32
+
+
+def _rounds(adj: DataFrame, walkers: DataFrame, horizons: list, budget: int, hub: int, edges: int) -> DataFrame:
+    """(horizon, seed, state) of ended walks, the state their settled mass; ``walkers``: (horizon, seed), ``edges``: how many.
+
+    The out-edges of a node that is no hub are one row, dealt out by node once: a round moves what is asked and told, not the
+    table.
+    """
+    spark = adj.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges // PART_EDGES))
     stats = session.checkpointed(adj.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).where(F.col("n") > hub))
-    light = adj.join(stats.select("node"), "node", "left_anti")
+    light = adj.join(stats.select("node"), "node", "left_anti").where("target_id IS NOT NULL")
+    out = F.collect_list(F.struct(F.col("target_id").alias("target"), "type", "weight", "degree")).alias("out")
+    light = session.checkpointed(light.repartition(parts, "node").groupBy("node").agg(out).sortWithinPartitions("node"))
     heavy = adj.join(stats.select("node"), "node", "left_semi").groupBy("node", "target_id").agg(F.sum("weight").alias("weight"), F.max("degree").alias("degree"))
     heavy = session.checkpointed(heavy)
     by = ["horizon", "seed"]
@@ -218,7 +233,7 @@ def _rounds(adj: DataFrame, walkers: DataFrame, horizons: list, budget: int, hub
     eps = F.element_at(F.array(*(F.lit(float(e)) for _, e in horizons)), F.col("horizon") + 1)
 
     def answer(kind: str, **columns) -> list[Column]:
-        kinds = {"node": "string", "target": "string", "type": "string", "weight": "double", "degree": "int"}
+        kinds = {"node": "string", "target": "string", "weight": "double", "out": "array<struct<target:string,type:string,weight:double,degree:int>>"}
         return [*by, F.struct(F.lit(kind).alias("kind"), *((columns[c].cast(k) if c in columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items())).alias("a")]
 
     def step(frames):
@@ -234,7 +249,7 @@ def _rounds(adj: DataFrame, walkers: DataFrame, horizons: list, budget: int, hub
     ended, any_hub = None, not stats.isEmpty()
     while True:
         nodes = open_.select(*by, F.explode("asked.nodes").alias("node"))
-        said = nodes.join(light, "node").select(*answer("edge", node=F.col("node"), target=F.col("target_id"), type=F.col("type"), weight=F.col("weight"), degree=F.col("degree")))
+        said = light.join(nodes, "node").select(*answer("edges", node=F.col("node"), out=F.col("out")))
         if any_hub:
             hubs = nodes.join(stats, "node").select(*answer("hub", node=F.col("node"), weight=F.col("total")))
             pairs = open_.select(*by, F.explode("asked.pairs").alias("x")).select(*by, F.col("x.hub").alias("node"), F.col("x.target").alias("target_id"))
@@ -242,7 +257,8 @@ def _rounds(adj: DataFrame, walkers: DataFrame, horizons: list, budget: int, hub
             said = said.unionByName(hubs).unionByName(met).unionByName(_scanned(open_.where("asked.scan IS NOT NULL"), heavy, eps, budget, by, answer))
         answers = said.groupBy(*by).agg(F.collect_list("a").alias("answers"))
         moved = open_.join(answers, by, "left").select(*by, "state", "answers")
-        moved = session.checkpointed(moved.mapInPandas(step, _STATE))
+        with session.batches(spark, BATCH_WALKS):
+            moved = session.checkpointed(moved.mapInPandas(step, _STATE))
         now = moved.where("done").select(*by, "state")
         ended = now if ended is None else ended.unionByName(now)
         open_ = moved.where("NOT done").select(*by, "state", "asked")
@@ -298,7 +314,7 @@ def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]
         # a few hundred seeds are a few KB, which would all meet in one task
         walkers = seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed")
         return walkers.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "horizon", "seed").mapInPandas(whole, "horizon int, seed string, id string, score double")
-    ended = _rounds(adj, seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed"), horizons, budget, HUB if hub is None else hub)
+    ended = _rounds(adj, seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed"), horizons, budget, HUB if hub is None else hub, size.n)
 
     def settle(frames):
         for pdf in frames:
