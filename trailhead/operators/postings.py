@@ -3,9 +3,10 @@
 ``index`` cuts sparse embeddings into segments of some hundred texts.  A segment lists, for each bucket, its texts by falling
 weight, and beside that each text's own buckets.  ``search`` keeps the k best scores of every question; the k-th is a floor.
 A question's heaviest buckets, until what is left of its norm is under the floor, are the only ones where a text that
-matters must occur; in each of them lists are read from the top only as far as a text could still reach the floor.  What was
-added up and the norms of the rest bound a text's score, and only texts whose bound reaches the floor are scored in full.
-Nothing is approximate: a text is left out only if its score cannot reach the k-th best.
+matters must occur.  What these lists add up to and the norms of the rest bound a text's score, and only texts whose bound
+reaches the floor are scored in full.  A question whose heaviest buckets hold most of a segment's postings reads them all.
+Nothing is approximate: a text is left out only if its score cannot reach the k-th best.  Bounds and scores of a segment are
+matrix products over many questions at once.
 
 Segments are rows, so any number of tasks search them, each with the question's floor from a first look at a few of them.
 """
@@ -23,11 +24,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import schema, session
+from . import vectors
 
-#: Texts of a segment; postings of a block, of which all or none are read; one segment in so many gives the first floor.
-SEGMENT, BLOCK, FIRST = 512, 64, 16
+#: Texts of a segment; one segment in so many gives the first floor.
+SEGMENT, FIRST = 512, 16
 #: Questions of one broadcast (each a vector of a few KB).
 QUERY_BLOCK = 4096
+#: Questions that meet a segment at once, pairs that are scored at once, and the share of a segment's postings beyond which it
+#: is cheaper to read them all than to bound.
+AT_ONCE, PAIRS, MOST = 1024, 4096, 0.5
 _EPS = 1e-9
 
 
@@ -41,13 +46,13 @@ def _rows(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, bucket, v / norm[row]
 
 
-def index(vectors: DataFrame, size: int = SEGMENT, dim: int = schema.DIM) -> DataFrame:
-    """Segments of ``vectors`` (id, embedding: array of (bucket, v)); write them once and search them often.
+def index(texts: DataFrame, size: int = SEGMENT, dim: int = schema.DIM) -> DataFrame:
+    """Segments of ``texts`` (id, embedding: array of (bucket, v)); write them once and search them often.
 
     A row: the ids, and packed arrays: by bucket (list bounds, texts, falling weights), by text (bounds, buckets, weights).
     """
-    session.ship(vectors.sparkSession)
-    kind = T.StructType([T.StructField("segment", T.LongType()), T.StructField("ids", T.ArrayType(vectors.schema["id"].dataType)), *(T.StructField(c, T.BinaryType()) for c in ("cuts", "texts", "weights", "own_cuts", "own", "own_weights"))])
+    session.ship(texts.sparkSession)
+    kind = T.StructType([T.StructField("segment", T.LongType()), T.StructField("ids", T.ArrayType(texts.schema["id"].dataType)), *(T.StructField(c, T.BinaryType()) for c in ("cuts", "texts", "weights", "own_cuts", "own", "own_weights"))])
 
     def f(batches):
         for b in batches:
@@ -63,48 +68,50 @@ def index(vectors: DataFrame, size: int = SEGMENT, dim: int = schema.DIM) -> Dat
                 lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
                 yield pa.RecordBatch.from_arrays([pa.array([number]), lists, *(pa.array([x.tobytes()]) for x in packed)], kind.fieldNames())
 
-    return session.spread(vectors.select("id", "embedding")).mapInArrow(f, kind)
+    return session.spread(texts.select("id", "embedding")).mapInArrow(f, kind)
 
 
 class Segment:
-    def __init__(self, row: dict):
-        self.ids = row["ids"]
-        self.cuts, self.texts, self.own_cuts, self.own = (np.frombuffer(row[c], "<i4") for c in ("cuts", "texts", "own_cuts", "own"))
-        self.weights, self.own_weights = np.frombuffer(row["weights"]), np.frombuffer(row["own_weights"])
-        self.row = np.repeat(np.arange(len(self.ids)), np.diff(self.own_cuts))
-
-    def scores(self, q: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, q[self.own] * self.own_weights, len(self.ids))
-
-    def search(self, q: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """(texts, their scores, postings read): every text whose score reaches the floor, and perhaps others."""
-        if floor <= _EPS:
-            return np.arange(len(self.ids)), self.scores(q), len(self.texts)
-        order = np.argsort(-np.abs(q), kind="stable")
-        left = np.sqrt(np.maximum(0, np.append(np.cumsum((q[order] ** 2)[::-1])[::-1], 0)))  # the norm from a place on
-        heavy = order[: int(np.argmax(left < floor - _EPS))]
-        total, seen, met, read = np.zeros(len(self.ids)), np.zeros(len(self.ids)), np.zeros(len(self.ids), bool), 0
-        for b in heavy:
-            lo, hi = self.cuts[b], self.cuts[b + 1]
-            if lo == hi:
-                continue
-            w = self.weights[lo:hi]
-            least = (floor - _EPS - np.sqrt(max(0.0, 1 - q[b] ** 2))) / q[b]  # what a text must weigh here to reach the floor
-            if q[b] > 0:
-                n = int(np.searchsorted(-w, -least, "right"))
-                lo, hi = lo, min(hi, lo + -(-n // BLOCK) * BLOCK)
-            else:
-                n = len(w) - int(np.searchsorted(-w, -least, "left"))
-                lo, hi = max(lo, hi - -(-n // BLOCK) * BLOCK), hi
-            t, w = self.texts[lo:hi], self.weights[lo:hi]
-            read += len(t)
-            total[t] += q[b] * w
-            seen[t] += w * w
-            met[t] = True
-        bound = total + left[len(heavy)] * np.sqrt(np.maximum(0, 1 - seen))
-        found = np.flatnonzero(met & (bound >= floor - _EPS))
-        scores = np.array([q[self.own[a:b]] @ self.own_weights[a:b] for a, b in zip(self.own_cuts[found], self.own_cuts[found + 1])])
-        return found, scores, read + int((self.own_cuts[found + 1] - self.own_cuts[found]).sum())
+    """A segment as one matrix of its texts' weights; a bucket's column is its list."""
+
+    def __init__(self, row: dict, dim: int):
+        self.ids, cuts, own_cuts = row["ids"], np.frombuffer(row["cuts"], "<i4"), np.frombuffer(row["own_cuts"], "<i4")
+        self.lens, self.own = np.diff(cuts), np.diff(own_cuts)
+        self.w = np.zeros((len(own_cuts) - 1, dim))
+        self.w[np.repeat(np.arange(len(self.w)), self.own), np.frombuffer(row["own"], "<i4")] = np.frombuffer(row["own_weights"])
+
+
+class Questions:
+    """Unit vectors of questions with their buckets by falling weight, and what is left of the norm from a place on."""
+
+    def __init__(self, q: np.ndarray):
+        self.q = q
+        order = np.argsort(-np.abs(q), axis=1, kind="stable")
+        self.place = np.argsort(order, axis=1).astype(np.int16)
+        rest = np.cumsum(np.take_along_axis(q, order, 1)[:, ::-1] ** 2, axis=1)[:, ::-1]
+        self.left = np.sqrt(np.maximum(0, np.append(rest, np.zeros((len(q), 1)), axis=1)))
+
+    def search(self, seg: Segment, at: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, int]:
+        """(scores of the questions ``at`` with the segment's texts, postings read): a text that cannot reach its question's
+        floor may have -inf instead."""
+        q, n = self.q[at], np.argmax(self.left[at] < (floor - _EPS)[:, None], axis=1)
+        n[floor <= _EPS] = q.shape[1]
+        heavy = self.place[at] < n[:, None]
+        lists = heavy @ seg.lens
+        out, read = np.full((len(at), len(seg.ids)), -np.inf), 0
+        full = (lists > MOST * seg.lens.sum()) | (floor <= _EPS)
+        if full.any():
+            out[full] = q[full] @ seg.w.T
+            read += int(full.sum()) * int(seg.lens.sum())
+        if (few := np.flatnonzero(~full)).size:
+            seen = heavy[few].astype(np.float64) @ (seg.w * seg.w).T
+            bound = np.where(heavy[few], q[few], 0.0) @ seg.w.T + self.left[at[few], n[few]][:, None] * np.sqrt(np.maximum(0, 1 - seen))
+            who, text = np.nonzero(bound >= (floor[few] - _EPS)[:, None])
+            for lo in range(0, len(who), PAIRS):
+                w, x = few[who[lo : lo + PAIRS]], text[lo : lo + PAIRS]
+                out[w, x] = np.einsum("ij,ij->i", q[w], seg.w[x])
+            read += int(lists[few].sum()) + int(seg.own[text].sum())
+        return out, read
 
 
 def _best(segments: DataFrame, asked: pa.Table, floors: dict, k: int, dim: int) -> DataFrame:
@@ -122,21 +129,22 @@ def _best(segments: DataFrame, asked: pa.Table, floors: dict, k: int, dim: int)
         row, bucket, w = _rows(asked["embedding"].combine_chunks())
         q = np.zeros((len(names), dim))
         q[row, bucket] = w
-        best: list[list] = [[] for _ in names]
+        questions, best = Questions(q), vectors.Best(len(q), k, np.array([floors.get(name, -np.inf) for name in names]))
         read = total = 0
         for b in batches:
-            for r in b.to_pylist():
-                seg = Segment(r)
-                total += len(seg.texts) * len(names)
-                for i, name in enumerate(names):
-                    held = best[i]
-                    floor = max(floors.get(name, -1.0), held[k - 1][0] if len(held) >= k else -1.0)
-                    at, scores, n = seg.search(q[i], floor)
-                    read += n
-                    if len(at):
-                        new = [(float(s), seg.ids[t]) for t, s in zip(at.tolist(), np.round(scores, 12).tolist()) if s >= floor - _EPS]
-                        best[i] = sorted(held + new, key=lambda x: (-x[0], x[1]))[:k]
-        rows = [(n, i, s, None, None) for n, mine in zip(names, best) for s, i in mine] + [(None, None, None, read, total)]
+            for n in range(b.num_rows):
+                seg = Segment(b.slice(n, 1).to_pylist()[0], dim)
+                ids = b.column("ids")[n].values
+                total += int(seg.lens.sum()) * len(names)
+                for lo in range(0, len(names), AT_ONCE):
+                    at = np.arange(lo, min(lo + AT_ONCE, len(names)))
+                    scores, n_read = questions.search(seg, at, best.floors(lo, len(at)))
+                    read += n_read
+                    best.meet(lo, scores, ids)
+        rows = [(None, None, None, read, total)]
+        if best.ids is not None:
+            who, scores, ids = best.rows()
+            rows += [(names[i], x, s, None, None) for i, s, x in zip(who.tolist(), scores.tolist(), ids.to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(x.dataType)) for c, x in zip(zip(*rows), kind.fields)], kind.fieldNames())
 
     return segments.mapInArrow(f, kind)
