@@ -45,3 +45,20 @@ def test_walks_come_to_python_few_at_a_time(spark):
     with session.batches(spark, graph.BATCH_WALKS):
         sizes = spark.range(1000).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long").collect()
     assert max(r.n for r in sizes) <= graph.BATCH_WALKS and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_answers_lie_in_files_of_a_stated_length(spark, monkeypatch):
+    """Many files a part give the rows of one."""
+    from trailhead.plans import code_queries
+
+    sf = "/root/testdata/sf0.001"
+    one = sorted(map(tuple, code_queries.q_chunk_stream(spark, sf).collect()))
+    monkeypatch.setattr(code_queries, "CHUNK_LINES", 100)
+    sizes, run = [], code_queries.chunks.run
+
+    def counted(spark, source, *rest):
+        sizes.extend(r.n for r in spark.read.text(source).selectExpr("_metadata.file_path AS f").groupBy("f").count().selectExpr("count AS n").collect())
+        run(spark, source, *rest)
+
+    monkeypatch.setattr(code_queries.chunks, "run", counted)
+    assert sorted(map(tuple, code_queries.q_chunk_stream(spark, sf).collect())) == one and len(sizes) > 6

@@ -234,19 +234,27 @@ def q_trace_times(spark: SparkSession, d: str) -> DataFrame:
 # --- answers as a stream of lines
 
 
+#: Lines of a file of answers, which is read whole.
+CHUNK_LINES = 1 << 17
+
+
 @query
 def q_chunk_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Users' events as chunks of answers, the last event ends one; in three files of JSON lines and two runs."""
+    """Users' events as chunks of answers, the last event ends one; in three parts of JSON lines and two runs.
+
+    A part's files each hold some users' lines, in order, and about ``CHUNK_LINES`` of them.
+    """
     e = read(spark, d, "events").select("user_id", "event_id", "event_type").where("event_id IS NOT NULL")
     ends = e.groupBy("user_id").agg(F.max("event_id").alias("last"))
     chunk = F.struct(F.col("user_id").cast("string").alias("traceId"), F.concat("event_type", F.lit('"\\\n')).alias("textDelta"), (F.col("event_id") == F.col("last")).alias("done"), (F.col("event_id") % 50 == 0).alias("unverifiedCitation"))
-    lines = session.checkpointed(e.join(ends, "user_id").select("event_id", wire.encode_chunk(chunk).alias("value")))
-    top = lines.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    lines = session.checkpointed(e.join(ends, "user_id").select("event_id", "user_id", wire.encode_chunk(chunk).alias("value")))
+    top, n = lines.agg(F.coalesce(F.max("event_id"), F.lit(0)), F.count("*")).first()
+    n = max(1, -(-n // (3 * CHUNK_LINES)))
     base = f"{session.work_folder(spark)}/chunks-{uuid.uuid4().hex}"
     cuts = [-1, top // 3, top // 2, top]
     for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-        part = lines.where((F.col("event_id") > lo) & (F.col("event_id") <= hi)).coalesce(1).sortWithinPartitions("event_id")
+        part = lines.where((F.col("event_id") > lo) & (F.col("event_id") <= hi)).repartition(n, "user_id").sortWithinPartitions("event_id")
         part.select("value").write.mode("append").text(f"{base}/in")
         if i:
-            chunks.run(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
+            chunks.run(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", n)
     return spark.read.schema(chunks.ANSWER).parquet(f"{base}/out").select("trace_id", F.sha2("text", 256).alias("text_sha256"), "pieces", "unverified")
