@@ -263,15 +263,19 @@ def q_parse_errors(spark: SparkSession, d: str) -> DataFrame:
     return after["errors"].select("path", (F.length("message") > 0).alias("said"))
 
 
+#: A batch of changes is every file that has arrived: of several changes to a path in it, the last one counts.
+ALL_FILES = 1 << 20
+
+
 @query
 def q_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The same changes as a stream of two files, applied to a store; taken twice, the second time with nothing new."""
+    """The same changes as a stream of two batches of files, applied to a store; taken again with nothing new."""
     base = f"{session.work_folder(spark)}/ingest-{uuid.uuid4().hex}"
     st = store.Store(spark, f"{base}/store")
     for part in _files(spark, d):
-        part.select(*changes.CHANGE.fieldNames()).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        changes.run(spark, f"{base}/in", st, f"{base}/checkpoint", 1)
-    changes.run(spark, f"{base}/in", st, f"{base}/checkpoint", 1)
+        part.select(*changes.CHANGE.fieldNames()).write.mode("append").parquet(f"{base}/in")
+        changes.run(spark, f"{base}/in", st, f"{base}/checkpoint", ALL_FILES)
+    changes.run(spark, f"{base}/in", st, f"{base}/checkpoint", ALL_FILES)
     return st.read("nodes").select(*_NODE)
 
 
