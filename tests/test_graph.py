@@ -211,6 +211,49 @@ def test_a_hub_of_many_edges(spark):
     assert got == pytest.approx(settled(out, "h", 0.1, 1e-3, 5)) and len(got) == 3
 
 
+def test_walks_past_hubs_that_share_targets(spark):
+    """Hubs with targets in common, some of which the walk knows, has pushed or has queued already; a weight below zero."""
+    rnd = random.Random(3)
+    edges = {(h, f"t{i:02}", "A"): float(rnd.choice([1, 1, 2, 5, 9])) for h in ("h0", "h1", "h2") for i in range(60) if rnd.random() < 0.6}
+    edges |= {("s", x, "A"): w for x, w in (("h0", 3.0), ("h1", 2.0), ("t07", 0.1), ("t50", 1.0))}
+    edges |= {(f"t{i:02}", f"h{i % 3}", "B"): 1.0 for i in range(0, 60, 4)} | {("t50", "t51", "B"): 2.0, ("t50", "s", "B"): 1.0}
+    for extra, eps, budget in (({}, 1e-3, 40), ({}, 8e-3, 12), ({}, 2e-3, 5), ({("h1", "t59", "A"): -0.5}, 1e-3, 12)):
+        out = {}
+        for (a, b, t), w in sorted((edges | extra).items()):
+            out.setdefault(a, []).append((b, t, w))
+        df = spark.createDataFrame([(u, b, t, w) for u, e in out.items() for b, t, w in e], E)
+        got = {}
+        for r in graph.local_push(df, spark.createDataFrame([("s",), ("h2",), ("t08",)], "seed string"), 0.2, eps, budget, small=0, hub=4).collect():
+            got.setdefault(r.seed, {})[r.id] = r.score
+        assert got == {s: pytest.approx(settled(out, s, 0.2, eps, budget)) for s in ("s", "h2", "t08")}
+
+
+def test_a_front_has_the_first_by_name_for_every_share(spark):
+    rnd = random.Random(4)
+    rows = [(h, h == "b", f"t{i:05}", rnd.choice([rnd.random(), 0.5]), rnd.choice([0, 1, 3])) for h in "ab" for i in range(3000)]
+    kept = {}
+    for r in graph.fronts(spark.createDataFrame(rows, "node string, shared boolean, target_id string, weight double, degree int").repartition(5), 6, 4).collect():
+        kept.setdefault(r.node, []).append((r.target_id, r.weight / max(1, r.degree)))
+    for h in "ab":
+        every = [(t, w / max(1, d)) for node, _, t, w, d in rows if node == h]
+        assert len(kept[h]) < 150
+        for low in (0, 0.1, 0.3, 0.5, 0.9, 0.99, 0.999):
+            first = lambda edges, low=low: sorted(t for t, x in edges if x >= low)[:6]
+            assert first(kept[h]) == first(every)
+
+
+def test_walks_do_not_meet_all_edges_of_their_hub(spark):
+    """What is shuffled grows with walks and with edges, not with their product."""
+    n, walkers = 4000, 100
+    far = spark.range(n).select(F.lit("h").alias("source_id"), F.format_string("t%05d", "id").alias("target_id"), F.lit("A").alias("type"), (F.col("id") % 97 + 1.0).alias("weight"))
+    near = spark.range(walkers).select(F.format_string("s%d", "id").alias("source_id"), F.lit("h").alias("target_id"), F.lit("A").alias("type"), F.lit(1.0).alias("weight"))
+    store = spark._jsc.sc().statusStore()
+    done = lambda: sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before = done()
+    got = graph.local_push(far.unionByName(near), near.select(F.col("source_id").alias("seed")), 0.3, 1e-5, 4, small=0, hub=100).count()
+    assert got == 4 * walkers and done() - before < walkers * n / 4
+
+
 def test_pruned_search_is_exact(spark):
     """Against every text, with ties, empty texts and fewer texts than k; and most postings are left unread."""
     from trailhead.functions import text

@@ -8,12 +8,14 @@ know.  So only edges of nodes that are really queued are read, rounds are as man
 seeds and horizons runs at once.
 
 A hub's edges never come into a row.  A walk that pushes one holds (hub, share): each of its targets is owed share times
-the edge's weight.  What a target is owed is looked up, edge by edge, when the walk meets it; which of a hub's targets join
-the queue is found where its edges lie, as sums by walk and target, and at most the budget come back.
+the edge's weight.  What a target is owed is looked up, edge by edge, when the walk meets it.  Which of a hub's targets join
+the queue is read from the hub's front, the few of its edges, by name and weight, that any walk can want; only targets
+that several hubs share are summed over the edges, for walks that have pushed several hubs.  At most the budget come back.
 """
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections import deque
 
@@ -212,8 +214,53 @@ class _Whole:
 PART_EDGES, BATCH_WALKS = 1 << 18, 32
 
 
-def _rounds(adj: DataFrame, walkers: DataFrame, horizons: list, budget: int, hub: int, edges: int) -> DataFrame:
-    """(horizon, seed, state) of ended walks, the state their settled mass; ``walkers``: (horizon, seed), ``edges``: how many.
+def fronts(heavy: DataFrame, budget: int, parts: int) -> DataFrame:
+    """The edges of ``heavy`` (node, shared, target_id, weight, degree) that a walk can want of a hub it has pushed.
+
+    A target that nothing else touches joins a queue by its weight over its degree, and the first by name have room.  So an
+    edge is wanted by none if ``budget`` edges of its hub come earlier by name and join wherever it does: of the queued and
+    the pushed targets, which need not join, there are at most as many as there is no room for.  What a part of a hub does
+    not want the hub does not, so parts are thinned where they lie, and then hubs, in one walk in the order of names.  Of n
+    edges in an order that has nothing to do with their weight about budget * ln(n / budget) stay.
+    """
+
+    def wanted(frames):
+        hub, best, alike = None, [], {}
+        for pdf in frames:
+            keep = []
+            for node, shared, w, degree in zip(pdf["node"], pdf["shared"], pdf["weight"], pdf["degree"]):
+                if (node, shared) != hub:
+                    hub, best, alike = (node, shared), [], {}
+                rate, same = w / max(1, degree), alike.get((w, degree), 0)
+                # rates that differ by their rounding alone order nothing
+                keep.append(same < budget and (len(best) < budget or best[0] < rate + 1e-12 * abs(rate)))
+                if keep[-1]:
+                    alike[w, degree] = same + 1
+                if len(best) < budget:
+                    heapq.heappush(best, rate)
+                elif rate > best[0]:
+                    heapq.heapreplace(best, rate)
+            yield pdf[keep]
+
+    columns, order = ["node", "shared", "target_id", "weight", "degree"], ["node", "shared", "target_id"]
+    kind = "node string, shared boolean, target_id string, weight double, degree int"
+    thin = heavy.select(*columns).where("weight IS NOT NULL").sortWithinPartitions(*order).mapInPandas(wanted, kind)
+    return thin.repartition(parts, "node", "shared").sortWithinPartitions(*order).mapInPandas(wanted, kind)
+
+
+def _hubs(adj: DataFrame, hubs: DataFrame, signed: bool) -> DataFrame:
+    """(node, target_id, weight, degree, shared, reach) of the edges of ``hubs`` (node): whether other hubs have the target too,
+    and the weight over its degree that they all have for it."""
+    heavy = session.checkpointed(adj.join(hubs.select("node"), "node", "left_semi").groupBy("node", "target_id").agg(F.sum("weight").alias("weight"), F.max("degree").alias("degree")))
+    most = F.lit(float("inf")) if signed else F.sum("weight") / F.greatest(F.lit(1), F.max("degree"))
+    several = heavy.groupBy(F.col("target_id").alias("_t")).agg(F.count("*").alias("_n"), most.alias("reach")).where("_n > 1")
+    met = heavy.join(several, F.col("target_id") == F.col("_t"), "left")
+    return session.checkpointed(met.select("node", "target_id", "weight", "degree", F.col("_t").isNotNull().alias("shared"), "reach"))
+
+
+def _rounds(adj: DataFrame, walkers: DataFrame, horizons: list, budget: int, hub: int, edges: int, signed: bool = False) -> DataFrame:
+    """(horizon, seed, state) of ended walks, the state their settled mass; ``walkers``: (horizon, seed), ``edges``: how many,
+    ``signed``: whether some weigh less than nothing.
 
     The out-edges of a node that is no hub are one row, dealt out by node once: a round moves what is asked and told, not the
     table.
@@ -224,8 +271,10 @@ def _rounds(adj: DataFrame, walkers: DataFrame, horizons: list, budget: int, hub
     light = adj.join(stats.select("node"), "node", "left_anti").where("target_id IS NOT NULL")
     out = F.collect_list(F.struct(F.col("target_id").alias("target"), "type", "weight", "degree")).alias("out")
     light = session.checkpointed(light.repartition(parts, "node").groupBy("node").agg(out).sortWithinPartitions("node"))
-    heavy = adj.join(stats.select("node"), "node", "left_semi").groupBy("node", "target_id").agg(F.sum("weight").alias("weight"), F.max("degree").alias("degree"))
-    heavy = session.checkpointed(heavy)
+    if any_hub := not stats.isEmpty():
+        heavy = _hubs(adj, stats, signed)
+        front = heavy if signed else session.checkpointed(fronts(heavy, budget, parts))
+        any_shared = not heavy.where("shared").isEmpty()
     by = ["horizon", "seed"]
     first = F.struct(F.array("seed").alias("nodes"), F.array().cast("array<struct<hub:string,target:string>>").alias("pairs"), F.lit(None).cast("string").alias("scan"), F.lit(0).alias("room"),
                      F.array().cast("array<struct<target:string,amount:double>>").alias("owed"), F.array().cast("array<struct<hub:string,share:double>>").alias("shares"), F.array().cast("array<string>").alias("queued"))
@@ -246,7 +295,7 @@ def _rounds(adj: DataFrame, walkers: DataFrame, horizons: list, budget: int, hub
                 rows.append((horizon, seed, pickle.dumps(walk.p if need is None else (walk, need)), need is None, None if need is None else walk.ask(need)))
             yield pd.DataFrame(rows, columns=["horizon", "seed", "state", "done", "asked"])
 
-    ended, any_hub = None, not stats.isEmpty()
+    ended = None
     while True:
         nodes = open_.select(*by, F.explode("asked.nodes").alias("node"))
         said = light.join(nodes, "node").select(*answer("edges", node=F.col("node"), out=F.col("out")))
@@ -254,7 +303,7 @@ def _rounds(adj: DataFrame, walkers: DataFrame, horizons: list, budget: int, hub
             hubs = nodes.join(stats, "node").select(*answer("hub", node=F.col("node"), weight=F.col("total")))
             pairs = open_.select(*by, F.explode("asked.pairs").alias("x")).select(*by, F.col("x.hub").alias("node"), F.col("x.target").alias("target_id"))
             met = pairs.join(heavy, ["node", "target_id"]).select(*answer("pair", node=F.col("node"), target=F.col("target_id"), weight=F.col("weight")))
-            said = said.unionByName(hubs).unionByName(met).unionByName(_scanned(open_.where("asked.scan IS NOT NULL"), heavy, eps, budget, by, answer))
+            said = said.unionByName(hubs).unionByName(met).unionByName(_scanned(open_.where("asked.scan IS NOT NULL"), heavy, front, any_shared, eps, budget, by, answer))
         answers = said.groupBy(*by).agg(F.collect_list("a").alias("answers"))
         moved = open_.join(answers, by, "left").select(*by, "state", "answers")
         with session.batches(spark, BATCH_WALKS):
@@ -266,19 +315,41 @@ def _rounds(adj: DataFrame, walkers: DataFrame, horizons: list, budget: int, hub
             return ended
 
 
-def _scanned(open_: DataFrame, heavy: DataFrame, eps: Column, budget: int, by: list[str], answer) -> DataFrame:
+def _scanned(open_: DataFrame, heavy: DataFrame, front: DataFrame, any_shared: bool, eps: Column, budget: int, by: list[str], answer) -> DataFrame:
     """The targets of each walk's pushed hub that join its queue: those owed enough, by name, as many as have room.
 
-    What a target is owed is summed by walk and target, where the hubs' edges lie; a task gets no hub whole.
+    A target that the walk knows nothing of is owed by the hub alone and is in its front, unless the walk has pushed other
+    hubs that share it: then the shared edges are summed, those that can come to enough.  Targets that the walk knows are
+    looked up.
     """
-    shares = open_.select(*by, "asked.scan", F.explode("asked.shares").alias("s")).select(*by, "scan", F.col("s.hub").alias("node"), F.col("s.share").alias("share"))
-    zero = F.lit(0)
-    due = shares.join(heavy, "node").select(*by, F.col("target_id").alias("target"), (F.col("share") * F.col("weight")).alias("amount"), F.when(F.col("node") == F.col("scan"), 1).otherwise(0).alias("own"), "degree", zero.alias("queued"))
-    none = F.lit(None).cast("int").alias("degree")
-    more = open_.select(*by, F.explode("asked.owed").alias("o")).select(*by, "o.target", "o.amount", zero.alias("own"), none, zero.alias("queued"))
-    held = open_.select(*by, F.explode("asked.queued").alias("target")).select(*by, "target", F.lit(0.0).alias("amount"), zero.alias("own"), none, F.lit(1).alias("queued"))
-    total = due.unionByName(more).unionByName(held).groupBy(*by, "target").agg(F.sum("amount").alias("amount"), F.max("own").alias("own"), F.max("degree").alias("degree"), F.max("queued").alias("queued"))
-    good = total.where((F.col("own") == 1) & (F.col("queued") == 0)).where(F.col("amount") / F.greatest(F.lit(1), F.col("degree")) >= eps)
+    share = F.filter("asked.shares", lambda s: s["hub"] == F.col("asked.scan"))[0]["share"]
+    most = F.array_max(F.transform("asked.shares", lambda s: s["share"]))
+    walk = open_.select(*by, "asked", F.col("asked.scan").alias("node"), share.alias("share"), F.size("asked.shares").alias("hubs"), most.alias("most"))
+    degree, none = F.greatest(F.lit(1), F.col("degree")), F.lit(None)
+
+    def due(df: DataFrame, amount=none, told=none, own=1, degree=none, queued=0) -> DataFrame:
+        return df.select(*by, "target", amount.cast("double").alias("amount"), told.cast("double").alias("told"), F.lit(own).cast("int").alias("own"), degree.cast("int").alias("degree"), F.lit(queued).alias("queued"))
+
+    gives = F.col("share") * F.col("weight")
+    edges = heavy.withColumnRenamed("target_id", "target")
+    near = walk.drop("asked").join(front.select("node", "shared", F.col("target_id").alias("target"), "weight", "degree"), "node").where("hubs = 1 OR NOT shared").where(gives / degree >= eps)
+    owed = walk.select(*by, "node", "share", "hubs", "asked.shares", F.explode("asked.owed").alias("o"))
+    owed = owed.groupBy(*by, "node", F.col("o.target").alias("target")).agg(F.sum("o.amount").alias("owed"), F.first("share").alias("share"), F.first("shares").alias("shares"))
+    known = owed.join(edges.drop("reach"), ["node", "target"])
+    parts = [due(near, gives, degree=F.col("degree")), due(known, told=F.col("owed") + gives, degree=F.col("degree"))]
+    parts.append(due(walk.select(*by, F.explode("asked.queued").alias("target")), own=0, queued=1))
+    if any_shared:
+        some = edges.where("shared")
+        each = walk.where("hubs > 1").select(*by, "most", F.col("node").alias("scan"), F.explode("asked.shares").alias("s")).select(*by, "most", "scan", F.col("s.hub").alias("node"), F.col("s.share").alias("share"))
+        far = each.join(some, "node").where(F.col("most") * F.col("reach") * (1 + 1e-9) >= eps)
+        rest = known.where("shared").select(*by, F.col("node").alias("scan"), "target", F.explode("shares").alias("s")).where("s.hub <> scan")
+        rest = rest.select(*by, "target", F.col("s.hub").alias("node"), F.col("s.share").alias("share")).join(some, ["node", "target"])
+        parts += [due(far, gives, own=F.col("node") == F.col("scan"), degree=F.col("degree")), due(rest, told=gives, own=0)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    total = every.groupBy(*by, "target").agg(F.coalesce(F.sum("told"), F.sum("amount")).alias("amount"), F.max("own").alias("own"), F.max("degree").alias("degree"), F.max("queued").alias("queued"))
+    good = total.where((F.col("own") == 1) & (F.col("queued") == 0)).where(F.col("amount") / degree >= eps)
     top = good.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("target"))).where(F.col("n") <= budget)
     fits = top.join(open_.select(*by, F.col("asked.room").alias("room")), by).where(F.col("n") <= F.col("room"))
     return fits.select(*answer("next", target=F.col("target")))
@@ -296,7 +367,7 @@ def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]
     adj = edges if "degree" in edges.columns else session.checkpointed(sized(edges))
     adj = adj.select(F.col("source_id").alias("node"), "target_id", "type", "weight", "degree")
     which = F.explode(F.array(*(F.lit(i) for i in range(len(horizons))))).alias("horizon")
-    size = adj.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("node") + F.octet_length("target_id") + F.octet_length("type")), F.lit(0)).alias("bytes")).first()
+    size = adj.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("node") + F.octet_length("target_id") + F.octet_length("type")), F.lit(0)).alias("bytes"), F.coalesce(F.min("weight") < 0, F.lit(False)).alias("signed")).first()
     if size.n <= (SMALL_EDGES if small is None else small) and size.bytes <= SMALL_BYTES:
         sent = spark.sparkContext.broadcast(adj.orderBy("node", "target_id", "type").select("node", "target_id", "weight", "degree").toArrow())
 
@@ -314,7 +385,7 @@ def walks(edges: DataFrame, seeds: DataFrame, horizons: list[tuple[float, float]
         # a few hundred seeds are a few KB, which would all meet in one task
         walkers = seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed")
         return walkers.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "horizon", "seed").mapInPandas(whole, "horizon int, seed string, id string, score double")
-    ended = _rounds(adj, seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed"), horizons, budget, HUB if hub is None else hub, size.n)
+    ended = _rounds(adj, seeds.where("seed IS NOT NULL").select("seed").distinct().select(which, "seed"), horizons, budget, HUB if hub is None else hub, size.n, size.signed)
 
     def settle(frames):
         for pdf in frames:
