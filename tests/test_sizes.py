@@ -47,6 +47,30 @@ def test_walks_come_to_python_few_at_a_time(spark):
     assert max(r.n for r in sizes) <= graph.BATCH_WALKS and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_a_stored_table_is_cut_by_as_many_tasks_as_its_rows_ask_for(spark, tmp_path, monkeypatch):
+    """The first write, of which a key has several rows, a large batch over it, and what is read of both."""
+    from trailhead.operators import layered
+
+    monkeypatch.setattr(layered, "TASK_ROWS", 100, raising=False)
+    monkeypatch.setattr(layered, "BROADCAST_ROWS", 10)
+    st = layered.Store(spark, str(tmp_path / "s"))
+    rows = lambda some, w, gone=False: [(f"a{i % 7}", f"t{i}", "X", float(w), gone) for i in some]
+    kind = "source_id string, target_id string, type string, weight double, _gone boolean"
+    st.upsert({"edges": spark.createDataFrame(rows(range(3000), 1) + rows(range(0, 3000, 2), 2) + rows(range(5), 9, True), kind).coalesce(1)})
+    base = [p for p, *_ in st.layers("edges")["base"].values()]
+    sizes = [r["count"] for r in spark.read.parquet(*base).selectExpr("_metadata.file_path AS f").groupBy("f").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 1000 and not any(n.startswith("changes") for n in st.files.names(f"{st.folder}/edges"))
+    want = {f"t{i}": 2.0 - i % 2 for i in range(5, 3000)}
+    assert {r.target_id: r.weight for r in st.read("edges").collect()} == want
+    st.upsert({"edges": spark.createDataFrame(rows(range(100, 500), 5) + rows(range(500, 700), 1, True) + rows(range(4000, 4100), 3), kind)}, rows=700)
+    assert len(st.layers("edges")["deltas"]) == 1
+    want = {t: w for t, w in want.items() if not 500 <= int(t[1:]) < 700} | {f"t{i}": 5.0 for i in range(100, 500)} | {f"t{i}": 3.0 for i in range(4000, 4100)}
+    assert {r.target_id: r.weight for r in st.read("edges").collect()} == want
+    st.upsert({"edges": spark.createDataFrame(rows(range(100, 2500), 6), kind)}, rows=2400)  # folded
+    assert not st.layers("edges")["deltas"]
+    assert {r.target_id: r.weight for r in st.read("edges").collect()} == want | {f"t{i}": 6.0 for i in range(100, 2500)}
+
+
 def test_answers_lie_in_files_of_a_stated_length(spark, monkeypatch):
     """Many files a part give the rows of one."""
     from trailhead.plans import code_queries

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import schema
+from .. import schema, session
 
 #: Deltas of a level before they become one; share of a bucket's base at which its deltas are folded into it.
 FAN, FULL = 8, 0.25
@@ -28,6 +28,8 @@ FAN, FULL = 8, 0.25
 BUCKET_ROWS = 1 << 18
 #: Changed keys up to this many are broadcast to the base (a key is a few dozen bytes).
 BROADCAST_ROWS = 100_000
+#: Rows that one task sorts by key or writes, about: a vector takes 1.6 KB there, however few bytes a shuffle squeezes it to.
+TASK_ROWS = 1 << 16
 #: Seconds after which files that no manifest names are a failed writer's.
 ORPHAN = 86_400
 MOVED = T.StructType([T.StructField("_gone", T.BooleanType()), T.StructField("_v", T.LongType()), T.StructField("_b", T.IntegerType())])
@@ -90,18 +92,30 @@ class Files:
         return True
 
 
-def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The row of the largest ``_v`` for each key."""
+def dealt(rows: DataFrame, count: int, *by) -> DataFrame:
+    """``rows``, about ``count``, dealt by columns over as many tasks as that takes; few stay as they are."""
+    return rows if count <= TASK_ROWS else rows.repartition(max(-(-count // TASK_ROWS), rows.sparkSession.sparkContext.defaultParallelism), *by)
+
+
+def newest(rows: DataFrame, keys: list[str], count: int = 0) -> DataFrame:
+    """The row of the largest ``_v`` for each key; ``count``: about how many rows there are, if they may be many."""
+    rows = dealt(rows, count, *keys)
     rest = [c for c in rows.columns if c not in keys and c != "_v"]
     best = rows.groupBy(*keys).agg(F.max(F.struct("_v", *rest)).alias("_m"))
     return best.select(*(F.col(c) if c in keys else F.col(f"_m.{c}").alias(c) for c in rows.columns))
 
 
-def overlay(base: DataFrame, changes: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
-    """``base`` after ``changes`` (its columns and ``_gone``, one row a key).  ``few``: their keys may be broadcast."""
+def overlay(base: DataFrame, changes: DataFrame, keys: list[str], few: bool = False, count: int = 0) -> DataFrame:
+    """``base`` after ``changes`` (its columns and ``_gone``, one row a key).  ``few``: their keys may be broadcast;
+    ``count``: about how many rows both have, if they may be many."""
     names = changes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
-    same = [base[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    left = base.join(F.broadcast(names) if few else names, same, "left_anti")
+    same = lambda: [base[k].eqNullSafe(names[f"_k{i}"]) for i, k in enumerate(keys)]
+    if few or count <= TASK_ROWS:
+        left = base.join(F.broadcast(names) if few else names, same(), "left_anti")
+    else:  # dealt by what a join compares where keys may be null; an anti join would be moved before the dealing
+        sides = lambda columns: [e for c in columns for e in (F.coalesce(c, F.lit("")), F.isnull(c))]
+        base, names = dealt(base, count, *sides(keys)), dealt(names, count, *sides(names.columns)).withColumn("_met", F.lit(True))
+        left = base.join(names, same(), "left").where("_met IS NULL").select(*base.columns)
     return left.unionByName(changes.where("NOT _gone").select(*base.columns))
 
 
@@ -160,7 +174,7 @@ class Store:
             rows = rows.where(F.col("_v") > F.element_at(F.array(*map(F.lit, folded)), F.col("_b") + 1))
         if buckets is not None:
             rows = rows.where(F.col("_b").isin(*buckets))
-        return newest(rows, schema.KEYS[name]) if len(deltas) > 1 else rows
+        return newest(rows, schema.KEYS[name], sum(sum(d["rows"].values()) for d in deltas)) if len(deltas) > 1 else rows
 
     def _merged(self, name: str, table: dict, buckets=None) -> DataFrame:
         base = self._base(name, table, buckets)
@@ -168,7 +182,8 @@ class Store:
         if not n:
             return base
         moved = self._deltas(name, table, table["deltas"], buckets).drop("_v", "_b")
-        return overlay(base, moved, schema.KEYS[name], n <= BROADCAST_ROWS)
+        held = sum(x[1] for b, x in table["base"].items() if buckets is None or int(b) in buckets)
+        return overlay(base, moved, schema.KEYS[name], n <= BROADCAST_ROWS, held + n)
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """A table as it is in a version (default: the newest), in this writer's schema; empty before its first rows."""
@@ -184,14 +199,16 @@ class Store:
     def _path(self, name: str, kind: str) -> str:
         return f"{self.folder}/{name}/{kind}-{uuid.uuid4().hex[:16]}"
 
-    def _cut(self, name: str, df: DataFrame, n: int) -> tuple[str, dict[str, int]]:
-        """``df`` written as a base in buckets: (path, rows of each bucket that has some)."""
-        path = self._path(name, "base")
-        spread = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // n)
-        part = F.pmod(F.xxhash64(F.lit(1), *schema.KEYS[name]), F.lit(spread))
-        rows = df.withColumn("_b", self._bucket(name, n))
-        rows = rows.repartition(n * spread, "_b", part) if n > 1 else rows
-        rows.write.partitionBy("_b").parquet(path)
+    def _cut(self, name: str, df: DataFrame, n: int, rows: int, several: bool = False) -> tuple[str, dict[str, int]]:
+        """``df``, about ``rows``, written as a base in buckets: (path, rows of each bucket that has some).
+
+        ``several``: changed rows, of which a key may have several; they meet where they are written."""
+        path, keys = self._path(name, "base"), schema.KEYS[name]
+        spread = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // n, -(-rows // (TASK_ROWS * n))) if n > 1 or rows > TASK_ROWS else 1
+        df = df.withColumns({"_b": self._bucket(name, n), "_p": F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(spread))})
+        df = df.repartition(n * spread, "_b", "_p") if n * spread > 1 else df
+        df = newest(df, ["_b", "_p", *keys]).where("NOT _gone").drop("_gone", "_v") if several else df
+        df.drop("_p").write.partitionBy("_b").parquet(path)
         if not any(x.startswith("_b=") for x in self.files.names(path)):
             return path, {}
         return path, {str(r["_b"]): r["count"] for r in self.spark.read.parquet(path).groupBy("_b").count().collect()}  # a row a bucket
@@ -206,14 +223,31 @@ class Store:
     def _new_base(self, name: str, df: DataFrame, rows: int, version: int) -> dict:
         """A table that is all base, as of a version, in buckets for about ``rows``."""
         n = max(1, min(4096, -(-rows // self.bucket_rows)))
-        path, counts = self._cut(name, df, n)
+        path, counts = self._cut(name, df, n, rows)
         want = min(4096, -(-sum(counts.values()) // self.bucket_rows))
         if want > 4 * n:  # far more rows than expected
             first, n = path, want
-            path, counts = self._cut(name, self.spark.read.schema(schema.stored(name, self.at)).parquet(*(f"{first}/_b={b}" for b in counts)), n)
+            path, counts = self._cut(name, self.spark.read.schema(schema.stored(name, self.at)).parquet(*(f"{first}/_b={b}" for b in counts)), n, sum(counts.values()))
             self.files.delete(first)
+        return self._table(path, counts, n, version)
+
+    def _table(self, path: str, counts: dict[str, int], n: int, version: int) -> dict:
         return {"schema": self.at, "buckets": n, "base": {b: [f"{path}/_b={b}", c, version] for b, c in counts.items()}, "deltas": []}
 
+    def _first(self, name: str, changed: DataFrame, version: int) -> dict:
+        """A table that is all base, from changed rows.  They are written as they come and counted, which says how many
+        buckets and tasks they need; each meets its key's others once, in the task that writes it."""
+        part = self._path(name, "changes")
+        changed.write.parquet(part)
+        rows = self.spark.read.schema(changed.schema).parquet(part)
+        count = rows.count()
+        n = min(4096, -(-count // self.bucket_rows))
+        n = n if n > 4 else 1
+        with session.splits(self.spark, min(128 << 20, max(1 << 20, self.files.size(part) * 8 * TASK_ROWS // max(1, count)))):
+            path, counts = self._cut(name, rows, n, count, True)
+        self.files.delete(part)
+        return self._table(path, counts, n, version)
+
     def publish(self, tables: dict[str, DataFrame], batch_id: int = -1, based_on: int | None = None) -> int:
         """Write the given tables whole as a new version; the others stay as they are.
 
@@ -229,25 +263,25 @@ class Store:
             made[name] = self._new_base(name, df, rows, before["version"] + 1)
         return self._commit(before, made, batch_id)
 
-    def upsert(self, changes: dict[str, DataFrame], batch_id: int = -1, based_on: int | None = None) -> int:
+    def upsert(self, changes: dict[str, DataFrame], batch_id: int = -1, based_on: int | None = None, rows: int = 0) -> int:
         """Write changed rows (a table's columns; with ``_gone``, true for deletes) as a new version.  One row a key, or
-        any of several.  A table stored under an older schema is upgraded first."""
+        any of several.  A table stored under an older schema is upgraded first.  ``rows``: about how many a table's changes
+        are, if they may be many."""
         before = self.manifest(based_on)
         version, made = before["version"] + 1, {}
         for name, df in changes.items():
             keys, cols = schema.KEYS[name], schema.stored(name, self.at).fieldNames()
             df = df if "_gone" in df.columns else df.withColumn("_gone", F.lit(False))
-            df = newest(df.select(*cols, F.coalesce("_gone", F.lit(False)).alias("_gone"), F.lit(version).cast("long").alias("_v")), keys)
+            df = df.select(*cols, F.coalesce("_gone", F.lit(False)).alias("_gone"), F.lit(version).cast("long").alias("_v"))
             table = before["tables"].get(name)
             if table and table["schema"] != self.at:
-                rows = sum(x[1] for x in table["base"].values())
-                table = self._new_base(name, schema.migrated(name, self._merged(name, table), table["schema"], self.at), rows, version - 1)
+                held = sum(x[1] for x in table["base"].values())
+                table = self._new_base(name, schema.migrated(name, self._merged(name, table), table["schema"], self.at), held, version - 1)
             if not table or not table["base"]:
                 deltas = self._deltas(name, table, table["deltas"]).drop("_b") if table and table["deltas"] else None
-                live = df if deltas is None else newest(deltas.unionByName(df), keys)
-                made[name] = self._new_base(name, live.where("NOT _gone").select(*cols), 0, version)
+                made[name] = self._first(name, df if deltas is None else deltas.unionByName(df), version)
                 continue
-            table = table | {"deltas": [*table["deltas"], *self._delta(name, df, table["buckets"], 0)]}
+            table = table | {"deltas": [*table["deltas"], *self._delta(name, newest(df, keys, rows), table["buckets"], 0)]}
             made[name] = self._tidied(name, table, version)
         return self._commit(before, made, batch_id)
 
@@ -271,7 +305,7 @@ class Store:
             return self._new_base(name, self._merged(name, table), total, version)
         if not full:
             return table
-        path, rows = self._cut(name, self._merged(name, table, full), table["buckets"])
+        path, rows = self._cut(name, self._merged(name, table, full), table["buckets"], sum(held.get(str(b), 0) + changed[str(b)] for b in full))
         base = {b: x for b, x in table["base"].items() if int(b) not in full} | {b: [f"{path}/_b={b}", n, version] for b, n in rows.items()}
         if emptied := [b for b in full if str(b) not in rows]:  # a bucket without rows still knows what is in it
             base |= {str(b): ["", 0, version] for b in emptied}
