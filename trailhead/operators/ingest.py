@@ -80,6 +80,7 @@ def changed(tables: dict[str, DataFrame], changes: DataFrame) -> tuple[dict[str,
     # files are parsed once; what follows reads the spans, each with its own text only
     spans = session.checkpointed(spans.withColumn("snippet", cut).drop("content"))
     m = session.checkpointed(match(spans, alive))
+    n = m.count()
     whole = F.col("parse_confidence") == 0
     kept = m.where(~whole | F.col("is_new"))  # a whole file that is known stays as it is
     new_nodes = store.latest(
@@ -90,7 +91,7 @@ def changed(tables: dict[str, DataFrame], changes: DataFrame) -> tuple[dict[str,
     new_stubs = stubs.join(have, "id", "left_anti")
     numbered = events.withColumn("seq", (F.col("seq") * 2**21 + F.col("pos") * 2 + F.col("step")).cast("long"))
     fresh = m.where("is_new").select("id", "snippet")
-    embedded = text.embed(fresh.dropDuplicates(["id"]), "snippet").select("id", "vector")
+    embedded = text.embed(layered.dealt(fresh, n, "id").dropDuplicates(["id"]), "snippet").select("id", "vector")
     lost = vectors.join(dead.select("id"), "id", "left_semi").withColumn("_gone", F.lit(True))
     errors = m.where("parse_error IS NOT NULL").select(F.col("file_path").alias("path"), F.col("parse_error").alias("message"))
     errors = errors.groupBy("path").agg(F.max("message").alias("message")).withColumn("kind", schema.error_kind(F.col("message")))
@@ -99,7 +100,7 @@ def changed(tables: dict[str, DataFrame], changes: DataFrame) -> tuple[dict[str,
         """Deletes and, over them, upserts."""
         cols = [c for c in new.columns if c != "_gone"]
         rows = old.select(*cols, "_gone", F.lit(0).cast("long").alias("_v")).unionByName(new.select(*cols, F.lit(False).alias("_gone"), F.lit(1).cast("long").alias("_v")))
-        return layered.newest(rows, keys).drop("_v")
+        return layered.newest(rows, keys, n).drop("_v")
 
     inactive = dead.withColumns({"is_active": F.lit(False), "_gone": F.lit(False)})
     out = {

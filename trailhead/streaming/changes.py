@@ -35,7 +35,7 @@ def apply_batch(store: Store, batch: DataFrame, batch_id: int = -1) -> DataFrame
     version = store.version()
     moved, stats = ingest.changed({t: store.read(t, version) for t in STATEFUL}, batch)
     counted = stats.collect()  # one row
-    store.upsert(moved, batch_id, version)
+    store.upsert(moved, batch_id, version, sum(counted[0][c] for c in ("nodes_upserted", "nodes_skipped", "nodes_tombstoned")))
     return store.spark.createDataFrame(counted, stats.schema)
 
 
