@@ -71,6 +71,51 @@ def test_a_stored_table_is_cut_by_as_many_tasks_as_its_rows_ask_for(spark, tmp_p
     assert {r.target_id: r.weight for r in st.read("edges").collect()} == want | {f"t{i}": 6.0 for i in range(100, 2500)}
 
 
+def test_a_call_matches_many_shapes_with_one_read_and_one_write(monkeypatch):
+    """Against a model, over batches with renames and deletes, however the state is cut."""
+    import pandas as pd
+
+    from trailhead.streaming import matching
+
+    class Parts:
+        rows, reads, writes = [], 0, 0
+
+        def get(self):
+            self.reads += 1
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows, self.writes = list(rows), self.writes + 1
+
+        def appendList(self, rows):
+            self.rows, self.writes = self.rows + list(rows), self.writes + 1
+
+        def clear(self):
+            self.put([])
+
+    rnd = random.Random(8)
+    for entries in (matching.PART_ENTRIES, 7):
+        monkeypatch.setattr(matching, "PART_ENTRIES", entries)
+        shapes, parts, model = matching._Shapes(), Parts(), {}
+        shapes.parts = parts
+        for batch in range(30):
+            rows = [(batch * 100 + i, f"f{rnd.randrange(6)}", rnd.choice("UUD"), None if (n := rnd.randrange(20)) == 0 else str(2**62 + n)) for i in range(60)]
+            rows = [(*r, f"{r[1]}-{r[3]}"[::-1]) for r in rows]
+            got = pd.concat(shapes.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["seq", "file_path", "op", "shape", "own_id"])]), None))
+            want = []
+            for seq, path, op, shape, own in rows:
+                held = model.setdefault(shape, {})
+                if op == "D":
+                    held.pop(path, None)
+                    continue
+                known = held.get(path)
+                other = min(held.values()) if known is None and held else None
+                held[path] = known or own
+                want.append((seq, path, None if shape is None else int(shape), held[path], known is None, other if other != held[path] else None))
+            assert [tuple(None if x is None or x is pd.NA or x != x else x for x in r) for r in got.astype(object).itertuples(index=False)] == want
+            assert parts.reads == batch + 1 and parts.writes <= batch + 1 and len(parts.rows) <= 8 + 120 // entries + 120 // entries + 2
+
+
 def test_answers_lie_in_files_of_a_stated_length(spark, monkeypatch):
     """Many files a part give the rows of one."""
     from trailhead.plans import code_queries
