@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +281,36 @@ def test_pruned_search_is_exact(spark):
     few, _ = postings.search(postings.index(v.where("id < 3")), asked.limit(1), 10)
     assert few.count() == 3
     v.unpersist()
+
+
+def test_pruned_search_scores_in_double_what_single_precision_cannot_tell(spark):
+    """Scores that differ by less than single precision shows keep their order; most pairs are never scored in double precision."""
+    from trailhead.operators import postings
+
+    rnd = random.Random(5)
+    near = [(i, [(b, 1000 + (b * 7919 + i) % 3) for b in range(0, 384, 2)]) for i in range(300)]
+    far = [(300 + i, [(b, rnd.randint(-9, 9) or 1) for b in range(384)]) for i in range(300)]
+    v = spark.createDataFrame(near + far, "id long, embedding array<struct<bucket:int,v:int>>").repartition(3)
+    asked = v.where("id % 60 = 7").selectExpr("id query_id", "embedding")
+    got, share = postings.search(postings.index(v, 64), asked, 5)
+    m = np.zeros((600, 384))
+    for i, e in near + far:
+        m[i, [b for b, _ in e]] = [x for _, x in e]
+    m /= np.sqrt((m * m).sum(1, keepdims=True))
+    have = {}
+    for r in got.collect():
+        have.setdefault(r.query_id, []).append((r["rank"], r.id, round(r.score, 11)))
+    for q in range(7, 600, 60):
+        s = np.round(m @ m[q], 12)
+        want = sorted(range(600), key=lambda i: (-s[i], i))[:5]
+        assert sorted(have[q]) == [(n + 1, i, round(s[i], 11)) for n, i in enumerate(want)]
+
+    one = m[:256]
+    rows, own = np.nonzero(one)
+    order = np.lexsort((rows, own))
+    seg = postings.Segment({"cuts": np.searchsorted(own[order], np.arange(385)).astype("<i4").tobytes(), "texts": rows[order].astype("<i4").tobytes(), "own_cuts": np.searchsorted(rows, np.arange(257)).astype("<i4").tobytes(), "own": own.astype("<i4").tobytes(), "own_weights": one[rows, own].tobytes()}, 384)
+    questions, floor = postings.Questions(m[300:]), np.full(300, 0.9)
+    who, _, score, read = questions.search(seg, 0, 300, floor, 5)
+    assert not len(who) and read > 0 and seg.half.dtype == np.float32
+    who, text, score, _ = questions.search(seg, 10, 20, np.full(10, -np.inf), 5)
+    assert 50 <= len(who) < 2560 and np.allclose(score, np.einsum("ij,ij->i", m[310 + who], one[text]), atol=1e-15)

@@ -66,14 +66,21 @@ class Best:
 
     def meet(self, lo: int, new: np.ndarray, ids: pa.Array) -> None:
         """Take in a tile: scores of the queries from ``lo`` on with the vectors ``ids``."""
-        k, held = self.k, self.score[lo : lo + len(new)]
         floor = self.floors(lo, len(new))
-        if new.shape[1] > k and np.isneginf(floor).any():
-            floor = np.maximum(floor, np.partition(new, -k, axis=1)[:, -k])
+        if new.shape[1] > self.k and np.isneginf(floor).any():
+            floor = np.maximum(floor, np.partition(new, -self.k, axis=1)[:, -self.k])
         query, col = np.nonzero(new >= np.maximum(floor - _SLACK, -2.0)[:, None])
+        self._take(lo, len(new), query, col, new[query, col], ids)
+
+    def take(self, lo: int, n: int, query: np.ndarray, col: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        """Take in pairs, ``query`` counted from ``lo``: of the n queries from there on with the vectors ``ids[col]``."""
+        keep = score >= np.maximum(self.floors(lo, n) - _SLACK, -2.0)[query]
+        self._take(lo, n, query[keep], col[keep], score[keep], ids)
+
+    def _take(self, lo: int, n: int, query: np.ndarray, col: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
         if not len(query):
             return
-        score = np.round(new[query, col], _DIGITS)
+        k, held, score = self.k, self.score[lo : lo + n], np.round(score, _DIGITS)
         some = np.unique(query)
         old_q, old_at = np.nonzero(~np.isneginf(held[some]))
         old_q = some[old_q]
