@@ -321,6 +321,36 @@ def test_aliases_grow_by_increments(spark):
     assert alias.increment(table, spark.createDataFrame([], kind)).isEmpty()
 
 
+def test_ids_that_are_renamed_again_and_again_are_few_events(spark, monkeypatch):
+    """What needs no order is settled apart, and the rest still equals the fold: of a shape that all files have, of ids that are
+    read between their renames or in circles, with equal places, in batches over a stored table."""
+    from trailhead.operators import alias
+
+    rnd = __import__("random").Random(4)
+    kind = "seq long, old_id string, new_id string, commit_hash string"
+    shape = [(i * 2 + j, *((f"sym:a{i}", f"n{i}") if j else (f"hub{i % 2}", f"n{i}")), f"c{i}") for i in range(5, 2000) for j in (0, 1)]
+    shape += [(1, "sym:first", "hub0", "c"), (2, "hub1", "early", "c"), (3, "sym:x", "hub1", "c"), (1999, "sym:y", "hub0", "c")]
+    rows, moves, left = alias.settled(spark.createDataFrame([], schema.ALIAS), spark.createDataFrame(shape, kind))
+    assert left.count() < 12 and rows.count() == moves.count() == 1995
+    mixed, one_task = [], alias.ONE_TASK
+    for i in range(700):
+        old = rnd.choice([f"s{rnd.randrange(150)}", f"h{rnd.randrange(6)}", f"o{rnd.randrange(9)}"])
+        new = rnd.choice([f"leaf{rnd.randrange(300)}"] * 6 + [f"h{rnd.randrange(6)}", f"o{rnd.randrange(9)}", f"s{rnd.randrange(150)}"])
+        mixed.append((i, old, new, f"c{i}"))
+    for events, cuts, every in ((mixed, (0, 40, 350, 360, 700), one_task), (mixed, (0, 300, 700), 0), (shape, (0, 1000, 3994), one_task)):
+        events = sorted(events)
+        want = alias.fold_py([e[1:] for e in events])
+        monkeypatch.setattr(alias, "ONE_TASK", every)
+        monkeypatch.setattr(alias, "FEW", 0)
+        monkeypatch.setattr(alias, "READS", 7)
+        table = spark.createDataFrame([], schema.ALIAS)
+        for a, b in zip(cuts, cuts[1:]):
+            table = retrieve.graph.session.checkpointed(alias.record(table, spark.createDataFrame(events[a:b], kind)))
+        got = table.collect()
+        assert len(got) == len(want) and {r.old_id: (r.new_id, r.root_id, r.commit_hash) for r in got} == want
+        assert alias.increment(table, spark.createDataFrame([(e[0] + 10**6, *e[1:]) for e in shape[-4:-3]], kind)).count() < 4
+
+
 CPP2 = rb'''
 #define WRAP(x) \
     do { x(); } while (0)

@@ -85,6 +85,44 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Up to so many rows of a batch are folded in one task, without a search for components.
 ONE_TASK = 1 << 17
+#: Events up to this many are folded as they are; places where an id is read, up to which its events are sorted between them.
+FEW, READS = 1 << 10, 1 << 10
+
+
+def settled(alias: DataFrame, ev: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, moves, events): what needs no order among different ids, and the events that do.
+
+    A leaf is an id that nothing renames, in the table or the events: who is renamed to it has it as root for good.  Where
+    every event of an id leads to leaves, its first event takes its followers along and the later ones change only its own
+    row.  If no event reads the id (is a rename to it), its row is its last event's, and its followers go where its first
+    event leads: ``rows`` (as the table's) and ``moves`` (_from, _to).  If some do, of its events between two reads the last
+    one counts; the others, but for the very first, are left out.  So an id that is renamed again and again, as the
+    fingerprint of a shape that a million files have, is a few events.
+    """
+    old = ev.select(F.col("old_id").alias("id")).distinct()
+    taken = old.union(alias.join(ev.select(F.col("new_id").alias("id")).distinct(), F.col("old_id") == F.col("id"), "left_semi").select("old_id")).distinct()
+    bound = ev.join(taken, F.col("new_id") == F.col("id"), "left_semi").select(F.col("old_id").alias("id"))
+    bound = bound.union(alias.where("old_id = root_id").select("old_id")).distinct().withColumn("_bound", F.lit(True))
+    reads = ev.join(old, F.col("new_id") == F.col("id"), "left_semi").groupBy(F.col("new_id").alias("id")).agg(F.count_distinct("seq").alias("_reads"))
+    marks = session.checkpointed(old.join(bound, "id", "left").join(reads, "id", "left").withColumnRenamed("id", "old_id"))
+    free = marks.where("_bound IS NULL")
+    alone = free.where("_reads IS NULL").select("old_id")
+    event = F.struct("seq", "new_id", "commit_hash")
+    ends = ev.join(alone, "old_id", "left_semi").groupBy("old_id").agg(F.max(event).alias("last"), F.min(event).alias("first"))
+    ends = session.checkpointed(ends)
+    rows = ends.select("old_id", F.col("last.new_id").alias("new_id"), F.col("last.new_id").alias("root_id"), F.col("last.commit_hash").alias("commit_hash"))
+    moves = ends.select(F.col("old_id").alias("_from"), F.col("first.new_id").alias("_to"))
+    left = ev.join(alone, "old_id", "left_anti")
+    some = free.where(F.col("_reads") <= READS).select("old_id")
+    at = ev.join(some, F.col("new_id") == some["old_id"], "left_semi").groupBy(F.col("new_id").alias("old_id")).agg(F.collect_set("seq").alias("_at"))
+    held = left.join(at, "old_id", "left")
+    # between reads: their number; at a read: each event by itself
+    place = F.size(F.filter("_at", lambda x: x < F.col("seq")))
+    alike = held.where("_at IS NOT NULL").withColumn("_same", F.when(F.array_contains("_at", F.col("seq")), F.col("new_id")))
+    last = alike.groupBy("old_id", place.alias("_place"), "_same").agg(F.max(event).alias("e")).select("old_id", "e")
+    first = alike.groupBy("old_id").agg(F.min(event).alias("e"))
+    kept = last.union(first).distinct().select("e.seq", "old_id", "e.new_id", "e.commit_hash")
+    return rows, moves, held.where("_at IS NULL").select(*kept.columns).unionByName(kept)
 
 
 def increment(alias: DataFrame, events: DataFrame) -> DataFrame:
@@ -99,8 +137,17 @@ def increment(alias: DataFrame, events: DataFrame) -> DataFrame:
     n = ev.count()
     if not n:
         return alias.limit(0)
+    settle = moves = None
+    if n > FEW:
+        settle, moves, ev = settled(alias, ev)
+        ev = session.checkpointed(ev)
+        n = ev.count()
     ids = session.checkpointed(ev.select(F.col("old_id").alias("id")).union(ev.select("new_id")).distinct())
     near = alias.join(ids, alias.old_id == ids.id, "left_semi").select("old_id", "new_id", "root_id", "commit_hash")
+    if settle is not None:  # a settled root's followers are where they go, whenever that was
+        near = near.join(moves, F.col("root_id") == F.col("_from"), "left").withColumn("_was", F.col("root_id")).withColumn("root_id", F.coalesce("_to", "root_id")).drop("_from", "_to")
+        near = session.checkpointed(near)
+        before, near = near.where("root_id <> _was").drop("_was"), near.drop("_was")
     # a root that is named stands for its followers: a row of its own, that takes no part but for its root
     follower = ids.select(F.concat(F.lit(FOLLOW), "id").alias("old_id"), F.col("id").alias("new_id"), F.col("id").alias("root_id"), F.lit("").alias("commit_hash"))
     known = near.unionByName(follower).withColumn("seq", F.lit(-1).cast("long"))
@@ -123,9 +170,16 @@ def increment(alias: DataFrame, events: DataFrame) -> DataFrame:
     folded = session.checkpointed(placed.groupBy("component").applyInPandas(run, "old_id string, new_id string, root_id string, commit_hash string"))
     led = F.startswith("old_id", F.lit(FOLLOW))
     moved = folded.where(led).select(F.col("new_id").alias("_from"), F.col("root_id").alias("_to"))
-    passive = alias.join(moved, alias.root_id == moved._from).join(ids, alias.old_id == ids.id, "left_anti")
+    gone = ids if settle is None else ids.union(settle.select("old_id"))
+    moved = moved if settle is None else moved.unionByName(moves)
+    passive = alias.join(moved, alias.root_id == moved._from).join(gone, alias.old_id == gone.id, "left_anti")
     passive = passive.select("old_id", "new_id", F.col("_to").alias("root_id"), "commit_hash")
-    return folded.where(~led).unionByName(passive)
+    out = folded.where(~led).unionByName(passive)
+    if settle is None:
+        return out
+    same = [settle[c] == alias[c] for c in ("old_id", "new_id", "root_id", "commit_hash")]
+    out = session.checkpointed(out)
+    return out.unionByName(before.join(out.select("old_id"), "old_id", "left_anti")).unionByName(settle.join(alias, same, "left_anti"))
 
 
 #: Before an id: the followers of that root.  Ids hold no control characters.

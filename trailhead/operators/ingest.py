@@ -71,15 +71,15 @@ def changed(tables: dict[str, DataFrame], changes: DataFrame) -> tuple[dict[str,
     """
     nodes, edges, alias, vectors = (tables[k] for k in ("nodes", "edges", "alias", "vectors"))
     last = store.latest(changes, ["file_path"], "seq").withColumn("_dead", F.expr("coalesce(op = 'D', false) OR content IS NULL OR length(content) = 0"))
-    listed = session.checkpointed(last.select("file_path", "_dead"))
+    files = last.select("seq", "file_path", F.expr("CASE WHEN NOT _dead THEN content END").alias("content"), "commit_hash", "_dead")
+    spans = parse.exploded(parse.parse(files), outer=True)
+    cut = F.make_valid_utf8(F.substring(F.col("content"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")).cast("string"))
+    # files are read and parsed once; what follows reads the spans, each with its own text only, and that only for new nodes
+    parsed = session.checkpointed(spans.withColumn("snippet", cut).drop("content"))
+    listed = parsed.where("pos IS NULL OR pos = 0").select("file_path", "_dead")
     dead = session.checkpointed(nodes.where("is_active").join(listed.where("_dead"), "file_path", "left_semi"))
     alive = nodes.join(dead.select("id"), "id", "left_anti")
-
-    spans = parse.exploded(parse.parse(last.where("NOT _dead").select("seq", "file_path", "content", "commit_hash")))
-    cut = F.make_valid_utf8(F.substring(F.col("content"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")).cast("string"))
-    # files are parsed once; what follows reads the spans, each with its own text only
-    spans = session.checkpointed(spans.withColumn("snippet", cut).drop("content"))
-    m = session.checkpointed(match(spans, alive))
+    m = session.checkpointed(match(parsed.where("pos IS NOT NULL").drop("_dead", "snippet"), alive))
     n = m.count()
     whole = F.col("parse_confidence") == 0
     kept = m.where(~whole | F.col("is_new"))  # a whole file that is known stays as it is
@@ -90,7 +90,9 @@ def changed(tables: dict[str, DataFrame], changes: DataFrame) -> tuple[dict[str,
     have = nodes.join(stubs.select("id"), "id", "left_semi").select("id")
     new_stubs = stubs.join(have, "id", "left_anti")
     numbered = events.withColumn("seq", (F.col("seq") * 2**21 + F.col("pos") * 2 + F.col("step")).cast("long"))
-    fresh = m.where("is_new").select("id", "snippet")
+    n_new = m.where("is_new").count()
+    place = lambda df, *more: layered.dealt(df, n_new, "file_path", "pos").select("file_path", "pos", *more)
+    fresh = place(m.where("is_new"), "id").join(place(parsed.where("pos IS NOT NULL"), "snippet"), ["file_path", "pos"]).select("id", "snippet")
     embedded = text.embed(layered.dealt(fresh, n, "id").dropDuplicates(["id"]), "snippet").select("id", "vector")
     lost = vectors.join(dead.select("id"), "id", "left_semi").withColumn("_gone", F.lit(True))
     errors = m.where("parse_error IS NOT NULL").select(F.col("file_path").alias("path"), F.col("parse_error").alias("message"))
