@@ -321,6 +321,22 @@ def test_aliases_grow_by_increments(spark):
     assert alias.increment(table, spark.createDataFrame([], kind)).isEmpty()
 
 
+def test_a_batch_of_sources_is_read_once(spark):
+    """Deleted, empty and whole files are counted from the rows that the parser has written, not by another pass."""
+    seen = spark.sparkContext.accumulator(0)
+    changes = rows(spark, ("a.py", PY), ("c.cpp", CPP), ("n.txt", b"plain"), ("no.py", b"x = 1\n"), ("gone.py", None), ("void.py", b""))
+
+    def f(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    moved, stats = ingest.changed(empty(spark), changes.mapInArrow(f, changes.schema))
+    s = stats.first()
+    assert (s.files_processed, s.paths_tombstoned, s.parse_failures) == (6, 2, 0) and seen.value == 6
+    assert moved["vectors"].count() == s.nodes_upserted > 0 and seen.value == 6
+
+
 def test_ids_that_are_renamed_again_and_again_are_few_events(spark, monkeypatch):
     """What needs no order is settled apart, and the rest still equals the fold: of a shape that all files have, of ids that are
     read between their renames or in circles, with equal places, in batches over a stored table."""
