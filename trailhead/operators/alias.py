@@ -87,6 +87,8 @@ def components(edges: DataFrame) -> DataFrame:
 ONE_TASK = 1 << 17
 #: Events up to this many are folded as they are; places where an id is read, up to which its events are sorted between them.
 FEW, READS = 1 << 10, 1 << 10
+#: Ids (with where they are read) up to this many are sent to the events.
+SENT = 10_000
 
 
 def settled(alias: DataFrame, ev: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -106,16 +108,18 @@ def settled(alias: DataFrame, ev: DataFrame) -> tuple[DataFrame, DataFrame, Data
     reads = ev.join(old, F.col("new_id") == F.col("id"), "left_semi").groupBy(F.col("new_id").alias("id")).agg(F.count_distinct("seq").alias("_reads"))
     marks = session.checkpointed(old.join(bound, "id", "left").join(reads, "id", "left").withColumnRenamed("id", "old_id"))
     free = marks.where("_bound IS NULL")
-    alone = free.where("_reads IS NULL").select("old_id")
+    rest = marks.where("_bound OR _reads IS NOT NULL").select("old_id")
+    small = lambda df: F.broadcast(df) if df.count() <= SENT else df
+    rest = small(rest)  # the others are one by one; of these each may have most of the events, which no task should sort
     event = F.struct("seq", "new_id", "commit_hash")
-    ends = ev.join(alone, "old_id", "left_semi").groupBy("old_id").agg(F.max(event).alias("last"), F.min(event).alias("first"))
+    ends = ev.join(rest, "old_id", "left_anti").groupBy("old_id").agg(F.max(event).alias("last"), F.min(event).alias("first"))
     ends = session.checkpointed(ends)
     rows = ends.select("old_id", F.col("last.new_id").alias("new_id"), F.col("last.new_id").alias("root_id"), F.col("last.commit_hash").alias("commit_hash"))
     moves = ends.select(F.col("old_id").alias("_from"), F.col("first.new_id").alias("_to"))
-    left = ev.join(alone, "old_id", "left_anti")
+    left = ev.join(rest, "old_id", "left_semi")
     some = free.where(F.col("_reads") <= READS).select("old_id")
     at = ev.join(some, F.col("new_id") == some["old_id"], "left_semi").groupBy(F.col("new_id").alias("old_id")).agg(F.collect_set("seq").alias("_at"))
-    held = left.join(at, "old_id", "left")
+    held = left.join(small(session.checkpointed(at)), "old_id", "left")
     # between reads: their number; at a read: each event by itself
     place = F.size(F.filter("_at", lambda x: x < F.col("seq")))
     alike = held.where("_at IS NOT NULL").withColumn("_same", F.when(F.array_contains("_at", F.col("seq")), F.col("new_id")))
